@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 ARROW_ROWS = 256
 
@@ -44,3 +49,25 @@ class Staged:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     return Staged(df, name).df
+
+
+def class_sample(df: DataFrame, cls: str, text: str, per_class: int) -> DataFrame:
+    """At most ``per_class`` different non-null texts of each non-null class, those of least hash: columns cls, text."""
+    rows = df.select(F.col(cls).alias("cls"), F.col(text).alias("text"), F.xxhash64(text).alias("h")).where("cls is not null and text is not null")
+    least = Window.partitionBy("cls").orderBy("h")
+    chosen = rows.select("cls", "h").distinct().withColumn("k", F.row_number().over(least)).where(F.col("k") <= per_class)
+    return rows.join(F.broadcast(chosen), ["cls", "h"]).dropDuplicates(["cls", "h"]).select("cls", "k", "text")
+
+
+def map_text(df: DataFrame, text: str, extra: T.StructType, make) -> DataFrame:
+    """df with the columns of ``extra`` that make(list of texts) returns as lists; columns of those names are replaced."""
+    df = df.drop(*extra.names)
+    schema = T.StructType([*df.schema.fields, *extra.fields])
+    at, arrow = df.columns.index(text), to_arrow_schema(extra)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = make(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, f.type) for v, f in zip(made, arrow))], [*batch.schema.names, *arrow.names])
+
+    return df.mapInArrow(run, schema)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idweave.llm import bpe
+from idweave.llm import bpe, langid, toxicity
 from idweave.llm.common import small_batches, table
 
 
@@ -19,5 +19,27 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op9_bpe_round_trip": op9_bpe_round_trip}
+def labelled(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    """doc_id, text and one column of labels, for documents whose fold is for learning."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).join(table(spark, sf_dir, "labels").select("doc_id", column), "doc_id")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every document, by compression distance."""
+    small_batches(spark)
+    model = toxicity.train(labelled(spark, sf_dir, "toxic"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by Kneser-Ney character models."""
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
+    model = langid.train(docs.where(~F.col("held_out")).select("lang", "text"))
+    return langid.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+QUERIES = {f.__name__: f for f in (op3_toxicity, op9_bpe_round_trip, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
