@@ -71,3 +71,33 @@ def map_text(df: DataFrame, text: str, extra: T.StructType, make) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, f.type) for v, f in zip(made, arrow))], [*batch.schema.names, *arrow.names])
 
     return df.mapInArrow(run, schema)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of undirected ``edges`` (src, dst: long): columns node, component (the component's least node).
+
+    Distributed union-find by contraction: in every round each node hooks onto its neighbour (or itself) of least hash,
+    and edges are rewritten between the hooks until none are left; hashes are dealt anew each round, so the number of
+    rounds grows with the logarithm of the longest chain. Each round is a written table, so a lost executor costs at
+    most the round under way. Nodes without edges are not returned.
+    """
+    one = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src is not null and dst is not null and src <> dst")
+    left, hooks = Staged(one.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "edges").df, []
+    while not left.isEmpty():
+        salt = F.lit(len(hooks))
+        both = left.unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        rank = lambda c: F.struct(F.xxhash64(c, salt).alias("h"), F.col(c).alias("n"))
+        hook = both.groupBy("src").agg(F.min(F.least(rank("src"), rank("dst"))).alias("least")).select(F.col("src").alias("node"), F.col("least.n").alias("to"))
+        hook = Staged(hook, "hooks").df
+        hooks.append(hook)
+        a, b = hook.toDF("src", "a"), hook.toDF("dst", "b")
+        moved = left.join(a, "src").join(b, "dst").where("a <> b")
+        left = Staged(moved.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "edges").df
+    if not hooks:
+        return one.select(F.col("src").alias("node"), F.col("dst").alias("component")).limit(0)
+    roots = hooks[0].withColumnRenamed("to", "root")
+    for hook in hooks[1:]:
+        roots = roots.join(hook.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    roots = Staged(roots, "roots").df
+    least = roots.groupBy("root").agg(F.min("node").alias("component"))
+    return Staged(roots.join(least, "root").select("node", "component"), "components").df
