@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idweave.llm import bpe, hnsw, langid, quality, toxicity
+from idweave.llm import bpe, hnsw, langid, ngram_join, quality, toxicity
 from idweave.llm.common import small_batches, table
 
 
@@ -15,6 +15,11 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more: classes, link counts, components."""
+    return ngram_join.near_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict on every document; documents labelled of good quality are the trusted target."""
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
@@ -51,5 +56,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op3_toxicity, op7_quality_rules, op9_bpe_round_trip, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op4_ngram_jaccard_join, op3_toxicity, op7_quality_rules, op9_bpe_round_trip, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
