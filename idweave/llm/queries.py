@@ -34,16 +34,18 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-def labelled(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
-    """doc_id, text and one column of labels, for documents whose fold is for learning."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).join(table(spark, sf_dir, "labels").select("doc_id", column), "doc_id")
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    """Learned from labelled documents of the folds for learning."""
+    labels = table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("doc_id", "toxic")
+    chosen = toxicity.sample_ids(labels)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return toxicity.train(docs, counts=toxicity.class_counts(labels))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of every document, by compression distance."""
     small_batches(spark)
-    model = toxicity.train(labelled(spark, sf_dir, "toxic"))
+    model = toxicity_model(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"))
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -12,7 +12,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import zstandard
@@ -111,17 +111,28 @@ def fit_logistic(model: ToxicityModel, x: np.ndarray, y: np.ndarray) -> None:
     model.constant, model.weights = float(w[0]), w[1:]
 
 
-def train(df: DataFrame, text: str = "text", label: str = "toxic", sample_texts: int = SAMPLE_TEXTS) -> ToxicityModel:
+def sample_ids(labels: DataFrame, id: str = "doc_id", label: str = "toxic", sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
+    """At most ``sample_texts`` rows (id, label) of each class, those of least hash of the id: small enough to broadcast."""
+    ids = labels.select(id, label).where(F.col(id).isNotNull())
+    return reduce(DataFrame.unionByName, (ids.where(F.col(label) == k).orderBy(F.xxhash64(id), id).limit(sample_texts) for k in (0, 1)))
+
+
+def class_counts(df: DataFrame, label: str = "toxic") -> dict[int, int]:
+    return {r["cls"]: r["n"] for r in df.where(F.col(label).isin(0, 1)).groupBy(F.col(label).alias("cls")).agg(F.count("*").alias("n")).collect()}
+
+
+def train(df: DataFrame, text: str = "text", label: str = "toxic", sample_texts: int = SAMPLE_TEXTS, counts: dict[int, int] | None = None) -> ToxicityModel:
     """Fit on at most ``sample_texts`` different texts of each class (label 1 or 0; others and null texts are left out).
 
-    The dictionaries' part comes to the driver; the rest is measured on the executors, whole.
+    The dictionaries' part comes to the driver; the rest is measured on the executors, whole. ``counts`` says how many
+    rows each class has where df is a sample already.
     """
     rows = df.where(F.col(label).isin(0, 1))
     sample = class_sample(rows, label, text, sample_texts)
     part = F.pmod("k", F.lit(20)) < int(20 * DICTIONARY_SHARE)
     drawn = sample.where(part).orderBy("cls", "k").collect()
     model = fit_dictionaries([words(r["text"]) for r in drawn if r["cls"] == 1], [words(r["text"]) for r in drawn if r["cls"] == 0])
-    share = {r["cls"]: r["n"] for r in rows.groupBy(F.col(label).alias("cls")).agg(F.count("*").alias("n")).collect()}
+    share = class_counts(rows, label) if counts is None else counts
     measured = measure(sample.where(~part).select("cls", "text"), model).collect()
     x, y = np.array([r["gains"] for r in measured]).reshape(len(measured), -1), np.array([float(r["cls"]) for r in measured])
     fit_logistic(model, x, y)
