@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idweave.llm import bpe, hnsw, langid, ngram_join, quality, toxicity
+from idweave.llm import bpe, hnsw, langid, line_dedup, ngram_join, quality, toxicity
 from idweave.llm.common import small_batches, table
 
 
@@ -25,6 +25,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document with the first line of its component of near copies, which alone is kept."""
+    return line_dedup.mark_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by forced-boundary BPE, and the text decoded from them, as digests."""
     small_batches(spark)
@@ -58,5 +63,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op4_ngram_jaccard_join, op3_toxicity, op7_quality_rules, op9_bpe_round_trip, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op4_ngram_jaccard_join, op3_toxicity, op7_quality_rules, op8_line_dedup, op9_bpe_round_trip, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
