@@ -77,7 +77,7 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (src, dst: long): columns node, component (the component's least node).
 
     Distributed union-find by contraction: in every round each node hooks onto its neighbour (or itself) of least hash,
-    and edges are rewritten between the hooks until none are left; hashes are dealt anew each round, so the number of
+    then onto that one's hook, and edges are rewritten between the hooks until none are left; hashes are dealt anew each round, so the number of
     rounds grows with the logarithm of the longest chain. Each round is a written table, so a lost executor costs at
     most the round under way. Nodes without edges are not returned.
     """
@@ -89,6 +89,7 @@ def components(edges: DataFrame) -> DataFrame:
         rank = lambda c: F.struct(F.xxhash64(c, salt).alias("h"), F.col(c).alias("n"))
         hook = both.groupBy("src").agg(F.min(F.least(rank("src"), rank("dst"))).alias("least")).select(F.col("src").alias("node"), F.col("least.n").alias("to"))
         hook = Staged(hook, "hooks").df
+        hook = Staged(hook.join(hook.toDF("to", "further"), "to").select("node", F.col("further").alias("to")), "hooks").df
         hooks.append(hook)
         a, b = hook.toDF("src", "a"), hook.toDF("dst", "b")
         moved = left.join(a, "src").join(b, "dst").where("a <> b")

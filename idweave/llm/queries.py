@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idweave.llm import bpe, hnsw, langid, line_dedup, ngram_join, quality, toxicity
+from idweave.llm import bpe, hnsw, langid, line_dedup, ngram_join, packing, quality, toxicity
 from idweave.llm.common import small_batches, table
 
 
@@ -15,6 +15,12 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids in sequences of at most 2048, by cutting-stock patterns; pieces' ids as a checksum."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more: classes, link counts, components."""
     return ngram_join.near_documents(table(spark, sf_dir, "documents"))
@@ -63,5 +69,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op4_ngram_jaccard_join, op3_toxicity, op7_quality_rules, op8_line_dedup, op9_bpe_round_trip, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_packing, op4_ngram_jaccard_join, op3_toxicity, op7_quality_rules, op8_line_dedup, op9_bpe_round_trip, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
