@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idweave.llm import bpe, hnsw, langid, line_dedup, ngram_join, packing, quality, repeats, toxicity
+from idweave.llm import bpe, hnsw, langid, licenses, line_dedup, ngram_join, packing, quality, repeats, toxicity
 from idweave.llm.common import small_batches, table
 
 
@@ -26,6 +26,12 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, paragraphs and texts that are a licence notice by the Dice coefficient over word bigrams."""
+    templates = spark.createDataFrame(list(licenses.TEMPLATES.items()), "license string, text string")
+    return licenses.scan(table(spark, sf_dir, "documents"), templates)
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without strings of 50 bytes that also start in a smaller document, as a digest."""
     done = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -76,5 +82,40 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_packing, op4_ngram_jaccard_join, op6_suffix_dedup, op3_toxicity, op7_quality_rules, op8_line_dedup, op9_bpe_round_trip, op10_language_id)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_packing, op4_ngram_jaccard_join, op5_license_scan, op6_suffix_dedup, op3_toxicity, op7_quality_rules, op8_line_dedup, op9_bpe_round_trip, op10_language_id)}
+QUOTED = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in licenses.TEMPLATES.items())
+WORDS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
+PAIRS = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+OP5_SQL = f"""
+WITH template AS (SELECT license, unnest(g) AS g, len(g) AS b FROM (SELECT license, {PAIRS.format('w')} AS g FROM (SELECT license, {WORDS.format('t')} AS w FROM (VALUES {QUOTED}) AS v(license, t)))),
+p AS (SELECT doc_id, coalesce(text, '') AS t, regexp_split_to_array(coalesce(text, ''), '\n[\x20\x09-\x0D]*\n') AS ps FROM documents),
+segment AS (
+  SELECT doc_id, 'line' AS kind, unnest(range(len(l))) AS segment_no, unnest(l) AS part FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM p)
+  UNION ALL SELECT doc_id, 'paragraph', unnest(range(len(ps))), unnest(ps) FROM p
+  UNION ALL SELECT doc_id, 'text', 0, t FROM p WHERE len(ps) > 1),
+own AS (SELECT doc_id, kind, segment_no, {PAIRS.format('w')} AS g FROM (SELECT *, {WORDS.format('part')} AS w FROM segment WHERE kind <> 'paragraph' OR contains(part, chr(10)))),
+hit AS (
+  SELECT doc_id, kind, segment_no, license, 2.0 * count(*) / (any_value(a) + any_value(b)) AS dice
+  FROM (SELECT doc_id, kind, segment_no, unnest(g) AS x, len(g) AS a FROM own) JOIN template ON x = template.g GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, segment_no ORDER BY round(dice, 12) DESC, license) AS k FROM hit WHERE dice >= {licenses.LEAST} - 1e-9)
+SELECT doc_id, kind, segment_no::BIGINT AS segment_no, license, round(dice, 6) AS dice FROM best WHERE k = 1
+"""
+
+#: Exact Jaccard similarity through shared shingles, and components by following links (on the driver's small tables).
+OP4_SQL = """
+WITH RECURSIVE word AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+own AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS g FROM word),
+shingle AS (SELECT doc_id, unnest(g) AS s, len(g) AS n FROM own),
+link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) = any_value(a.n) AND count(*) = any_value(b.n) AS same
+  FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+  HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+component AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, least(d.doc_id, coalesce(min(b) FILTER (WHERE same), d.doc_id)) AS class_id, count(b) AS n_links, any_value(component_id) AS component_id, d.doc_id = any_value(component_id) AS kept
+FROM documents d LEFT JOIN link ON link.a = d.doc_id JOIN component c ON c.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_ngram_jaccard_join": OP4_SQL, "op5_license_scan": OP5_SQL}

@@ -18,6 +18,15 @@ MARKS = frozenset(".,;:!?")
 REMEMBERED = 1_000_000  #: words, and chunks between white space, that a worker holds at most
 
 
+def plain(text: str) -> bool:
+    """Whether white space parts the text for the tokenizer as for ``split``, and nothing joins across it."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not PLAIN.search(text)
+    return "<|" not in text and not any(c in text for c in "\x1c\x1d\x1e\x1f")
+
+
 class WordIds:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already keeps every core busy
@@ -38,16 +47,17 @@ class WordIds:
         """The ids as little-endian integers of ``width``."""
         if not text:
             return b""
-        if PLAIN.search(text):
+        if not plain(text):
             return self.direct(text)
         own, known = text.split(), self.chunks
-        out = [known.get(c) for c in own]
+        out = list(map(known.get, own))
         if None in out:
             self._learn({c for c, ids in zip(own, out) if ids is None})
-            out = [known[c] for c in own]
+            out = map(known.__getitem__, own)
+        ids = b"".join(out)
         if len(known) > REMEMBERED:
             known.clear()
-        return b"".join(out)
+        return ids
 
     def _learn(self, chunks: set[str]) -> None:
         known, parts = self.pieces, []
