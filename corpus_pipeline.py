@@ -1,11 +1,64 @@
-"""Corpus pipeline: stages over documents."""
+"""Corpus pipeline: toxicity, line de-duplication, near documents, repeated passages, packing."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from idweave.llm import line_dedup, ngram_join, packing, repeats, toxicity
+from idweave.llm.common import Staged, small_batches, table
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score, learned from the labelled ones among docs, stays under a half."""
+    small_batches(spark)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").join(docs.select("doc_id"), "doc_id", "left_semi")
+    labels = Staged(labels, "labels").df
+    chosen = toxicity.sample_ids(labels)
+    model = toxicity.train(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), counts=toxicity.class_counts(labels))
+    return toxicity.score(docs, model, out="toxicity_score").where("toxicity_score < 0.5").select(*docs.columns)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that equal or nearly equal an earlier one."""
+    return line_dedup.drop_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of least doc_id."""
+    kept = Staged(ngram_join.near_documents(docs).where("kept").select("doc_id"), "kept").df
+    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without byte strings that a smaller document holds; what a cut leaves of a character goes too."""
+    valid = F.make_valid_utf8(F.col("kept").cast("string"))
+    text = F.when(F.size("spans") == 0, F.col("text")).when(F.contains("text", F.lit("�")), valid).otherwise(F.replace(valid, F.lit("�"), F.lit("")))
+    done = repeats.without_repeats(docs).withColumn("text", text)
+    return done.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' ids in sequences, as pieces."""
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("line_dedup", without_repeated_lines),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("suffix_dedup", without_repeated_passages),
+    ("packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what each leaves is written and read again before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = Staged(stage(spark, docs, sf_dir), name).df
+    return STAGES[-1][1](spark, docs, sf_dir)
