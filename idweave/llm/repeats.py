@@ -27,7 +27,8 @@ PART_BYTES = 8 << 20  #: of text that a task of the later passes holds, about
 FLUSH_BYTES = 16 << 20
 SHARD_BYTES = 1 << 20
 WHOLE, CLOSER = 0, 1
-RECORD = [("h", np.uint64), ("cover", np.uint64), ("doc", np.int64), ("run", np.uint32)]
+SIX = "six bytes"  #: hashes travel as 48 bits; equal anchors and covers agree in 96
+RECORD = [("h", SIX), ("cover", SIX), ("doc", np.int64), ("run", np.uint32)]
 NOTE = [("doc", np.int64), ("run", np.uint32), ("kind", np.uint8), ("h", np.uint64)]
 CONTEXT = [("doc", np.int64), ("first", np.int64), ("n", np.int32)]
 SPAN = [("doc", np.int64), ("start", np.int64), ("end", np.int64)]
@@ -41,13 +42,16 @@ def packed(key: str, groups: np.ndarray, columns: list[np.ndarray], kinds: list[
     ends = np.append(at[1:], len(groups))
     arrays = [pa.array(groups[at].astype(np.int32), pa.int32())]
     for column, (_, kind) in zip(columns, kinds):
-        column = column.astype(kind)[order]
+        column = column[order]
+        column = np.ascontiguousarray(column.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]) if kind == SIX else column.astype(kind)
         arrays.append(pa.array([column[i:j].tobytes() for i, j in zip(at.tolist(), ends.tolist())], pa.binary()))
     return pa.RecordBatch.from_arrays(arrays, [key, *(name for name, _ in kinds)])
 
 
 def unpacked(table: pa.Table, kinds: list[tuple]) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(x for x in table[name].to_pylist() if x), kind) for name, kind in kinds]
+    data = [b"".join(x for x in table[name].to_pylist() if x) for name, _ in kinds]
+    six = lambda b: np.pad(np.frombuffer(b, np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).view("<u8").ravel()
+    return [six(b) if kind == SIX else np.frombuffer(b, kind) for b, (_, kind) in zip(data, kinds)]
 
 
 def schema(key: str, kinds: list[tuple]) -> str:
@@ -61,7 +65,7 @@ def recorded(buckets: int):
 
         def flush() -> pa.RecordBatch:
             h, cover, doc, number = (np.concatenate(x) for x in zip(*held))
-            return packed("bucket", ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), [h, cover, doc, number], RECORD)
+            return packed("bucket", ((h >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64), [h, cover, doc, number], RECORD)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
