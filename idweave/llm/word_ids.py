@@ -15,7 +15,7 @@ PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ɏ]|<\\|")
 #: The tokenizer's own pattern (a fixed value).
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 MARKS = frozenset(".,;:!?")
-REMEMBERED = 1_000_000  #: words, and chunks between white space, that a worker holds at most
+REMEMBERED = 1_500_000  #: words and chunks between white space that a worker holds at most
 
 
 def plain(text: str) -> bool:
@@ -37,8 +37,7 @@ class WordIds:
         self.width = "<u2" if max(vocabulary.values(), default=0) < 1 << 16 else "<u4"
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # of words and marks, and of chunks made of them
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
@@ -49,7 +48,7 @@ class WordIds:
             return b""
         if not plain(text):
             return self.direct(text)
-        own, known = text.split(), self.chunks
+        own, known = text.split(), self.known
         out = list(map(known.get, own))
         if None in out:
             self._learn({c for c, ids in zip(own, out) if ids is None})
@@ -60,16 +59,13 @@ class WordIds:
         return ids
 
     def _learn(self, chunks: set[str]) -> None:
-        known, parts = self.pieces, []
+        known, parts = self.known, []
         for c in chunks:  # mostly a word, or a word and one mark
             low = c.lower()
             parts.append((low,) if low.isalpha() else (low[:-1], low[-1]) if low[:-1].isalpha() and low[-1] in MARKS else PIECE.findall(low))
         new = list({p for own in parts for p in own if p not in known})
         if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list({p for own in parts for p in own})
-            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, self.width)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, self.width)
             at = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
             if len(at) == len(new):
                 data = ids.tobytes()
@@ -77,7 +73,7 @@ class WordIds:
             else:
                 known.update((p, self.direct(p)) for p in new)
         one = known.__getitem__
-        self.chunks.update((c, one(own[0]) if len(own) == 1 else b"".join(map(one, own))) for c, own in zip(chunks, parts))
+        known.update([(c, one(own[0]) if len(own) == 1 else b"".join(map(one, own))) for c, own in zip(chunks, parts)])
 
 
 @lru_cache(maxsize=2)
