@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from idweave.functions.binding import bind
 from idweave.functions.text import only_digits
 
 CODE = r"\A[0-9]{10}\z"
@@ -38,32 +39,38 @@ def single_swaps(code: Column) -> Column:
 
 def repair_single(code: Column) -> Column:
     """Struct code, ambiguous: a valid code itself, the only valid single swap, or null; ambiguous if there are several."""
-    found = single_swaps(code)
     usable = code.rlike(CODE)
-    fixed = F.when(usable & is_valid(code), code).when(usable & (F.size(found) == 1), F.element_at(found, 1))
-    return F.struct(fixed.alias("code"), F.coalesce(usable & ~is_valid(code) & (F.size(found) > 1), F.lit(False)).alias("ambiguous"))
+    found = F.when(usable & ~is_valid(code), single_swaps(code)).when(usable, F.array(code))
+
+    def choose(f: Column) -> Column:
+        return F.struct(F.when(F.size(f) == 1, F.element_at(f, 1)).alias("code"), F.coalesce(F.size(f) > 1, F.lit(False)).alias("ambiguous"))
+
+    return bind(found, choose)
 
 
 def repair_multi(code: Column) -> Column:
     """The only valid code within three flips of 0 and 5, where at most four places hold one; else null."""
     places = F.filter(F.sequence(F.lit(1), F.lit(10)), lambda k: F.substring(code, k, F.lit(1)).isin("0", "5"))
-    n = F.size(places)
-    masks = F.filter(F.sequence(F.lit(1), F.shiftleft(F.lit(1), F.greatest(n, F.lit(1))) - 1), lambda m: F.bit_count(m) <= MOST_FLIPS)
 
-    def apply(mask: Column) -> Column:
-        bit = lambda i: F.getbit(mask, i - 1) == 1
-        flip = lambda c, i: F.when(bit(i), F.overlay(c, flipped(F.substring(c, F.element_at(places, i), F.lit(1))), F.element_at(places, i))).otherwise(c)
-        return F.aggregate(F.sequence(F.lit(1), n), code, flip)
+    def search(at: Column) -> Column:
+        n = F.size(at)
+        masks = F.filter(F.sequence(F.lit(1), F.pow(F.lit(2), n).cast("int") - 1), lambda m: F.bit_count(m) <= MOST_FLIPS)
+
+        def apply(mask: Column) -> Column:
+            chosen = F.filter(at, lambda k, i: F.getbit(mask, i) == 1)
+            return F.aggregate(chosen, code, lambda c, k: F.overlay(c, flipped(F.substring(c, k, F.lit(1))), k))
 
-    found = F.array_distinct(F.filter(F.transform(masks, apply), is_valid))
-    return F.when(code.rlike(CODE) & n.between(1, MOST_POSITIONS), F.when(F.size(found) == 1, F.element_at(found, 1)))
+        found = F.array_distinct(F.filter(F.transform(masks, apply), is_valid))
+        return F.when(n.between(1, MOST_POSITIONS), bind(found, lambda f: F.when(F.size(f) == 1, F.element_at(f, 1))))
+
+    return F.when(code.rlike(CODE), bind(places, search))
 
 
 def code_class(code: Column) -> Column:
     """valid, corrected (single swap), repaired (several flips), ambiguous or invalid."""
-    one = repair_single(code)
-    return (
-        F.when(is_valid(code), "valid").when(one["code"].isNotNull(), "corrected").when(repair_multi(code).isNotNull(), "repaired").when(one["ambiguous"], "ambiguous").otherwise("invalid")
+    return bind(
+        repair_single(code),
+        lambda one: F.when(is_valid(code), "valid").when(one["code"].isNotNull(), "corrected").when(repair_multi(code).isNotNull(), "repaired").when(one["ambiguous"], "ambiguous").otherwise("invalid"),
     )
 
 
@@ -72,20 +79,28 @@ def read_code(raw: Column, confidence: Column) -> Column:
 
     The first ten digits in a row are the code; without them the digits there are stay as a partial value.
     """
-    digits = only_digits(raw)
-    code = empty = F.regexp_extract(digits, "[0-9]{10}", 0)
-    one, many = repair_single(code), repair_multi(code)
-    part = F.when(digits != "", digits)
-    cases = [
-        (empty == "", part, F.when(part.isNotNull(), confidence * PARTIAL_FACTOR).otherwise(0.0), False, None),
-        (is_valid(code), code, confidence, True, None),
-        (one["code"].isNotNull(), one["code"], confidence * SINGLE_FACTOR, True, "corrected"),
-        (many.isNotNull(), many, confidence * MULTI_FACTOR, True, "repaired"),
-        (one["ambiguous"], code, confidence, False, "ambiguous"),
-        (F.lit(True), code, confidence, False, None),
-    ]
-    out = None
-    for test, value, c, valid, note in cases:
-        made = F.struct(value.alias("value"), F.round(c if isinstance(c, Column) else F.lit(c), 3).alias("confidence"), F.lit(valid).alias("valid"), F.lit(note).cast("string").alias("note"))
-        out = F.when(test, made) if out is None else out.when(test, made)
-    return out
+
+    def made(value: Column, factor: Column | float, valid: bool, note: str | None) -> Column:
+        return F.struct(value.alias("value"), F.round(confidence * factor, 3).alias("confidence"), F.lit(valid).alias("valid"), F.lit(note).cast("string").alias("note"))
+
+    def repaired(s: Column) -> Column:
+        return (
+            F.when(s["one"]["code"] == s["code"], made(s["code"], 1.0, True, None))
+            .when(s["one"]["code"].isNotNull(), made(s["one"]["code"], SINGLE_FACTOR, True, "corrected"))
+            .when(s["many"].isNotNull(), made(s["many"], MULTI_FACTOR, True, "repaired"))
+            .when(s["one"]["ambiguous"], made(s["code"], 1.0, False, "ambiguous"))
+            .otherwise(made(s["code"], 1.0, False, None))
+        )
+
+    def read(d: Column) -> Column:
+        code = F.regexp_extract(d, "[0-9]{10}", 0)
+        part = F.nullif(d, F.lit(""))
+        weight = F.when(part.isNotNull(), PARTIAL_FACTOR).otherwise(0.0)
+        with_code = bind(code, lambda c: bind(repair_single(c), lambda one: repaired_of(c, one)))
+        return F.when(code == "", made(part, weight, False, None)).otherwise(with_code)
+
+    def repaired_of(c: Column, one: Column) -> Column:
+        many = F.when(one["code"].isNull(), repair_multi(c))
+        return bind(F.struct(c.alias("code"), one.alias("one"), many.alias("many")), repaired)
+
+    return bind(only_digits(raw), read)

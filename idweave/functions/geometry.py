@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from idweave.functions.binding import bind
+
 CARD_RATIO, RATIO_TOLERANCE = 1.586, 0.22
 
 
@@ -29,11 +31,16 @@ def ordered(quad: Column) -> Column:
 
 def aspect_score(quad: Column) -> Column:
     """1 at a card's ratio of sides, falling to 0 at the tolerance; 0 where a side is 1 or less."""
-    p = ordered(quad)
-    far = lambda i, j: F.sqrt(F.pow(F.element_at(p, i)["x"] - F.element_at(p, j)["x"], 2) + F.pow(F.element_at(p, i)["y"] - F.element_at(p, j)["y"], 2))
-    width, height = (far(3, 4) + far(2, 1)) / 2, (far(3, 2) + far(4, 1)) / 2
-    off = F.abs(F.greatest(width, height) / F.least(width, height) - CARD_RATIO)
-    return F.when((width <= 1) | (height <= 1), 0.0).when(off > RATIO_TOLERANCE, 0.0).otherwise(1 - off / RATIO_TOLERANCE)
+
+    def score(s: Column) -> Column:
+        off = F.abs(F.greatest(s["w"], s["h"]) / F.least(s["w"], s["h"]) - CARD_RATIO)
+        return F.when((s["w"] <= 1) | (s["h"] <= 1) | (off > RATIO_TOLERANCE), 0.0).otherwise(1 - off / RATIO_TOLERANCE)
+
+    def sides(p: Column) -> Column:
+        far = lambda i, j: F.sqrt(F.pow(p[i]["x"] - p[j]["x"], 2) + F.pow(p[i]["y"] - p[j]["y"], 2))
+        return bind(F.struct(((far(2, 3) + far(1, 0)) / 2).alias("w"), ((far(2, 1) + far(3, 0)) / 2).alias("h")), score)
+
+    return bind(ordered(quad), sides)
 
 
 def spans_frame(quad: Column, width: Column, height: Column, share: float = 0.88) -> Column:

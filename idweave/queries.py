@@ -1,4 +1,432 @@
-"""Registered queries over the driver's tables, each with its SQL counterpart."""
+"""Registered queries over the driver's tables, each with its SQL counterpart.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The tables hold no cards, so inputs are derived from their columns, alike on both sides (README, "Stand-in inputs").
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from idweave.functions import codes, geometry, jalali, text, vectors
+from idweave.operators import layout, readings, recovery, review
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Codes: ten digits from order keys; some of their zeros and fives are dealt anew, so that repairs have work.
+def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.lpad((F.col("o_orderkey") * 7919).cast("string"), 10, "0")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.translate(code, "123", "050")).otherwise(code).alias("code"))
+
+
+CODED = "coded AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN translate(c, '123', '050') ELSE c END AS code FROM (SELECT o_orderkey, lpad(CAST(o_orderkey * 7919 AS VARCHAR), 10, '0') AS c FROM orders))"
+SWAPS = "list_transform(list_filter(range(1, 11), lambda i: code[i] IN ('0', '5')), lambda i: code[1 : i - 1] || translate(code[i], '05', '50') || code[i + 1 : 10])"
+# Every code that flips some zeros and fives, with how many were flipped; then what is valid among them.
+FLIPS = f"""{CODED},
+places AS (SELECT o_orderkey, code, list_filter(range(1, 11), lambda i: code[i] IN ('0', '5')) AS p FROM coded),
+masks AS (SELECT o_orderkey, code, p, unnest(range(1, 1 << len(p))) AS m FROM places WHERE len(p) > 0),
+variant AS (SELECT o_orderkey, code, len(p) AS places, bit_count(m) AS flips,
+  array_to_string(list_transform(range(1, 11), lambda i: CASE WHEN list_contains(p, i) AND (m >> (list_position(p, i) - 1)) & 1 = 1 THEN translate(code[i], '05', '50') ELSE code[i] END), '') AS v FROM masks),
+checked AS (SELECT *, list_sum(list_transform(range(1, 10), lambda i: CAST(v[i] AS INT) * (11 - i))) % 11 AS r FROM variant),
+good AS (SELECT * FROM checked WHERE replace(v, v[1], '') <> '' AND CAST(v[10] AS INT) = CASE WHEN r < 2 THEN r ELSE 11 - r END),
+own AS (SELECT *, list_sum(list_transform(range(1, 10), lambda i: CAST(code[i] AS INT) * (11 - i))) % 11 AS r FROM coded),
+state AS (
+  SELECT own.o_orderkey, any_value(own.code) AS code,
+    any_value(replace(own.code, own.code[1], '') <> '' AND CAST(own.code[10] AS INT) = CASE WHEN own.r < 2 THEN own.r ELSE 11 - own.r END) AS valid,
+    count(DISTINCT v) FILTER (WHERE flips = 1) AS n_single, min(v) FILTER (WHERE flips = 1) AS single,
+    count(DISTINCT v) FILTER (WHERE flips <= 3 AND places <= 4) AS n_multi, min(v) FILTER (WHERE flips <= 3 AND places <= 4) AS multi
+  FROM own LEFT JOIN good ON good.o_orderkey = own.o_orderkey GROUP BY own.o_orderkey)"""
+
+
+@query(f"WITH {FLIPS} SELECT o_orderkey, code, valid FROM state")
+def code_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded(spark, sf_dir).select("o_orderkey", "code", codes.is_valid(F.col("code")).alias("valid"))
+
+
+@query(f"WITH {FLIPS} SELECT o_orderkey, CASE WHEN valid THEN code WHEN n_single = 1 THEN single END AS fixed, NOT valid AND n_single > 1 AS ambiguous FROM state")
+def code_repair_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = coded(spark, sf_dir).select("o_orderkey", codes.repair_single(F.col("code")).alias("r"))
+    return own.select("o_orderkey", F.col("r.code").alias("fixed"), "r.ambiguous")
+
+
+@query(f"WITH {FLIPS} SELECT o_orderkey, CASE WHEN n_multi = 1 THEN multi END AS fixed FROM state")
+def code_repair_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded(spark, sf_dir).select("o_orderkey", codes.repair_multi(F.col("code")).alias("fixed"))
+
+
+CLASS = "CASE WHEN valid THEN 'valid' WHEN n_single = 1 THEN 'corrected' WHEN n_multi = 1 THEN 'repaired' WHEN n_single > 1 THEN 'ambiguous' ELSE 'invalid' END"
+
+
+@query(f"WITH {FLIPS} SELECT {CLASS} AS class, count(*) AS n FROM state GROUP BY 1")
+def code_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded(spark, sf_dir).groupBy(codes.code_class(F.col("code")).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {FLIPS} SELECT o_orderkey, CASE WHEN valid THEN code WHEN n_single = 1 THEN single WHEN n_multi = 1 THEN multi ELSE code END AS value,
+round(0.8 * CASE WHEN valid THEN 1 WHEN n_single = 1 THEN 0.9 WHEN n_multi = 1 THEN 0.85 ELSE 1 END, 3) AS confidence FROM state""")
+def code_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = coded(spark, sf_dir).select("o_orderkey", codes.read_code(F.concat(F.lit("ID "), F.col("code")), F.lit(0.8)).alias("r"))
+    return own.select("o_orderkey", "r.value", "r.confidence")
+
+
+# Texts.
+MARKED = "translate(CAST(o_orderkey AS VARCHAR), '0123456789', '۰۱۲۳۴٥٦٧٨٩') || ' / ' || o_orderpriority"
+TO_LATIN = "translate({0}, '۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', '01234567890123456789')"
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr(MARKED.replace("VARCHAR", "STRING")).alias("t"))
+
+
+@query(f"SELECT o_orderkey, {TO_LATIN.format(MARKED)} AS t FROM orders")
+def digits_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marked(spark, sf_dir).select("o_orderkey", text.normalize_digits(F.col("t")).alias("t"))
+
+
+@query(f"SELECT o_orderkey, regexp_replace({TO_LATIN.format(MARKED)}, '[^0-9]', '', 'g') AS t FROM orders")
+def digits_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marked(spark, sf_dir).select("o_orderkey", text.only_digits(F.col("t")).alias("t"))
+
+
+@query("""SELECT c_custkey, trim(regexp_replace(translate(c_name || ' (كي); «' || c_mktsegment || '»', 'يكة‌‎‏،؛.,;:()!؟?"''«»_/\\-', 'یکه' || repeat(' ', 21)), '\\s+', ' ', 'g')) AS t FROM customer""")
+def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.concat("c_name", F.lit(" (كي); «"), "c_mktsegment", F.lit("»"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.normalize_text(own).alias("t"))
+
+
+@query("""SELECT c_custkey, nullif(trim(regexp_replace(regexp_replace(replace(replace(c_name, '#', ' '), '-', ' '), '[0-9]', '', 'g'), '\\s+', ' ', 'g')), '') AS name FROM customer""")
+def name_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", text.clean_name(F.replace("c_name", F.lit("#"), F.lit("_"))).alias("name"))
+
+
+NAMES = "CASE p_partkey % 4 WHEN 0 THEN 'نام ' || 'محمد' WHEN 1 THEN 'ایرانی' WHEN 2 THEN 'علی رضا پ' ELSE p_name END"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, list_filter(string_split({NAMES}, ' '), lambda x: x <> '' AND NOT regexp_matches(x, '[نتد]ام|نام|ایران')) AS w FROM part)
+SELECT p_partkey, nullif(array_to_string(CASE WHEN len(w) > 1 THEN list_filter(w, lambda x: length(x) > 2) ELSE w END, ' '), '') AS name FROM t""")
+def name_token_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", text.name_tokens(F.expr(NAMES)).alias("name"))
+
+
+# Dates.
+DATED = """dated AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN y || '/' || m || '/' || d WHEN 1 THEN y || '-' || lpad(m, 2, '0') || '-' || d
+  WHEN 2 THEN y || lpad(m, 2, '0') || lpad(d, 2, '0') WHEN 3 THEN d || '.' || m || '.' || y ELSE 'تا ' || y || ' , ' || m || ' , ' || d END AS raw
+  FROM (SELECT o_orderkey, CAST(1370 + o_orderkey % 60 AS {0}) AS y, CAST(1 + o_orderkey % 13 AS {0}) AS m, CAST(1 + o_orderkey % 32 AS {0}) AS d FROM orders))"""
+
+
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return spark.sql(f"WITH {DATED.format('STRING')} SELECT * FROM dated")
+
+
+PARSED = f"""{DATED.format('VARCHAR')},
+part AS (SELECT o_orderkey, raw, regexp_extract(raw, '(1[234][0-9][0-9])[^0-9]{{1,3}}([0-9]{{1,2}})[^0-9]{{1,3}}([0-9]{{1,2}})', ['y', 'm', 'd']) AS s, regexp_replace(raw, '[^0-9]', '', 'g') AS g, length(g) = 6 AND g[1] IN ('3', '4') AS short FROM dated),
+ymd AS (SELECT o_orderkey, raw, CASE WHEN s.y <> '' THEN CAST(s.y AS INT) WHEN length(g) = 8 THEN CAST(g[1:4] AS INT) WHEN short THEN CAST('1' || g[1:3] AS INT) END AS y, CASE WHEN s.y <> '' THEN CAST(s.m AS INT) WHEN length(g) = 8 THEN CAST(g[5:6] AS INT) WHEN short THEN CAST(g[4] AS INT) END AS m,
+  CASE WHEN s.y <> '' THEN CAST(s.d AS INT) WHEN length(g) = 8 THEN CAST(g[7:8] AS INT) WHEN short THEN CAST(g[5] AS INT) END AS d, CASE WHEN s.y <> '' THEN 0.85 ELSE 0.55 END AS c FROM part),
+sound AS (SELECT *, y - 979 AS k, d <= CASE WHEN m <= 6 THEN 31 WHEN m <= 11 OR y % 33 IN (1, 5, 9, 13, 17, 22, 26, 30) THEN 30 ELSE 29 END AS calendar FROM ymd WHERE m BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31),
+parsed AS (SELECT o_orderkey, printf('%04d/%02d/%02d', y, m, d) AS jalali, CASE WHEN calendar THEN DATE '1600-01-01' + CAST(k * 365 + (k // 33) * 8 + (k % 33 + 3) // 4 + CASE WHEN m <= 7 THEN (m - 1) * 31 ELSE (m - 7) * 30 + 186 END + d + 78 AS INT) END AS iso,
+  round(c * CASE WHEN y BETWEEN 1280 AND 1450 THEN 1 ELSE 0.5 END * CASE WHEN calendar THEN 1 ELSE 0.4 END, 6) AS confidence FROM sound)"""
+
+
+@query(f"WITH {PARSED} SELECT o_orderkey, jalali, strftime(iso, '%Y-%m-%d') AS iso, coalesce(confidence, 0) AS confidence FROM orders LEFT JOIN parsed USING (o_orderkey)")
+def jalali_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = dated(spark, sf_dir).select("o_orderkey", jalali.parse(F.col("raw")).alias("p"))
+    return own.select("o_orderkey", "p.jalali", F.date_format("p.iso", "yyyy-MM-dd").alias("iso"), F.round("p.confidence", 6).alias("confidence"))
+
+
+@query("""SELECT o_orderkey, strftime(DATE '1600-01-01' + CAST(k * 365 + (k // 33) * 8 + (k % 33 + 3) // 4 + (o_orderkey % 12) * 30 + least(o_orderkey % 12, 6) + o_orderkey % 29 + 79 AS INT), '%Y-%m-%d') AS iso
+FROM (SELECT o_orderkey, 1300 + o_orderkey % 150 - 979 AS k FROM orders)""")
+def jalali_to_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y, m, d = (1300 + F.col("o_orderkey") % 150), (1 + F.col("o_orderkey") % 12), (1 + F.col("o_orderkey") % 29)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(jalali.to_gregorian(y, m, d), "yyyy-MM-dd").alias("iso"))
+
+
+@query(f"""SELECT o_orderkey, array_to_string(list_sort([code] || {SWAPS}), ',') AS variants FROM (SELECT o_orderkey, lpad(CAST(o_orderkey * 7919 AS VARCHAR), 10, '0') AS code FROM orders)""")
+def date_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.lpad((F.col("o_orderkey") * 7919).cast("string"), 10, "0")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.array_sort(jalali.swap_variants(code)), ",").alias("variants"))
+
+
+def variants_sql(c: str) -> str:
+    return f"list_transform([0] || list_filter(range(1, length({c}) + 1), lambda i: {c}[i] IN ('0', '5')), lambda i: CASE WHEN i = 0 THEN {c} ELSE {c}[1 : i - 1] || translate({c}[i], '05', '50') || {c}[i + 1 :] END)"
+
+
+@query(f"""WITH {PARSED},
+three AS (SELECT o_orderkey, raw, list_filter(regexp_split_to_array(raw, '[^0-9]+'), lambda x: x <> '') AS p, regexp_extract(regexp_replace(raw, '[^0-9]', '', 'g'), '(1[234][0-9][0-9])([0-9][0-9])([0-9][0-9])', ['y', 'm', 'd']) AS g FROM dated),
+o AS (SELECT o_orderkey, CASE WHEN len(p) = 3 AND length(p[1]) = 4 THEN p[1] WHEN len(p) = 3 AND length(p[3]) = 4 THEN p[3] ELSE g.y END AS y, CASE WHEN len(p) = 3 AND (length(p[1]) = 4 OR length(p[3]) = 4) THEN p[2] ELSE g.m END AS m,
+  CASE WHEN len(p) = 3 AND length(p[1]) = 4 THEN p[3] WHEN len(p) = 3 AND length(p[3]) = 4 THEN p[1] ELSE g.d END AS d FROM three),
+ys AS (SELECT o_orderkey, unnest({variants_sql('y')}) AS y FROM o), ms AS (SELECT o_orderkey, unnest({variants_sql('m')}) AS m FROM o), ds AS (SELECT o_orderkey, unnest({variants_sql('d')}) AS d FROM o),
+every AS (SELECT DISTINCT o_orderkey, y || '/' || m || '/' || d AS v FROM ys JOIN ms USING (o_orderkey) JOIN ds USING (o_orderkey)
+  WHERE TRY_CAST(y AS INT) BETWEEN 1250 AND 1420 AND TRY_CAST(m AS INT) BETWEEN 1 AND 12 AND TRY_CAST(d AS INT) BETWEEN 1 AND 31),
+found AS (SELECT o_orderkey, count(*) AS n, min(v) AS one, string_agg(v, ',' ORDER BY v) AS all_ FROM every GROUP BY 1),
+both_ AS (SELECT o_orderkey, jalali, confidence, CAST(jalali[1:4] AS INT) BETWEEN 1250 AND 1420 AS fine, n, one, all_ FROM orders LEFT JOIN parsed USING (o_orderkey) LEFT JOIN found USING (o_orderkey))
+SELECT o_orderkey, CASE WHEN fine THEN jalali WHEN n = 1 THEN one END AS jalali, CASE WHEN fine THEN confidence WHEN n = 1 THEN 0.6 ELSE 0 END AS confidence,
+  CASE WHEN coalesce(fine, false) OR coalesce(n, 0) <= 1 THEN '' ELSE all_ END AS candidates FROM both_""")
+def date_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = dated(spark, sf_dir).select("o_orderkey", jalali.read_date(F.col("raw")).alias("r"))
+    return own.select("o_orderkey", "r.jalali", F.round("r.confidence", 6).alias("confidence"), F.array_join("r.candidates", ",").alias("candidates"))
+
+
+# Layout.
+@query("""WITH card AS (SELECT o_orderkey, 900 + o_orderkey % 300 AS w, 560 + o_orderkey % 190 AS h FROM orders),
+region(field, x1, y1, x2, y2) AS (VALUES ('national_id', .367, .236, .822, .337), ('first_name', .369, .343, .823, .442), ('last_name', .370, .447, .824, .546), ('birth_date', .371, .552, .825, .650), ('father_name', .371, .654, .826, .739), ('expiry_date', .371, .745, .827, .829)),
+px AS (SELECT o_orderkey, field, w, h, CAST(trunc(CAST(x1 AS DOUBLE) * w) AS BIGINT) AS a, CAST(trunc(CAST(y1 AS DOUBLE) * h) AS BIGINT) AS b, CAST(trunc(CAST(x2 AS DOUBLE) * w) AS BIGINT) AS c, CAST(trunc(CAST(y2 AS DOUBLE) * h) AS BIGINT) AS d FROM card, region),
+pad AS (SELECT *, greatest(2, CAST(trunc((c - a) * 0.02::DOUBLE) AS BIGINT)) AS ax, greatest(1, CAST(trunc((d - b) * 0.10::DOUBLE) AS BIGINT)) AS ay FROM px)
+SELECT o_orderkey, field, greatest(0, a - ax) AS x1, greatest(0, b - ay) AS y1, least(w, c + ax) AS x2, least(h, d + ay) AS y2 FROM pad""")
+def roi_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = table(spark, sf_dir, "orders").select("o_orderkey", (900 + F.col("o_orderkey") % 300).alias("width"), (560 + F.col("o_orderkey") % 190).alias("height"))
+    boxes = layout.exploded(cards, layout.regions(spark))
+    return boxes.select("o_orderkey", "field", *[F.col(f"box.{c}").cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+# Fragments: turns of a conversation as pieces of one crop.
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations").where("conv_id is not null")
+    return own.select("conv_id", F.col("turn").alias("cx"), "turn", F.lit(0).alias("x"), F.col("role").alias("ord"), F.substring("text", 1, 12).alias("text"), (F.length("text") % 10 / 10).alias("confidence"))
+
+
+FRAGMENTS = "SELECT conv_id, coalesce(string_agg(nullif(trim(substr(text, 1, 12), ' '), ''), '{0}' ORDER BY turn {1}, role, trim(substr(text, 1, 12), ' ')), '') AS text, round(avg(length(text) % 10 / 10.0), 6) AS confidence FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id"
+
+
+@query(FRAGMENTS.format("", "ASC"))
+def fragments_ltr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readings.joined_fragments(fragments(spark, sf_dir), ["conv_id"]).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(FRAGMENTS.format(" ", "DESC"))
+def fragments_rtl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readings.joined_fragments(fragments(spark, sf_dir), ["conv_id"], True, " ").withColumn("confidence", F.round("confidence", 6))
+
+
+# Readings: two engines on events.
+ENGINES = """CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(13700101 + event_id % 5000 AS {0}) END AS o, CAST(event_id % 83 AS DOUBLE) / 83 AS oc,
+CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 3 = 0 THEN CAST(13700101 + event_id % 5000 AS {0}) ELSE lpad(CAST(event_id * 7919 AS {0}), 10, '0') END AS t, CAST(event_id % 97 AS DOUBLE) / 97 AS tc"""
+
+
+def engines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "events").createOrReplaceTempView("events")
+    return spark.sql(f"SELECT event_id, {ENGINES.format('STRING')} FROM events")
+
+
+ENGINE_ROWS = f"e AS (SELECT event_id, {ENGINES.format('VARCHAR')} FROM events)"
+DATE8 = "coalesce(length({0}) = 8 AND TRY_CAST({0}[1:4] AS INT) BETWEEN 1250 AND 1420 AND TRY_CAST({0}[5:6] AS INT) BETWEEN 1 AND 12 AND TRY_CAST({0}[7:8] AS INT) BETWEEN 1 AND 31, false)"
+T_VALID = "(length(t) = 10 AND replace(t, t[1], '') <> '' AND TRY_CAST(t[10] AS INT) = CASE WHEN r < 2 THEN r ELSE 11 - r END)"
+
+
+@query(f"""WITH {ENGINE_ROWS}, s AS (SELECT *, CASE WHEN length(t) = 10 THEN list_sum(list_transform(range(1, 10), lambda i: TRY_CAST(t[i] AS INT) * (11 - i))) % 11 END AS r FROM e),
+k AS (SELECT *, CASE WHEN o IS NOT NULL AND t = o THEN 'agreed' WHEN coalesce({T_VALID}, false) THEN 'valid_template' WHEN o IS NOT NULL THEN 'ocr' WHEN t IS NOT NULL THEN 'template' ELSE 'none' END AS rule FROM s)
+SELECT event_id, rule, CASE WHEN rule = 'ocr' THEN o WHEN rule <> 'none' THEN t END AS value, round(CASE rule WHEN 'agreed' THEN least(1, greatest(oc, tc) + 0.2) WHEN 'valid_template' THEN greatest(tc, 0.9) WHEN 'ocr' THEN oc WHEN 'template' THEN tc ELSE 0 END, 6) AS confidence FROM k""")
+def reading_arbitrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = engines(spark, sf_dir).select("event_id", readings.weighed_digits(F.col("o"), F.col("oc"), F.col("t"), F.col("tc")).alias("w"))
+    return own.select("event_id", "w.rule", "w.value", F.round("w.confidence", 6).alias("confidence"))
+
+
+@query(f"""WITH {ENGINE_ROWS}, k AS (SELECT *, CASE WHEN o IS NOT NULL AND t = o THEN 'agreed' WHEN {DATE8.format('t')} AND NOT {DATE8.format('o')} THEN 'template_date' WHEN {DATE8.format('o')} AND NOT {DATE8.format('t')} THEN 'ocr_date'
+  WHEN event_id % 2 = 0 THEN 'again' WHEN o IS NOT NULL THEN 'ocr' WHEN t IS NOT NULL THEN 'template' ELSE 'none' END AS rule FROM e)
+SELECT event_id, rule, CASE WHEN rule = 'again' THEN '1370/01/01' WHEN rule IN ('ocr', 'ocr_date') THEN o WHEN rule <> 'none' THEN t END AS value FROM k""")
+def reading_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    again = F.when(F.col("event_id") % 2 == 0, "1370/01/01")
+    own = engines(spark, sf_dir).select("event_id", readings.weighed_dates(F.col("o"), F.col("oc"), F.col("t"), F.col("tc"), again, F.lit(0.5)).alias("w"))
+    return own.select("event_id", "w.rule", "w.value")
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr("user_id", "event_id as attempt_no", "event_type as raw", "cast(event_id * 31 % 101 as double) / 101 as conf")
+
+
+@query("""WITH a AS (SELECT user_id, event_id, event_type AS raw, CAST(event_id * 31 % 101 AS DOUBLE) / 101 AS conf FROM events WHERE event_type <> ''),
+b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY conf DESC, event_id) = 1)
+SELECT b.user_id, b.raw, round(b.conf, 6) AS conf, EXISTS (SELECT 1 FROM a WHERE a.user_id = b.user_id AND a.raw <> b.raw AND a.conf > 0.5) AS conflict FROM b WHERE user_id IS NOT NULL""")
+def reading_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readings.best_reading(attempts(spark, sf_dir), ["user_id"]).where("user_id is not null").withColumn("conf", F.round("conf", 6))
+
+
+# Lines of a capture: an order's items; two ship flags stand for labels.
+LINES = """l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS line_no, CASE WHEN l_returnflag = 'R' THEN 'تاریخ تولد:' WHEN l_returnflag = 'A' THEN 'نام  پدر' ELSE CAST(l_partkey AS {0}) END AS text,
+l_discount * 5 AS confidence, l_quantity * 20 AS cx, l_extendedprice / 400 AS cy, l_tax * 400 AS h FROM lineitem)"""
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
+    return spark.sql(f"WITH {LINES.format('STRING')} SELECT * FROM l")
+
+
+LABELS = f"{LINES.format('VARCHAR')}, m AS (SELECT *, CASE WHEN text = 'تاریخ تولد:' THEN 'birth_date' WHEN text = 'نام  پدر' THEN 'father_name' END AS field FROM l), label AS (SELECT * FROM m WHERE field IS NOT NULL QUALIFY row_number() OVER (PARTITION BY l_orderkey, field ORDER BY confidence DESC, line_no) = 1)"
+
+
+@query(f"WITH {LABELS} SELECT l_orderkey, field, line_no::BIGINT AS line_no FROM label")
+def label_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recovery.label_lines(lines(spark, sf_dir), layout.label_patterns(spark), ["l_orderkey"])
+    return found.select("l_orderkey", "field", F.col("line_no").cast("long").alias("line_no"))
+
+
+BAND = f"""{LABELS}, pair AS (SELECT b.l_orderkey, b.field, b.line_no, v.line_no AS v_line, v.text, v.confidence, v.confidence - 0.3 * abs(v.cy - b.cy) / greatest(2.5 * b.h, 45.0) + CASE WHEN v.cx < b.cx THEN 0.15 ELSE 0 END AS score
+FROM label b JOIN m v ON v.l_orderkey = b.l_orderkey AND v.line_no <> b.line_no AND abs(v.cy - b.cy) <= greatest(2.5 * b.h, 45.0) WHERE v.field IS NULL)"""
+
+
+@query(f"WITH {BAND} SELECT l_orderkey, field, v_line::BIGINT AS v_line, round(score, 4) AS score FROM pair")
+def value_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = lines(spark, sf_dir)
+    labels = recovery.label_lines(own, layout.label_patterns(spark), ["l_orderkey"])
+    values = own.where("not text rlike '[^0-9]'")
+    return recovery.value_pairs(labels, values, ["l_orderkey"]).select("l_orderkey", "field", F.col("v_line").cast("long").alias("v_line"), F.round("score", 4).alias("score"))
+
+
+@query(f"""WITH {BAND} SELECT l_orderkey, field, text, round(confidence * 0.85, 6) AS confidence FROM pair WHERE CASE WHEN field = 'birth_date' THEN length(text) >= 4 ELSE length(text) <= 2 END
+QUALIFY row_number() OVER (PARTITION BY l_orderkey, field ORDER BY score DESC, v_line) = 1""")
+def recover_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = lines(spark, sf_dir)
+    missing = own.select("l_orderkey").distinct().withColumn("field", F.explode(F.array(*[F.lit(f) for f in layout.REQUIRED])))
+    return recovery.recovered(own, layout.label_patterns(spark), missing, ["l_orderkey"]).withColumn("confidence", F.round("confidence", 6))
+
+
+# Vectors: the first ten embeddings stand for templates.
+@query("""WITH t AS (SELECT vec_id AS ord, label AS t_label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 10), s AS (SELECT e.vec_id, t.ord, t.t_label, list_dot_product(e.embedding::DOUBLE[], t.v) AS p, list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) + list_dot_product(t.v, t.v) AS q FROM embeddings e, t)
+SELECT vec_id, t_label AS label, round(p / (q - p), 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY p / (q - p) DESC, ord) = 1""")
+def soft_iou_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "embeddings")
+    templates = own.where("vec_id < 10").select("label", F.col("vec_id").alias("ord"), F.col("embedding").alias("vec"))
+    best = readings.best_template(own.select("vec_id", F.col("embedding").alias("vec")), templates, vectors.soft_iou, ["vec_id"])
+    return best.withColumn("score", F.round("score", 6))
+
+
+BLOBS = "l_orderkey, l_linenumber, l_quantity AS h, l_extendedprice / 1000 AS cy, l_discount * 10 AS score"
+
+
+def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(*BLOBS.split(", "))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, round(score, 6) AS score, score >= greatest(0.55, max(score) OVER (PARTITION BY l_orderkey) - 0.35) AS kept FROM (SELECT {BLOBS} FROM lineitem)")
+def score_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readings.kept_scores(blobs(spark, sf_dir), ["l_orderkey"]).select("l_orderkey", "l_linenumber", F.round("score", 6).alias("score"), "kept")
+
+
+@query(f"""WITH b AS (SELECT {BLOBS} FROM lineitem), g AS (SELECT l_orderkey, list_sort(list(h)) AS hs FROM b GROUP BY 1),
+t AS (SELECT b.* FROM b JOIN g USING (l_orderkey) WHERE h >= 0.5 * hs[len(hs) // 2 + 1] AND h <= 2.2 * hs[len(hs) // 2 + 1]), r AS (SELECT l_orderkey, list_sort(list(cy)) AS cs, list_sort(list(h)) AS hs FROM t GROUP BY 1),
+n AS (SELECT t.*, abs(cy - cs[len(cs) // 2 + 1]) <= 0.7 * hs[len(hs) // 2 + 1] AS near FROM t JOIN r USING (l_orderkey)) SELECT l_orderkey, l_linenumber, near OR NOT bool_or(near) OVER (PARTITION BY l_orderkey) AS kept FROM n""")
+def median_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readings.median_band(blobs(spark, sf_dir), ["l_orderkey"]).select("l_orderkey", "l_linenumber", "kept")
+
+
+# Quadrilaterals from line items.
+QUAD = "l_quantity * 4 AS x, l_partkey % 100 AS y, 300 + l_partkey % 160 AS w, 180 + l_suppkey % 110 AS h"
+
+
+def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_discount", *QUAD.split(", "))
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x, y, w, h = (F.col(c) for c in "xywh")
+    return own.withColumn("quad", F.array(point(x + w, y + h), point(x, y), point(x + w, y + 3), point(x + 2, y + h)))
+
+
+CORNERS = f"q AS (SELECT l_orderkey, l_linenumber, l_discount, x, y, w, h FROM (SELECT l_orderkey, l_linenumber, l_discount, {QUAD} FROM lineitem))"
+SCORED = f"{CORNERS}, s AS (SELECT *, (w - 2 + sqrt(w * w + 9)) / 2.0 AS a, (h - 3 + sqrt(4 + h * h)) / 2.0 AS b FROM q), z AS (SELECT *, abs(greatest(a, b) / least(a, b) - 1.586) AS off FROM s), scored AS (SELECT *, CASE WHEN off > 0.22 THEN 0 ELSE 1 - off / 0.22 END AS aspect FROM z)"
+
+
+@query(f"WITH {SCORED} SELECT l_orderkey, l_linenumber, round(aspect, 6) AS aspect FROM scored")
+def quad_aspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quads(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(geometry.aspect_score(F.col("quad")), 6).alias("aspect"))
+
+
+@query(f"WITH {CORNERS} SELECT l_orderkey, l_linenumber, x::DOUBLE AS left_x, y::DOUBLE AS top_y, (x + w)::DOUBLE AS right_x, (y + h)::DOUBLE AS bottom_y FROM q")
+def quad_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = quads(spark, sf_dir).withColumn("p", geometry.ordered(F.col("quad")))
+    return p.select("l_orderkey", "l_linenumber", F.col("p")[0]["x"].alias("left_x"), F.col("p")[0]["y"].alias("top_y"), F.col("p")[2]["x"].alias("right_x"), F.col("p")[2]["y"].alias("bottom_y"))
+
+
+@query(f"""WITH {CORNERS} SELECT l_orderkey, l_linenumber, x + w > 481 OR y + h > 301 OR (w / 480.0 >= 0.88 AND h / 300.0 >= 0.88) AS spans, (x <= 3 AND y <= 3) OR (x + w >= 476 AND y + 3 <= 3) OR (x + w >= 476 AND y + h >= 296) OR (x + 2 <= 3 AND y + h >= 296) OR (x + w >= 476 AND y + 3 >= 296) AS corner,
+x <= 6 OR y <= 6 OR x + w >= 473 OR y + h >= 293 AS edge FROM q""")
+def frame_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, h, q = F.lit(480), F.lit(300), F.col("quad")
+    return quads(spark, sf_dir).select("l_orderkey", "l_linenumber", geometry.spans_frame(q, w, h).alias("spans"), geometry.touches_corner(q, w, h).alias("corner"), geometry.touches_edge(q, w, h).alias("edge"))
+
+
+@query(f"""WITH {SCORED}, c AS (SELECT *, l_linenumber % 4 AS detector, aspect * (1 - 0.1 * (l_linenumber % 4)) AS score FROM scored)
+SELECT l_orderkey, round(score, 6) AS score, detector::BIGINT AS detector, x::DOUBLE AS left_x FROM c WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, detector, l_linenumber) = 1""")
+def candidate_union_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = quads(spark, sf_dir).select("l_orderkey", F.col("l_linenumber").alias("seq"), "quad", (geometry.aspect_score(F.col("quad")) * (1 - 0.1 * (F.col("l_linenumber") % 4))).alias("score"))
+    best = review.best_candidate([own.where(F.col("seq") % 4 == k) for k in range(4)], ["l_orderkey"])
+    return best.select("l_orderkey", F.round("score", 6).alias("score"), F.col("detector").cast("long").alias("detector"), geometry.ordered(F.col("quad"))[0]["x"].alias("left_x"))
+
+
+@query("""WITH f AS (SELECT o_orderkey, 400 + o_orderkey % 900 AS w, 300 + o_orderkey % 700 AS h FROM orders), c AS (SELECT *, CASE WHEN w / h >= 1.586 THEN CAST(trunc(h * 1.586::DOUBLE) AS BIGINT) ELSE w END AS w0, CASE WHEN w / h >= 1.586 THEN h ELSE CAST(trunc(w / 1.586::DOUBLE) AS BIGINT) END AS h0 FROM f),
+d AS (SELECT *, greatest(20, CAST(trunc(w0 * (1 - (1 - 0.96::DOUBLE))) AS BIGINT)) AS cw, greatest(20, CAST(trunc(h0 * (1 - (1 - 0.96::DOUBLE))) AS BIGINT)) AS ch FROM c)
+SELECT o_orderkey, (w - cw) // 2 AS x1, (h - ch) // 2 AS y1, least(w, (w - cw) // 2 + cw) AS x2, least(h, (h - ch) // 2 + ch) AS y2,
+  greatest(0, CAST(trunc(50 - 40 * 0.35::DOUBLE) AS BIGINT)) AS face_x1, least(w, CAST(trunc(50 + 40 * (1 + 0.35::DOUBLE)) AS BIGINT)) AS face_x2 FROM d""")
+def crop_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "orders").select("o_orderkey", (400 + F.col("o_orderkey") % 900).alias("w"), (300 + F.col("o_orderkey") % 700).alias("h"))
+    own = own.withColumn("c", geometry.center_box(F.col("w"), F.col("h"))).withColumn("f", geometry.padded_box(F.lit(50), F.lit(60), F.lit(40), F.lit(40), F.col("w"), F.col("h")))
+    return own.select("o_orderkey", *[F.col(f"c.{k}").cast("long").alias(k) for k in ("x1", "y1", "x2", "y2")], F.col("f.x1").cast("long").alias("face_x1"), F.col("f.x2").cast("long").alias("face_x2"))
+
+
+# Quality and review.
+@query("""SELECT event_id, b < 80 AS is_blurry, v < 70 AS is_dark, v > 210 AS is_overexposed, least(w, h) >= 480 AS resolution_ok, (b < 80)::INT + (v < 70)::INT + (v > 210)::INT + (least(w, h) < 480)::INT AS n_issues
+FROM (SELECT event_id, event_id % 160 AS b, event_id % 256 AS v, 300 + event_id % 500 AS w, 900 - event_id % 500 AS h FROM events)""")
+def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    own = table(spark, sf_dir, "events").select("event_id", review.quality(300 + k % 500, 900 - k % 500, (k % 160).cast("double"), (k % 256).cast("double")).alias("q"))
+    return own.select("event_id", "q.is_blurry", "q.is_dark", "q.is_overexposed", "q.resolution_ok", F.size(review.issues(F.col("q"))).alias("n_issues"))
+
+
+FIELDS = """c_custkey, lpad(CAST(c_custkey * 7919 AS {0}), 10, '0') AS national_id, c_name AS first_name, nullif(c_mktsegment, 'BUILDING') AS last_name, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'x' END AS father_name, CAST(c_nationkey AS {0}) AS birth_date, CASE WHEN c_acctbal < 0 THEN NULL ELSE 'y' END AS expiry_date"""
+
+
+def field_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    wide = spark.sql(f"SELECT {FIELDS.format('STRING')} FROM customer")
+    entries = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), F.lit(0.75).alias("confidence")) for f in layout.REQUIRED])).alias("e")
+    return wide.select("c_custkey", entries).select("c_custkey", "e.*")
+
+
+MISSING = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN coalesce({f}, '') = '' THEN '{f}' END" for f in review.MISSING_ORDER) + "], lambda x: x IS NOT NULL), ',')"
+C_ROWS = f"f AS (SELECT {FIELDS.format('VARCHAR')} FROM customer), r AS (SELECT *, list_sum(list_transform(range(1, 10), lambda i: CAST(national_id[i] AS INT) * (11 - i))) % 11 AS r, {MISSING} AS missing FROM f), v AS (SELECT *, replace(national_id, national_id[1], '') <> '' AND CAST(national_id[10] AS INT) = CASE WHEN r < 2 THEN r ELSE 11 - r END AS valid FROM r)"
+
+
+@query(f"WITH {C_ROWS} SELECT c_custkey, missing FROM v")
+def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.record(field_rows(spark, sf_dir), ["c_custkey"]).select("c_custkey", F.array_join("missing_fields", ",").alias("missing"))
+
+
+@query(f"WITH {C_ROWS} SELECT c_custkey, valid, missing <> '' OR NOT valid AS needs_review FROM v")
+def review_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.record(field_rows(spark, sf_dir), ["c_custkey"]).select("c_custkey", F.col("validation.national_id").alias("valid"), "needs_review")
+
+
+@query(f"WITH {C_ROWS} SELECT c_custkey, national_id AS code, last_name AS family, missing <> '' OR NOT valid AS flag, 0.75 AS confidence FROM v")
+def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = review.answers(review.record(field_rows(spark, sf_dir), ["c_custkey"]), ["c_custkey"])
+    at = lambda p: F.get_json_object("answer", p)
+    return made.select("c_custkey", at("$.data.national_id").alias("code"), at("$.data.last_name").alias("family"), at("$.needs_review").cast("boolean").alias("flag"), at("$.confidence.birth_date").cast("double").alias("confidence"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_mktsegment <> 'BUILDING' THEN c_mktsegment ELSE c_name END AS c_name, c_custkey % 3 = 0 AS approved FROM customer")
+def approval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    fixes = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select("c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", " ").otherwise(F.col("c_mktsegment")).alias("c_name"))
+    return review.approved(own, fixes, ["c_custkey"], ["c_name"])
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from idweave.streaming.frames import counts_by_window
+
+    return counts_by_window(table(spark, sf_dir, "events"))
