@@ -282,12 +282,12 @@ BAND = f"""{LABELS}, pair AS (SELECT b.l_orderkey, b.field, b.line_no, v.line_no
 FROM label b JOIN m v ON v.l_orderkey = b.l_orderkey AND v.line_no <> b.line_no AND abs(v.cy - b.cy) <= greatest(2.5 * b.h, 45.0) WHERE v.field IS NULL)"""
 
 
-@query(f"WITH {BAND} SELECT l_orderkey, field, v_line::BIGINT AS v_line, round(score, 4) AS score FROM pair")
+@query(f"WITH {BAND} SELECT l_orderkey, field, v_line::BIGINT AS v_line, coalesce(nullif(round(score, 4), 0), 0) AS score FROM pair")
 def value_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = lines(spark, sf_dir)
     labels = recovery.label_lines(own, layout.label_patterns(spark), ["l_orderkey"])
     values = own.where("not text rlike '[^0-9]'")
-    return recovery.value_pairs(labels, values, ["l_orderkey"]).select("l_orderkey", "field", F.col("v_line").cast("long").alias("v_line"), F.round("score", 4).alias("score"))
+    return recovery.value_pairs(labels, values, ["l_orderkey"]).select("l_orderkey", "field", F.col("v_line").cast("long").alias("v_line"), F.coalesce(F.nullif(F.round("score", 4), F.lit(0.0)), F.lit(0.0)).alias("score"))
 
 
 @query(f"""WITH {BAND} SELECT l_orderkey, field, text, round(confidence * 0.85, 6) AS confidence FROM pair WHERE CASE WHEN field = 'birth_date' THEN length(text) >= 4 ELSE length(text) <= 2 END
