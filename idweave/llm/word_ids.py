@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
@@ -49,11 +50,10 @@ class WordIds:
         if not plain(text):
             return self.direct(text)
         own, known = text.split(), self.known
-        out = list(map(known.get, own))
-        if None in out:
-            self._learn({c for c, ids in zip(own, out) if ids is None})
-            out = map(known.__getitem__, own)
-        ids = b"".join(out)
+        new = set(own).difference(known)
+        if new:
+            self._learn(new)
+        ids = b"".join(map(known.__getitem__, own))
         if len(known) > REMEMBERED:
             known.clear()
         return ids
@@ -62,8 +62,13 @@ class WordIds:
         known, parts = self.known, []
         for c in chunks:  # mostly a word, or a word and one mark
             low = c.lower()
-            parts.append((low,) if low.isalpha() else (low[:-1], low[-1]) if low[:-1].isalpha() and low[-1] in MARKS else PIECE.findall(low))
-        new = list({p for own in parts for p in own if p not in known})
+            if low.isalpha():
+                parts.append((low,))
+            elif low[-1] in MARKS and low[:-1].isalpha():
+                parts.append((low[:-1], low[-1]))
+            else:
+                parts.append(PIECE.findall(low))
+        new = list(set(chain.from_iterable(parts)).difference(known))
         if new:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, self.width)
             at = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
