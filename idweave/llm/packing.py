@@ -154,7 +154,7 @@ def pieces_of(spark: SparkSession, lengths: DataFrame) -> DataFrame:
     histogram = {r["b"]: (r["n"], r["t"]) for r in left.groupBy("b").agg(F.count("*").alias("n"), F.sum("r").alias("t")).collect()}  # SEQUENCE / UNIT rows at most
     slots = plan(histogram)
     n_left = sum(n for n, _ in histogram.values())
-    parts = max(4, -(-n_left // ROWS_PER_PART))
+    parts = max(32, -(-n_left // ROWS_PER_PART))
     table = spark.createDataFrame(slots, "b int, low long, high long, copies long, base long")
     ranked = running(left, F.lit(1), "rank", parts, ["b"], ["row"])
     placed = ranked.join(F.broadcast(table.withColumnRenamed("b", "tb")), (F.col("b") == F.col("tb")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")), "left")

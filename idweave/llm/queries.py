@@ -118,4 +118,15 @@ SELECT d.doc_id, least(d.doc_id, coalesce(min(b) FILTER (WHERE same), d.doc_id))
 FROM documents d LEFT JOIN link ON link.a = d.doc_id JOIN component c ON c.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_ngram_jaccard_join": OP4_SQL, "op5_license_scan": OP5_SQL}
+#: Cosines of all pairs of a label, and components by following links (on the driver's small tables).
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+sound AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+component AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN component c ON c.a = vec_id LEFT JOIN degree d ON d.a = vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": OP1_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op5_license_scan": OP5_SQL}
