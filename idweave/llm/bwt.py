@@ -29,31 +29,36 @@ class Shard:
 
 
 def merged(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of all shards' rotations in merged order: their place in the shards' orders laid end to end, and their interval.
+    """Of all shards' rotations in merged order: their place in the shards' orders laid end to end, and their common prefix.
 
     The interleaving begins as one shard after another. Each pass reads the shards' transforms in the interleaved order,
     puts every rotation behind the two bytes before it and deals stably by those bytes, which refines the interleaving
     from the first k bytes to k + 2. Two neighbours are in one interval as long as their bytes and the rotations they
-    came from agree, so after ``depth`` bytes the intervals are the sets of equal prefixes. No suffix is sorted again.
+    came from agree; the pass that parts them tells how long a prefix each has in common with the one before, in steps
+    of two bytes and ``depth`` at most. No suffix is sorted again.
     """
     sizes = [len(s.order) for s in shards]
     before = np.concatenate([s.before for s in shards])
     z = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes)
     start = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     interval = np.zeros(len(z), np.int64)
+    prefix = np.full(len(z), depth, np.int16)
+    prefix[:1] = 0
     place = np.arange(len(z))
-    for _ in range(0, depth, 2):
+    for k in range(0, depth, 2):
         read = before[place]
         deal = np.argsort(read, kind="stable")
         z, came, read = z[deal], interval[deal], read[deal]
-        interval = np.cumsum(np.concatenate([[0], (read[1:] != read[:-1]) | (came[1:] != came[:-1])]))
+        parted = np.concatenate([[False], (read[1:] != read[:-1]) | (came[1:] != came[:-1])])
+        interval = np.cumsum(parted)
+        prefix[parted & (prefix == depth)] = k
         if len(shards) == 1:
             continue
         place = np.empty(len(z), np.int64)
-        for k in range(len(shards)):
-            own = np.flatnonzero(z == k)
-            place[own] = start[k] + np.arange(len(own))
-    return place, interval
+        for j in range(len(shards)):
+            own = np.flatnonzero(z == j)
+            place[own] = start[j] + np.arange(len(own))
+    return place, prefix
 
 
 def intervals(data: np.ndarray, cuts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +67,8 @@ def intervals(data: np.ndarray, cuts: np.ndarray, depth: int) -> tuple[np.ndarra
     data is cut into shards at ``cuts``; positions less than depth bytes before a cut see bytes from their shard's start.
     """
     parts = [p for p in np.split(data, cuts) if len(p)]
-    place, interval = merged([s := [Shard(p) for p in parts]][0], depth)
-    at = np.concatenate([s_.order + off for s_, off in zip(s, np.concatenate([[0], np.cumsum([len(p) for p in parts])])[:-1])])
-    return at[place], interval
+    shards = [Shard(p) for p in parts]
+    place, prefix = merged(shards, depth)
+    offset = np.cumsum([0, *map(len, parts)])
+    at = np.concatenate([s.order + off for s, off in zip(shards, offset)])
+    return at[place], np.cumsum(prefix < depth) - 1

@@ -155,6 +155,13 @@ def test_interleave_refinement():
     cuts = np.array([1000, 1500, 3200])
     at, interval = bwt.intervals(data, cuts, 12)
     ends = np.append(cuts, 4000)
+    shards = [bwt.Shard(part) for part in np.split(data, cuts)]
+    place, common_ = bwt.merged(shards, 12)
+    order = np.concatenate([s.order + off for s, off in zip(shards, [0, *cuts])])[place]
+    turned = [bytes(np.roll(part, -k)[:12]) for part in np.split(data, cuts) for k in range(len(part))]
+    for k in range(1, 4000):
+        a, b = turned[order[k - 1]], turned[order[k]]
+        assert common_[k] == next((j for j in range(12) if a[j] != b[j]), 12) // 2 * 2
     prefix = {p: data[p : p + 12].tobytes() for p in range(4000) if p + 12 <= ends[np.searchsorted(ends, p, "right")]}
     inside = [(prefix[p], g) for p, g in zip(at.tolist(), interval.tolist()) if p in prefix]
     assert inside == sorted(inside) and len({a for a, _ in inside}) == len({b for _, b in inside}) == len(set(inside))
