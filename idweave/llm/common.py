@@ -88,7 +88,6 @@ def components(edges: DataFrame) -> DataFrame:
         both = left.unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         rank = lambda c: F.struct(F.xxhash64(c, salt).alias("h"), F.col(c).alias("n"))
         hook = both.groupBy("src").agg(F.min(F.least(rank("src"), rank("dst"))).alias("least")).select(F.col("src").alias("node"), F.col("least.n").alias("to"))
-        hook = Staged(hook, "hooks").df
         hook = Staged(hook.join(hook.toDF("to", "further"), "to").select("node", F.col("further").alias("to")), "hooks").df
         hooks.append(hook)
         a, b = hook.toDF("src", "a"), hook.toDF("dst", "b")
