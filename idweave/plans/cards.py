@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from idweave.functions.codes import read_code
 from idweave.functions.jalali import read_date
 from idweave.functions.text import name_tokens
-from idweave.operators.layout import label_patterns
+from idweave.operators.layout import REQUIRED, label_patterns
 from idweave.operators.readings import best_reading
 from idweave.operators.recovery import recovered
 from idweave.operators.review import is_missing, record
@@ -28,7 +28,9 @@ def field_values(best: DataFrame, key: str) -> DataFrame:
 def records(readings: DataFrame, lines: DataFrame, key: str = "capture_id") -> DataFrame:
     """Records from readings (key, field, attempt_no, raw, conf); missing fields are sought in lines, then all assembled."""
     first = field_values(best_reading(readings, [key, "field"]), key)
-    missing = first.where(is_missing(F.col("value"), F.col("confidence"))).select(key, "field")
+    fields = F.explode(F.array(*[F.lit(f) for f in REQUIRED])).alias("field")
+    there = first.where(~is_missing(F.col("value"), F.col("confidence"))).select(key, "field")
+    missing = readings.select(key).distinct().select(key, fields).join(there, [key, "field"], "left_anti")
     found = recovered(lines, label_patterns(readings.sparkSession), missing, [key]).select(key, "field", F.col("text").alias("raw"), F.col("confidence").alias("conf"))
     again = field_values(found, key).where("value is not null")
     kept = first.join(again.select(key, "field"), [key, "field"], "left_anti")
