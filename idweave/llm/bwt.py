@@ -16,7 +16,7 @@ class Shard:
             key = (key << np.uint64(8)) | wide[k : k + n].astype(np.uint64)
         depth = 8
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             sorted_ = key[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))
@@ -41,7 +41,7 @@ def merged(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     before = np.concatenate([s.before for s in shards])
     z = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes)
     start = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    interval = np.zeros(len(z), np.int64)
+    interval, parted = np.zeros(len(z), np.int32), np.zeros(len(z), bool)
     prefix = np.full(len(z), depth, np.int16)
     prefix[:1] = 0
     place = np.arange(len(z))
@@ -49,9 +49,9 @@ def merged(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
         read = before[place]
         deal = np.argsort(read, kind="stable")
         z, came, read = z[deal], interval[deal], read[deal]
-        parted = np.concatenate([[False], (read[1:] != read[:-1]) | (came[1:] != came[:-1])])
-        interval = np.cumsum(parted)
-        prefix[parted & (prefix == depth)] = k
+        known, parted = parted, np.concatenate([[False], (read[1:] != read[:-1]) | (came[1:] != came[:-1])])
+        interval = np.cumsum(parted, dtype=np.int32)
+        prefix[parted & ~known] = k
         if len(shards) == 1:
             continue
         place = np.empty(len(z), np.int64)
