@@ -22,10 +22,10 @@ from idweave.llm.anchors import WINDOW, anchors
 from idweave.llm.bwt import intervals
 from idweave.llm.common import Staged, small_batches
 
-BUCKET_BYTES = 12 << 20  #: of text whose anchors a bucket holds, about
-PART_BYTES = 8 << 20  #: of text that a task of the later passes holds, about
-FLUSH_BYTES = 16 << 20
-SHARD_BYTES = 1 << 20
+BUCKET_BYTES = 6 << 20  #: of text whose anchors a bucket holds, about
+PART_BYTES = 4 << 20  #: of text that a task of the later passes holds, about
+FLUSH_BYTES = 6 << 20
+SHARD_BYTES = 1 << 19
 WHOLE, CLOSER = 0, 1
 SIX = "six bytes"  #: hashes travel as 48 bits; equal anchors and covers agree in 96
 RECORD = [("h", SIX), ("cover", SIX), ("doc", np.int64), ("run", np.uint32)]
