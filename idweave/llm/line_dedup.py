@@ -1,7 +1,9 @@
 """Fuzzy line de-duplication by MinHash, with DataFrame functions only.
 
-Each different line gets a MinHash signature of its character shingles (nine characters from every word's start, and
-from every place inside a run without white space); three values a band bring lines into buckets. Candidate pairs are
+Each different line gets a MinHash signature; the values of a band bring lines into buckets. Lines of few shingles sign
+all five-character shingles, five values a band; longer ones sign a sparse sketch (nine characters from every word's
+start, and from every place inside a run without white space), three values a band. Sizes bound similarity, so lines
+around the limit sign both and no pair falls between the two. Candidate pairs are
 verified by the exact Jaccard similarity of the sets of all five-character shingles, and verified links are joined by
 distributed union-find; the first line of a component stays. A bucket is never expanded into all its pairs: its lines
 are held against one pivot first, and only lines that are not in the pivot's component are held against the rest.
@@ -23,6 +25,9 @@ WORDS = 32  #: of 64 bits in a line's sketch
 PIVOTS = 512  #: lines of a bucket that are held against all of it in one round
 _dealt = random.Random(8)
 MASKS = [_dealt.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
+SHORT = 64  #: shingles of a line up to which all its links come from signatures of all its shingles
+SHORT_BANDS, SHORT_ROWS = 19, 5
+SHORT_MASKS = [_dealt.getrandbits(64) - (1 << 63) for _ in range(SHORT_BANDS * SHORT_ROWS)]
 #: at a word's start, or after nine characters without white space: the next nine characters
 SKETCHED = r"(?s)(?:(?<!\S)|(?<=\S{9}))(?=(\S.{0,8}))"
 
@@ -67,27 +72,46 @@ def may_be_alike(least: float) -> Column:
     return enough(F.least("p_n", "n"), F.col("p_n"), F.col("n"), least) & enough(most, F.col("p_n"), F.col("n"), least)
 
 
-def buckets(lines: DataFrame) -> DataFrame:
-    """Buckets of two lines or more: b, k."""
+def signed(shingles: DataFrame, hashes: list[Column], masks: list[int], first: int) -> DataFrame:
+    """k and b of every band; shingles (k, h) has all rows of k in one partition.
+
+    The element nearest to a random mask, by exclusive or, is a MinHash value; a band has one of ``hashes`` and as many
+    masks as there are to each. ``first`` numbers the bands.
+    """
+    rows = len(masks) // len(hashes)
+    least = shingles.groupBy("k").agg(*[F.min(hashes[i // rows].bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks)])
+    return least.select("k", F.explode(F.array(*[F.xxhash64(F.lit(first + b), *[f"m{rows * b + r}" for r in range(rows)]) for b in range(len(hashes))])).alias("b"))
+
+
+def buckets(lines: DataFrame, least: float) -> DataFrame:
+    """Buckets of two lines or more: b, k.
+
+    A line of n shingles links with none of more than n / least. So lines of up to SHORT / least sign all their shingles,
+    each band by a hash of its own (a pair at similarity s shares no band with a probability of (1 - s ** SHORT_ROWS) **
+    SHORT_BANDS at most), and lines of more than SHORT sign the sparse sketch.
+    """
     different = lines.select("k", "line").dropDuplicates(["k"])
-    shingle = different.select("k", F.explode(F.regexp_extract_all("line", F.lit(SKETCHED), F.lit(1))).alias("x")).select("k", F.xxhash64("x").alias("h"))
-    # the element nearest to a random mask, by exclusive or, is a MinHash value; all rows of k are in its partition already
-    signed = shingle.groupBy("k").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)])
-    band = F.explode(F.array(*[F.xxhash64(F.lit(b), *[f"m{ROWS * b + r}" for r in range(ROWS)]) for b in range(BANDS)]))
+    widest = int(SHORT / least + 1e-6)
+    # the beginning of a long line tells in nearly all cases that its shingles are too many
+    few = lambda line: F.size(F.array_distinct(shingle_hashes(line))) <= widest
+    short = different.where(F.when(F.char_length("line") < widest + SIGNED, True).otherwise(few(F.substring("line", 1, widest + 24)) & few(F.col("line"))))
+    every = short.select("k", F.explode(shingle_hashes(F.col("line"))).alias("h"))
+    sparse = different.where(F.char_length("line") >= SHORT + SIGNED).select("k", F.explode(F.regexp_extract_all("line", F.lit(SKETCHED), F.lit(1))).alias("x")).select("k", F.xxhash64("x").alias("h"))
+    rows = signed(every, [F.xxhash64("h", F.lit(b)) for b in range(SHORT_BANDS)], SHORT_MASKS, BANDS).unionByName(signed(sparse, [F.col("h")] * BANDS, MASKS, 0))
     own = Window.partitionBy("b")  # two numbers a row, and nothing is gathered but what the window spills
-    rows = signed.select("k", band.alias("b")).withColumn("low", F.min("k").over(own)).withColumn("high", F.max("k").over(own))
+    rows = rows.withColumn("low", F.min("k").over(own)).withColumn("high", F.max("k").over(own))
     return rows.where("low <> high").select("b", "k")
 
 
 def line_components(lines: DataFrame, least: float) -> DataFrame:
     """Lines linked with another: node, component, by key."""
-    member = Staged(buckets(lines), "members").df
+    member = Staged(buckets(lines, least), "members").df
     wanted = Staged(member.select("k").distinct(), "wanted").df
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted.hint("merge")
     text = Staged(lines.select("k", "line").join(wanted, "k").groupBy("k").agg(F.first("line").alias("line")), "lines").df
     sketch = Staged(sketches(text), "sketches").df
     as_pivot = lambda df: df.select(*[c if c == "b" else F.col(c).alias("p" if c == "k" else f"p_{c}") for c in df.columns])
-    own_buckets = member.groupBy("k").agg(F.array_sort(F.collect_list("b")).alias("bs"))  # BANDS at most
+    own_buckets = member.groupBy("k").agg(F.array_sort(F.collect_list("b")).alias("bs"))  # BANDS + SHORT_BANDS at most
     # two lines of each bucket first: the same one wherever it is, and one dealt by the bucket
     first = member.groupBy("b").agg(F.array(F.min("k"), F.min_by("k", F.xxhash64("k", "b"))).alias("p")).select("b", F.explode("p").alias("k"))
     pivots, now, joined = first.join(sketch, "k"), member.join(sketch, "k"), None

@@ -202,6 +202,20 @@ def test_line_dedup(spark, docs):
     assert sorted(v for v in dropped.values() if v and v.startswith("one two")) == ["one two three four five six seven\nsame line here"]
 
 
+def test_line_dedup_short_lines(spark):
+    rng = np.random.default_rng(11)
+    lines = []
+    for n in [*range(10, 20)] * 12 + [*range(20, 90, 3)] * 3:
+        line = "".join(rng.choice(list("abcdefghijklmnop "), n - 1)) + "q"
+        lines += [line, line[:-1], line[:-1] + "z", line + " 2"]
+    lines += ["-" * 10, "-" * 200, "=+" * 8, "=+" * 400]
+    got = {r["doc_id"]: r["first_id"] for r in line_dedup.mark_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    sets = [{x[k : k + 5] for k in range(len(x) - 4)} for x in lines]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    tree = hnsw.forest(np.array([a for a, _ in links]), np.array([b for _, b in links]))
+    assert got == {k: tree.get(k, k) for k in range(len(lines))}
+
+
 def test_bpe_round_trip(spark, docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
