@@ -3,7 +3,7 @@
 Every window of bytes has an anchor, a gram found from the window alone, and the windows of one anchor are a run. The
 hashes of each run's anchor and of all that it covers go to the anchor's bucket. A run whose cover stands in a smaller
 document is repeated as a whole; an anchor with several covers needs a closer look, so one run of each cover has its
-bytes fetched. Those are dealt by anchor, and each task makes Burrows-Wheeler transforms of bounded shards of them and
+bytes fetched, and further runs of that cover in the same document share its verdict. Those are dealt by anchor, and each task makes Burrows-Wheeler transforms of bounded shards of them and
 merges these by interleave refinement; the intervals of equal windows and their least documents decide. Anchors found
 only once and covers that are all alike never need their bytes.
 """
@@ -104,7 +104,7 @@ def compared(parts: int):
         covers = np.bincount(group, new_c, minlength=0)
         lowest = np.minimum.reduceat(doc, np.flatnonzero(new_h)) if len(h) else doc
         highest = np.maximum.reduceat(np.where(new_c, doc, np.iinfo(np.int64).min), np.flatnonzero(new_h)) if len(h) else doc
-        closer = new_c & (covers > 1)[group] & (lowest < highest)[group] if len(h) else new_c
+        closer = (covers > 1)[group] & (lowest < highest)[group] & (new_c | ~whole & (doc > lowest[group])) if len(h) else new_c
         pick = whole | closer
         doc, kind = doc[pick], np.where(whole[pick], WHOLE, CLOSER)
         return pa.Table.from_batches([packed("part", doc % parts, [doc, number[pick], kind, h[pick]], NOTE)])
@@ -149,7 +149,12 @@ def fetched(id: str, text: str, tasks: int):
             a, b = spans(first[whole], last[whole] + WINDOW)
             s.append((np.full(len(a), own), a, b))
             if len(near):
-                c.append((np.full(len(near), own), first[near], last[near] + WINDOW - first[near], h[i:j][kind[i:j] == CLOSER]))
+                f, n, near_h = first[near], last[near] + WINDOW - first[near], h[i:j][kind[i:j] == CLOSER]
+                same: dict[tuple[int, bytes], int] = {}
+                twin = np.array([same.setdefault((x, data[a : a + m]), k) for k, (x, a, m) in enumerate(zip(near_h.tolist(), f.tolist(), n.tolist()))])
+                n = np.where(twin == np.arange(len(n)), n, 0)  # a run without bytes equals the last one before that has some
+                order = np.argsort(twin, kind="stable")
+                c.append((np.full(len(near), own), f[order], n[order], near_h[order]))
                 data_of[own] = data
         out = []
         if s:
@@ -185,7 +190,9 @@ def looked_at(parts: int):
         if key[0].as_py() < 0:
             doc, a, b = unpacked(table, [(f"s_{k}", v) for k, v in SPAN])
             return pa.Table.from_batches([packed("part", doc % parts, [doc, a, b], SPAN)])
-        doc, first, n = unpacked(table, CONTEXT)
+        every_doc, every_first, n = unpacked(table, CONTEXT)
+        like = np.cumsum(n > 0) - 1  # of every run the one whose bytes it has
+        doc, first, n = every_doc[n > 0], every_first[n > 0], n[n > 0]
         data = np.frombuffer(b"".join(x for x in table["bytes"].to_pylist() if x), np.uint8)
         off = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
         cuts = off[1:-1][np.diff((off[1:] - 1) // SHARD_BYTES).astype(bool)] if len(n) > 1 else np.empty(0, np.int64)
@@ -200,11 +207,15 @@ def looked_at(parts: int):
         gone = own > np.repeat(least, np.diff(np.append(new, len(at))))
         at = np.sort(at[gone])
         r = run_of[at]
-        begin = first[r] + at - off[:-1][r]
+        begin = at - off[:-1][r]
         cut = np.concatenate([[True], (r[1:] != r[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else np.empty(0, bool)
         ends = np.append(np.flatnonzero(cut)[1:] - 1, len(at) - 1) if len(at) else np.empty(0, int)
-        owner = doc[r[cut]] if len(at) else np.empty(0, np.int64)
-        return pa.Table.from_batches([packed("part", owner % parts, [owner, begin[cut], begin[ends] + WINDOW], SPAN)])
+        begin, end, times = begin[cut], begin[ends] + WINDOW, np.bincount(r[cut], minlength=len(n))
+        copies = times[like]
+        of = np.repeat(np.arange(len(like)), copies)
+        span = np.arange(len(of)) - np.repeat(np.cumsum(copies) - copies, copies) + (np.cumsum(times) - times)[like[of]]
+        owner = every_doc[of]
+        return pa.Table.from_batches([packed("part", owner % parts, [owner, every_first[of] + begin[span], every_first[of] + end[span]], SPAN)])
 
     return run
 

@@ -149,6 +149,16 @@ def test_repeats(spark, docs):
     assert repeats.without_repeats(docs.limit(0)).count() == 0
 
 
+def test_repeats_inside_a_document(spark):
+    rng = np.random.default_rng(4)
+    text = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    line, other = text(87), text(70)
+    rows = [(3, f"{text(60)}\n{line}\n{text(60)}"), (5, "\n".join([line] * 20)), (6, text(200) + ("#" + other + "#") * 5), (7, ("=" + other + "=" + line) * 6), (8, "\n".join([line] * 9)), (9, "=" + other + "+")]
+    rows += [(20 + k, "".join([line, other, text(40), "\n"][x] for x in rng.integers(0, 4, 30))) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: bytes(r["kept"]) for r in repeats.without_repeats(df).collect()} == brute_repeats(rows)
+
+
 def test_interleave_refinement():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 100, 4000).astype(np.uint8)
