@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,7 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Staged:
-    """A table written to the shared folder, so that lost executors and retries never recompute what led to it."""
+    """A table written to the shared folder, so that lost executors and retries never recompute what led to it.
+
+    ``noted`` are the lists that tables are entered in while ``noting`` is open.
+    """
+
+    noted: list[list[Staged]] = []
 
     def __init__(self, df: DataFrame, name: str, **options: str):
         self.spark = df.sparkSession
@@ -41,12 +47,25 @@ class Staged:
         schema = df.schema
         df.write.options(**options).parquet(self.path)
         self.df = self.spark.read.schema(schema).parquet(self.path)
+        for own in self.noted:
+            own.append(self)
 
     def drop(self) -> None:
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+@contextmanager
+def noting() -> Iterator[list[Staged]]:
+    """A list of the tables staged inside, for whoever can tell when they are no longer read."""
+    own: list[Staged] = []
+    Staged.noted.append(own)
+    try:
+        yield own
+    finally:
+        Staged.noted.remove(own)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     return Staged(df, name).df
 
@@ -76,28 +95,33 @@ def map_text(df: DataFrame, text: str, extra: T.StructType, make) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (src, dst: long): columns node, component (the component's least node).
 
-    Distributed union-find by contraction: in every round each node hooks onto its neighbour (or itself) of least hash,
-    then onto that one's hook, and edges are rewritten between the hooks until none are left; hashes are dealt anew each round, so the number of
-    rounds grows with the logarithm of the longest chain. Each round is a written table, so a lost executor costs at
-    most the round under way. Nodes without edges are not returned.
+    Distributed union-find by contraction: in every round each node hooks onto the node of least hash within two steps,
+    and edges are rewritten between the hooks until none are left. A star is one node after a round; hashes are dealt
+    anew each round, so the number of rounds grows with the logarithm of the longest chain. Nodes are traced to their
+    roots from the last round back, so every round's nodes are joined once. Each round is a written table, so a lost
+    executor costs at most the round under way; they are dropped at the end. Nodes without edges are not returned.
     """
     one = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src is not null and dst is not null and src <> dst")
-    left, hooks = Staged(one.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "edges").df, []
-    while not left.isEmpty():
-        salt = F.lit(len(hooks))
-        both = left.unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        rank = lambda c: F.struct(F.xxhash64(c, salt).alias("h"), F.col(c).alias("n"))
-        hook = both.groupBy("src").agg(F.min(F.least(rank("src"), rank("dst"))).alias("least")).select(F.col("src").alias("node"), F.col("least.n").alias("to"))
-        hook = Staged(hook.join(hook.toDF("to", "further"), "to").select("node", F.col("further").alias("to")), "hooks").df
-        hooks.append(hook)
-        a, b = hook.toDF("src", "a"), hook.toDF("dst", "b")
-        moved = left.join(a, "src").join(b, "dst").where("a <> b")
-        left = Staged(moved.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "edges").df
-    if not hooks:
-        return one.select(F.col("src").alias("node"), F.col("dst").alias("component")).limit(0)
-    roots = hooks[0].withColumnRenamed("to", "root")
-    for hook in hooks[1:]:
-        roots = roots.join(hook.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    roots = Staged(roots, "roots").df
-    least = roots.groupBy("root").agg(F.min("node").alias("component"))
-    return Staged(roots.join(least, "root").select("node", "component"), "components").df
+    with noting() as used:
+        left, hooks = Staged(one.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "edges").df, []
+        while not left.isEmpty():
+            salt = F.lit(len(hooks))
+            both = left.unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+            rank = lambda c: F.struct(F.xxhash64(c, salt).alias("h"), F.col(c).alias("n"))
+            near = both.groupBy("src").agg(F.min(F.least(rank("src"), rank("dst"))).alias("least"))
+            further = both.join(near.withColumnRenamed("src", "dst"), "dst").groupBy("src").agg(F.min("least").alias("least"))
+            hook = Staged(further.select(F.col("src").alias("node"), F.col("least.n").alias("to")), "hooks").df
+            hooks.append(hook)
+            moved = left.join(hook.toDF("src", "a"), "src").join(hook.toDF("dst", "b"), "dst").where("a <> b")
+            left = Staged(moved.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "edges").df
+        if not hooks:
+            return one.select(F.col("src").alias("node"), F.col("dst").alias("component")).limit(0)
+        roots = hooks[-1].withColumnRenamed("to", "root")
+        for k, hook in enumerate(reversed(hooks[:-1])):
+            roots = Staged(hook.join(roots.toDF("to", "root"), "to", "left").select("node", F.coalesce("root", "to").alias("root")), f"roots{k}").df
+        least = roots.groupBy("root").agg(F.min("node").alias("component"))
+        out = Staged(roots.join(least, "root").select("node", "component"), "components")
+    for table_ in used:
+        if table_ is not out:
+            table_.drop()
+    return out.df

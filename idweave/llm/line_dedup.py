@@ -1,35 +1,33 @@
 """Fuzzy line de-duplication by MinHash, with DataFrame functions only.
 
-Each different line gets a MinHash signature; the values of a band bring lines into buckets. Lines of few shingles sign
-all five-character shingles, five values a band; longer ones sign a sparse sketch (nine characters from every word's
-start, and from every place inside a run without white space), three values a band. Sizes bound similarity, so lines
-around the limit sign both and no pair falls between the two. Candidate pairs are
-verified by the exact Jaccard similarity of the sets of all five-character shingles, and verified links are joined by
+Similarity is the Jaccard similarity of the sets of all five-character shingles, and these very sets are signed. A
+line's shingles are dealt by hash into ``PARTS`` parts, and MinHash values of a part, ``ROWS`` to a band, are its bands
+(one permutation hashing); lines of few shingles, whose parts would hold next to none, sign all of them for every part.
+Lines that share a band are candidates, verified by exact Jaccard similarity, and verified links are joined by
 distributed union-find; the first line of a component stays. A bucket is never expanded into all its pairs: its lines
-are held against one pivot first, and only lines that are not in the pivot's component are held against the rest.
+are held against two pivots first, and only lines that are not in the pivot's component are held against the rest, a
+bounded number of pivots a round, behind bit sketches that never reject a true pair.
 """
 
 from __future__ import annotations
 
 import random
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from idweave.llm.common import Staged, components
+from idweave.llm.common import Staged, components, noting
 
-BANDS, ROWS = 12, 3
+BANDS, PARTS, ROWS = 16, 8, 6  #: a pair of similarity s shares no band with a probability of (1 - s ** ROWS) ** BANDS: 0.8 % at 0.8, 0.04 % at 0.85
 BROADCAST_KEYS = 2_000_000  #: keys of lines that are fetched are broadcast up to this count (16 MB) and shuffled beyond it
-SIGNED = 5  #: characters of a shingle that similarity counts
+SIGNED = 5  #: characters of a shingle
 WORDS = 32  #: of 64 bits in a line's sketch
 PIVOTS = 512  #: lines of a bucket that are held against all of it in one round
+SHORT = 64  #: shingles of a line up to which all its links come from bands that each sign all its shingles
+SAMPLED, HOT, MOST_HOT = 256, 64, 10_000  #: one line in so many tells which buckets are hot; this many of them in one mark it; hot buckets split at most
 _dealt = random.Random(8)
-MASKS = [_dealt.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
-SHORT = 64  #: shingles of a line up to which all its links come from signatures of all its shingles
-SHORT_BANDS, SHORT_ROWS = 19, 5
-SHORT_MASKS = [_dealt.getrandbits(64) - (1 << 63) for _ in range(SHORT_BANDS * SHORT_ROWS)]
-#: at a word's start, or after nine characters without white space: the next nine characters
-SKETCHED = r"(?s)(?:(?<!\S)|(?<=\S{9}))(?=(\S.{0,8}))"
+MASKS = [_dealt.getrandbits(64) - (1 << 63) for _ in range(BANDS // PARTS * ROWS)]
 
 
 def key_of(line: Column) -> Column:
@@ -49,6 +47,17 @@ def shingle_hashes(line: Column) -> Column:
     return F.when(F.char_length(line) <= SIGNED, F.array(F.xxhash64(line))).otherwise(every)
 
 
+def shingle_rows(lines: DataFrame) -> DataFrame:
+    """k and h of every shingle of ``lines`` (k, line), repeated ones too.
+
+    UTF-32 has four bytes a character, so a shingle is cut out in one step; rows instead of arrays stay in compiled code.
+    """
+    wide = lines.select("k", F.encode("line", "UTF-32").alias("wide")).withColumn("last", F.greatest((F.octet_length("wide") / 4).cast("int") - SIGNED, F.lit(0)))
+    stretch = wide.select("k", "wide", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(4096))).alias("at"))
+    every = stretch.select("k", "wide", F.explode(F.sequence("at", F.least(F.col("at") + 4095, "last"))).alias("at"))
+    return every.select("k", F.xxhash64(F.substring("wide", F.col("at") * 4 + 1, F.lit(4 * SIGNED))).alias("h"))
+
+
 def enough(both: Column, n_a: Column, n_b: Column, least: float) -> Column:
     """Whether sets of n_a and n_b elements that share ``both`` have that Jaccard similarity."""
     return both * (1 + least) >= F.lit(least) * (n_a + n_b) - 1e-9
@@ -60,9 +69,9 @@ def alike(a: Column, b: Column, n_a: Column, n_b: Column, least: float) -> Colum
 
 def sketches(lines: DataFrame) -> DataFrame:
     """k, n and the words of a bit set: n different shingles of the line, each of which sets one bit."""
-    own = lines.select("k", F.array_distinct(shingle_hashes(F.col("line"))).alias("own"))
-    bit = own.select("k", F.size("own").alias("n"), F.explode("own").alias("h")).withColumn("word", F.pmod(F.shiftright("h", 6), F.lit(WORDS))).withColumn("bit", F.expr("shiftleft(1L, int(h & 63))"))
-    return bit.groupBy("k").agg(F.first("n").alias("n"), *[F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)])
+    word = shingle_rows(lines).groupBy("k", F.pmod(F.shiftright("h", 6), F.lit(WORDS)).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("bits"))
+    own = word.groupBy("k").agg(*[F.bit_or(F.when(F.col("word") == i, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)])
+    return lines.select("k", F.size(F.array_distinct(shingle_hashes(F.col("line")))).alias("n")).join(own, "k")
 
 
 def may_be_alike(least: float) -> Column:
@@ -72,53 +81,73 @@ def may_be_alike(least: float) -> Column:
     return enough(F.least("p_n", "n"), F.col("p_n"), F.col("n"), least) & enough(most, F.col("p_n"), F.col("n"), least)
 
 
-def signed(shingles: DataFrame, hashes: list[Column], masks: list[int], first: int) -> DataFrame:
-    """k and b of every band; shingles (k, h) has all rows of k in one partition.
+def signed(shingles: DataFrame, kind: int) -> DataFrame:
+    """k and b of every band of shingles (k, part, h); all rows of k are in one partition.
 
-    The element nearest to a random mask, by exclusive or, is a MinHash value; a band has one of ``hashes`` and as many
-    masks as there are to each. ``first`` numbers the bands.
+    The element nearest to a mask, by exclusive or, is a MinHash value; each mask sees the hash turned by other bits, so
+    that few elements are ordered anew as well.
     """
-    rows = len(masks) // len(hashes)
-    least = shingles.groupBy("k").agg(*[F.min(hashes[i // rows].bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks)])
-    return least.select("k", F.explode(F.array(*[F.xxhash64(F.lit(first + b), *[f"m{rows * b + r}" for r in range(rows)]) for b in range(len(hashes))])).alias("b"))
+    turned = lambda i: F.col("h") if not i else F.shiftleft("h", 5 * i).bitwiseOR(F.shiftrightunsigned("h", 64 - 5 * i))
+    least = shingles.groupBy("k", "part").agg(*[F.min(turned(i).bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)])
+    bands = [F.xxhash64(F.lit(kind), F.lit(i), "part", *[f"m{i + r}" for r in range(ROWS)]) for i in range(0, len(MASKS), ROWS)]
+    return least.select("k", F.explode(F.array(*bands)).alias("b"))
 
 
-def buckets(lines: DataFrame, least: float) -> DataFrame:
-    """Buckets of two lines or more: b, k.
+def banded(lines: DataFrame, least: float) -> DataFrame:
+    """k and b of every band of the different lines.
 
-    A line of n shingles links with none of more than n / least. So lines of up to SHORT / least sign all their shingles,
-    each band by a hash of its own (a pair at similarity s shares no band with a probability of (1 - s ** SHORT_ROWS) **
-    SHORT_BANDS at most), and lines of more than SHORT sign the sparse sketch.
+    A line of n shingles links with none of more than n / least. So lines of up to SHORT / least different shingles sign
+    all of them for every part, each part with a hash of its own, and lines of SHORT shingles or more deal theirs among the parts.
     """
     different = lines.select("k", "line").dropDuplicates(["k"])
     widest = int(SHORT / least + 1e-6)
     # the beginning of a long line tells in nearly all cases that its shingles are too many
     few = lambda line: F.size(F.array_distinct(shingle_hashes(line))) <= widest
     short = different.where(F.when(F.char_length("line") < widest + SIGNED, True).otherwise(few(F.substring("line", 1, widest + 24)) & few(F.col("line"))))
-    every = short.select("k", F.explode(shingle_hashes(F.col("line"))).alias("h"))
-    sparse = different.where(F.char_length("line") >= SHORT + SIGNED).select("k", F.explode(F.regexp_extract_all("line", F.lit(SKETCHED), F.lit(1))).alias("x")).select("k", F.xxhash64("x").alias("h"))
-    rows = signed(every, [F.xxhash64("h", F.lit(b)) for b in range(SHORT_BANDS)], SHORT_MASKS, BANDS).unionByName(signed(sparse, [F.col("h")] * BANDS, MASKS, 0))
-    own = Window.partitionBy("b")  # two numbers a row, and nothing is gathered but what the window spills
-    rows = rows.withColumn("low", F.min("k").over(own)).withColumn("high", F.max("k").over(own))
-    return rows.where("low <> high").select("b", "k")
+    every = shingle_rows(short).select("k", "h", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")).select("k", "part", F.xxhash64("h", "part").alias("h"))
+    dealt = shingle_rows(different.where(F.char_length("line") >= SHORT + SIGNED - 1)).select("k", F.pmod(F.shiftright("h", 3), F.lit(PARTS)).cast("int").alias("part"), F.xxhash64("h").alias("h"))
+    return signed(every, 0).unionByName(signed(dealt, 1))
+
+
+def buckets(lines: DataFrame, least: float) -> DataFrame:
+    """Buckets of two lines or more: b, k.
+
+    A sample of the lines tells which buckets are hot. Their rows are all kept, so no task ever gathers them; the others
+    meet in windows of two numbers a row, which spill.
+    """
+    sample = banded(lines.where(F.pmod(F.col("k"), F.lit(SAMPLED)) == 0), least)
+    hot = Staged(sample.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "b").limit(MOST_HOT).select("b"), "hot").df
+    rows = banded(lines, least).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "b", "left")
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64("k"), F.lit(4096)).cast("int")).otherwise(F.lit(0))
+    own = Window.partitionBy("b", "part")
+    rows = rows.withColumn("part", part).withColumn("low", F.min("k").over(own)).withColumn("high", F.max("k").over(own))
+    return rows.where("hot or low <> high").select("b", "k")
 
 
 def line_components(lines: DataFrame, least: float) -> DataFrame:
     """Lines linked with another: node, component, by key."""
+    with noting() as used:
+        joined = _line_components(lines, least)
+    for table in used:
+        if table.df is not joined:
+            table.drop()
+    return joined
+
+
+def _line_components(lines: DataFrame, least: float) -> DataFrame:
     member = Staged(buckets(lines, least), "members").df
     wanted = Staged(member.select("k").distinct(), "wanted").df
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted.hint("merge")
     text = Staged(lines.select("k", "line").join(wanted, "k").groupBy("k").agg(F.first("line").alias("line")), "lines").df
     sketch = Staged(sketches(text), "sketches").df
     as_pivot = lambda df: df.select(*[c if c == "b" else F.col(c).alias("p" if c == "k" else f"p_{c}") for c in df.columns])
-    own_buckets = member.groupBy("k").agg(F.array_sort(F.collect_list("b")).alias("bs"))  # BANDS + SHORT_BANDS at most
+    own_buckets = member.groupBy("k").agg(F.array_sort(F.collect_list("b")).alias("bs"))  # 2 * BANDS at most
     # two lines of each bucket first: the same one wherever it is, and one dealt by the bucket
     first = member.groupBy("b").agg(F.array(F.min("k"), F.min_by("k", F.xxhash64("k", "b"))).alias("p")).select("b", F.explode("p").alias("k"))
-    pivots, now, joined = first.join(sketch, "k"), member.join(sketch, "k"), None
-    apart = F.col("p") != F.col("k")
+    pairs = as_pivot(first).join(member, "b").where("p <> k").select(F.least("p", "k").alias("p"), F.greatest("p", "k").alias("k")).distinct()
+    near = as_pivot(sketch).join(pairs, "p").join(sketch, "k").where(may_be_alike(least)).select("p", "k", "p_n", "n")
+    joined = None
     while True:
-        near = as_pivot(pivots).join(now, "b").where(may_be_alike(least) & apart)
-        near = near.select(F.least("p", "k").alias("p"), F.greatest("p", "k").alias("k")).distinct().join(sketch.select(F.col("k").alias("p"), F.col("n").alias("p_n")), "p").join(sketch.select("k", "n"), "k")
         checked = near.join(text.toDF("p", "p_line"), "p").join(text, "k").where(alike(F.col("p_line"), F.col("line"), F.col("p_n"), F.col("n"), least))
         links = checked.select(F.col("p").alias("src"), F.col("k").alias("dst"))
         joined = components(links if joined is None else links.unionByName(joined.toDF("src", "dst")))
@@ -131,11 +160,13 @@ def line_components(lines: DataFrame, least: float) -> DataFrame:
         chosen = outside.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("k"))).where(F.col("r") <= PIVOTS)
         chosen = Staged(chosen.join(outside.groupBy("b").agg(F.count("*").alias("size")), "b").select("b", "k", "c", "size"), "pivots").df
         rest = open_.join(chosen.where(F.col("size") > PIVOTS).select("b").distinct(), "b", "left_semi")
-        member = Staged(rest.join(chosen.select("b", "k"), ["b", "k"], "left_anti").select("b", "k"), "members").df
         more = sketch.join(own_buckets, "k")
-        pivots, now = chosen.drop("size").join(more, "k"), open_.select("b", "k", "c").join(more, "k")
+        now = open_.select("b", "k", "c").join(more, "k")
         # a pair that shares several buckets is made in the first of them only
-        apart = (F.col("c") != F.col("p_c")) & (F.col("b") == F.element_at(F.array_intersect("bs", "p_bs"), 1))
+        apart = (F.col("c") != F.col("p_c")) & (F.col("b") == F.element_at(F.array_intersect("bs", "p_bs"), 1)) & may_be_alike(least)
+        near = as_pivot(chosen.drop("size").join(more, "k")).join(now, "b").where(apart)
+        near = near.select(F.least("p", "k").alias("p"), F.greatest("p", "k").alias("k"), F.when(F.col("p") < F.col("k"), F.col("p_n")).otherwise(F.col("n")).alias("p_n"), F.when(F.col("p") < F.col("k"), F.col("n")).otherwise(F.col("p_n")).alias("n")).distinct()
+        member = Staged(rest.join(chosen.select("b", "k"), ["b", "k"], "left_anti").select("b", "k"), "members").df
 
 
 def mark_lines(df: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
@@ -160,12 +191,13 @@ def mark_lines(df: DataFrame, id: str = "doc_id", text: str = "text", least: flo
 
 
 def drop_lines(df: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
-    """df with each text's repeated lines taken out; rows, other columns, blank lines and lines' order stay.
+    """df with each text's repeated lines taken out; rows, other columns (of any names), blank lines and lines' order stay.
 
     Null texts stay null. Rows with a null id keep their text.
     """
     gone = mark_lines(df.where(F.col(id).isNotNull()), id, text, least).where("not kept").groupBy(id).agg(F.collect_set("line_no").alias("gone"))
-    gone = Staged(gone.toDF("gone_id", "gone_lines"), "gone").df
-    rest = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("gone_lines", i.cast("long")))
-    joined = df.join(gone, F.col(id) == F.col("gone_id"), "left")
-    return joined.withColumn(text, F.when(F.col("gone_lines").isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))).select(*df.columns)
+    at, lines = (f"{stem}_{uuid.uuid4().hex}" for stem in ("at", "lines"))
+    gone = Staged(gone.toDF(at, lines), "gone").df
+    rest = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(lines, i.cast("long")))
+    joined = df.join(gone, F.col(id) == F.col(at), "left")
+    return joined.withColumn(text, F.when(F.col(lines).isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))).select(*df.columns)
