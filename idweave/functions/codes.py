@@ -27,51 +27,83 @@ def is_valid(code: Column) -> Column:
     return F.coalesce(F.when(code.rlike(CODE) & alike & ~same, digit(code, 10) == check), F.lit(False))
 
 
-def flipped(char: Column) -> Column:
-    return F.translate(char, "05", "50")
+def checks(total: Column, check: Column) -> Column:
+    """Whether a check digit fits a weighted sum of the other nine digits."""
+    rest = F.pmod(total, F.lit(11))
+    return check == F.when(rest < 2, rest).otherwise(11 - rest)
 
 
-def single_swaps(code: Column) -> Column:
-    """Valid codes that differ in one 0 or 5 read as the other."""
-    own = [F.when(F.substring(code, k, 1).isin("0", "5"), F.concat(F.substring(code, 1, k - 1), flipped(F.substring(code, k, 1)), F.substring(code, k + 1, 10))) for k in range(1, 11)]
-    return F.filter(F.array(*own), lambda c: c.isNotNull() & is_valid(c))
+def places(code: Column) -> Column:
+    """Struct total, check and at: a struct for each place k of a 0 or 5, with what reading it as the other adds.
 
+    ``moves`` is what the weighted sum changes by and ``turns`` what the check digit changes by, so that every repair is
+    judged by small sums and only the one chosen is written out.
+    """
+    total = sum((digit(code, k) * (11 - k) for k in range(2, 10)), digit(code, 1) * 10)
+    step = lambda k: 5 - 2 * digit(code, k)
+    place = lambda k: F.when(F.substring(code, k, 1).isin("0", "5"), F.struct(F.lit(k).alias("k"), (step(k) * (11 - k) if k < 10 else F.lit(0)).alias("moves"), (step(k) if k == 10 else F.lit(0)).alias("turns")))
+    return F.struct(total.alias("total"), digit(code, 10).alias("check"), F.array_compact(F.array(*[place(k) for k in range(1, 11)])).alias("at"))
 
-def repair_single(code: Column) -> Column:
-    """Struct code, ambiguous: a valid code itself, the only valid single swap, or null; ambiguous if there are several."""
-    usable = code.rlike(CODE)
-    found = F.when(usable & ~is_valid(code), single_swaps(code)).when(usable, F.array(code))
 
-    def choose(f: Column) -> Column:
-        return F.struct(F.when(F.size(f) == 1, F.element_at(f, 1)).alias("code"), F.coalesce(F.size(f) > 1, F.lit(False)).alias("ambiguous"))
+def with_flips(code: Column, at: Column) -> Column:
+    """code with the places of ``at`` read as the other of 0 and 5."""
+    return F.aggregate(at, code, lambda c, p: F.overlay(c, F.translate(F.substring(c, p["k"], F.lit(1)), "05", "50"), p["k"]))
+
+
+def single_fits(code: Column, s: Column) -> Column:
+    """Places whose one flip makes a valid code. Ten digits alike are none, which one flip can only reach by its own place."""
+    alike = lambda p: F.replace(with_flips(code, F.array(p)), F.translate(F.substring(code, p["k"], F.lit(1)), "05", "50"), F.lit("")) == ""
+    fits = F.filter(s["at"], lambda p: checks(s["total"] + p["moves"], s["check"] + p["turns"]))
+    return F.when(F.size(s["at"]) < 10, fits).otherwise(F.filter(fits, lambda p: ~alike(p)))
+
+
+def multi_fits(s: Column) -> Column:
+    """Masks over the places whose flips, ``MOST_FLIPS`` at most, make a valid code; for ``MOST_POSITIONS`` places at most."""
+    n = F.size(s["at"])
+    masks = F.filter(F.sequence(F.lit(1), F.pow(F.lit(2), F.least(n, F.lit(MOST_POSITIONS))).cast("int") - 1), lambda m: F.bit_count(m) <= MOST_FLIPS)
+    part = lambda m, what: sum((F.getbit(m, F.lit(i)).cast("int") * F.coalesce(F.get(s["at"], F.lit(i))[what], F.lit(0)) for i in range(1, MOST_POSITIONS)), F.getbit(m, F.lit(0)).cast("int") * F.get(s["at"], F.lit(0))[what])
+    return F.when(n.between(1, MOST_POSITIONS), F.filter(masks, lambda m: checks(s["total"] + part(m, "moves"), s["check"] + part(m, "turns"))))
+
 
-    return bind(found, choose)
+def single_of(code: Column, s: Column, valid: Column) -> Column:
+    choose = lambda f: F.struct(F.when(F.size(f) == 1, with_flips(code, f)).alias("code"), (F.size(f) > 1).alias("ambiguous"))
+    return F.when(valid, F.struct(code.alias("code"), F.lit(False).alias("ambiguous"))).otherwise(bind(single_fits(code, s), choose))
+
+
+def multi_of(code: Column, s: Column) -> Column:
+    chosen = lambda m: F.filter(s["at"], lambda p, i: F.getbit(m, i) == 1)
+    return bind(multi_fits(s), lambda f: F.when(F.size(f) == 1, with_flips(code, chosen(F.element_at(f, 1)))))
+
+
+def repair_single(code: Column) -> Column:
+    """Struct code, ambiguous: a valid code itself, the only valid single swap, or null; ambiguous if there are several."""
+    none = F.struct(F.lit(None).cast("string").alias("code"), F.lit(False).alias("ambiguous"))
+    return F.when(code.rlike(CODE), bind(places(code), lambda s: single_of(code, s, is_valid(code)))).otherwise(none)
 
 
 def repair_multi(code: Column) -> Column:
     """The only valid code within three flips of 0 and 5, where at most four places hold one; else null."""
-    places = F.filter(F.sequence(F.lit(1), F.lit(10)), lambda k: F.substring(code, k, F.lit(1)).isin("0", "5"))
+    return F.when(code.rlike(CODE), bind(places(code), lambda s: multi_of(code, s)))
+
 
-    def search(at: Column) -> Column:
-        n = F.size(at)
-        masks = F.filter(F.sequence(F.lit(1), F.pow(F.lit(2), n).cast("int") - 1), lambda m: F.bit_count(m) <= MOST_FLIPS)
+def repaired_code(code: Column) -> Column:
+    """Struct class, value of ten digits: valid, corrected (single swap), repaired (several flips), ambiguous or invalid."""
 
-        def apply(mask: Column) -> Column:
-            chosen = F.filter(at, lambda k, i: F.getbit(mask, i) == 1)
-            return F.aggregate(chosen, code, lambda c, k: F.overlay(c, flipped(F.substring(c, k, F.lit(1))), k))
+    def made(name: str, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("class"), value.alias("value"))
 
-        found = F.array_distinct(F.filter(F.transform(masks, apply), is_valid))
-        return F.when(n.between(1, MOST_POSITIONS), bind(found, lambda f: F.when(F.size(f) == 1, F.element_at(f, 1))))
+    def multi(s: Column, one: Column) -> Column:
+        return bind(multi_of(code, s), lambda many: F.when(many.isNotNull(), made("repaired", many)).when(one["ambiguous"], made("ambiguous", code)).otherwise(made("invalid", code)))
 
-    return F.when(code.rlike(CODE), bind(places, search))
+    def single(s: Column) -> Column:
+        return bind(single_of(code, s, F.lit(False)), lambda one: F.when(one["code"].isNotNull(), made("corrected", one["code"])).otherwise(multi(s, one)))
+
+    return F.when(is_valid(code), made("valid", code)).when(code.rlike(CODE), bind(places(code), single)).otherwise(made("invalid", code))
 
 
 def code_class(code: Column) -> Column:
     """valid, corrected (single swap), repaired (several flips), ambiguous or invalid."""
-    return bind(
-        repair_single(code),
-        lambda one: F.when(is_valid(code), "valid").when(one["code"].isNotNull(), "corrected").when(repair_multi(code).isNotNull(), "repaired").when(one["ambiguous"], "ambiguous").otherwise("invalid"),
-    )
+    return repaired_code(code)["class"]
 
 
 def read_code(raw: Column, confidence: Column) -> Column:
@@ -79,28 +111,18 @@ def read_code(raw: Column, confidence: Column) -> Column:
 
     The first ten digits in a row are the code; without them the digits there are stay as a partial value.
     """
+    factor = {"valid": 1.0, "corrected": SINGLE_FACTOR, "repaired": MULTI_FACTOR}
 
-    def made(value: Column, factor: Column | float, valid: bool, note: str | None) -> Column:
-        return F.struct(value.alias("value"), F.round(confidence * factor, 3).alias("confidence"), F.lit(valid).alias("valid"), F.lit(note).cast("string").alias("note"))
+    def made(value: Column, weight: Column, valid: Column, note: Column) -> Column:
+        return F.struct(value.alias("value"), F.round(confidence * weight, 3).alias("confidence"), valid.alias("valid"), note.alias("note"))
 
-    def repaired(s: Column) -> Column:
-        return (
-            F.when(s["one"]["code"] == s["code"], made(s["code"], 1.0, True, None))
-            .when(s["one"]["code"].isNotNull(), made(s["one"]["code"], SINGLE_FACTOR, True, "corrected"))
-            .when(s["many"].isNotNull(), made(s["many"], MULTI_FACTOR, True, "repaired"))
-            .when(s["one"]["ambiguous"], made(s["code"], 1.0, False, "ambiguous"))
-            .otherwise(made(s["code"], 1.0, False, None))
-        )
+    def of(r: Column) -> Column:
+        weight = F.when(r["class"] == "corrected", factor["corrected"]).when(r["class"] == "repaired", factor["repaired"]).otherwise(1.0)
+        return made(r["value"], weight, r["class"].isin(*factor), F.when(~r["class"].isin("valid", "invalid"), r["class"]))
 
     def read(d: Column) -> Column:
-        code = F.regexp_extract(d, "[0-9]{10}", 0)
         part = F.nullif(d, F.lit(""))
-        weight = F.when(part.isNotNull(), PARTIAL_FACTOR).otherwise(0.0)
-        with_code = bind(code, lambda c: bind(repair_single(c), lambda one: repaired_of(c, one)))
-        return F.when(code == "", made(part, weight, False, None)).otherwise(with_code)
-
-    def repaired_of(c: Column, one: Column) -> Column:
-        many = F.when(one["code"].isNull(), repair_multi(c))
-        return bind(F.struct(c.alias("code"), one.alias("one"), many.alias("many")), repaired)
+        partial = made(part, F.when(part.isNotNull(), PARTIAL_FACTOR).otherwise(0.0), F.lit(False), F.when(part.isNotNull(), "partial"))
+        return F.when(d.rlike("[0-9]{10}"), bind(F.regexp_extract(d, "[0-9]{10}", 0), lambda c: bind(repaired_code(c), of))).otherwise(partial)
 
     return bind(only_digits(raw), read)

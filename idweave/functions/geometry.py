@@ -85,3 +85,45 @@ def region_box(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, he
     px1, py1, px2, py2 = (x1 * width).cast("int"), (y1 * height).cast("int"), (x2 * width).cast("int"), (y2 * height).cast("int")
     ax, ay = F.greatest(F.lit(2), ((px2 - px1) * pad_x).cast("int")), F.greatest(F.lit(1), ((py2 - py1) * pad_y).cast("int"))
     return box_struct(F.greatest(F.lit(0), px1 - ax), F.greatest(F.lit(0), py1 - ay), F.least(width, px2 + ax), F.least(height, py2 + ay))
+
+
+def box_metrics(quad: Column) -> Column:
+    """Struct cx, cy, w, h of a polygon: the mean of its points, and the extent of its sides."""
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
+    extent = lambda v: F.array_max(v) - F.array_min(v)
+    return bind(F.struct(xs(quad).alias("x"), ys(quad).alias("y")), lambda s: F.struct(mean(s["x"]).alias("cx"), mean(s["y"]).alias("cy"), extent(s["x"]).alias("w"), extent(s["y"]).alias("h")))
+
+
+def laid_long(quad: Column) -> Column:
+    """Ordered corners, turned by one where the upright sides are longer, so that the first side is a long one."""
+    far = lambda p, i, j: F.sqrt(F.pow(p[i]["x"] - p[j]["x"], 2) + F.pow(p[i]["y"] - p[j]["y"], 2))
+    return bind(ordered(quad), lambda p: F.when(far(p, 3, 0) + far(p, 2, 1) > far(p, 1, 0) + far(p, 2, 3), F.array(p[3], p[0], p[1], p[2])).otherwise(p))
+
+
+# Least and largest share of the frame that a candidate of each detector covers.
+AREA_SHARES = {"edges": (0.025, 0.98), "texture": (0.025, 0.97), "color": (0.025, 0.97), "holes": (0.003, 0.35)}
+
+
+def fits_area(area: Column, frame: Column, detector: Column) -> Column:
+    """Whether a candidate's area is within its detector's shares of the frame; unknown detectors have none."""
+    return F.coalesce(F.coalesce(*[F.when(detector == d, (area >= frame * low) & (area <= frame * high)) for d, (low, high) in AREA_SHARES.items()]), F.lit(False))
+
+
+def largest_face(faces: Column, width: Column, height: Column) -> Column:
+    """Struct box, face_detected, warning from an array of face boxes (x, y, w, h) in a frame: the largest, the first of equals.
+
+    Without a face, or if its padded box is empty, the box is the whole frame.
+    """
+    whole = box_struct(F.lit(0), F.lit(0), width.cast("int"), height.cast("int"))
+    made = lambda box, found, warning: F.struct(box.alias("box"), F.lit(found).alias("face_detected"), F.lit(warning).cast("string").alias("warning"))
+    first = F.get(F.array_sort(F.transform(faces, lambda f, i: F.struct((-f["w"] * f["h"]).alias("a"), i.alias("i"), f.alias("f")))), F.lit(0))["f"]
+    padded = lambda f: padded_box(f["x"], f["y"], f["w"], f["h"], width, height)
+    valid = lambda b: F.when((b["x2"] > b["x1"]) & (b["y2"] > b["y1"]), made(b, True, None)).otherwise(made(whole, False, "photo_crop_invalid"))
+    return F.when(F.coalesce(F.size(faces), F.lit(0)) <= 0, made(whole, False, "face_not_found")).otherwise(bind(first, lambda f: bind(padded(f), valid)))
+
+
+def upside_down(flag: Column, flag_turned: Column, skin_left: Column, skin_right: Column, digits: Column, digits_turned: Column) -> Column:
+    """Whether a card is to be turned around: by its flag, else by a clear gap of skin tone, else by how well digits read."""
+    biggest = F.greatest(skin_left, skin_right)
+    clear = (biggest > 0.03) & (F.abs(skin_left - skin_right) > 0.3 * biggest)
+    return F.when((flag > 0) | (flag_turned > 0), flag_turned > flag).when(clear, skin_right > skin_left).otherwise(digits_turned > digits)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from idweave.functions.binding import bind
 from idweave.functions.text import normalize_digits, only_digits
 
 # Fixed values.
@@ -35,27 +36,45 @@ def to_gregorian(year: Column, month: Column, day: Column) -> Column:
 
 
 def date_parts(raw: Column) -> Column:
-    """Struct y, m, d, confidence of the first date in a text; y is null where there is none."""
-    text, digits = normalize_digits(raw), only_digits(raw)
-    sep = [F.regexp_extract(text, SEPARATED, k) for k in (1, 2, 3)]
-    short = F.concat(F.lit("1"), digits)
+    """Struct y, m, d, confidence, joined of the first date in a text; null where there is none. joined: without separators."""
+    made = lambda parts, c: F.struct(*[p.try_cast("int").alias(n) for n, p in zip("ymd", parts)], F.lit(c).alias("confidence"), F.lit(c == BARE_CONFIDENCE).alias("joined"))
     cut = lambda s, a, n: F.substring(s, a, n)
-    made = lambda parts, c: F.struct(*[p.try_cast("int").alias(n) for n, p in zip("ymd", parts)], F.lit(c).alias("confidence"))
-    return (
-        F.when(text.rlike(SEPARATED), made(sep, SEPARATED_CONFIDENCE))
-        .when(F.length(digits) == 8, made([cut(digits, 1, 4), cut(digits, 5, 2), cut(digits, 7, 2)], BARE_CONFIDENCE))
-        .when((F.length(digits) == 6) & F.substring(digits, 1, 1).isin("3", "4"), made([cut(short, 1, 4), cut(short, 5, 1), cut(short, 6, 1)], BARE_CONFIDENCE))
-    )
+
+    def of(text: Column) -> Column:
+        bare = lambda d: F.when(F.length(d) == 8, made([cut(d, 1, 4), cut(d, 5, 2), cut(d, 7, 2)], BARE_CONFIDENCE)).when((F.length(d) == 6) & cut(d, 1, 1).isin("3", "4"), made([F.concat(F.lit("1"), cut(d, 1, 3)), cut(d, 4, 1), cut(d, 5, 1)], BARE_CONFIDENCE))
+        found = lambda m: F.when(F.size(m) == 4, made([F.get(m, F.lit(k)) for k in (1, 2, 3)], SEPARATED_CONFIDENCE)).otherwise(bind(only_digits(text), bare))
+        # the whole match and its groups, from one search
+        one = F.regexp_substr(text, F.lit(SEPARATED))
+        return bind(F.when(one.isNotNull(), F.concat(F.array(one), F.regexp_extract_all(one, F.lit("([0-9]+)"), F.lit(1)))).otherwise(F.array().cast("array<string>")), found)
+
+    return bind(normalize_digits(raw), of)
 
 
 def parse(raw: Column) -> Column:
-    """Struct jalali, iso, confidence. Days the calendar lacks keep their text and lose the date."""
-    p = date_parts(raw)
-    sound = p["m"].between(1, 12) & p["d"].between(1, 31)
-    text = F.format_string("%04d/%02d/%02d", p["y"], p["m"], p["d"])
-    iso = to_gregorian(p["y"], p["m"], p["d"])
-    confidence = p["confidence"] * F.when(p["y"].between(*PLAUSIBLE_YEARS), 1.0).otherwise(YEAR_FACTOR) * F.when(iso.isNotNull(), 1.0).otherwise(CALENDAR_FACTOR)
-    return F.struct(F.when(sound, text).alias("jalali"), F.when(sound, iso).alias("iso"), F.coalesce(F.when(sound, confidence), F.lit(0.0)).alias("confidence"))
+    """Struct jalali, iso, confidence, notes. Days the calendar lacks keep their text and lose the date.
+
+    notes: no_date, bad_month, bad_day, no_separators, odd_year, not_in_calendar.
+    """
+
+    def of(p: Column) -> Column:
+        sound = F.coalesce(p["m"].between(1, 12) & p["d"].between(1, 31), F.lit(False))
+        return F.when(sound, bind(to_gregorian(p["y"], p["m"], p["d"]), lambda iso: sound_date(p, iso))).otherwise(
+            date_struct(F.lit(None).cast("string"), F.lit(None).cast("date"), F.lit(0.0), F.array(F.when(p.isNull(), "no_date").when(~p["m"].between(1, 12), "bad_month").otherwise("bad_day")))
+        )
+
+    return bind(date_parts(raw), of)
+
+
+def date_struct(jalali: Column, iso: Column, confidence: Column, notes: Column) -> Column:
+    return F.struct(jalali.alias("jalali"), iso.alias("iso"), confidence.alias("confidence"), notes.alias("notes"))
+
+
+def sound_date(p: Column, iso: Column) -> Column:
+    plausible = p["y"].between(*PLAUSIBLE_YEARS)
+    confidence = p["confidence"] * F.when(plausible, 1.0).otherwise(YEAR_FACTOR) * F.when(iso.isNotNull(), 1.0).otherwise(CALENDAR_FACTOR)
+    text = F.concat_ws("/", F.lpad(p["y"].cast("string"), 4, "0"), F.lpad(p["m"].cast("string"), 2, "0"), F.lpad(p["d"].cast("string"), 2, "0"))
+    notes = F.array_compact(F.array(F.when(p["joined"], F.lit("no_separators")), F.when(~plausible, F.lit("odd_year")), F.when(iso.isNull(), F.lit("not_in_calendar"))))
+    return date_struct(text, iso, confidence, notes)
 
 
 def swap_variants(text: Column) -> Column:
@@ -67,8 +86,8 @@ def swap_variants(text: Column) -> Column:
 def combinations(y: Column, m: Column, d: Column) -> Column:
     """Dates y/m/d of all variants that stay within the ranges, unpadded."""
     within = lambda c, low, high: F.filter(swap_variants(c), lambda v: v.try_cast("int").between(low, high))
-    ys, ms, ds = within(y, *HARD_YEARS), within(m, 1, 12), within(d, 1, 31)
-    return F.flatten(F.transform(ys, lambda a: F.flatten(F.transform(ms, lambda b: F.transform(ds, lambda c: F.concat_ws("/", a, b, c))))))
+    every = lambda s: F.flatten(F.transform(s["ys"], lambda a: F.flatten(F.transform(s["ms"], lambda b: F.transform(s["ds"], lambda c: F.concat_ws("/", a, b, c))))))
+    return bind(F.struct(within(y, *HARD_YEARS).alias("ys"), within(m, 1, 12).alias("ms"), within(d, 1, 31).alias("ds")), every)
 
 
 def bare_candidates(raw: Column) -> Column:
@@ -81,37 +100,76 @@ def parts_of(raw: Column) -> Column:
     return F.filter(F.split(normalize_digits(raw), "[^0-9]+"), lambda p: p != "")
 
 
+def listed(candidates: Column) -> Column:
+    return F.array_sort(F.array_distinct(candidates))
+
+
 def repair_candidates(raw: Column) -> Column:
     """Sorted different candidates of a date by the order of its three parts, or else of its digits."""
-    p = parts_of(raw)
-    at = lambda k: F.element_at(p, k)
-    three = F.size(p) == 3
-    made = F.when(three & (F.length(at(1)) == 4), combinations(at(1), at(2), at(3))).when(three & (F.length(at(3)) == 4), combinations(at(3), at(2), at(1)))
-    # element_at is only reached where there are three parts
-    return F.array_sort(F.array_distinct(F.when(three & ((F.length(at(1)) == 4) | (F.length(at(3)) == 4)), made).otherwise(bare_candidates(raw))))
+
+    def of(p: Column) -> Column:
+        at = lambda k: F.get(p, F.lit(k))
+        three = F.size(p) == 3
+        ordered = F.when(three & (F.length(at(0)) == 4), p).when(three & (F.length(at(2)) == 4), F.reverse(p))
+        return bind(ordered, lambda o: F.when(o.isNotNull(), combinations(F.get(o, F.lit(0)), F.get(o, F.lit(1)), F.get(o, F.lit(2)))).otherwise(bare_candidates(raw)))
+
+    return listed(bind(parts_of(raw), of))
 
 
 def all_candidates(raw: Column) -> Column:
     """Sorted candidates with month and day in either order, from up to two four-digit years; else from the digits."""
-    p = F.filter(parts_of(raw), lambda x: F.length(x) <= 4)
-    years, rest = F.slice(F.filter(p, lambda x: F.length(x) == 4), 1, 2), F.filter(p, lambda x: F.length(x) <= 2)
-    a, b = F.get(rest, F.lit(0)), F.get(rest, F.lit(1))
-    both = F.flatten(F.transform(years, lambda y: F.concat(combinations(y, a, b), combinations(y, b, a))))
-    return F.array_sort(F.array_distinct(F.when((F.size(years) > 0) & (F.size(rest) >= 2), both).otherwise(bare_candidates(raw))))
+
+    def of(p: Column) -> Column:
+        return bind(F.struct(F.slice(F.filter(p, lambda x: F.length(x) == 4), 1, 2).alias("years"), F.filter(p, lambda x: F.length(x) <= 2).alias("rest")), chosen)
+
+    def chosen(s: Column) -> Column:
+        a, b = F.get(s["rest"], F.lit(0)), F.get(s["rest"], F.lit(1))
+        both = F.flatten(F.transform(s["years"], lambda y: F.concat(combinations(y, a, b), combinations(y, b, a))))
+        return F.when((F.size(s["years"]) > 0) & (F.size(s["rest"]) >= 2), both).otherwise(bare_candidates(raw))
+
+    return listed(bind(F.filter(parts_of(raw), lambda x: F.length(x) <= 4), of))
+
+
+def hard_year(jalali: Column) -> Column:
+    return F.substring(jalali, 1, 4).try_cast("int").between(*HARD_YEARS)
+
+
+def settled(found: Column, notes: Column) -> Column:
+    """Struct jalali, iso, confidence, notes, candidates from a list of candidates: the only one, or all of several."""
+    made = lambda j, c, n, all_: F.struct(j.alias("jalali"), F.lit(None).cast("date").alias("iso"), F.lit(c).alias("confidence"), n.alias("notes"), all_.alias("candidates"))
+    none = F.array().cast("array<string>")
+    several = made(F.lit(None).cast("string"), 0.0, notes, F.coalesce(found, none))
+    return F.when(F.size(found) == 1, made(F.element_at(found, 1), REPAIRED_CONFIDENCE, F.concat(notes, F.array(F.lit("date_repaired"))), none)).otherwise(several)
 
 
 def read_date(raw: Column, strict_years: bool = True) -> Column:
-    """Struct jalali, iso, confidence, candidates: parsed, or repaired to the only candidate, or several candidates.
+    """Struct jalali, iso, confidence, notes, candidates: parsed, or repaired to the only candidate, or several candidates.
 
     A parsed year outside ``HARD_YEARS`` is repaired as well, unless ``strict_years`` is off.
     """
-    own, found = parse(raw), repair_candidates(raw)
-    none = F.array().cast("array<string>")
-    fine = own["jalali"].isNotNull() & (F.substring(own["jalali"], 1, 4).try_cast("int").between(*HARD_YEARS) | F.lit(not strict_years))
-    made = lambda j, i, c, all_: F.struct(j.alias("jalali"), i.alias("iso"), c.alias("confidence"), all_.alias("candidates"))
-    null = F.lit(None)
-    return (
-        F.when(fine, made(own["jalali"], own["iso"], own["confidence"], none))
-        .when(F.size(found) == 1, made(F.element_at(found, 1), null.cast("date"), F.lit(REPAIRED_CONFIDENCE), none))
-        .otherwise(made(null.cast("string"), null.cast("date"), F.lit(0.0), F.coalesce(found, none)))
-    )
+
+    def of(own: Column) -> Column:
+        fine = F.coalesce(own["jalali"].isNotNull() & (hard_year(own["jalali"]) | F.lit(not strict_years)), F.lit(False))
+        kept = F.struct(own["jalali"].alias("jalali"), own["iso"].alias("iso"), own["confidence"].alias("confidence"), own["notes"].alias("notes"), F.array().cast("array<string>").alias("candidates"))
+        return F.when(fine, kept).otherwise(bind(repair_candidates(raw), lambda found: settled(found, own["notes"])))
+
+    return bind(parse(raw), of)
+
+
+def read_date_either_order(raw: Column) -> Column:
+    """As read_date, but from all candidates with month and day in either order, and the parsed date if its year is sound.
+
+    The date itself is given only where it is the single candidate, always without a calendar date.
+    """
+
+    def of(own: Column) -> Column:
+        sound = F.coalesce(hard_year(own["jalali"]), F.lit(False))
+        every = F.array_sort(F.array_union(all_candidates(raw), F.when(sound, F.array(own["jalali"])).otherwise(F.array().cast("array<string>"))))
+
+        def choose(found: Column) -> Column:
+            same = sound & (F.element_at(found, 1) == own["jalali"])
+            return bind(settled(found, own["notes"]), lambda r: F.when((F.size(found) == 1) & same, r.withField("notes", own["notes"])).otherwise(r))
+
+        return bind(every, choose)
+
+    return bind(parse(raw), of)

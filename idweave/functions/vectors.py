@@ -22,3 +22,8 @@ def rolled(image: Column, side: int, down: int, right: int) -> Column:
     at = F.sequence(F.lit(0), F.lit(side * side - 1))
     source = lambda k: F.pmod(F.floor(k / side).cast("int") - down, F.lit(side)) * side + F.pmod(k % side - right, F.lit(side))
     return F.transform(at, lambda k: F.element_at(image, source(k) + 1))
+
+
+def best_shift(image: Column, template: Column, side: int) -> Column:
+    """The largest soft_iou of a template with an image rolled by one in any of the nine directions; 0 at least."""
+    return F.greatest(F.lit(0.0), *[soft_iou(rolled(image, side, down, right), template) for down in (-1, 0, 1) for right in (-1, 0, 1)])

@@ -1,4 +1,4 @@
-"""The card's regions, field labels and label patterns as small tables, always broadcast."""
+"""The card's regions and field labels as a small table, and the patterns that show a label."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idweave.functions.geometry import region_box
+from idweave.operators.sizes import small
 
 # Field, kind, x1, y1, x2, y2 as shares of the card, label.
 REGIONS = [
@@ -13,7 +14,7 @@ REGIONS = [
     ("first_name", "text", 0.369, 0.343, 0.823, 0.442, "First Name"),
     ("last_name", "text", 0.370, 0.447, 0.824, 0.546, "Last Name"),
     ("birth_date", "date", 0.371, 0.552, 0.825, 0.650, "Birth Date"),
-    ("father_name", "text", 0.371, 0.654, 0.826, 0.739, "Father Name"),
+    ("father_name", "text", 0.371, 0.654, 0.826, 0.739, "Father's Name"),
     ("expiry_date", "date", 0.371, 0.745, 0.827, 0.829, "Expiry Date"),
     ("photo", "photo", 0.055, 0.199, 0.357, 0.759, "Photo"),
 ]
@@ -40,10 +41,6 @@ def regions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(REGIONS, "field string, kind string, x1 double, y1 double, x2 double, y2 double, label string")
 
 
-def label_patterns(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f, p, k) for k, (f, p) in enumerate(LABEL_PATTERNS)], "field string, pattern string, ord int")
-
-
 def calibrated(boxes: DataFrame) -> DataFrame:
     """Regions from dragged corners (field, ax, ay, bx, by, width, height): ordered shares to three decimals."""
     share = lambda f, a, b, size: F.round(f(a, b) / F.col(size), 3)
@@ -58,6 +55,6 @@ def calibrated(boxes: DataFrame) -> DataFrame:
 
 def exploded(cards: DataFrame, layout: DataFrame) -> DataFrame:
     """A row for each card (width, height, any other columns) and text region, with the padded box in pixels."""
-    own = layout.where("kind <> 'photo'").select("field", "kind", "x1", "y1", "x2", "y2")
+    own = small(layout.where("kind <> 'photo'").select("field", "kind", "x1", "y1", "x2", "y2"))
     box = region_box(*[F.col(c) for c in ("x1", "y1", "x2", "y2", "width", "height")])
-    return cards.crossJoin(F.broadcast(own)).withColumn("box", box).drop("x1", "y1", "x2", "y2")
+    return cards.crossJoin(own).withColumn("box", box).drop("x1", "y1", "x2", "y2")

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from idweave.functions.binding import bind
 from idweave.functions.codes import is_valid
 from idweave.functions.text import only_digits
+from idweave.operators.sizes import small
 
 AGREED, TEMPLATE_LEAST, TEMPLATE_ALONE, CONFLICT = 0.2, 0.9, 0.85, 0.5
+WEAK_TEXT, WEAK_ALL = 0.85, 0.30
+ATTEMPTS = ["soft", "binary", "raw"]
 
 
 def joined_fragments(fragments: DataFrame, keys: list[str], right_to_left: bool = False, separator: str = "") -> DataFrame:
@@ -62,19 +66,41 @@ def weighed_dates(ocr: Column, ocr_c: Column, template: Column, template_c: Colu
     )
 
 
+def matched(ocr: DataFrame, template: DataFrame, keys: list[str]) -> DataFrame:
+    """Two engines' readings (keys, raw, conf) of the same crops side by side: keys, o, oc, t, tc; either may be missing."""
+    side = lambda df, v, c: df.select(*keys, F.col("raw").alias(v), F.col("conf").alias(c))
+    both = side(ocr, "o", "oc").join(side(template, "t", "tc"), keys, "full_outer")
+    return both.withColumn("oc", F.coalesce("oc", F.lit(0.0))).withColumn("tc", F.coalesce("tc", F.lit(0.0)))
+
+
+def gated_attempts(readings: DataFrame, keys: list[str]) -> DataFrame:
+    """Of readings (keys, kind, attempt, raw, conf) those that are asked for, with attempt_no: each step only where needed.
+
+    The binary crop is read for numbers and dates, and for texts whose soft reading is weak; the raw one where all before
+    are very weak. Blank readings count as none.
+    """
+    said = F.when(F.coalesce("raw", F.lit("")) != "", F.coalesce("conf", F.lit(0.0))).otherwise(0.0)
+    of = lambda name: F.max(F.when(F.col("attempt") == name, said)).alias(name)
+    known = readings.groupBy(*keys).agg(of("soft"), of("binary")).select(*keys, F.coalesce("soft", F.lit(0.0)).alias("soft"), F.coalesce("binary", F.lit(0.0)).alias("binary"))
+    own = readings.join(known, keys)
+    second = F.col("kind").isin("number", "date") | (F.col("soft") < WEAK_TEXT)
+    third = F.greatest("soft", F.when(second, F.col("binary")).otherwise(0.0)) < WEAK_ALL
+    asked = F.when(F.col("attempt") == "soft", True).when(F.col("attempt") == "binary", second).when(F.col("attempt") == "raw", third).otherwise(False)
+    number = F.array_position(F.array(*map(F.lit, ATTEMPTS)), F.col("attempt")).cast("int") - 1
+    return own.where(asked).withColumn("attempt_no", number).drop("soft", "binary")
+
+
 def best_reading(readings: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, raw, conf, conflict of readings (attempt_no, raw, conf): the surest, the first of equals.
+    """keys, raw, conf, conflict, other of readings (attempt_no, raw, conf): the surest, the first of equals.
 
-    conflict says whether a different reading of a confidence over a half exists as well.
+    conflict says whether a different reading of a confidence over a half exists as well; other is the surest of them.
     """
-    own = readings.where("raw is not null and raw <> ''")
-    best = own.groupBy(*keys).agg(
-        F.max_by(F.struct("raw", "conf"), F.struct(F.col("conf"), -F.col("attempt_no"))).alias("best"),
-        F.min(F.when(F.col("conf") > CONFLICT, F.col("raw"))).alias("low"),
-        F.max(F.when(F.col("conf") > CONFLICT, F.col("raw"))).alias("high"),
-    )
-    other = F.coalesce((F.col("low") != F.col("best.raw")) | (F.col("high") != F.col("best.raw")), F.lit(False))
-    return best.select(*keys, F.col("best.raw").alias("raw"), F.col("best.conf").alias("conf"), other.alias("conflict"))
+    own = readings.where("raw is not null and raw <> '' and conf > 0")
+    each = own.groupBy(*keys, "raw").agg(F.max(F.struct(F.col("conf"), (-F.col("attempt_no")).alias("first"))).alias("top"))
+    two = each.withColumn("__place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("top")))).where("__place <= 2")
+    other = F.max(F.when((F.col("__place") == 2) & (F.col("top.conf") > CONFLICT), F.col("raw")))
+    at = lambda c: F.max(F.when(F.col("__place") == 1, F.col(c)))
+    return two.groupBy(*keys).agg(at("raw").alias("raw"), at("top.conf").alias("conf"), other.isNotNull().alias("conflict"), other.alias("other"))
 
 
 def kept_scores(blobs: DataFrame, keys: list[str], floor: float = 0.55, drop: float = 0.35) -> DataFrame:
@@ -83,24 +109,29 @@ def kept_scores(blobs: DataFrame, keys: list[str], floor: float = 0.55, drop: fl
     return blobs.withColumn("kept", F.col("score") >= F.greatest(F.lit(floor), top - drop))
 
 
-def upper_median(value: str) -> Column:
-    own = F.array_sort(F.collect_list(value))
-    return F.element_at(own, (F.floor(F.size(own) / 2) + 1).cast("int"))
+def upper_median(value: Column) -> Column:
+    """Of a list: the value in the middle, the upper one of two."""
+    return bind(F.array_sort(value), lambda own: F.get(own, F.floor(F.size(own) / 2).cast("int")))
 
 
 def median_band(blobs: DataFrame, keys: list[str]) -> DataFrame:
-    """blobs (h, cy) with kept: heights near the upper median, then, if any are left, centres near theirs."""
-    mid = blobs.groupBy(*keys).agg(upper_median("h").alias("mid_h"))
-    tall = blobs.join(mid, keys).where((F.col("h") >= 0.5 * F.col("mid_h")) & (F.col("h") <= 2.2 * F.col("mid_h")))
-    row = tall.groupBy(*keys).agg(upper_median("cy").alias("mid_cy"), upper_median("h").alias("row_h"))
-    near = F.abs(F.col("cy") - F.col("mid_cy")) <= 0.7 * F.col("row_h")
-    marked = tall.join(row, keys).withColumn("near", near)
-    any_ = F.max("near").over(Window.partitionBy(*keys))
-    return marked.withColumn("kept", F.col("near") | ~any_).drop("mid_h", "mid_cy", "row_h", "near")
+    """blobs (h, cy) with kept: heights near the upper median, then, if any are left, centres near theirs.
+
+    A group is a crop's blobs, so its heights and centres fit a window.
+    """
+    own = Window.partitionBy(*keys)
+    listed = blobs.withColumn("all_", F.collect_list(F.struct("h", "cy")).over(own))
+    mid = upper_median(F.transform("all_", lambda b: b["h"]))
+    tall = lambda h, m: (h >= 0.5 * m) & (h <= 2.2 * m)
+    row = bind(mid, lambda m: F.struct(m.alias("mid"), F.filter("all_", lambda b: tall(b["h"], m)).alias("tall")))
+    facts = bind(row, lambda r: F.struct(r["mid"].alias("mid"), r["tall"].alias("tall"), upper_median(F.transform(r["tall"], lambda b: b["cy"])).alias("cy"), upper_median(F.transform(r["tall"], lambda b: b["h"])).alias("h")))
+    any_ = bind(facts, lambda f: F.struct(f["mid"].alias("mid"), f["cy"].alias("cy"), f["h"].alias("h"), F.exists(f["tall"], lambda b: F.abs(b["cy"] - f["cy"]) <= 0.7 * f["h"]).alias("any")))
+    marked = listed.withColumn("row", any_).where(tall(F.col("h"), F.col("row.mid")))
+    return marked.withColumn("kept", (F.abs(F.col("cy") - F.col("row.cy")) <= 0.7 * F.col("row.h")) | ~F.col("row.any")).drop("all_", "row")
 
 
 def best_template(queries: DataFrame, templates: DataFrame, score, keys: list[str]) -> DataFrame:
     """keys, label, score: the template (label, ord, vec; a small table) most like each query (vec), the first of equals."""
-    pairs = queries.crossJoin(F.broadcast(templates.select("label", "ord", F.col("vec").alias("t_vec"))))
+    pairs = queries.crossJoin(small(templates.select("label", "ord", F.col("vec").alias("t_vec"))))
     scored = pairs.select(*keys, "label", "ord", score(F.col("vec"), F.col("t_vec")).alias("score"))
     return scored.groupBy(*keys).agg(F.max_by("label", F.struct(F.col("score"), -F.col("ord"))).alias("label"), F.max("score").alias("score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from idweave.functions.text import normalize_text, only_digits
@@ -11,13 +11,20 @@ LEFT_BONUS, DISTANCE_WEIGHT, RECOVERED = 0.15, 0.3, 0.85
 LEAST_LIMIT, HEIGHTS = 45.0, 2.5
 
 
-def label_lines(lines: DataFrame, patterns: DataFrame, keys: list[str]) -> DataFrame:
+def shown_fields(norm: Column, patterns: list[tuple[str, str]]) -> Column:
+    """Fields whose label a normalised text shows; each field's patterns are one literal expression, compiled once."""
+    fields = dict.fromkeys(f for f, _ in patterns)
+    one = {f: "|".join(f"(?:{p})" for g, p in patterns if g == f) for f in fields}
+    return F.array_compact(F.array(*[F.when(norm.rlike(p), F.lit(f)) for f, p in one.items()])) if one else F.array().cast("array<string>")
+
+
+def label_lines(lines: DataFrame, patterns: list[tuple[str, str]], keys: list[str]) -> DataFrame:
     """keys, field and the surest line (line_no, cx, cy, h) whose normalised text shows the field's label.
 
-    lines: keys, line_no, text, confidence, cx, cy, h. patterns (field, pattern) is a small table.
+    lines: keys, line_no, text, confidence, cx, cy, h. patterns: pairs of a field and an expression.
     """
     own = lines.withColumn("norm", normalize_text(F.col("text")))
-    hits = own.join(F.broadcast(patterns.select("field", "pattern")), F.expr("norm rlike pattern"))
+    hits = own.withColumn("field", F.explode(shown_fields(F.col("norm"), patterns)))
     top = F.max_by(F.struct("line_no", "cx", "cy", "h"), F.struct(F.col("confidence"), -F.col("line_no"))).alias("at")
     return hits.groupBy(*keys, "field").agg(top).select(*keys, "field", "at.*")
 
@@ -32,17 +39,19 @@ def value_pairs(labels: DataFrame, lines: DataFrame, keys: list[str]) -> DataFra
     return near.withColumn("score", score)
 
 
-def recovered(lines: DataFrame, patterns: DataFrame, missing: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, field, text, confidence for fields of ``missing`` (keys, field): the best value beside the field's label.
+def recovered(lines: DataFrame, patterns: list[tuple[str, str]], missing: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, field, text, confidence, label_found for fields of ``missing`` (keys, field).
 
-    Lines that are any field's label are no values; dates need four digits, other fields hold two at most.
+    text is the best value beside the field's label, or null; label_found says whether there was a label. Lines that are
+    any field's label are no values; dates need four digits, other fields hold two at most.
     """
-    labels = label_lines(lines, patterns, keys)
-    any_label = "|".join(f"(?:{p['pattern']})" for p in patterns.select("pattern").collect())  # a fixed small table
-    values = lines.where(~normalize_text(F.col("text")).rlike(any_label)) if any_label else lines
-    pairs = value_pairs(labels.join(missing.select(*keys, "field").distinct(), [*keys, "field"], "left_semi"), values, keys)
+    sought = missing.select(*keys, "field").distinct()
+    labels = sought.join(label_lines(lines, patterns, keys), [*keys, "field"], "left")
+    values = lines.where(F.size(shown_fields(normalize_text(F.col("text")), patterns)) == 0)
+    pairs = value_pairs(labels.where("line_no is not null"), values, keys)
     digits = F.length(only_digits(F.col("text")))
-    fits = F.when(F.col("field").endswith("_date"), digits >= 4).otherwise(digits <= 2)
+    fits = F.when(F.col("field").endswith("_date"), digits >= 4).otherwise(digits <= 2) & (F.trim("text") != "")
     rank = F.row_number().over(Window.partitionBy(*keys, "field").orderBy(F.desc("score"), "v_line"))
-    best = pairs.where(fits).withColumn("k", rank).where("k = 1")
-    return best.select(*keys, "field", "text", (F.col("confidence") * RECOVERED).alias("confidence"))
+    best = pairs.where(fits).withColumn("__place", rank).where("__place = 1")
+    best = best.select(*keys, "field", F.trim("text").alias("text"), (F.col("confidence") * RECOVERED).alias("confidence"))
+    return labels.select(*keys, "field", F.col("line_no").isNotNull().alias("label_found")).join(best, [*keys, "field"], "left").select(*keys, "field", "text", "confidence", "label_found")

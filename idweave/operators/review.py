@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from idweave.functions.binding import bind
 from idweave.functions.codes import is_valid
-from idweave.operators.layout import REQUIRED
+from idweave.operators.layout import REGIONS, REQUIRED
 
 BLURRY_UNDER, DARK_UNDER, BRIGHT_OVER, LEAST_SIDE, LEAST_CONFIDENCE = 80.0, 70.0, 210.0, 480, 0.35
 #: Fixed value: the order in which missing fields are listed.
 MISSING_ORDER = ["national_id", "first_name", "last_name", "father_name", "birth_date", "expiry_date"]
+#: The order in which fields are read.
+READ_ORDER = [r[0] for r in REGIONS if r[1] != "photo"]
 
 
 def quality(width: Column, height: Column, blur: Column, brightness: Column) -> Column:
@@ -28,11 +31,17 @@ def quality(width: Column, height: Column, blur: Column, brightness: Column) ->
 
 
 def issues(q: Column) -> Column:
-    """Codes of a capture's issues; any of them asks for a review."""
-    found = [F.when(q["is_blurry"], F.lit("blurry")), F.when(q["is_dark"], F.lit("dark")), F.when(q["is_overexposed"], F.lit("overexposed")), F.when(~q["resolution_ok"], F.lit("low_resolution"))]
+    """Codes of a capture's issues, in order; any of them asks for a review."""
+    found = [F.when(q["is_blurry"], F.lit("blurry")), F.when(~q["resolution_ok"], F.lit("low_resolution")), F.when(q["is_dark"], F.lit("dark")), F.when(q["is_overexposed"], F.lit("overexposed"))]
     return F.array_compact(F.array(*found))
 
 
+def gate(q: Column, warnings: Column, flagged: Column) -> Column:
+    """Struct warnings, needs_review: a capture's issues are one more warning and ask for a review whatever was read."""
+    found = lambda i: F.struct(F.when(F.size(i) > 0, F.array_append(warnings, F.concat(F.lit("capture_quality:"), F.array_join(i, ",")))).otherwise(warnings).alias("warnings"), (flagged | (F.size(i) > 0)).alias("needs_review"))
+    return bind(issues(q), found)
+
+
 def is_missing(value: Column, confidence: Column) -> Column:
     return value.isNull() | (value == "") | (F.coalesce(confidence, F.lit(0.0)) < LEAST_CONFIDENCE)
 
@@ -42,19 +51,40 @@ def missing_fields(values: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(values[f], F.lit("")) == "", F.lit(f)) for f in MISSING_ORDER if f in values]))
 
 
-def needs_review(missing: Column, code: Column, capture_issues: Column) -> Column:
-    return (F.size(missing) > 0) | ~is_valid(code) | (F.size(capture_issues) > 0)
+def field_struct(f: str, part) -> Column:
+    """A field's value in the record: text, or for dates a struct jalali, iso, raw, candidates."""
+    if not f.endswith("_date"):
+        return part(f, "value").alias(f)
+    none = F.array().cast("array<string>")
+    return F.struct(part(f, "value").alias("jalali"), part(f, "iso").alias("iso"), part(f, "raw").alias("raw"), F.coalesce(part(f, "candidates"), none).alias("candidates")).alias(f)
 
 
 def record(fields: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each capture from fields (keys, field, value, confidence): data, confidence, missing_fields, needs_review."""
-    wide = fields.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in REQUIRED],
-        F.map_from_entries(F.array_sort(F.collect_set(F.struct("field", F.round("confidence", 3).alias("confidence"))))).alias("confidence"),
+    """A row for each capture: data, confidence, validation, missing_fields, warnings, needs_review.
+
+    fields: keys, field, value, confidence, and where known iso, raw, candidates, warnings (of the field's first reading)
+    and more_warnings (of its recovery). Fields without a row are empty and have the confidence 0. Warnings are listed in
+    the order of the stages, within a stage in the order of the regions or the required fields; ``check_digit`` comes last.
+    """
+    kinds = {"iso": "date", "raw": "string", "candidates": "array<string>", "warnings": "array<string>", "more_warnings": "array<string>"}
+    own = fields.select("*", *[F.lit(None).cast(t).alias(c) for c, t in kinds.items() if c not in fields.columns])
+    facts = F.struct("value", "confidence", *kinds)
+    wide = own.groupBy(*keys).agg(*[F.first(F.when(F.col("field") == f, facts), ignorenulls=True).alias(f) for f in REQUIRED])
+    part = lambda f, c: F.col(f)[c]
+    code = part("national_id", "value")
+    valid, missing = is_valid(code), missing_fields({f: part(f, "value") for f in REQUIRED})
+    listed = lambda c, order: F.concat(*[F.coalesce(part(f, c), F.array().cast("array<string>")) for f in order])
+    last = F.when((F.length(code) == 10) & ~valid, F.array(F.lit("check_digit"))).otherwise(F.array().cast("array<string>"))
+    confidence = F.create_map(*[x for f in REQUIRED for x in (F.lit(f), F.round(F.coalesce(part(f, "confidence"), F.lit(0.0)), 3))])
+    return wide.select(
+        *keys,
+        F.struct(*[field_struct(f, part) for f in REQUIRED]).alias("data"),
+        confidence.alias("confidence"),
+        F.struct(valid.alias("national_id")).alias("validation"),
+        missing.alias("missing_fields"),
+        F.concat(listed("warnings", READ_ORDER), listed("more_warnings", REQUIRED), last).alias("warnings"),
+        ((F.size(missing) > 0) | ~valid).alias("needs_review"),
     )
-    missing = missing_fields({f: F.col(f) for f in REQUIRED})
-    valid = is_valid(F.col("national_id"))
-    return wide.select(*keys, F.struct(*REQUIRED).alias("data"), "confidence", F.struct(valid.alias("national_id")).alias("validation"), missing.alias("missing_fields"), ((F.size(missing) > 0) | ~valid).alias("needs_review"))
 
 
 def answers(records: DataFrame, keys: list[str]) -> DataFrame:

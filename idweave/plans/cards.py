@@ -1,37 +1,104 @@
-"""From engine readings of each field to reviewable records, as one declarative plan."""
+"""From engine readings of each field to reviewable records and whole answers, as one declarative plan."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from idweave.functions.codes import read_code
 from idweave.functions.jalali import read_date
 from idweave.functions.text import name_tokens
-from idweave.operators.layout import REQUIRED, label_patterns
+from idweave.operators.layout import LABEL_PATTERNS, REQUIRED
 from idweave.operators.readings import best_reading
 from idweave.operators.recovery import recovered
-from idweave.operators.review import is_missing, record
+from idweave.operators.review import gate, is_missing, quality, record
+
+
+def listed(*found: Column) -> Column:
+    return F.array_compact(F.array(*found))
 
 
 def field_values(best: DataFrame, key: str) -> DataFrame:
-    """key, field, value, confidence, note: each field's best reading (raw, conf), read by the field's own rules."""
-    code, date = read_code(F.col("raw"), F.col("conf")), read_date(F.col("raw"))
+    """key, field, raw, value, iso, candidates, confidence, notes: each field's reading (raw, conf) by the field's own rules.
+
+    notes are warnings of the reading, as ``code:field`` and what else there is to say. A value that cannot be read is
+    null; its confidence is 0.
+    """
     is_code, is_date = F.col("field") == "national_id", F.col("field").endswith("_date")
-    name = name_tokens(F.col("raw"))
-    read = best.withColumn("code", F.when(is_code, code)).withColumn("date", F.when(is_date, date)).withColumn("name", F.when(~is_code & ~is_date, name))
-    confidence = F.when(is_code, F.col("code.confidence")).when(is_date, F.round(F.col("conf") * F.col("date.confidence"), 3)).otherwise(F.when(F.col("name").isNotNull(), F.round("conf", 3)).otherwise(0.0))
-    note = F.when(is_code, F.col("code.note")).when(is_date & (F.size("date.candidates") > 1), F.lit("ambiguous_date"))
-    return read.select(key, "field", F.coalesce("code.value", "date.jalali", "name").alias("value"), confidence.alias("confidence"), note.alias("note"))
+    read = best.withColumn("code", F.when(is_code, read_code(F.col("raw"), F.col("conf")))).withColumn("date", F.when(is_date, read_date(F.col("raw")))).withColumn("name", F.when(~is_code & ~is_date, name_tokens(F.col("raw"))))
+    confidence = F.when(is_code, F.col("code.confidence")).when(is_date, F.round(F.col("conf") * F.col("date.confidence"), 3)).when(F.col("name").isNotNull(), F.round("conf", 3))
+    about = lambda what, *more: F.concat(F.lit(f"{what}:"), F.col("field"), *more)
+    unread = F.when(F.col("date.jalali").isNull(), F.when(F.size("date.candidates") > 0, about("ambiguous_date", F.lit(":"), F.array_join("date.candidates", ","))).otherwise(about("unread_date")))
+    of_date = F.concat(listed(unread), F.transform("date.notes", lambda n: F.concat(n, F.lit(":"), F.col("field"))))
+    notes = F.when(is_date, of_date).otherwise(listed(F.when(F.col("code.note").isNotNull(), F.concat(F.col("code.note"), F.lit("_code:"), F.col("field")))))
+    return read.select(key, "field", "raw", F.coalesce("code.value", "date.jalali", "name").alias("value"), F.col("date.iso").alias("iso"), F.col("date.candidates").alias("candidates"), F.coalesce(confidence, F.lit(0.0)).alias("confidence"), notes.alias("notes"))
+
+
+def first_values(readings: DataFrame, key: str) -> DataFrame:
+    """Every required field of every capture with its best reading's value, and the warnings of the reading."""
+    wanted = readings.select(key).distinct().select(key, F.explode(F.array(*map(F.lit, REQUIRED))).alias("field"))
+    best = best_reading(readings, [key, "field"])
+    value = field_values(best, key).join(best.select(key, "field", "conflict", "other"), [key, "field"])
+    about = lambda what, *more: F.concat(F.lit(f"{what}:"), F.col("field"), *more)
+    warnings = F.when(F.col("raw").isNull(), listed(about("nothing_read"))).otherwise(F.concat(listed(F.when(F.col("conflict"), about("two_readings", F.lit(":"), F.col("raw"), F.lit("|"), F.col("other")))), "notes"))
+    return wanted.join(value, [key, "field"], "left").withColumn("warnings", warnings).drop("notes", "conflict", "other")
+
+
+def recovered_values(first: DataFrame, lines: DataFrame, key: str) -> DataFrame:
+    """key, field, raw, value, iso, candidates, confidence, more_warnings for fields that ``first`` lacks, from free lines."""
+    missing = first.where(is_missing(F.col("value"), F.col("confidence"))).select(key, "field")
+    found = recovered(lines, LABEL_PATTERNS, missing, [key])
+    there = lines.select(key).distinct().withColumn("has_lines", F.lit(True))
+    value = field_values(found.where("text is not null").select(key, "field", F.col("text").alias("raw"), F.col("confidence").alias("conf")), key)
+    about = lambda what: F.array(F.concat(F.lit(f"{what}:"), F.col("field")))
+    warnings = F.when(F.col("has_lines").isNull(), about("no_lines")).when(~F.col("label_found"), about("no_label")).when(F.col("text").isNull(), about("no_value")).otherwise(F.coalesce("notes", F.array().cast("array<string>")))
+    return found.drop("confidence").join(there, key, "left").join(value, [key, "field"], "left").select(key, "field", "raw", "value", "iso", "candidates", "confidence", warnings.alias("more_warnings"))
 
 
 def records(readings: DataFrame, lines: DataFrame, key: str = "capture_id") -> DataFrame:
-    """Records from readings (key, field, attempt_no, raw, conf); missing fields are sought in lines, then all assembled."""
-    first = field_values(best_reading(readings, [key, "field"]), key)
-    fields = F.explode(F.array(*[F.lit(f) for f in REQUIRED])).alias("field")
-    there = first.where(~is_missing(F.col("value"), F.col("confidence"))).select(key, "field")
-    missing = readings.select(key).distinct().select(key, fields).join(there, [key, "field"], "left_anti")
-    found = recovered(lines, label_patterns(readings.sparkSession), missing, [key]).select(key, "field", F.col("text").alias("raw"), F.col("confidence").alias("conf"))
-    again = field_values(found, key).where("value is not null")
-    kept = first.join(again.select(key, "field"), [key, "field"], "left_anti")
-    return record(kept.unionByName(again), [key])
+    """Records from readings (key, field, attempt_no, raw, conf); missing fields are sought in lines, then all assembled.
+
+    What recovery reads replaces what was there: a date in any case, its confidence only if it is a date; a code or name
+    only if something is left of it.
+    """
+    first = first_values(readings, key)
+    again = recovered_values(first, lines, key).select(key, "field", *[F.col(c).alias(f"again_{c}") for c in ("raw", "value", "iso", "candidates", "confidence")], "more_warnings")
+    both = first.join(again, [key, "field"], "left")
+    wrote = F.col("again_raw").isNotNull() & (F.col("again_value").isNotNull() | F.col("field").endswith("_date"))
+    pick = lambda c: F.when(wrote, F.col(f"again_{c}")).otherwise(F.col(c)).alias(c)
+    confidence = F.when(wrote & F.col("again_value").isNotNull(), F.col("again_confidence")).otherwise(F.coalesce("confidence", F.lit(0.0)))
+    return record(both.select(key, "field", *map(pick, ("raw", "value", "iso", "candidates")), confidence.alias("confidence"), "warnings", "more_warnings"), [key])
+
+
+def responses(captures: DataFrame, records: DataFrame, key: str = "capture_id", engine: str = "tables", gpu: bool = False, phase: str = "roi-based-extraction") -> DataFrame:
+    """A whole answer for each capture, from its facts and its record.
+
+    captures: key, filename, content_type, size_bytes; width, height, blur, brightness of the frame and, with the prefix
+    card_, of the card; card_detected, card_warning; photo (binary or null), face_detected, photo_warning. Warnings of the
+    record come first, then the card's, the photo's and the capture's quality, which alone asks for a review as well. A
+    capture without a record has an empty one.
+    """
+    measured = lambda p: quality(*[F.col(p + c) for c in ("width", "height", "blur", "brightness")])
+    texts = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    own = captures.join(records, key, "left").withColumn("quality", measured("")).withColumn("card_quality", measured("card_"))
+    said = F.concat(texts(F.col("warnings")), listed(F.col("card_warning"), F.col("photo_warning")))
+    own = own.withColumn("gated", gate(F.col("quality"), said, F.coalesce("needs_review", F.lit(True))))
+    return own.select(
+        key,
+        F.lit(True).alias("success"),
+        F.uuid().alias("request_id"),
+        F.lit(phase).alias("phase"),
+        F.struct("filename", "content_type", F.col("size_bytes").cast("long").alias("size_bytes")).alias("file"),
+        "quality",
+        "card_quality",
+        F.struct(F.col("card_detected").alias("detected"), F.col("card_width").cast("int").alias("width"), F.col("card_height").cast("int").alias("height")).alias("card"),
+        F.struct(F.lit(engine).alias("engine"), F.lit("roi-per-field").alias("mode"), F.lit(gpu).alias("gpu")).alias("ocr"),
+        "data",
+        F.col("confidence").alias("field_confidence"),
+        F.coalesce("validation", F.struct(F.lit(False).alias("national_id"))).alias("validation"),
+        F.coalesce("missing_fields", F.array(*map(F.lit, REQUIRED))).alias("missing_fields"),
+        F.struct(F.col("photo").isNotNull().alias("available"), F.coalesce("face_detected", F.lit(False)).alias("face_detected"), F.base64("photo").alias("base64_png")).alias("photo"),
+        F.col("gated.warnings").alias("warnings"),
+        F.col("gated.needs_review").alias("needs_review"),
+        F.current_timestamp().alias("processed_at"),
+    )

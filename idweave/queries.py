@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from idweave.functions import codes, geometry, jalali, text, vectors
-from idweave.operators import layout, readings, recovery, review
+from idweave.operators import digits, layout, readings, recovery, review
+from idweave.plans import cards
+from idweave.sources import captures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -139,8 +141,8 @@ def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PARSED = f"""{DATED.format('VARCHAR')},
 part AS (SELECT o_orderkey, raw, regexp_extract(raw, '(1[234][0-9][0-9])[^0-9]{{1,3}}([0-9]{{1,2}})[^0-9]{{1,3}}([0-9]{{1,2}})', ['y', 'm', 'd']) AS s, regexp_replace(raw, '[^0-9]', '', 'g') AS g, length(g) = 6 AND g[1] IN ('3', '4') AS short FROM dated),
-ymd AS (SELECT o_orderkey, raw, CASE WHEN s.y <> '' THEN CAST(s.y AS INT) WHEN length(g) = 8 THEN CAST(g[1:4] AS INT) WHEN short THEN CAST('1' || g[1:3] AS INT) END AS y, CASE WHEN s.y <> '' THEN CAST(s.m AS INT) WHEN length(g) = 8 THEN CAST(g[5:6] AS INT) WHEN short THEN CAST(g[4] AS INT) END AS m,
-  CASE WHEN s.y <> '' THEN CAST(s.d AS INT) WHEN length(g) = 8 THEN CAST(g[7:8] AS INT) WHEN short THEN CAST(g[5] AS INT) END AS d, CASE WHEN s.y <> '' THEN 0.85 ELSE 0.55 END AS c FROM part),
+ymd AS (SELECT o_orderkey, raw, CASE WHEN s.y <> '' THEN TRY_CAST(s.y AS INT) WHEN length(g) = 8 THEN TRY_CAST(g[1:4] AS INT) WHEN short THEN TRY_CAST('1' || g[1:3] AS INT) END AS y, CASE WHEN s.y <> '' THEN TRY_CAST(s.m AS INT) WHEN length(g) = 8 THEN TRY_CAST(g[5:6] AS INT) WHEN short THEN TRY_CAST(g[4] AS INT) END AS m,
+  CASE WHEN s.y <> '' THEN TRY_CAST(s.d AS INT) WHEN length(g) = 8 THEN TRY_CAST(g[7:8] AS INT) WHEN short THEN TRY_CAST(g[5] AS INT) END AS d, CASE WHEN s.y <> '' THEN 0.85 ELSE 0.55 END AS c FROM part),
 sound AS (SELECT *, y - 979 AS k, d <= CASE WHEN m <= 6 THEN 31 WHEN m <= 11 OR y % 33 IN (1, 5, 9, 13, 17, 22, 26, 30) THEN 30 ELSE 29 END AS calendar FROM ymd WHERE m BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31),
 parsed AS (SELECT o_orderkey, printf('%04d/%02d/%02d', y, m, d) AS jalali, CASE WHEN calendar THEN DATE '1600-01-01' + CAST(k * 365 + (k // 33) * 8 + (k % 33 + 3) // 4 + CASE WHEN m <= 7 THEN (m - 1) * 31 ELSE (m - 7) * 30 + 186 END + d + 78 AS INT) END AS iso,
   round(c * CASE WHEN y BETWEEN 1280 AND 1450 THEN 1 ELSE 0.5 END * CASE WHEN calendar THEN 1 ELSE 0.4 END, 6) AS confidence FROM sound)"""
@@ -200,10 +202,10 @@ def roi_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Fragments: turns of a conversation as pieces of one crop.
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "conversations").where("conv_id is not null")
-    return own.select("conv_id", F.col("turn").alias("cx"), "turn", F.lit(0).alias("x"), F.col("role").alias("ord"), F.substring("text", 1, 12).alias("text"), (F.length("text") % 10 / 10).alias("confidence"))
+    return own.select("conv_id", F.col("turn").alias("cx"), "turn", F.lit(0).alias("x"), F.col("role").alias("ord"), "text", (F.length("text") % 10 / 10).alias("confidence"))
 
 
-FRAGMENTS = "SELECT conv_id, coalesce(string_agg(nullif(trim(substr(text, 1, 12), ' '), ''), '{0}' ORDER BY turn {1}, role, trim(substr(text, 1, 12), ' ')), '') AS text, round(avg(length(text) % 10 / 10.0), 6) AS confidence FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id"
+FRAGMENTS = "SELECT conv_id, coalesce(string_agg(nullif(trim(text, ' '), ''), '{0}' ORDER BY turn {1}, role, trim(text, ' ')), '') AS text, round(avg(length(text) % 10 / 10.0), 6) AS confidence FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id"
 
 
 @query(FRAGMENTS.format("", "ASC"))
@@ -252,11 +254,12 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr("user_id", "event_id as attempt_no", "event_type as raw", "cast(event_id * 31 % 101 as double) / 101 as conf")
 
 
-@query("""WITH a AS (SELECT user_id, event_id, event_type AS raw, CAST(event_id * 31 % 101 AS DOUBLE) / 101 AS conf FROM events WHERE event_type <> ''),
+@query("""WITH a AS (SELECT user_id, event_id, event_type AS raw, CAST(event_id * 31 % 101 AS DOUBLE) / 101 AS conf FROM events WHERE event_type <> '' AND event_id * 31 % 101 > 0),
 b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY conf DESC, event_id) = 1)
 SELECT b.user_id, b.raw, round(b.conf, 6) AS conf, EXISTS (SELECT 1 FROM a WHERE a.user_id = b.user_id AND a.raw <> b.raw AND a.conf > 0.5) AS conflict FROM b WHERE user_id IS NOT NULL""")
 def reading_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readings.best_reading(attempts(spark, sf_dir), ["user_id"]).where("user_id is not null").withColumn("conf", F.round("conf", 6))
+    best = readings.best_reading(attempts(spark, sf_dir), ["user_id"]).where("user_id is not null")
+    return best.select("user_id", "raw", F.round("conf", 6).alias("conf"), "conflict")
 
 
 # Lines of a capture: an order's items; two ship flags stand for labels.
@@ -274,7 +277,7 @@ LABELS = f"{LINES.format('VARCHAR')}, m AS (SELECT *, CASE WHEN text = 'تاری
 
 @query(f"WITH {LABELS} SELECT l_orderkey, field, line_no::BIGINT AS line_no FROM label")
 def label_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = recovery.label_lines(lines(spark, sf_dir), layout.label_patterns(spark), ["l_orderkey"])
+    found = recovery.label_lines(lines(spark, sf_dir), layout.LABEL_PATTERNS, ["l_orderkey"])
     return found.select("l_orderkey", "field", F.col("line_no").cast("long").alias("line_no"))
 
 
@@ -285,7 +288,7 @@ FROM label b JOIN m v ON v.l_orderkey = b.l_orderkey AND v.line_no <> b.line_no
 @query(f"WITH {BAND} SELECT l_orderkey, field, v_line::BIGINT AS v_line, coalesce(nullif(round(score, 4), 0), 0) AS score FROM pair")
 def value_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = lines(spark, sf_dir)
-    labels = recovery.label_lines(own, layout.label_patterns(spark), ["l_orderkey"])
+    labels = recovery.label_lines(own, layout.LABEL_PATTERNS, ["l_orderkey"])
     values = own.where("not text rlike '[^0-9]'")
     return recovery.value_pairs(labels, values, ["l_orderkey"]).select("l_orderkey", "field", F.col("v_line").cast("long").alias("v_line"), F.coalesce(F.nullif(F.round("score", 4), F.lit(0.0)), F.lit(0.0)).alias("score"))
 
@@ -295,19 +298,24 @@ QUALIFY row_number() OVER (PARTITION BY l_orderkey, field ORDER BY score DESC, v
 def recover_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = lines(spark, sf_dir)
     missing = own.select("l_orderkey").distinct().withColumn("field", F.explode(F.array(*[F.lit(f) for f in layout.REQUIRED])))
-    return recovery.recovered(own, layout.label_patterns(spark), missing, ["l_orderkey"]).withColumn("confidence", F.round("confidence", 6))
+    found = recovery.recovered(own, layout.LABEL_PATTERNS, missing, ["l_orderkey"]).where("text is not null")
+    return found.select("l_orderkey", "field", "text", F.round("confidence", 6).alias("confidence"))
 
 
-# Vectors: the first ten embeddings stand for templates.
-@query("""WITH t AS (SELECT vec_id AS ord, label AS t_label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 10), s AS (SELECT e.vec_id, t.ord, t.t_label, list_dot_product(e.embedding::DOUBLE[], t.v) AS p, list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) + list_dot_product(t.v, t.v) AS q FROM embeddings e, t)
+# Vectors: the ten embeddings of least id stand for the templates of ten digits.
+@query("""WITH t AS (SELECT vec_id AS ord, label AS t_label, embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 10), s AS (SELECT e.vec_id, t.ord, t.t_label, list_dot_product(e.embedding::DOUBLE[], t.v) AS p, list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) + list_dot_product(t.v, t.v) AS q FROM embeddings e, t)
 SELECT vec_id, t_label AS label, round(p / (q - p), 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY p / (q - p) DESC, ord) = 1""")
 def soft_iou_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "embeddings")
-    templates = own.where("vec_id < 10").select("label", F.col("vec_id").alias("ord"), F.col("embedding").alias("vec"))
+    templates = ten_templates(own)
     best = readings.best_template(own.select("vec_id", F.col("embedding").alias("vec")), templates, vectors.soft_iou, ["vec_id"])
     return best.withColumn("score", F.round("score", 6))
 
 
+def ten_templates(own: DataFrame) -> DataFrame:
+    return own.orderBy("vec_id").limit(10).select("label", F.col("vec_id").alias("ord"), F.col("embedding").alias("vec"))
+
+
 BLOBS = "l_orderkey, l_linenumber, l_quantity AS h, l_extendedprice / 1000 AS cy, l_discount * 10 AS score"
 
 
@@ -430,3 +438,235 @@ def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from idweave.streaming.frames import counts_by_window
 
     return counts_by_window(table(spark, sf_dir, "events"))
+
+
+@query("""WITH q AS (SELECT event_id, list_filter([CASE WHEN event_id % 160 < 80 THEN 'blurry' END, CASE WHEN least(300 + event_id % 500, 900 - event_id % 500) < 480 THEN 'low_resolution' END, CASE WHEN event_id % 256 < 70 THEN 'dark' END, CASE WHEN event_id % 256 > 210 THEN 'overexposed' END], lambda x: x IS NOT NULL) AS i FROM events)
+SELECT event_id, 'first' || CASE WHEN len(i) > 0 THEN ';capture_quality:' || array_to_string(i, ',') ELSE '' END AS warnings, len(i) > 0 OR event_id % 11 = 0 AS needs_review FROM q""")
+def capture_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    own = table(spark, sf_dir, "events").select("event_id", review.gate(review.quality(300 + k % 500, 900 - k % 500, (k % 160).cast("double"), (k % 256).cast("double")), F.array(F.lit("first")), k % 11 == 0).alias("g"))
+    return own.select("event_id", F.array_join("g.warnings", ";").alias("warnings"), "g.needs_review")
+
+
+# Uploads.
+UPLOADS = "p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'in/a.JPG' WHEN 1 THEN 'in/b.txt' WHEN 2 THEN 'in/' WHEN 3 THEN 'c.webp' WHEN 4 THEN 'in.d/e' ELSE 'f.tar.jpeg' END AS path, p_size * 300000 - 300000 AS length"
+
+
+@query(f"""SELECT p_partkey, CASE WHEN path = 'in/' THEN 'no_name' WHEN path IN ('in/b.txt', 'in.d/e') THEN 'extension' WHEN length > 10485760 THEN 'too_large' WHEN length = 0 THEN 'empty' END AS reason FROM (SELECT {UPLOADS} FROM part)""")
+def upload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captures.checked(table(spark, sf_dir, "part").selectExpr(*UPLOADS.split(", "))).select("p_partkey", "reason")
+
+
+# Free texts and character lists.
+FREE = "c_name || ' نام أكي (' || c_mktsegment || ') / متحمد'"
+
+
+@query(f"""SELECT c_custkey, trim(regexp_replace(replace(translate(replace(replace(replace(replace(replace(replace(replace(replace(replace({FREE}, 'نام', ''), 'خانوادگی', ''), 'پدر', ''), 'شمار', ''), 'ملی', ''), 'تاریخ', ''), 'تولد', ''), 'اعتبار', ''), 'ام', ''), 'أإيك', 'اایک'), 'متحمد', 'محمد'), '[^\\p{{L}}\\p{{N}}_\\s/]', '', 'g')) AS t FROM customer""")
+def free_text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", text.clean_free_text(F.expr(FREE)).alias("t"))
+
+
+@query(f"SELECT o_orderkey, regexp_replace({MARKED}, '[^0-9۰-۹٠-٩]', '', 'g') AS digits, regexp_replace({MARKED}, '[^0-9۰-۹٠-٩/.-]', '', 'g') AS dates FROM orders")
+def allowed_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marked(spark, sf_dir).select("o_orderkey", text.allowed(F.col("t"), text.DIGIT_CHARACTERS).alias("digits"), text.allowed(F.col("t"), text.DATE_CHARACTERS).alias("dates"))
+
+
+# Codes that are partly read, with notes.
+@query(f"""WITH {FLIPS}, c AS (SELECT *, {CLASS} AS class, o_orderkey % 4 = 1 AS cut FROM state)
+SELECT o_orderkey, CASE WHEN cut THEN code[1:7] WHEN class = 'corrected' THEN single WHEN class = 'repaired' THEN multi ELSE code END AS value, round(0.8 * CASE WHEN cut THEN 0.4 WHEN class = 'corrected' THEN 0.9 WHEN class = 'repaired' THEN 0.85 ELSE 1 END, 3) AS confidence,
+  NOT cut AND class IN ('valid', 'corrected', 'repaired') AS valid, CASE WHEN cut THEN 'partial' WHEN class NOT IN ('valid', 'invalid') THEN class END AS note FROM c""")
+def code_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.when(F.col("o_orderkey") % 4 == 1, F.substring("code", 1, 7)).otherwise(F.concat(F.col("code"), F.lit(" 12")))
+    return coded(spark, sf_dir).select("o_orderkey", codes.read_code(raw, F.lit(0.8)).alias("r")).select("o_orderkey", "r.*")
+
+
+# Dates with month and day in either order.
+EITHER = f"""{PARSED},
+w AS (SELECT o_orderkey, raw, list_filter(regexp_split_to_array(raw, '[^0-9]+'), lambda x: x <> '' AND length(x) <= 4) AS p, regexp_extract(regexp_replace(raw, '[^0-9]', '', 'g'), '(1[234][0-9][0-9])([0-9][0-9])([0-9][0-9])', ['y', 'm', 'd']) AS g FROM dated),
+r AS (SELECT o_orderkey, list_filter(p, lambda x: length(x) = 4)[1] AS y, list_filter(p, lambda x: length(x) <= 2) AS ab, g FROM w),
+o AS (SELECT o_orderkey, CASE WHEN y IS NOT NULL AND len(ab) >= 2 THEN y ELSE g.y END AS y, CASE WHEN y IS NOT NULL AND len(ab) >= 2 THEN ab[1] ELSE g.m END AS m, CASE WHEN y IS NOT NULL AND len(ab) >= 2 THEN ab[2] ELSE g.d END AS d FROM r
+  UNION ALL SELECT o_orderkey, y, ab[2], ab[1] FROM r WHERE y IS NOT NULL AND len(ab) >= 2),
+ys AS (SELECT DISTINCT o_orderkey, y AS k, m, d, unnest({variants_sql('y')}) AS y FROM o), ms AS (SELECT DISTINCT o_orderkey, k, y, d, unnest({variants_sql('m')}) AS m FROM ys), ds AS (SELECT DISTINCT o_orderkey, y, m, unnest({variants_sql('d')}) AS d FROM ms),
+every AS (SELECT DISTINCT o_orderkey, y || '/' || m || '/' || d AS v FROM ds WHERE TRY_CAST(y AS INT) BETWEEN 1250 AND 1420 AND TRY_CAST(m AS INT) BETWEEN 1 AND 12 AND TRY_CAST(d AS INT) BETWEEN 1 AND 31)"""
+
+
+@query(f"WITH {EITHER} SELECT o_orderkey, coalesce(string_agg(v, ',' ORDER BY v), '') AS candidates FROM orders LEFT JOIN every USING (o_orderkey) GROUP BY o_orderkey")
+def date_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dated(spark, sf_dir).select("o_orderkey", F.array_join(jalali.all_candidates(F.col("raw")), ",").alias("candidates"))
+
+
+@query(f"""WITH {EITHER}, both_ AS (SELECT * FROM every UNION SELECT o_orderkey, jalali FROM parsed WHERE CAST(jalali[1:4] AS INT) BETWEEN 1250 AND 1420), found AS (SELECT o_orderkey, count(*) AS n, min(v) AS one, string_agg(v, ',' ORDER BY v) AS all_ FROM both_ GROUP BY 1)
+SELECT o_orderkey, CASE WHEN n = 1 THEN one END AS jalali, CASE WHEN n = 1 THEN 0.6 ELSE 0 END AS confidence, CASE WHEN n > 1 THEN all_ ELSE '' END AS candidates FROM orders LEFT JOIN found USING (o_orderkey)""")
+def date_either_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = dated(spark, sf_dir).select("o_orderkey", jalali.read_date_either_order(F.col("raw")).alias("r"))
+    return own.select("o_orderkey", "r.jalali", "r.confidence", F.array_join("r.candidates", ",").alias("candidates"))
+
+
+# Two engines' tables, and attempts.
+@query(f"""WITH {ENGINE_ROWS}, s AS (SELECT *, CASE WHEN length(t) = 10 THEN list_sum(list_transform(range(1, 10), lambda i: TRY_CAST(t[i] AS INT) * (11 - i))) % 11 END AS r FROM e WHERE o IS NOT NULL OR t IS NOT NULL)
+SELECT event_id, o IS NOT NULL AS has_o, t IS NOT NULL AS has_t, CASE WHEN o IS NOT NULL AND t = o THEN 'agreed' WHEN coalesce({T_VALID}, false) THEN 'valid_template' WHEN o IS NOT NULL THEN 'ocr' ELSE 'template' END AS rule FROM s""")
+def two_engine_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = engines(spark, sf_dir)
+    side = lambda v, c: own.where(f"{v} is not null").select("event_id", F.col(v).alias("raw"), F.col(c).alias("conf"))
+    both = readings.matched(side("o", "oc"), side("t", "tc"), ["event_id"])
+    return both.select("event_id", F.col("o").isNotNull().alias("has_o"), F.col("t").isNotNull().alias("has_t"), readings.weighed_digits(F.col("o"), F.col("oc"), F.col("t"), F.col("tc"))["rule"].alias("rule"))
+
+
+@query("""WITH a AS (SELECT event_id // 3 AS k, event_id % 3 AS n, CASE event_id // 3 % 3 WHEN 0 THEN 'number' WHEN 1 THEN 'text' ELSE 'date' END AS kind, CASE WHEN event_id % 10 = 0 THEN NULL ELSE event_type END AS raw, CAST(event_id * 31 % 101 AS DOUBLE) / 101 AS conf FROM events),
+s AS (SELECT k, coalesce(max(conf) FILTER (WHERE n = 0 AND raw <> ''), 0) AS soft, coalesce(max(conf) FILTER (WHERE n = 1 AND raw <> ''), 0) AS bin FROM a GROUP BY 1),
+g AS (SELECT a.*, kind <> 'text' OR soft < 0.85 AS second, soft, bin FROM a JOIN s USING (k))
+SELECT k, n AS attempt_no, raw FROM g WHERE n = 0 OR (n = 1 AND second) OR (n = 2 AND greatest(soft, CASE WHEN second THEN bin ELSE 0 END) < 0.3)""")
+def attempt_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "events").selectExpr("event_id div 3 as k", "element_at(array('soft', 'binary', 'raw'), int(event_id % 3) + 1) as attempt", "element_at(array('number', 'text', 'date'), int(event_id div 3 % 3) + 1) as kind", "if(event_id % 10 = 0, null, event_type) as raw", "cast(event_id * 31 % 101 as double) / 101 as conf")
+    return readings.gated_attempts(own, ["k"]).select("k", F.col("attempt_no").cast("long").alias("attempt_no"), "raw")
+
+
+# Digits: line items as blobs, two orders a crop.
+@query("""WITH b AS (SELECT l_orderkey // 2 AS g, l_partkey AS x, l_linenumber AS part, CASE WHEN l_suppkey % 9 = 0 THEN 'reject' ELSE CAST(l_partkey % 10 AS VARCHAR) END AS label, l_discount * 10 AS score FROM lineitem),
+t AS (SELECT g, count(*) AS blobs FROM b GROUP BY 1), k AS (SELECT * FROM b WHERE label <> 'reject' QUALIFY score >= greatest(0.55, max(score) OVER (PARTITION BY g) - 0.35)),
+r AS (SELECT g, count(*) AS n, string_agg(label, '' ORDER BY x, part, label) AS digits, avg(score) AS mean FROM k GROUP BY 1)
+SELECT g, CASE WHEN blobs >= 6 AND n BETWEEN 6 AND 12 THEN digits END AS digits, CASE WHEN blobs >= 6 AND n BETWEEN 6 AND 12 THEN round(mean, 6) ELSE 0 END AS confidence FROM t LEFT JOIN r USING (g)""")
+def digit_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey div 2 as g", "l_partkey as x", "l_linenumber as part", "if(l_suppkey % 9 = 0, 'reject', string(l_partkey % 10)) as label", "l_discount * 10 as score")
+    return digits.assembled(own, ["g"]).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, 3 + l_partkey % 12 AS w, 4 + l_suppkey % 9 AS h, l_partkey AS p FROM lineitem), g AS (SELECT l_orderkey, list_sort(list(w)) AS ws FROM b GROUP BY 1),
+c AS (SELECT b.*, list_transform(range(0, w), lambda i: (p * (i + 1) * 7919) % 13) AS cols, CASE WHEN w >= 1.6 * ws[len(ws) // 2 + 1] AND w >= 1.4 * h THEN CAST(trunc(w * 0.25) AS INT) END AS lo, CAST(trunc(w * 0.75) AS INT) AS hi FROM b JOIN g USING (l_orderkey)),
+d AS (SELECT *, CASE WHEN hi > lo THEN lo + list_position(cols[lo + 1 : hi], list_min(cols[lo + 1 : hi])) - 1 END AS cut FROM c),
+e AS (SELECT *, CASE WHEN cut IS NULL THEN [range(0, w)] ELSE list_filter([list_filter(range(0, cut), lambda i: cols[i + 1] > 0), list_filter(range(cut, w), lambda i: cols[i + 1] > 0)], lambda x: len(x) > 0) END AS found FROM d), e2 AS (SELECT *, CASE WHEN len(found) = 0 THEN [range(0, w)] ELSE found END AS parts FROM e),
+f AS (SELECT l_orderkey, l_linenumber, parts, unnest(range(1, len(parts) + 1)) AS k FROM e2)
+SELECT l_orderkey, l_linenumber, k - 1 AS part, list_min(parts[k]) AS from_x, list_max(parts[k]) + 1 AS to_x FROM f""")
+def wide_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "int(3 + l_partkey % 12) as w", "int(4 + l_suppkey % 9) as h", "transform(sequence(0, int(2 + l_partkey % 12)), i -> (l_partkey * (i + 1) * 7919) % 13) as columns")
+    return digits.split_wide(own, ["l_orderkey"]).select("l_orderkey", "l_linenumber", *[F.col(c).cast("long").alias(c) for c in ("part", "from_x", "to_x")])
+
+
+ROLLED = "list_transform(range(0, 64), lambda i: v[((i // 8 - {0} + 8) % 8) * 8 + (i % 8 - {1} + 8) % 8 + 1])"
+NINE = " UNION ALL ".join(f"SELECT ord, t_label, {ROLLED.format(a, b)} AS v FROM t" for a in (-1, 0, 1) for b in (-1, 0, 1))
+
+
+@query(f"""WITH t AS (SELECT vec_id AS ord, CASE WHEN row_number() OVER (ORDER BY vec_id) > 8 THEN 'reject:' ELSE '' END || label AS t_label, embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 10), n AS ({NINE}), e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT e.vec_id, n.ord, n.t_label, list_dot_product(e.v, n.v) AS p, list_dot_product(e.v, e.v) + list_dot_product(n.v, n.v) AS q FROM e, n)
+SELECT vec_id, CASE WHEN t_label LIKE 'reject:%' OR p <= 0 THEN 'reject' ELSE t_label END AS label, round(greatest(p / (q - p), 0), 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY p / (q - p) DESC, ord) = 1""")
+def shifted_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "embeddings")
+    k = F.row_number().over(Window.orderBy("ord"))
+    templates = ten_templates(own).withColumn("label", F.concat(F.when(k > 8, "reject:").otherwise(""), F.col("label").cast("string")))
+    best = digits.classified(own.select("vec_id", F.col("embedding").alias("vec")), templates, ["vec_id"], side=8)
+    return best.withColumn("score", F.round("score", 6))
+
+
+# Geometry.
+@query(f"WITH {CORNERS} SELECT l_orderkey, l_linenumber, (4 * x + 2 * w + 2) / 4.0 AS cx, (4 * y + 2 * h + 3) / 4.0 AS cy, w::DOUBLE AS width, h::DOUBLE AS height FROM q")
+def box_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = quads(spark, sf_dir).withColumn("m", geometry.box_metrics(F.col("quad")))
+    return own.select("l_orderkey", "l_linenumber", "m.cx", "m.cy", F.col("m.w").alias("width"), F.col("m.h").alias("height"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN v > h THEN 102 ELSE 100 END::DOUBLE AS first_x, CASE WHEN v > h THEN 200 + t ELSE 200 END::DOUBLE AS first_y
+FROM (SELECT l_orderkey, l_linenumber, t, w - 2 + sqrt(w * w + 9) AS h, sqrt(4 + t * t) + t - 3 AS v FROM (SELECT l_orderkey, l_linenumber, 50 + l_partkey % 90 AS w, 50 + l_suppkey % 90 AS t FROM lineitem))""")
+def corner_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "50 + l_partkey % 90 as w", "50 + l_suppkey % 90 as t")
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    w, t = 100 + F.col("w"), 200 + F.col("t")
+    own = own.withColumn("p", geometry.laid_long(F.array(point(w, t), point(F.lit(100), F.lit(200)), point(w, F.lit(203)), point(F.lit(102), t)))[0])
+    return own.select("l_orderkey", "l_linenumber", F.col("p.x").alias("first_x"), F.col("p.y").alias("first_y"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, coalesce(CASE l_linenumber % 5 WHEN 0 THEN a BETWEEN 0.025 AND 0.98 WHEN 1 THEN a BETWEEN 0.025 AND 0.97 WHEN 2 THEN a BETWEEN 0.025 AND 0.97 WHEN 3 THEN a BETWEEN 0.003 AND 0.35 END, false) AS fits FROM (SELECT l_orderkey, l_linenumber, (l_partkey % 1000 + 0.5) / 1000.0 AS a FROM lineitem)""")
+def area_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "lineitem")
+    detector = F.element_at(F.array(*map(F.lit, ("edges", "texture", "color", "holes", "other"))), (F.col("l_linenumber") % 5).cast("int") + 1)
+    return own.select("l_orderkey", "l_linenumber", geometry.fits_area(F.col("l_partkey") % 1000 + 0.5, F.lit(1000.0), detector).alias("fits"))
+
+
+@query("""WITH f AS (SELECT o_orderkey, unnest(range(0, CAST(o_orderkey % 4 AS INT))) AS i FROM orders), g AS (SELECT *, CASE i WHEN 0 THEN o_orderkey % 280 WHEN 1 THEN o_orderkey % 90 ELSE 400 END AS x, CASE i WHEN 0 THEN o_orderkey % 150 WHEN 1 THEN o_orderkey % 80 ELSE 20 END AS y, CASE i WHEN 0 THEN 20 + o_orderkey % 30 WHEN 1 THEN 20 + o_orderkey % 50 ELSE 40 END AS w, CASE i WHEN 0 THEN 20 + o_orderkey % 25 WHEN 1 THEN 10 + o_orderkey % 40 ELSE 40 END AS h FROM f),
+b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY w * h DESC, i) = 1),
+p AS (SELECT o_orderkey, greatest(0, CAST(trunc(x - w * 0.35::DOUBLE) AS BIGINT)) AS x1, greatest(0, CAST(trunc(y - h * 0.55::DOUBLE) AS BIGINT)) AS y1, least(300, CAST(trunc(x + w * (1 + 0.35::DOUBLE)) AS BIGINT)) AS x2, least(200, CAST(trunc(y + h * (1 + 0.85::DOUBLE)) AS BIGINT)) AS y2 FROM b)
+SELECT o_orderkey, CASE WHEN x2 > x1 AND y2 > y1 THEN x1 ELSE 0 END AS x1, CASE WHEN x2 > x1 AND y2 > y1 THEN y1 ELSE 0 END AS y1, CASE WHEN x2 > x1 AND y2 > y1 THEN x2 ELSE 300 END AS x2, CASE WHEN x2 > x1 AND y2 > y1 THEN y2 ELSE 200 END AS y2, coalesce(x2 > x1 AND y2 > y1, false) AS face_detected, CASE WHEN x1 IS NULL THEN 'face_not_found' WHEN NOT (x2 > x1 AND y2 > y1) THEN 'photo_crop_invalid' END AS warning FROM orders LEFT JOIN p USING (o_orderkey)""")
+def face_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = lambda x, y, w, h: F.struct(*[v.cast("int").alias(n) for n, v in zip("xywh", (x, y, w, h))])
+    k = F.col("o_orderkey")
+    faces = F.slice(F.array(box(k % 280, k % 150, 20 + k % 30, 20 + k % 25), box(k % 90, k % 80, 20 + k % 50, 10 + k % 40), box(F.lit(400), F.lit(20), F.lit(40), F.lit(40))), 1, (k % 4).cast("int"))
+    own = table(spark, sf_dir, "orders").select("o_orderkey", geometry.largest_face(faces, F.lit(300), F.lit(200)).alias("f"))
+    return own.select("o_orderkey", *[F.col(f"f.box.{c}").cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")], "f.face_detected", "f.warning")
+
+
+@query("""SELECT event_id, CASE WHEN a > 0 OR b > 0 THEN b > a WHEN greatest(l, r) > 0.03 AND abs(l - r) > 0.3 * greatest(l, r) THEN r > l ELSE e > d END AS turned
+FROM (SELECT event_id, event_id % 3 * (event_id % 2) AS a, event_id % 5 * (event_id % 2) AS b, event_id % 17 / 100.0 AS l, event_id % 13 / 100.0 AS r, event_id % 7 AS d, event_id % 11 AS e FROM events)""")
+def orientation_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", geometry.upside_down(k % 3 * (k % 2), k % 5 * (k % 2), k % 17 / 100, k % 13 / 100, k % 7, k % 11).alias("turned"))
+
+
+# Whole answers: an order is a capture, with readings, free lines and quality from its columns.
+def card_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    k = F.col("o_orderkey")
+    own = coded(spark, sf_dir).join(dated(spark, sf_dir), "o_orderkey")
+    entry = lambda field, n, raw, conf: F.struct(F.lit(field).alias("field"), F.lit(n).alias("attempt_no"), raw.cast("string").alias("raw"), F.lit(conf).alias("conf"))
+    father = [entry("father_name", 0, F.when(k % 5 == 0, "علی"), 0.2), entry("father_name", 0, F.when(k % 5 != 0, "علی"), 0.9)]
+    read = [
+        entry("national_id", 0, F.concat(F.lit("ID "), F.col("code")), 0.8),
+        entry("first_name", 0, F.when(k % 4 != 0, "محمد"), 0.75),
+        entry("last_name", 0, F.lit("رضایی"), 0.7),
+        entry("last_name", 1, F.when(k % 3 == 0, "رضوی"), 0.6),
+        entry("birth_date", 0, F.col("raw"), 0.9),
+        entry("expiry_date", 0, F.when(k % 6 != 0, F.col("raw")), 0.9),
+        *father,
+    ]
+    readings_ = own.select("o_orderkey", F.explode(F.array(*read)).alias("e")).select("o_orderkey", "e.*")
+    line = lambda n, t, cx: F.struct(F.lit(n).alias("line_no"), F.lit(t).alias("text"), F.lit(0.9).alias("confidence"), F.lit(cx).alias("cx"), F.lit(100.0).alias("cy"), F.lit(20.0).alias("h"))
+    both = F.when(k % 10 < 5, F.array(line(0, "نام پدر", 300.0), line(1, "حسین", 100.0))).when(k % 10 < 8, F.array(line(0, "نام پدر", 300.0)))
+    lines_ = own.select("o_orderkey", F.explode(both).alias("e")).select("o_orderkey", "e.*")
+    shots = own.select(
+        "o_orderkey",
+        F.concat(F.lit("c"), k.cast("string"), F.lit(".png")).alias("filename"),
+        F.lit("image/png").alias("content_type"),
+        k.alias("size_bytes"),
+        *[c.alias(p + n) for p, d in (("", 0), ("card_", 1)) for n, c in (("width", 300 + (k + d) % 500), ("height", 900 - (k + d) % 500), ("blur", ((k + d) % 160).cast("double")), ("brightness", ((k + d) % 256).cast("double")))],
+        (k % 2 == 0).alias("card_detected"),
+        F.when(k % 9 == 0, "card_at_edge").alias("card_warning"),
+        F.when(k % 7 != 0, F.lit("png").cast("binary")).alias("photo"),
+        (k % 7 > 1).alias("face_detected"),
+        F.when(k % 7 <= 1, "face_not_found").alias("photo_warning"),
+    )
+    return readings_, lines_, shots
+
+
+CARD = f"""WITH {FLIPS}, {PARSED},
+noted AS (SELECT o_orderkey, raw, list_filter(CASE WHEN y IS NULL THEN ['no_date'] WHEN NOT m BETWEEN 1 AND 12 THEN ['bad_month'] WHEN NOT d BETWEEN 1 AND 31 THEN ['bad_day'] ELSE [CASE WHEN c < 0.6 THEN 'no_separators' END, CASE WHEN NOT y BETWEEN 1280 AND 1450 THEN 'odd_year' END,
+  CASE WHEN d > CASE WHEN m <= 6 THEN 31 WHEN m <= 11 OR y % 33 IN (1, 5, 9, 13, 17, 22, 26, 30) THEN 30 ELSE 29 END THEN 'not_in_calendar' END] END, lambda x: x IS NOT NULL) AS notes FROM ymd),
+three AS (SELECT o_orderkey, raw, list_filter(regexp_split_to_array(raw, '[^0-9]+'), lambda x: x <> '') AS p, regexp_extract(regexp_replace(raw, '[^0-9]', '', 'g'), '(1[234][0-9][0-9])([0-9][0-9])([0-9][0-9])', ['y', 'm', 'd']) AS g FROM dated),
+o AS (SELECT o_orderkey, CASE WHEN len(p) = 3 AND length(p[1]) = 4 THEN p[1] WHEN len(p) = 3 AND length(p[3]) = 4 THEN p[3] ELSE g.y END AS y, CASE WHEN len(p) = 3 AND (length(p[1]) = 4 OR length(p[3]) = 4) THEN p[2] ELSE g.m END AS m,
+  CASE WHEN len(p) = 3 AND length(p[1]) = 4 THEN p[3] WHEN len(p) = 3 AND length(p[3]) = 4 THEN p[1] ELSE g.d END AS d FROM three),
+ys AS (SELECT o_orderkey, unnest({variants_sql('y')}) AS y FROM o), ms AS (SELECT o_orderkey, unnest({variants_sql('m')}) AS m FROM o), ds AS (SELECT o_orderkey, unnest({variants_sql('d')}) AS d FROM o),
+every AS (SELECT DISTINCT o_orderkey, y || '/' || m || '/' || d AS v FROM ys JOIN ms USING (o_orderkey) JOIN ds USING (o_orderkey)
+  WHERE TRY_CAST(y AS INT) BETWEEN 1250 AND 1420 AND TRY_CAST(m AS INT) BETWEEN 1 AND 12 AND TRY_CAST(d AS INT) BETWEEN 1 AND 31),
+found AS (SELECT o_orderkey, count(*) AS n, min(v) AS one, string_agg(v, ',' ORDER BY v) AS all_ FROM every GROUP BY 1),
+read_ AS (SELECT o_orderkey, raw, notes, iso, jalali, confidence, coalesce(TRY_CAST(jalali[1:4] AS INT) BETWEEN 1250 AND 1420, false) AS fine, coalesce(n, 0) AS n, one, all_ FROM noted LEFT JOIN parsed USING (o_orderkey) LEFT JOIN found USING (o_orderkey)),
+dates AS (SELECT o_orderkey, raw, CASE WHEN fine THEN jalali WHEN n = 1 THEN one END AS jalali, CASE WHEN fine THEN strftime(iso, '%Y-%m-%d') END AS iso, CASE WHEN fine THEN round(0.9 * confidence, 3) WHEN n = 1 THEN 0.54 ELSE 0 END AS conf,
+  CASE WHEN NOT fine AND n > 1 THEN ['ambiguous_date:@:' || all_] WHEN NOT fine AND n <> 1 THEN ['unread_date:@'] ELSE [] END || list_transform(notes || CASE WHEN NOT fine AND n = 1 THEN ['date_repaired'] ELSE [] END, lambda x: x || ':@') AS said FROM read_),
+facts AS (SELECT s.o_orderkey AS k, {CLASS} AS class, CASE WHEN valid THEN code WHEN n_single = 1 THEN single WHEN n_multi = 1 THEN multi ELSE code END AS id, d.* FROM state s JOIN dates d USING (o_orderkey)),
+plain AS (SELECT *, k % 4 = 0 AS no_first, k % 5 = 0 AS weak_father, k % 6 = 0 AS no_expiry, k % 5 = 0 AND k % 10 < 5 AS new_father, jalali IS NULL OR conf < 0.35 AS no_birth FROM facts),
+lost AS (SELECT *, list_transform(list_filter([CASE WHEN no_first THEN 'first_name' END, CASE WHEN weak_father THEN 'father_name' END, CASE WHEN no_birth THEN 'birth_date' END, CASE WHEN no_birth OR no_expiry THEN 'expiry_date' END], lambda x: x IS NOT NULL),
+  lambda f: CASE WHEN k % 10 >= 8 THEN 'no_lines:' || f WHEN f <> 'father_name' THEN 'no_label:' || f WHEN k % 10 >= 5 THEN 'no_value:' || f ELSE '' END) AS sought FROM plain),
+q AS (SELECT *, list_filter([CASE WHEN k % 160 < 80 THEN 'blurry' END, CASE WHEN least(300 + k % 500, 900 - k % 500) < 480 THEN 'low_resolution' END, CASE WHEN k % 256 < 70 THEN 'dark' END, CASE WHEN k % 256 > 210 THEN 'overexposed' END], lambda x: x IS NOT NULL) AS i,
+  class IN ('valid', 'corrected', 'repaired') AS sound, array_to_string(list_filter([CASE WHEN no_first THEN 'first_name' END, CASE WHEN jalali IS NULL THEN 'birth_date' END, CASE WHEN jalali IS NULL OR no_expiry THEN 'expiry_date' END], lambda x: x IS NOT NULL), ',') AS missing FROM lost)
+SELECT k AS o_orderkey, id AS national_id, CASE WHEN new_father THEN 'حسین' ELSE 'علی' END AS father, CASE WHEN new_father THEN 0.765 WHEN weak_father THEN 0.2 ELSE 0.9 END AS father_confidence, jalali AS birth, iso AS birth_iso, raw AS birth_raw, conf AS birth_confidence, missing, sound AS valid,
+  array_to_string(list_filter(CASE WHEN class IN ('valid', 'invalid') THEN [] ELSE [class || '_code:national_id'] END || CASE WHEN no_first THEN ['nothing_read:first_name'] ELSE [] END || CASE WHEN k % 3 = 0 THEN ['two_readings:last_name:رضایی|رضوی'] ELSE [] END
+    || list_transform(said, lambda x: replace(x, '@', 'birth_date')) || CASE WHEN no_expiry THEN ['nothing_read:expiry_date'] ELSE list_transform(said, lambda x: replace(x, '@', 'expiry_date')) END || sought || CASE WHEN sound THEN [] ELSE ['check_digit'] END
+    || CASE WHEN k % 9 = 0 THEN ['card_at_edge'] ELSE [] END || CASE WHEN k % 7 <= 1 THEN ['face_not_found'] ELSE [] END || CASE WHEN len(i) > 0 THEN ['capture_quality:' || array_to_string(i, ',')] ELSE [] END, lambda x: x <> ''), ';') AS warnings,
+  missing <> '' OR NOT sound OR len(i) > 0 AS needs_review, (k + 1) % 160 < 80 AS card_is_blurry, k % 7 <> 0 AS photo_available, 'c' || k || '.png' AS filename FROM q"""
+
+
+@query(CARD)
+def card_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read, free, shots = card_inputs(spark, sf_dir)
+    made = cards.responses(shots, cards.records(read, free, "o_orderkey"), "o_orderkey")
+    return made.select(
+        "o_orderkey", F.col("data.national_id").alias("national_id"), F.col("data.father_name").alias("father"), F.col("field_confidence")["father_name"].alias("father_confidence"),
+        F.col("data.birth_date.jalali").alias("birth"), F.date_format("data.birth_date.iso", "yyyy-MM-dd").alias("birth_iso"), F.col("data.birth_date.raw").alias("birth_raw"), F.col("field_confidence")["birth_date"].alias("birth_confidence"),
+        F.array_join("missing_fields", ",").alias("missing"), F.col("validation.national_id").alias("valid"), F.array_join("warnings", ";").alias("warnings"), "needs_review",
+        F.col("card_quality.is_blurry").alias("card_is_blurry"), F.col("photo.available").alias("photo_available"), F.col("file.filename").alias("filename"),
+    )
