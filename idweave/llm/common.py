@@ -63,7 +63,7 @@ def noting() -> Iterator[list[Staged]]:
     try:
         yield own
     finally:
-        Staged.noted.remove(own)
+        Staged.noted.pop()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -115,7 +115,7 @@ def components(edges: DataFrame) -> DataFrame:
             moved = left.join(hook.toDF("src", "a"), "src").join(hook.toDF("dst", "b"), "dst").where("a <> b")
             left = Staged(moved.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "edges").df
         if not hooks:
-            return one.select(F.col("src").alias("node"), F.col("dst").alias("component")).limit(0)
+            return edges.sparkSession.createDataFrame([], "node long, component long")
         roots = hooks[-1].withColumnRenamed("to", "root")
         for k, hook in enumerate(reversed(hooks[:-1])):
             roots = Staged(hook.join(roots.toDF("to", "root"), "to", "left").select("node", F.coalesce("root", "to").alias("root")), f"roots{k}").df

@@ -22,7 +22,7 @@ from idweave.llm.common import Staged, components, noting
 BANDS, PARTS, ROWS = 16, 8, 6  #: a pair of similarity s shares no band with a probability of (1 - s ** ROWS) ** BANDS: 0.8 % at 0.8, 0.04 % at 0.85
 BROADCAST_KEYS = 2_000_000  #: keys of lines that are fetched are broadcast up to this count (16 MB) and shuffled beyond it
 SIGNED = 5  #: characters of a shingle
-WORDS = 32  #: of 64 bits in a line's sketch
+WORDS = 8  #: of 64 bits in a line's sketch
 PIVOTS = 512  #: lines of a bucket that are held against all of it in one round
 SHORT = 64  #: shingles of a line up to which all its links come from bands that each sign all its shingles
 SAMPLED, HOT, MOST_HOT = 256, 64, 10_000  #: one line in so many tells which buckets are hot; this many of them in one mark it; hot buckets split at most
@@ -94,18 +94,18 @@ def signed(shingles: DataFrame, kind: int) -> DataFrame:
 
 
 def banded(lines: DataFrame, least: float) -> DataFrame:
-    """k and b of every band of the different lines.
+    """k and b of every band of the different lines among lines (k, line).
 
     A line of n shingles links with none of more than n / least. So lines of up to SHORT / least different shingles sign
     all of them for every part, each part with a hash of its own, and lines of SHORT shingles or more deal theirs among the parts.
     """
-    different = lines.select("k", "line").dropDuplicates(["k"])
     widest = int(SHORT / least + 1e-6)
     # the beginning of a long line tells in nearly all cases that its shingles are too many
     few = lambda line: F.size(F.array_distinct(shingle_hashes(line))) <= widest
-    short = different.where(F.when(F.char_length("line") < widest + SIGNED, True).otherwise(few(F.substring("line", 1, widest + 24)) & few(F.col("line"))))
-    every = shingle_rows(short).select("k", "h", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")).select("k", "part", F.xxhash64("h", "part").alias("h"))
-    dealt = shingle_rows(different.where(F.char_length("line") >= SHORT + SIGNED - 1)).select("k", F.pmod(F.shiftright("h", 3), F.lit(PARTS)).cast("int").alias("part"), F.xxhash64("h").alias("h"))
+    short = lines.where(F.when(F.char_length("line") < widest + SIGNED, True).otherwise(few(F.substring("line", 1, widest + 24)) & few(F.col("line"))))
+    different = lambda df: df.select("k", "line").dropDuplicates(["k"])
+    every = shingle_rows(different(short)).select("k", "h", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")).select("k", "part", F.xxhash64("h", "part").alias("h"))
+    dealt = shingle_rows(different(lines.where(F.char_length("line") >= SHORT + SIGNED - 1))).select("k", F.pmod(F.shiftright("h", 3), F.lit(PARTS)).cast("int").alias("part"), F.xxhash64("h").alias("h"))
     return signed(every, 0).unionByName(signed(dealt, 1))
 
 

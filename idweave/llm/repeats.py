@@ -10,6 +10,7 @@ only once and covers that are all alike never need their bytes.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -260,9 +261,10 @@ def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     names = own.columns
     records = own.select(id, text).mapInArrow(recorded(buckets), schema("bucket", RECORD))
     notes = Staged(records.groupBy("bucket").applyInArrow(compared(parts), schema("part", NOTE)), "notes").df
-    dealt = own.withColumn("part", F.coalesce(F.pmod(F.col(id), F.lit(parts)), F.pmod(F.xxhash64(text), F.lit(parts))).cast("int"))
+    part = f"part_{uuid.uuid4().hex}"
+    dealt = own.withColumn(part, F.coalesce(F.pmod(F.col(id), F.lit(parts)), F.pmod(F.xxhash64(text), F.lit(parts))).cast("int"))
     fetched_ddl = ", ".join(f"{k} {'int' if t == pa.int32() else 'binary'}" for k, t in FETCHED)
-    found = dealt.groupBy("part").cogroup(notes.groupBy("part")).applyInArrow(fetched(id, text, buckets), fetched_ddl)
+    found = dealt.groupBy(part).cogroup(notes.groupBy("part")).applyInArrow(fetched(id, text, buckets), fetched_ddl)
     gone = found.groupBy("task").applyInArrow(looked_at(parts), schema("part", SPAN))
     out = T.StructType([*own.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType.fromJson({"type": "struct", "fields": [{"name": k, "type": "long", "nullable": True, "metadata": {}} for k in ("start", "end")]}))), T.StructField("kept", T.BinaryType())])
-    return dealt.groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(cut_out(id, text, names, to_arrow_schema(out)), out)
+    return dealt.groupBy(part).cogroup(gone.groupBy("part")).applyInArrow(cut_out(id, text, names, to_arrow_schema(out)), out)
