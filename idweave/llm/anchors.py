@@ -12,19 +12,19 @@ _POSITION = np.uint64((1 << 24) - 1)
 LONGEST = 1 << 23  #: bytes handled at a time
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each run of windows with one anchor: the anchor's hash, the hash of all the run covers, first and last window, anchor.
+def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of windows with one anchor: the anchor's hash, first and last window, anchor.
 
     A window's anchor is its gram of least hash, the leftmost of equals. A run covers bytes from its first window's
-    start to its last one's end, so equal hashes of both kinds mean equal windows, each at the same place of its run.
+    start to its last one's end.
     """
     if len(data) < WINDOW:
-        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.empty(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
     if len(data) > LONGEST:  # runs end at a part's last window
         parts = []
         for at in range(0, len(data) - WINDOW + 1, LONGEST - WINDOW + 1):
-            h, c, first, last, where = anchors(data[at : at + LONGEST])
-            parts.append((h, c, first + at, last + at, where + at))
+            h, first, last, where = anchors(data[at : at + LONGEST])
+            parts.append((h, first + at, last + at, where + at))
         return tuple(np.concatenate(x) for x in zip(*parts))
     b = np.frombuffer(data, np.uint8)
     n, inverse = len(b), inverse_powers(len(b))
@@ -41,5 +41,4 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
     last = np.append(first[1:], len(where)) - 1
     where = where[first]
-    cover = mixed((total[last + WINDOW] - total[first]) * inverse[first] + ((last - first) * WINDOW + where - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return gram[where], cover, first, last, where
+    return gram[where], first, last, where

@@ -1,11 +1,11 @@
 """Removal of repeated byte strings with merged Burrows-Wheeler transforms.
 
-Every window of bytes has an anchor, a gram found from the window alone, and the windows of one anchor are a run. The
-hashes of each run's anchor and of all that it covers go to the anchor's bucket. A run whose cover stands in a smaller
-document is repeated as a whole; an anchor with several covers needs a closer look, so one run of each cover has its
-bytes fetched, and further runs of that cover in the same document share its verdict. Those are dealt by anchor, and each task makes Burrows-Wheeler transforms of bounded shards of them and
-merges these by interleave refinement; the intervals of equal windows and their least documents decide. Anchors found
-only once and covers that are all alike never need their bytes.
+Every window of bytes has an anchor, a gram found from the window alone, and the windows of one anchor in a row are a
+run. Anchors are screened first: only runs whose anchor stands in several documents can repeat. Their bytes are fetched
+and dealt by anchor; each task makes Burrows-Wheeler transforms of bounded shards of the different ones and merges these
+by interleave refinement, whose intervals of equal windows, with their least documents, decide. Equal bytes are one
+content: where documents of one task share it, only the least of them is dealt on, as the others repeat all of it. No
+window is decided by a hash.
 """
 
 from __future__ import annotations
@@ -27,11 +27,10 @@ BUCKET_BYTES = 6 << 20  #: of text whose anchors a bucket holds, about
 PART_BYTES = 4 << 20  #: of text that a task of the later passes holds, about
 FLUSH_BYTES = 6 << 20
 SHARD_BYTES = 1 << 19
-WHOLE, CLOSER = 0, 1
-SIX = "six bytes"  #: hashes travel as 48 bits; equal anchors and covers agree in 96
-RECORD = [("h", SIX), ("cover", SIX), ("doc", np.int64), ("run", np.uint32)]
-NOTE = [("doc", np.int64), ("run", np.uint32), ("kind", np.uint8), ("h", np.uint64)]
-CONTEXT = [("doc", np.int64), ("first", np.int64), ("n", np.int32)]
+SIX = "six bytes"  #: anchors travel as 48 bits; what only these have in common is told apart by the bytes
+LOW = np.uint64((1 << 48) - 1)
+ANCHOR = [("h", SIX), ("doc", np.int64)]
+RUN = [("doc", np.int64), ("first", np.int64), ("n", np.int32)]
 SPAN = [("doc", np.int64), ("start", np.int64), ("end", np.int64)]
 
 
@@ -59,22 +58,33 @@ def schema(key: str, kinds: list[tuple]) -> str:
     return ", ".join([f"{key} int", *(f"{name} binary" for name, _ in kinds)])
 
 
-def recorded(buckets: int):
+def recorded(buckets: int, parts: int):
+    """Each document's anchors by their bucket. Anchors that documents read together share are noted at once, under
+    negative numbers of the documents' parts, and go to their bucket once for all of these: a bucket gets few rows even of
+    an anchor that most documents hold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            h, cover, doc, number = (np.concatenate(x) for x in zip(*held))
-            return packed("bucket", ((h >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64), [h, cover, doc, number], RECORD)
+            h, doc = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            again = np.concatenate([[False], (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])])
+            h, doc = h[~again], doc[~again]
+            after = np.concatenate([[False], h[1:] == h[:-1]])
+            shared = after | np.append(after[1:], False)
+            bucket = ((h >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+            return packed("bucket", np.concatenate([bucket[~after], -1 - doc[shared] % parts]), [np.concatenate([h[~after], h[shared]]), np.concatenate([doc[~after], doc[shared]])], ANCHOR)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 if doc is None or len(data) < WINDOW:
                     continue
-                h, cover, *_ = anchors(data)
-                held.append([h, cover, np.full(len(h), doc), np.arange(len(h), dtype=np.uint32)])
+                h = anchors(data)[0] & LOW
+                held.append((h, np.full(len(h), doc)))
                 size += len(data)
                 if size >= FLUSH_BYTES:
                     yield flush()
@@ -85,30 +95,19 @@ def recorded(buckets: int):
     return run
 
 
-def compared(parts: int):
-    def run(table: pa.Table) -> pa.Table:
-        h, cover, doc, number = unpacked(table, RECORD)
+def shared(parts: int):
+    """Anchors of several documents, by the documents' part."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        h, doc = unpacked(table, ANCHOR)
+        if key[0].as_py() < 0:
+            return pa.Table.from_batches([packed("part", np.full(len(h), -1 - key[0].as_py()), [h, doc], ANCHOR)])
         order = np.argsort(h, kind="stable")
-        s = h[order]
-        twin = np.zeros(len(s), bool)
-        twin[1:] = s[1:] == s[:-1]
-        twin[:-1] |= twin[1:]
-        order = order[twin]
-        h, cover, doc, number = h[order], cover[order], doc[order], number[order]
-        order = np.lexsort((number, doc, cover, h))
-        h, cover, doc, number = h[order], cover[order], doc[order], number[order]
-        new_h = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.empty(0, bool)
-        new_c = new_h | np.concatenate([[True], cover[1:] != cover[:-1]]) if len(h) else new_h
-        group, cls = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
-        least = doc[new_c]  # by class; docs ascend
-        whole = doc > least[cls]
-        covers = np.bincount(group, new_c, minlength=0)
-        lowest = np.minimum.reduceat(doc, np.flatnonzero(new_h)) if len(h) else doc
-        highest = np.maximum.reduceat(np.where(new_c, doc, np.iinfo(np.int64).min), np.flatnonzero(new_h)) if len(h) else doc
-        closer = (covers > 1)[group] & (lowest < highest)[group] & (new_c | ~whole & (doc > lowest[group])) if len(h) else new_c
-        pick = whole | closer
-        doc, kind = doc[pick], np.where(whole[pick], WHOLE, CLOSER)
-        return pa.Table.from_batches([packed("part", doc % parts, [doc, number[pick], kind, h[pick]], NOTE)])
+        h, doc = h[order], doc[order]
+        after = np.concatenate([[False], h[1:] == h[:-1]])
+        twin = after | np.append(after[1:], False)
+        h, doc = h[twin], doc[twin]
+        return pa.Table.from_batches([packed("part", doc % parts, [h, doc], ANCHOR)])
 
     return run
 
@@ -127,56 +126,74 @@ def slices(doc: np.ndarray) -> dict[int, tuple[int, int]]:
     return dict(zip(doc[at].tolist(), zip(at.tolist(), np.append(at[1:], len(doc)).tolist())))
 
 
-FOUND = [*CONTEXT, ("h", np.uint64), *[(f"s_{k}", v) for k, v in SPAN]]
-
-
 def fetched(id: str, text: str, tasks: int):
-    """Spans of the runs that repeat as a whole, under negative task numbers; runs for a closer look, by their anchor's task."""
+    """Runs of shared anchors with their bytes, by the anchor's task; spans already known under negative task numbers.
+
+    Of the documents here that hold a content the least one's runs are dealt on; the others repeat the whole of it.
+    """
 
     def run(key: tuple, docs: pa.Table, notes: pa.Table) -> pa.Table:
-        doc, number, kind, h = unpacked(notes, NOTE)
-        order = np.lexsort((number, doc))
-        doc, number, kind, h = doc[order], number[order], kind[order], h[order]
-        at, s, c, data_of = slices(doc), [], [], {}
+        noted_h, noted_doc = unpacked(notes, ANCHOR)
+        order = np.argsort(noted_doc, kind="stable")
+        noted_h, noted_doc = noted_h[order], noted_doc[order]
+        at = slices(noted_doc)
         done: set[int] = set()
+        held: dict[tuple[int, bytes], list[int]] = {}  # the least document, then where its runs of this content begin
+        known: tuple[list[int], list[int], list[int]] = ([], [], [])
+
+        def repeated(doc: int, firsts: list[int], n: int) -> None:
+            for first in firsts:
+                for values, value in zip(known, (doc, first, first + n)):
+                    values.append(value)
+
         for own, value in zip(docs[id].to_pylist(), docs[text].to_pylist()):
             if own not in at or own in done:
                 continue
             done.add(own)
-            i, j = at[own]
             data = (value or "").encode("utf-8", "surrogatepass")
-            _, _, first, last, _ = anchors(data)
-            whole, near = number[i:j][kind[i:j] == WHOLE], number[i:j][kind[i:j] == CLOSER]
-            a, b = spans(first[whole], last[whole] + WINDOW)
-            s.append((np.full(len(a), own), a, b))
-            if len(near):
-                f, n, near_h = first[near], last[near] + WINDOW - first[near], h[i:j][kind[i:j] == CLOSER]
-                same: dict[tuple[int, bytes], int] = {}
-                twin = np.array([same.setdefault((x, data[a : a + m]), k) for k, (x, a, m) in enumerate(zip(near_h.tolist(), f.tolist(), n.tolist()))])
-                n = np.where(twin == np.arange(len(n)), n, 0)  # a run without bytes equals the last one before that has some
-                order = np.argsort(twin, kind="stable")
-                c.append((np.full(len(near), own), f[order], n[order], near_h[order]))
-                data_of[own] = data
+            h, first, last, _ = anchors(data)
+            h = h & LOW
+            near = np.flatnonzero(np.isin(h, noted_h[slice(*at[own])]))
+            for x, a, b in zip(h[near].tolist(), first[near].tolist(), (last[near] + WINDOW).tolist()):
+                content = (x, data[a:b])
+                before = held.setdefault(content, [own])
+                if own < before[0]:
+                    repeated(before[0], before[1:], b - a)
+                    held[content] = [own, a]
+                elif own > before[0]:
+                    repeated(own, [a], b - a)
+                else:
+                    before.append(a)
         out = []
-        if s:
-            own, a, b = (np.concatenate(x) for x in zip(*s))
-            batch = packed("task", np.full(len(own), -1 - key[0].as_py()), [own, a, b], SPAN)
+        if known[0]:
+            doc, a, b = (np.array(x, np.int64) for x in known)
+            order = np.lexsort((a, doc))
+            doc, a, b = doc[order], a[order], b[order]
+            rows = [(np.full(j - i, d), *spans(a[i:j], b[i:j])) for d, (i, j) in slices(doc).items()]
+            doc, (a, b) = np.concatenate([np.full(len(x), d[0]) for d, x, _ in rows]), (np.concatenate([r[k] for r in rows]) for k in (1, 2))
+            batch = packed("task", np.full(len(doc), -1 - key[0].as_py()), [doc, a, b], SPAN)
             out.append(padded(batch, {f"s_{n}": batch[n] for n, _ in SPAN}))
-        if c:
-            own, first, n, h = (np.concatenate(x) for x in zip(*c))
-            task = ((h >> np.uint64(20)) % np.uint64(tasks)).astype(np.int64)
-            order = np.argsort(task, kind="stable")
-            own, first, n, task = own[order], first[order], n[order], task[order]
-            batch = packed("task", task, [own, first, n], CONTEXT)
-            pieces = [data_of[d][f : f + m] for d, f, m in zip(own.tolist(), first.tolist(), n.tolist())]
-            cut = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
-            out.append(padded(batch, {k: batch[k] for k, _ in CONTEXT} | {"bytes": pa.array([b"".join(pieces[i:j]) for i, j in zip(cut, cut[1:])], pa.binary())}))
+        if held:
+            contents = list(held)
+            order = np.argsort((np.array([x for x, _ in contents], np.uint64) >> np.uint64(20)) % np.uint64(tasks), kind="stable")
+            task, rows, pieces = [], ([], [], []), []
+            for k in order.tolist():
+                (x, content), (own, *firsts) = contents[k], held[contents[k]]
+                for i, first in enumerate(firsts):  # a run of no bytes has those of the last one before it that has some
+                    for values, value in zip(rows, (own, first, 0 if i else len(content))):
+                        values.append(value)
+                task += [(x >> 20) % tasks] * len(firsts)
+                pieces.append((task[-1], content))
+            batch = packed("task", np.array(task), [np.array(x) for x in rows], RUN)
+            dealt = np.array([t for t, _ in pieces])
+            cut = np.flatnonzero(np.concatenate([[True], dealt[1:] != dealt[:-1], [True]]))
+            out.append(padded(batch, {k: batch[k] for k, _ in RUN} | {"bytes": pa.array([b"".join(c for _, c in pieces[i:j]) for i, j in zip(cut, cut[1:])], pa.binary())}))
         return pa.Table.from_batches(out) if out else pa.table({k: pa.array([], t) for k, t in FETCHED}, schema=pa.schema(FETCHED))
 
     return run
 
 
-FETCHED = [("task", pa.int32()), *[(k, pa.binary()) for k, _ in CONTEXT], ("bytes", pa.binary()), *[(f"s_{k}", pa.binary()) for k, _ in SPAN]]
+FETCHED = [("task", pa.int32()), *[(k, pa.binary()) for k, _ in RUN], ("bytes", pa.binary()), *[(f"s_{k}", pa.binary()) for k, _ in SPAN]]
 
 
 def padded(batch: pa.RecordBatch, have: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -184,39 +201,59 @@ def padded(batch: pa.RecordBatch, have: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch["task"], *[have.get(k, none) for k, _ in FETCHED[1:]]], schema=pa.schema(FETCHED))
 
 
+def repeated_spans(contents: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Content number, start and end of all that stands in a content of smaller least document as well, by merged transforms."""
+    n = np.array([len(c) for c in contents], np.int64)
+    data = np.frombuffer(b"".join(contents), np.uint8)
+    off = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+    cuts = off[1:-1][np.diff((off[1:] - 1) // SHARD_BYTES).astype(bool)] if len(n) > 1 else np.empty(0, np.int64)
+    at, interval = intervals(data, cuts, WINDOW)
+    content = np.repeat(np.arange(len(n)), n)
+    valid = (np.arange(len(data)) - off[:-1][content]) <= n[content] - WINDOW
+    keep = valid[at]
+    at, interval = at[keep], interval[keep]
+    new = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
+    own = least[content[at]]
+    at = np.sort(at[own > np.repeat(np.minimum.reduceat(own, new), np.diff(np.append(new, len(at))))])
+    c = content[at]
+    begin = at - off[:-1][c]
+    cut = np.concatenate([[True], (c[1:] != c[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else np.empty(0, bool)
+    ends = np.append(np.flatnonzero(cut)[1:] - 1, len(at) - 1) if len(at) else np.empty(0, int)
+    return c[cut], begin[cut], begin[ends] + WINDOW
+
+
 def looked_at(parts: int):
-    """Spans of repeated windows among the fetched runs, by their documents' part; spans already known pass through."""
+    """Spans of repeated windows among the fetched runs, by their documents' part; spans already known pass through.
+
+    Of the documents that hold a content all but the least repeat the whole of it.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
             doc, a, b = unpacked(table, [(f"s_{k}", v) for k, v in SPAN])
             return pa.Table.from_batches([packed("part", doc % parts, [doc, a, b], SPAN)])
-        every_doc, every_first, n = unpacked(table, CONTEXT)
-        like = np.cumsum(n > 0) - 1  # of every run the one whose bytes it has
-        doc, first, n = every_doc[n > 0], every_first[n > 0], n[n > 0]
-        data = np.frombuffer(b"".join(x for x in table["bytes"].to_pylist() if x), np.uint8)
-        off = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-        cuts = off[1:-1][np.diff((off[1:] - 1) // SHARD_BYTES).astype(bool)] if len(n) > 1 else np.empty(0, np.int64)
-        at, interval = intervals(data, cuts, WINDOW)
-        run_of = np.repeat(np.arange(len(n)), n)
-        valid = (np.arange(len(data)) - off[:-1][run_of]) <= n[run_of] - WINDOW
-        keep = valid[at]
-        at, interval = at[keep], interval[keep]
-        new = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
-        own = doc[run_of[at]]
-        least = np.minimum.reduceat(own, new)
-        gone = own > np.repeat(least, np.diff(np.append(new, len(at))))
-        at = np.sort(at[gone])
-        r = run_of[at]
-        begin = at - off[:-1][r]
-        cut = np.concatenate([[True], (r[1:] != r[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else np.empty(0, bool)
-        ends = np.append(np.flatnonzero(cut)[1:] - 1, len(at) - 1) if len(at) else np.empty(0, int)
-        begin, end, times = begin[cut], begin[ends] + WINDOW, np.bincount(r[cut], minlength=len(n))
-        copies = times[like]
-        of = np.repeat(np.arange(len(like)), copies)
-        span = np.arange(len(of)) - np.repeat(np.cumsum(copies) - copies, copies) + (np.cumsum(times) - times)[like[of]]
-        owner = every_doc[of]
-        return pa.Table.from_batches([packed("part", owner % parts, [owner, every_first[of] + begin[span], every_first[of] + end[span]], SPAN)])
+        doc, first, n = unpacked(table, RUN)
+        data = b"".join(x for x in table["bytes"].to_pylist() if x)
+        has = np.flatnonzero(n > 0)
+        ends = np.cumsum(n[has], dtype=np.int64)
+        number: dict[bytes, int] = {}
+        own = np.array([number.setdefault(data[i:j], len(number)) for i, j in zip((ends - n[has]).tolist(), ends.tolist())])
+        of = own[np.cumsum(n > 0) - 1]  # of every run the number of its content
+        least = np.full(len(number), np.iinfo(np.int64).max)
+        np.minimum.at(least, of, doc)
+        contents = list(number)
+        length = np.array([len(c) for c in contents], np.int64)
+        again = doc > least[of]
+        c, begin, end = repeated_spans(contents, least)
+        times = np.bincount(c, minlength=len(contents))
+        rest = np.flatnonzero(~again)
+        copies = times[of[rest]]
+        run_of = np.repeat(rest, copies)
+        span = np.arange(len(run_of)) - np.repeat(np.cumsum(copies) - copies, copies) + (np.cumsum(times) - times)[of[run_of]]
+        owner = np.concatenate([doc[again], doc[run_of]])
+        start = np.concatenate([first[again], first[run_of] + begin[span]])
+        stop = np.concatenate([first[again] + length[of[again]], first[run_of] + end[span]])
+        return pa.Table.from_batches([packed("part", owner % parts, [owner, start, stop], SPAN)])
 
     return run
 
@@ -259,8 +296,8 @@ def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     buckets, parts = max(32, total // BUCKET_BYTES), max(31, total // PART_BYTES) | 1
     own = df.select(F.col(id).cast("long").alias(id), F.col(text).cast("string").alias(text), *[c for c in df.columns if c not in (id, text)])
     names = own.columns
-    records = own.select(id, text).mapInArrow(recorded(buckets), schema("bucket", RECORD))
-    notes = Staged(records.groupBy("bucket").applyInArrow(compared(parts), schema("part", NOTE)), "notes").df
+    records = own.select(id, text).mapInArrow(recorded(buckets, parts), schema("bucket", ANCHOR))
+    notes = Staged(records.groupBy("bucket").applyInArrow(shared(parts), schema("part", ANCHOR)), "notes").df
     part = f"part_{uuid.uuid4().hex}"
     dealt = own.withColumn(part, F.coalesce(F.pmod(F.col(id), F.lit(parts)), F.pmod(F.xxhash64(text), F.lit(parts))).cast("int"))
     fetched_ddl = ", ".join(f"{k} {'int' if t == pa.int32() else 'binary'}" for k, t in FETCHED)
