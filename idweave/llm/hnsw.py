@@ -1,9 +1,11 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one a shard.
 
-Each group of comparable vectors is dealt into shards of bounded size, and a task builds a graph for each. Every block
-of vectors queries every shard of its group; beams widen while they are full of links, and again for all queries of a
-block until an audit against brute force finds all it should. Links are verified by cosine in double precision, counted
-where they are found, and leave the task only as a spanning forest, which a distributed union joins across shards.
+Each group of comparable vectors is dealt into shards of bounded size, and a task builds a graph for each. The beam that
+a graph needs is measured when it is built: vectors at the threshold from sampled nodes must find these nodes. Every
+block of vectors goes to every shard of its group, some blocks to each copy of a graph; beams widen while they are full of
+links, and again for a whole block until an audit against brute force finds all it should. Links are verified by cosine
+in double precision, counted where they are found, and leave the task only as a spanning forest, which a distributed
+union joins across shards.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ BLOCK_ROWS = 2_048  #: queries of a task's row
 DEGREE = 12  #: neighbours chosen for a new node; a node keeps up to twice as many
 BUILD_BEAM, FIRST_BEAM = 32, 24
 BATCH = 256
-WIDEST = 8
+BLOCKS = 16  #: that a copy of a graph answers; a task's memory follows from it
+PROBES = 256  #: of each graph, near sampled nodes
 AUDIT_QUERIES = 48  #: of each block and shard, compared with brute force
 AUDIT_RECALL = 0.999
 SLACK = 1e-3  #: beams work in single precision; what is this close to the threshold is verified in double
@@ -137,14 +140,27 @@ class Graph:
         order = np.argsort(-sims, axis=1)
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
+    def needed_beam(self, least: float) -> int:
+        """The beam, doubled from ``FIRST_BEAM``, with which vectors at cosine ``least`` from sampled nodes find these nodes."""
+        rng = np.random.Generator(np.random.PCG64(1))
+        at = np.unique(np.linspace(0, len(self.x) - 1, min(PROBES, len(self.x))).astype(int))
+        away = rng.normal(size=(len(at), self.x.shape[1]))
+        away -= self.x[at] * (away * self.x[at]).sum(1, keepdims=True)
+        length = np.sqrt((away * away).sum(1, keepdims=True))
+        probes = least * self.x[at] + np.sqrt(max(0.0, 1 - least * least)) * np.divide(away, length, out=np.zeros_like(away), where=length > 1e-9)
+        beam, probes = FIRST_BEAM, probes.astype(np.float32)
+        while beam < len(self.x) and (self._beam(probes, 0, self._descend(probes, 0), beam, len(self.x))[0] == at[:, None]).any(1).mean() < AUDIT_RECALL:
+            beam *= 2
+        return beam
+
     def within(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, node) of cosine ``least`` or more; a beam that is full of such pairs is doubled.
 
-        A query whose beam would pass a part of 1 / WIDEST of the shard has all of it as its beam.
+        A beam as large as the shard is all of it.
         """
         q, found, rows = q.astype(np.float32), [], np.arange(len(q))
         while len(rows):
-            if beam * WIDEST > len(self.x):
+            if beam >= len(self.x):
                 found.append(self.all_within(q, rows, least))
                 break
             again = []
@@ -163,16 +179,15 @@ class Graph:
         return np.concatenate([part[r] for part, (r, _) in parts]), np.concatenate([c for _, (_, c) in parts])
 
 
-def links_of(graph: Graph, nodes: np.ndarray, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def links_of(graph: Graph, nodes: np.ndarray, queries: np.ndarray, least: float, beam: int = FIRST_BEAM) -> tuple[np.ndarray, np.ndarray]:
     """Verified pairs of a block with a shard, both in unit vectors of double precision; beams widen until the audit passes."""
-    n, beam = len(nodes), FIRST_BEAM
     audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT_QUERIES, len(queries))).astype(int))
     truth = (queries[audit] @ nodes.T >= least).sum()
     while True:
         q, v = graph.within(queries, least - SLACK, beam)
         real = np.concatenate([np.einsum("nd,nd->n", queries[q[k : k + 65536]], nodes[v[k : k + 65536]]) >= least for k in range(0, len(q), 65536)] or [np.empty(0, bool)])
         q, v = q[real], v[real]
-        if beam * WIDEST > n or np.isin(q, audit).sum() >= AUDIT_RECALL * truth:
+        if beam >= len(nodes) or np.isin(q, audit).sum() >= AUDIT_RECALL * truth:
             return q, v
         beam *= 4
 
@@ -200,37 +215,42 @@ def unit(blob: bytes, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-SHARD = "grp long, dim int, shard int, block int, ids binary, times binary, vectors binary, links array<binary>"
+BUILT = "dim int, shard int, block int, beam int, ids binary, times binary, vectors binary, links array<binary>"
 
 
-def build(pdf: pd.DataFrame) -> pd.DataFrame:
+def build(least: float):
     """A row with the shard's graph (block -1), and a row for each block of its vectors."""
-    pdf = pdf.sort_values(["h", "rep"])  # by hash: the upper layers hold a sample
-    grp, dim, shard = int(pdf.grp.iloc[0]), int(pdf.dim.iloc[0]), int(pdf.shard.iloc[0])
-    ids, times = pdf.rep.to_numpy(np.int64), pdf.times.to_numpy(np.int64)
-    x = np.stack(pdf.vec.to_numpy()).astype(np.float64)
-    graph = Graph(unit(x.tobytes(), dim))
-    rows = [(grp, dim, shard, -1, ids.tobytes(), times.tobytes(), x.tobytes(), [a.tobytes() for a in graph.links])]
-    for k in range(0, len(ids), BLOCK_ROWS):
-        rows.append((grp, dim, shard, k // BLOCK_ROWS, ids[k : k + BLOCK_ROWS].tobytes(), b"", x[k : k + BLOCK_ROWS].tobytes(), []))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in SHARD.split(", ")])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["h", "rep"])  # by hash: the upper layers hold a sample
+        grp, dim, shard = pdf.grp.iloc[0], int(pdf.dim.iloc[0]), int(pdf.shard.iloc[0])
+        ids, times = pdf.rep.to_numpy(np.int64), pdf.times.to_numpy(np.int64)
+        x = np.stack(pdf.vec.to_numpy()).astype(np.float64)
+        graph = Graph(unit(x.tobytes(), dim))
+        rows = [(grp, dim, shard, -1, graph.needed_beam(least), ids.tobytes(), times.tobytes(), x.tobytes(), [a.tobytes() for a in graph.links])]
+        for k in range(0, len(ids), BLOCK_ROWS):
+            rows.append((grp, dim, shard, k // BLOCK_ROWS, 0, ids[k : k + BLOCK_ROWS].tobytes(), b"", x[k : k + BLOCK_ROWS].tobytes(), []))
+        return pd.DataFrame(rows, columns=["grp", *(c.split()[0] for c in BUILT.split(", "))])
+
+    return run
 
 
 def search(least: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                nodes, queries = unit(r.vectors, r.dim), unit(r.q_vectors, r.dim)
-                ids, times, q_ids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.times, np.int64), np.frombuffer(r.q_ids, np.int64)
-                graph = Graph(nodes, [np.frombuffer(a, np.int32).reshape(-1, 2 * DEGREE) for a in r.links])
-                q, v = links_of(graph, nodes, queries, least)
+    def run(graphs: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"node": np.empty(0, np.int64), "root": np.empty(0, np.int64), "n": np.empty(0, np.int64)})]
+        for r in graphs.itertuples():
+            nodes, ids, times = unit(r.vectors, r.dim), np.frombuffer(r.ids, np.int64), np.frombuffer(r.times, np.int64)
+            graph = Graph(nodes, [np.frombuffer(a, np.int32).reshape(-1, 2 * DEGREE) for a in r.links])
+            for block in blocks.itertuples():
+                q_ids = np.frombuffer(block.q_ids, np.int64)
+                q, v = links_of(graph, nodes, unit(block.q_vectors, r.dim), least, r.beam)
                 other = q_ids[q] != ids[v]
                 q, v = q[other], v[other]
-                n = np.bincount(q, times[v], len(q_ids)).astype(np.int64)
-                count = dict(zip(q_ids.tolist(), n.tolist()))
+                count = dict(zip(q_ids.tolist(), np.bincount(q, times[v], len(q_ids)).astype(np.int64).tolist()))
                 tree = forest(q_ids[q], ids[v])
                 node = np.fromiter(tree, np.int64, len(tree))
-                yield pd.DataFrame({"node": node, "root": np.fromiter(tree.values(), np.int64, len(tree)), "n": np.fromiter((count.get(x, 0) for x in tree), np.int64, len(tree))})
+                out.append(pd.DataFrame({"node": node, "root": np.fromiter(tree.values(), np.int64, len(tree)), "n": np.fromiter((count.get(x, 0) for x in tree), np.int64, len(tree))}))
+        return pd.concat(out, ignore_index=True)
 
     return run
 
@@ -243,23 +263,25 @@ def near_vectors(df: DataFrame, id: str = "vec_id", vector: str = "embedding", g
     of a group are one node with a multiplicity, so a large group of copies costs one search; each copy counts as a
     link of the others. Repeated rows are copies as well. Other columns of df are dropped, whatever their names.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    kind = df.select(group).schema[0].dataType.simpleString()
     vec = F.transform(F.col(vector), lambda x: x.cast("double"))
     sound = F.forall(F.col("vec"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(F.col("vec"), lambda x: x != 0)
-    rows = df.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(group)).alias("grp"), F.col(group).isNotNull().alias("has"), vec.alias("vec"))
-    rows = rows.select("id", "grp", F.when(F.col("has") & F.coalesce(sound, F.lit(False)), F.col("vec")).alias("vec"))
+    rows = df.select(F.col(id).cast("long").alias("id"), F.col(group).alias("grp"), vec.alias("vec"))
+    rows = rows.select("id", "grp", F.when(F.col("grp").isNotNull() & F.coalesce(sound, F.lit(False)), F.col("vec")).alias("vec"))
     rows = rows.withColumn("dim", F.size("vec")).withColumn("k", F.when(F.col("vec").isNotNull(), F.xxhash64("vec")))
     valid = rows.where("vec is not null")
     reps = Staged(valid.groupBy("grp", "dim", "k", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("times")), "reps").df
     shards = reps.groupBy("grp", "dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("n"))
     dealt = reps.join(shards, ["grp", "dim"]).select("grp", "dim", "rep", "times", "vec", F.xxhash64("rep").alias("h"), F.pmod(F.xxhash64("rep", F.lit(1)), "n").cast("int").alias("shard"))
-    built = Staged(dealt.groupBy("grp", "dim", "shard").applyInPandas(build, SHARD), "graphs").df
-    blocks = built.where("block >= 0").select("grp", "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.xxhash64("shard", "block").alias("deal"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
-    pairs = built.where("block < 0").select("grp", "dim", "ids", "times", "vectors", "links").join(blocks, ["grp", "dim"]).repartition(F.xxhash64("grp", "deal", "ids"))
-    found = Staged(pairs.drop("deal", "grp").mapInPandas(search(least), "node long, root long, n long"), "links").df
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    built = Staged(dealt.groupBy("grp", "dim", "shard").applyInPandas(build(least), f"grp {kind}, {BUILT}"), "graphs").df
+    # blocks go to the shards, a copy of the graph for some of them each; the key is dealt out before anything is copied
+    size = built.where("block >= 0").groupBy("grp", "dim").agg((F.max("shard") + 1).alias("n"), F.ceil(F.count("*") / BLOCKS).cast("int").alias("salts"))
+    sized = built.join(size, ["grp", "dim"])
+    graphs = sized.where("block < 0").select("grp", "dim", "shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "beam", "ids", "times", "vectors", "links")
+    salt = F.pmod(F.xxhash64("shard", "block"), "salts").cast("int").alias("q_salt")
+    blocks = sized.where("block >= 0").select(F.col("grp").alias("q_grp"), F.col("dim").alias("q_dim"), salt, F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("q_shard"))
+    both = graphs.groupBy("grp", "dim", "shard", "salt").cogroup(blocks.groupBy("q_grp", "q_dim", "q_shard", "q_salt"))
+    found = Staged(both.applyInPandas(search(least), "node long, root long, n long"), "links").df
     joined = components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")))
     count = found.groupBy("node").agg(F.sum("n").alias("n"))
     known = reps.join(count.withColumnRenamed("node", "rep"), "rep", "left").join(joined.toDF("rep", "component"), "rep", "left")
