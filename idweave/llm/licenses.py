@@ -1,7 +1,7 @@
 """Licence scan: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-Every line, every paragraph of several lines and every text of several paragraphs is a segment. Its bigrams are joined
-with those of the templates whose size can still reach the threshold, and shared bigrams are counted.
+Every line, every sentence, every paragraph of several lines and every text of several paragraphs is a segment. Its
+bigrams are joined with those of the templates whose size can still reach the threshold, and shared bigrams are counted.
 """
 
 from __future__ import annotations
@@ -10,7 +10,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST = 0.8
-#: Public notices of common licences (fixed values).
+MOST_TEMPLATES = 2_000
+SENTENCE_END = r"[.!?][\x20\x09-\x0D]+"
+# Public licence texts (fixed values).
+MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+)
+APACHE = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+)
+GPL = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+)
+#: Notices, grants, warranties and short licences whole, by name.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
@@ -22,7 +38,19 @@ TEMPLATES = {
     "BSD": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "All-rights-reserved": "All rights reserved.",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.",
+    "MIT-grant": MIT[0],
+    "MIT-notice": MIT[1],
+    "MIT-warranty": MIT[2],
+    "MIT-license": " ".join(MIT),
+    "Apache-2.0-grant": APACHE[0],
+    "Apache-2.0-warranty": APACHE[1],
+    "Apache-2.0-header": " http://www.apache.org/licenses/LICENSE-2.0 ".join(APACHE),
+    "BSD-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD-warranty": "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.",
+    "GPL-grant": GPL[0],
+    "GPL-warranty": GPL[1],
+    "GPL-header": " ".join(GPL),
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
 }
 
 
@@ -36,7 +64,8 @@ def bigrams(text: Column) -> Column:
 def scan(df: DataFrame, templates: DataFrame, id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """A row for each segment that matches: id, kind, segment_no, license, dice.
 
-    templates (license, text) is a small table, which is broadcast. kind is line, paragraph or text; segments count from
+    templates (license, text) is broadcast if it has ``MOST_TEMPLATES`` rows at most. kind is line, sentence (of a text of
+    several, up to a full stop, question or exclamation mark before white space), paragraph or text; segments count from
     0 within their kind. license is the template of the greatest coefficient, ``least`` or more; ties go to the name
     first in order. Segments and templates without two words, null and empty texts match nothing. Repeated rows repeat
     their matches. Other columns of df are dropped, whatever their names.
@@ -48,13 +77,15 @@ def scan(df: DataFrame, templates: DataFrame, id: str = "doc_id", text: str = "t
 
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     paragraphs = F.split(whole, r"\n[\x20\x09-\x0D]*\n")
-    parts = {"line": F.split(whole, "\n"), "paragraph": F.transform(paragraphs, lambda p: F.when(F.contains(p, F.lit("\n")), p)), "text": F.array(F.when(F.size(paragraphs) > 1, whole))}
+    sentences = F.split(whole, SENTENCE_END)
+    parts = {"line": F.split(whole, "\n"), "sentence": F.when(F.size(sentences) > 1, sentences).otherwise(F.array().cast("array<string>")), "paragraph": F.transform(paragraphs, lambda p: F.when(F.contains(p, F.lit("\n")), p)), "text": F.array(F.when(F.size(paragraphs) > 1, whole))}
     kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), part.alias("parts")) for kind, part in parts.items()])
     rows = df.select(F.col(id).alias("id"), F.monotonically_increasing_id().alias("row"), F.explode(kinds).alias("s"))
     rows = rows.select("id", "row", "s.kind", F.posexplode("s.parts").alias("segment_no", "part")).where("part is not null")
     rows = rows.select("id", "row", "kind", "segment_no", bigrams(F.col("part")).alias("own")).withColumn("a", F.size("own"))
     rows = rows.where((F.col("a") >= ratio * low - 1e-9) & (F.col("a") * ratio <= high + 1e-9))
-    few = F.broadcast(own.join(F.broadcast(sized), "license"))
+    few = own.join(sized, "license")
+    few = F.broadcast(few) if templates.count() <= MOST_TEMPLATES else few
     bound = (F.least("a", "b") >= ratio * F.greatest("a", "b") - 1e-9) & (F.col("x") == F.col("g"))
     hits = rows.select("id", "row", "kind", "segment_no", "a", F.explode("own").alias("x")).join(few, bound)
     dice = hits.groupBy("id", "row", "kind", "segment_no", "license").agg((2.0 * F.count("*") / (F.first("a") + F.first("b"))).alias("dice")).where(F.col("dice") >= least - 1e-9)

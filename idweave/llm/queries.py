@@ -27,7 +27,7 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines, paragraphs and texts that are a licence notice by the Dice coefficient over word bigrams."""
+    """Lines, sentences, paragraphs and texts that are a licence notice by the Dice coefficient over word bigrams."""
     templates = spark.createDataFrame(list(licenses.TEMPLATES.items()), "license string, text string")
     return licenses.scan(table(spark, sf_dir, "documents"), templates)
 
@@ -88,9 +88,10 @@ WORDS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 PAIRS = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
 OP5_SQL = f"""
 WITH template AS (SELECT license, unnest(g) AS g, len(g) AS b FROM (SELECT license, {PAIRS.format('w')} AS g FROM (SELECT license, {WORDS.format('t')} AS w FROM (VALUES {QUOTED}) AS v(license, t)))),
-p AS (SELECT doc_id, coalesce(text, '') AS t, regexp_split_to_array(coalesce(text, ''), '\n[\x20\x09-\x0D]*\n') AS ps FROM documents),
+p AS (SELECT doc_id, coalesce(text, '') AS t, regexp_split_to_array(coalesce(text, ''), '{licenses.SENTENCE_END}') AS ss, regexp_split_to_array(coalesce(text, ''), '\n[\x20\x09-\x0D]*\n') AS ps FROM documents),
 segment AS (
   SELECT doc_id, 'line' AS kind, unnest(range(len(l))) AS segment_no, unnest(l) AS part FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM p)
+  UNION ALL SELECT doc_id, 'sentence', unnest(range(len(ss))), unnest(ss) FROM p WHERE len(ss) > 1
   UNION ALL SELECT doc_id, 'paragraph', unnest(range(len(ps))), unnest(ps) FROM p
   UNION ALL SELECT doc_id, 'text', 0, t FROM p WHERE len(ps) > 1),
 own AS (SELECT doc_id, kind, segment_no, {PAIRS.format('w')} AS g FROM (SELECT *, {WORDS.format('part')} AS w FROM segment WHERE kind <> 'paragraph' OR contains(part, chr(10)))),

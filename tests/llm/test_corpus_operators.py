@@ -120,9 +120,11 @@ def test_near_documents(spark, docs):
 
 def test_license_scan(spark):
     mit = licenses.TEMPLATES["MIT"]
-    df = spark.createDataFrame([(1, f"prose here\n{mit.upper()}\nmore"), (2, None), (3, ""), (4, "All rights reserved"), (5, "the quick brown fox"), (6, "Permission is hereby granted\n" + "x " * 50)], "doc_id long, text string")
+    rows = [(1, f"prose here\n{mit.upper()}\nmore"), (2, None), (3, ""), (4, "All rights reserved"), (5, "the quick brown fox"), (6, "Permission is hereby granted\n" + "x " * 50)]
+    rows += [(7, "Foo is free software. Licensed under the Apache\nLicense, Version 2.0. See the LICENSE file for details."), (8, "\n\n".join(("Copyright 2020 Some One", *licenses.MIT)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
     templates = spark.createDataFrame(list(licenses.TEMPLATES.items()), "license string, text string")
-    assert sorted((r["doc_id"], r["kind"], r["segment_no"], r["license"]) for r in licenses.scan(df, templates).collect()) == [(1, "line", 1, "MIT"), (4, "line", 0, "All-rights-reserved")]
+    assert sorted((r["doc_id"], r["kind"], r["segment_no"], r["license"]) for r in licenses.scan(df, templates).collect()) == [(1, "line", 1, "MIT"), (1, "sentence", 0, "MIT"), (4, "line", 0, "All-rights-reserved"), (7, "sentence", 1, "Apache-2.0"), *((8, "line", k, f"MIT-{n}") for k, n in ((2, "grant"), (4, "notice"), (6, "warranty"))), (8, "sentence", 0, "MIT-grant"), (8, "text", 0, "MIT-license")]
     assert licenses.scan(df, templates.limit(0)).count() == 0 and licenses.scan(df.limit(0), templates).count() == 0
 
 
