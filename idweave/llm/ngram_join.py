@@ -246,7 +246,6 @@ def near_documents(df: DataFrame, id: str = "doc_id", text: str = "text", words:
     band = classes.select("rep", F.explode("bands").alias("b"))
     shared = Staged(band.groupBy("b").agg(F.count("*").alias("n")).where("n > 1"), "buckets").df
     members = blocked(band.join(shared, "b"), "b", "n", BUCKET_BLOCK).join(classes.select("rep", "sig"), "rep")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     gathered = members.select("g", "cross", "rep", "side", "sig").repartition("g").sortWithinPartitions("g")
     rough = components(gathered.mapInArrow(candidates(least), "src long, dst long"))
 
@@ -257,7 +256,6 @@ def near_documents(df: DataFrame, id: str = "doc_id", text: str = "text", words:
     def sets(texts: list[str | None]) -> tuple[list, ...]:
         return ([shingles(t, words).tobytes() for t in texts],)
 
-    small_batches(spark)
     own = map_text(rows.join(there, F.col("id") == F.col("rep")).select("rep", "component", "m", "times", "sig", "text"), "text", T.StructType([T.StructField("own", T.BinaryType())]), sets).drop("text")
     own = Staged(own, "sets").df
     gathered = blocked(own, "component", "m", COMPONENT_BLOCK).select("g", "cross", "rep", "side", "times", "sig", "own").repartition("g").sortWithinPartitions("g")
