@@ -4,17 +4,21 @@ Every window of bytes has an anchor, a gram found from the window alone, and the
 run. Anchors are screened first: only runs whose anchor stands in several documents can repeat. Their bytes are fetched
 and dealt by anchor; each task makes Burrows-Wheeler transforms of bounded shards of the different ones and merges these
 by interleave refinement, whose intervals of equal windows, with their least documents, decide. Equal bytes are one
-content: where documents of one task share it, only the least of them is dealt on, as the others repeat all of it. No
-window is decided by a hash.
+content: where documents of one task share it, only the least of them is dealt on, as the others repeat all of it. Runs
+of a hot anchor, which very many documents hold, are cut into their windows, which are dealt by their own bytes. No window
+is decided by a hash.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +31,8 @@ BUCKET_BYTES = 6 << 20  #: of text whose anchors a bucket holds, about
 PART_BYTES = 4 << 20  #: of text that a task of the later passes holds, about
 FLUSH_BYTES = 6 << 20
 SHARD_BYTES = 1 << 19
+HOT, PER_ROW = 1_024, 16  #: rows in its bucket that make an anchor hot; documents of a flush that hold it count as a row for so many
+MOST_HOT = 1_000_000  #: anchors that are told to all tasks (8 MB), those of most rows; further ones keep their runs whole
 SIX = "six bytes"  #: anchors travel as 48 bits; what only these have in common is told apart by the bytes
 LOW = np.uint64((1 << 48) - 1)
 ANCHOR = [("h", SIX), ("doc", np.int64)]
@@ -76,7 +82,9 @@ def recorded(buckets: int, parts: int):
             after = np.concatenate([[False], h[1:] == h[:-1]])
             shared = after | np.append(after[1:], False)
             bucket = ((h >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
-            return packed("bucket", np.concatenate([bucket[~after], -1 - doc[shared] % parts]), [np.concatenate([h[~after], h[shared]]), np.concatenate([doc[~after], doc[shared]])], ANCHOR)
+            one = np.flatnonzero(~after)
+            one = np.repeat(one, 1 + np.diff(np.append(one, len(h))) // PER_ROW)
+            return packed("bucket", np.concatenate([bucket[one], -1 - doc[shared] % parts]), [np.concatenate([h[one], h[shared]]), np.concatenate([doc[one], doc[shared]])], ANCHOR)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -95,8 +103,8 @@ def recorded(buckets: int, parts: int):
     return run
 
 
-def shared(parts: int):
-    """Anchors of several documents, by the documents' part."""
+def shared(parts: int, hot: int):
+    """Anchors of several documents, by the documents' part; those of ``hot`` rows or more, with their rows, as part -1."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         h, doc = unpacked(table, ANCHOR)
@@ -106,8 +114,11 @@ def shared(parts: int):
         h, doc = h[order], doc[order]
         after = np.concatenate([[False], h[1:] == h[:-1]])
         twin = after | np.append(after[1:], False)
+        first = np.flatnonzero(~after)
+        rows = np.diff(np.append(first, len(h)))
+        many, rows = h[first[rows >= hot]], rows[rows >= hot]
         h, doc = h[twin], doc[twin]
-        return pa.Table.from_batches([packed("part", doc % parts, [h, doc], ANCHOR)])
+        return pa.Table.from_batches([packed("part", np.concatenate([doc % parts, np.full(len(many), -1)]), [np.concatenate([h, many]), np.concatenate([doc, rows])], ANCHOR)])
 
     return run
 
@@ -126,9 +137,11 @@ def slices(doc: np.ndarray) -> dict[int, tuple[int, int]]:
     return dict(zip(doc[at].tolist(), zip(at.tolist(), np.append(at[1:], len(doc)).tolist())))
 
 
-def fetched(id: str, text: str, tasks: int):
+def fetched(id: str, text: str, tasks: int, hot: Broadcast):
     """Runs of shared anchors with their bytes, by the anchor's task; spans already known under negative task numbers.
 
+    Windows of hot anchors stand for themselves, by their bytes' task.
+
     Of the documents here that hold a content the least one's runs are dealt on; the others repeat the whole of it.
     """
 
@@ -153,8 +166,12 @@ def fetched(id: str, text: str, tasks: int):
             data = (value or "").encode("utf-8", "surrogatepass")
             h, first, last, _ = anchors(data)
             h = h & LOW
-            near = np.flatnonzero(np.isin(h, noted_h[slice(*at[own])]))
-            for x, a, b in zip(h[near].tolist(), first[near].tolist(), (last[near] + WINDOW).tolist()):
+            near = np.isin(h, noted_h[slice(*at[own])])
+            many = near & np.isin(h, hot.value)
+            near &= ~many
+            found = list(zip(h[near].tolist(), first[near].tolist(), (last[near] + WINDOW).tolist()))
+            found += [(zlib.crc32(data[k : k + WINDOW]) << 16, k, k + WINDOW) for i, j in zip(first[many].tolist(), last[many].tolist()) for k in range(i, j + 1)]
+            for x, a, b in found:
                 content = (x, data[a:b])
                 before = held.setdefault(content, [own])
                 if own < before[0]:
@@ -280,7 +297,7 @@ def cut_out(id: str, text: str, names: list[str], out: pa.Schema):
     return run
 
 
-def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """df with n_bytes, spans (array of start and end, in bytes) and kept (the bytes left); columns of those names are replaced.
 
     A text's UTF-8 bytes go where a string of ``WINDOW`` bytes covers them that also starts in a row of smaller id, as
@@ -297,11 +314,14 @@ def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     own = df.select(F.col(id).cast("long").alias(id), F.col(text).cast("string").alias(text), *[c for c in df.columns if c not in (id, text)])
     names = own.columns
     records = own.select(id, text).mapInArrow(recorded(buckets, parts), schema("bucket", ANCHOR))
-    notes = Staged(records.groupBy("bucket").applyInArrow(shared(parts), schema("part", ANCHOR)), "notes").df
+    notes = Staged(records.groupBy("bucket").applyInArrow(shared(parts, hot), schema("part", ANCHOR)), "notes").df
+    many = nlargest(MOST_HOT, ((rows, h) for r in notes.where("part = -1").select("h", "doc").toLocalIterator() for h, rows in zip(*(x.tolist() for x in unpacked(pa.table({k: [bytes(r[k])] for k, _ in ANCHOR}), ANCHOR)))))
+    told = spark.sparkContext.broadcast(np.array(sorted(h for _, h in many), np.uint64))
+    notes = notes.where("part >= 0")
     part = f"part_{uuid.uuid4().hex}"
     dealt = own.withColumn(part, F.coalesce(F.pmod(F.col(id), F.lit(parts)), F.pmod(F.xxhash64(text), F.lit(parts))).cast("int"))
     fetched_ddl = ", ".join(f"{k} {'int' if t == pa.int32() else 'binary'}" for k, t in FETCHED)
-    found = dealt.groupBy(part).cogroup(notes.groupBy("part")).applyInArrow(fetched(id, text, buckets), fetched_ddl)
+    found = dealt.groupBy(part).cogroup(notes.groupBy("part")).applyInArrow(fetched(id, text, buckets, told), fetched_ddl)
     gone = found.groupBy("task").applyInArrow(looked_at(parts), schema("part", SPAN))
     out = T.StructType([*own.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType.fromJson({"type": "struct", "fields": [{"name": k, "type": "long", "nullable": True, "metadata": {}} for k in ("start", "end")]}))), T.StructField("kept", T.BinaryType())])
     return dealt.groupBy(part).cogroup(gone.groupBy("part")).applyInArrow(cut_out(id, text, names, to_arrow_schema(out)), out)

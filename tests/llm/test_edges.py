@@ -98,3 +98,21 @@ def test_quality_verdict_by_brute_force(spark):
     sound = sorted(llr[i] for i in every if i % 3 == 0 and not got[i]["base_failed"])
     least = math.floor(sound[math.ceil(quality.QUANTILE * len(sound)) - 1] / quality.STEP) * quality.STEP - quality.MARGIN
     assert {i: got[i]["kept"] for i in every} == {i: not got[i]["base_failed"] and llr[i] >= least for i in every}
+
+
+def test_hot_anchors(spark):
+    rng = np.random.default_rng(9)
+    text = lambda n: "".join(rng.choice(list("abcdefghij "), n))
+    passage = text(140)
+    rows = [(k, text(60) + passage + (text(60) if k % 3 else "same ending of some length, always the same, without any change")) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen: dict = {}
+    want = {}
+    for k, t in rows:
+        gone = bytearray(len(t))
+        for i in range(len(t) - 49):
+            if seen.setdefault(t[i : i + 50], k) < k:
+                gone[i : i + 50] = b"\1" * 50
+        want[k] = "".join(c for c, g in zip(t, gone) if not g)
+    for hot in (4, repeats.HOT):
+        assert {r["doc_id"]: bytes(r["kept"]).decode() for r in repeats.without_repeats(df, hot=hot).collect()} == want
