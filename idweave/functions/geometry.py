@@ -127,3 +127,32 @@ def upside_down(flag: Column, flag_turned: Column, skin_left: Column, skin_right
     biggest = F.greatest(skin_left, skin_right)
     clear = (biggest > 0.03) & (F.abs(skin_left - skin_right) > 0.3 * biggest)
     return F.when((flag > 0) | (flag_turned > 0), flag_turned > flag).when(clear, skin_right > skin_left).otherwise(digits_turned > digits)
+
+
+# What a side's gradient is measured against, shares of the weakest side and of all, and what a candidate's
+# score is made of for each detector: aspect, edge, density.
+FULL_EDGE, WEAKEST, EVERY_SIDE = 60.0, 0.55, 0.45
+SCORE_PARTS = {"edges": (0.55, 0.45, 0.0), "texture": (0.35, 0.30, 0.35), "color": (0.5, 0.5, 0.0), "holes": (0.65, 0.35, 0.0)}
+LEAST_DENSITY, LEAST_MERGED_AREA, MOST_SKIN, LEAST_TEXTURE = 0.05, 0.04, 0.4, 12.0
+
+
+def edge_support(sides: Column) -> Column:
+    """0 to 1 from the mean gradients along a quadrilateral's four sides: mostly the weakest one's."""
+    scores = F.transform(sides, lambda m: F.least(F.lit(1.0), m / FULL_EDGE))
+    return bind(scores, lambda s: WEAKEST * F.array_min(s) + EVERY_SIDE * F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / 4)
+
+
+def candidate_score(detector: Column, aspect: Column, edge: Column, density: Column, merges: Column, area: Column, skin: Column) -> Column:
+    """A candidate's score by its detector's parts; null where the detector rejects it.
+
+    All reject an aspect of 0; texture rejects what is nearly blank; holes reject what no merge made, what is small (area
+    is a share of the frame) and what is mostly skin.
+    """
+    part = lambda k: F.coalesce(*[F.when(detector == d, F.lit(v[k])) for d, v in SCORE_PARTS.items()])
+    lost = (aspect <= 0) | ((detector == "texture") & (density < LEAST_DENSITY)) | ((detector == "holes") & ((merges <= 0) | (area < LEAST_MERGED_AREA) | (skin > MOST_SKIN)))
+    return F.when(~F.coalesce(lost, F.lit(True)), part(0) * aspect + part(1) * edge + part(2) * F.least(F.lit(1.0), 2.0 * density))
+
+
+def is_flat(deviation: Column) -> Column:
+    """Whether a warped card's grey values vary so little that it was not found; its frame's centre is used then."""
+    return deviation < LEAST_TEXTURE

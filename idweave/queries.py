@@ -179,12 +179,12 @@ ys AS (SELECT o_orderkey, unnest({variants_sql('y')}) AS y FROM o), ms AS (SELEC
 every AS (SELECT DISTINCT o_orderkey, y || '/' || m || '/' || d AS v FROM ys JOIN ms USING (o_orderkey) JOIN ds USING (o_orderkey)
   WHERE TRY_CAST(y AS INT) BETWEEN 1250 AND 1420 AND TRY_CAST(m AS INT) BETWEEN 1 AND 12 AND TRY_CAST(d AS INT) BETWEEN 1 AND 31),
 found AS (SELECT o_orderkey, count(*) AS n, min(v) AS one, string_agg(v, ',' ORDER BY v) AS all_ FROM every GROUP BY 1),
-both_ AS (SELECT o_orderkey, jalali, confidence, CAST(jalali[1:4] AS INT) BETWEEN 1250 AND 1420 AS fine, n, one, all_ FROM orders LEFT JOIN parsed USING (o_orderkey) LEFT JOIN found USING (o_orderkey))
-SELECT o_orderkey, CASE WHEN fine THEN jalali WHEN n = 1 THEN one END AS jalali, CASE WHEN fine THEN confidence WHEN n = 1 THEN 0.6 ELSE 0 END AS confidence,
+both_ AS (SELECT o_orderkey, jalali, iso, confidence, CAST(jalali[1:4] AS INT) BETWEEN 1250 AND 1420 AS fine, n, one, all_ FROM orders LEFT JOIN parsed USING (o_orderkey) LEFT JOIN found USING (o_orderkey))
+SELECT o_orderkey, CASE WHEN fine THEN jalali WHEN n = 1 THEN one END AS jalali, CASE WHEN fine THEN strftime(iso, '%Y-%m-%d') END AS iso, CASE WHEN fine THEN confidence WHEN n = 1 THEN 0.6 ELSE 0 END AS confidence,
   CASE WHEN coalesce(fine, false) OR coalesce(n, 0) <= 1 THEN '' ELSE all_ END AS candidates FROM both_""")
 def date_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = dated(spark, sf_dir).select("o_orderkey", jalali.read_date(F.col("raw")).alias("r"))
-    return own.select("o_orderkey", "r.jalali", F.round("r.confidence", 6).alias("confidence"), F.array_join("r.candidates", ",").alias("candidates"))
+    return own.select("o_orderkey", "r.jalali", F.date_format("r.iso", "yyyy-MM-dd").alias("iso"), F.round("r.confidence", 6).alias("confidence"), F.array_join("r.candidates", ",").alias("candidates"))
 
 
 # Layout.
@@ -379,11 +379,12 @@ def candidate_union_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH f AS (SELECT o_orderkey, 400 + o_orderkey % 900 AS w, 300 + o_orderkey % 700 AS h FROM orders), c AS (SELECT *, CASE WHEN w / h >= 1.586 THEN CAST(trunc(h * 1.586::DOUBLE) AS BIGINT) ELSE w END AS w0, CASE WHEN w / h >= 1.586 THEN h ELSE CAST(trunc(w / 1.586::DOUBLE) AS BIGINT) END AS h0 FROM f),
 d AS (SELECT *, greatest(20, CAST(trunc(w0 * (1 - (1 - 0.96::DOUBLE))) AS BIGINT)) AS cw, greatest(20, CAST(trunc(h0 * (1 - (1 - 0.96::DOUBLE))) AS BIGINT)) AS ch FROM c)
 SELECT o_orderkey, (w - cw) // 2 AS x1, (h - ch) // 2 AS y1, least(w, (w - cw) // 2 + cw) AS x2, least(h, (h - ch) // 2 + ch) AS y2,
-  greatest(0, CAST(trunc(50 - 40 * 0.35::DOUBLE) AS BIGINT)) AS face_x1, least(w, CAST(trunc(50 + 40 * (1 + 0.35::DOUBLE)) AS BIGINT)) AS face_x2 FROM d""")
+  greatest(0, CAST(trunc(50 - 40 * 0.35::DOUBLE) AS BIGINT)) AS face_x1, least(w, CAST(trunc(50 + 40 * (1 + 0.35::DOUBLE)) AS BIGINT)) AS face_x2,
+  greatest(0, CAST(trunc(60 - 40 * 0.55::DOUBLE) AS BIGINT)) AS face_y1, least(h, CAST(trunc(60 + 40 * (1 + 0.85::DOUBLE)) AS BIGINT)) AS face_y2 FROM d""")
 def crop_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "orders").select("o_orderkey", (400 + F.col("o_orderkey") % 900).alias("w"), (300 + F.col("o_orderkey") % 700).alias("h"))
     own = own.withColumn("c", geometry.center_box(F.col("w"), F.col("h"))).withColumn("f", geometry.padded_box(F.lit(50), F.lit(60), F.lit(40), F.lit(40), F.col("w"), F.col("h")))
-    return own.select("o_orderkey", *[F.col(f"c.{k}").cast("long").alias(k) for k in ("x1", "y1", "x2", "y2")], F.col("f.x1").cast("long").alias("face_x1"), F.col("f.x2").cast("long").alias("face_x2"))
+    return own.select("o_orderkey", *[F.col(f"c.{k}").cast("long").alias(k) for k in ("x1", "y1", "x2", "y2")], *[F.col(f"f.{k}").cast("long").alias(f"face_{k}") for k in ("x1", "y1", "x2", "y2")])
 
 
 # Quality and review.
@@ -600,6 +601,18 @@ def orientation_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", geometry.upside_down(k % 3 * (k % 2), k % 5 * (k % 2), k % 17 / 100, k % 13 / 100, k % 7, k % 11).alias("turned"))
 
 
+
+@query("""WITH c AS (SELECT event_id, event_id % 4 AS d, event_id % 11 / 10.0 AS aspect, event_id % 13 / 20.0 AS density, event_id % 3 AS merges, event_id % 17 / 100.0 AS area, event_id % 7 / 10.0 AS skin, list_transform([event_id % 50, event_id % 70, event_id % 90, event_id % 110], lambda x: least(1.0, x / 60.0)) AS s FROM events),
+e AS (SELECT *, 0.55 * list_min(s) + 0.45 * list_sum(s) / 4 AS edge FROM c)
+SELECT event_id, round(edge + 1e-9, 4) AS edge, round(1e-9 + CASE WHEN aspect <= 0 OR (d = 1 AND density < 0.05) OR (d = 3 AND (merges <= 0 OR area < 0.04 OR skin > 0.4)) THEN NULL WHEN d = 0 THEN 0.55 * aspect + 0.45 * edge WHEN d = 1 THEN 0.35 * aspect + 0.35 * least(1.0, density * 2) + 0.3 * edge WHEN d = 2 THEN 0.5 * aspect + 0.5 * edge ELSE 0.65 * aspect + 0.35 * edge END, 4) AS score FROM e""")
+def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    own = table(spark, sf_dir, "events").select("event_id", geometry.edge_support(F.array(k % 50, k % 70, k % 90, k % 110)).alias("edge"))
+    detector = F.element_at(F.array(*map(F.lit, geometry.SCORE_PARTS)), (k % 4).cast("int") + 1)
+    score = geometry.candidate_score(detector, k % 11 / 10, F.col("edge"), k % 13 / 20, k % 3, k % 17 / 100, k % 7 / 10)
+    return own.select("event_id", F.round(F.col("edge") + 1e-9, 4).alias("edge"), F.round(score + 1e-9, 4).alias("score"))
+
+
 # Whole answers: an order is a capture, with readings, free lines and quality from its columns.
 def card_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     k = F.col("o_orderkey")

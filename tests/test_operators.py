@@ -2,6 +2,8 @@
 
 import glob
 import os
+import struct
+import zlib
 
 import duckdb
 import pytest
@@ -46,6 +48,19 @@ def test_captures(spark, tmp_path):
     assert captures.accepted(captures.read_captures(spark, str(tmp_path))).count() == 1
 
 
+def png(path):
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", 1, 1, 8, 2, 0, 0, 0)
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"\0\1\2\3")) + chunk(b"IEND", b""))
+
+
+def test_undecodable(spark, tmp_path):
+    png(tmp_path / "good.png")
+    (tmp_path / "bad.png").write_bytes(b"no picture")
+    got = captures.undecodable(spark, captures.read_captures(spark, str(tmp_path)), str(tmp_path)).collect()
+    assert [r["path"].rsplit("/", 1)[1] for r in got] == ["bad.png"]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     land = tmp_path / "land"
     land.mkdir()
@@ -71,4 +86,4 @@ def test_best_reading_and_calibration(spark):
     boxes = spark.createDataFrame([("f", 50.0, 80.0, 10.0, 20.0, 100.0, 100.0)], "field string, ax double, ay double, bx double, by double, width double, height double")
     assert tuple(layout.calibrated(boxes).first()) == ("f", 0.1, 0.2, 0.5, 0.8)
     q = spark.range(1).select(review.issues(review.quality(F.lit(100), F.lit(900), F.lit(10.0), F.lit(250.0))).alias("i")).first()["i"]
-    assert q == ["blurry", "overexposed", "low_resolution"]
+    assert q == ["blurry", "low_resolution", "overexposed"]
