@@ -94,8 +94,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each leaves is written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; what each leaves is written and read again before the next, which then replaces it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = Staged(stage(spark, docs, sf_dir), name).df
+        kept = Staged(stage(spark, docs, sf_dir), name)
+        if before:
+            before.drop()
+        docs, before = kept.df, kept
     return STAGES[-1][1](spark, docs, sf_dir)
