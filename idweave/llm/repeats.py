@@ -4,7 +4,9 @@ Every window of bytes has an anchor, a gram found from the window alone, and the
 run. Anchors are screened first: only runs whose anchor stands in several documents can repeat. Their bytes are fetched
 and dealt by anchor; each task makes Burrows-Wheeler transforms of bounded shards of the different ones and merges these
 by interleave refinement, whose intervals of equal windows, with their least documents, decide. Equal bytes are one
-content: where documents of one task share it, only the least of them is dealt on, as the others repeat all of it. Runs
+content: where documents of one task share it, only the least of them is dealt on, as the others repeat all of it. Two
+contents can share a window only where they agree to both sides of their anchor for a window's length; the transforms
+leave out contents that agree so far with no other. Runs
 of a hot anchor, which very many documents hold, are cut into their windows, which are dealt by their own bytes. No window
 is decided by a hash.
 """
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from idweave.llm.anchors import WINDOW, anchors
+from idweave.llm.anchors import GRAM, WINDOW, anchors
 from idweave.llm.bwt import intervals
 from idweave.llm.common import Staged, small_batches
 
@@ -36,7 +38,8 @@ MOST_HOT = 1_000_000  #: anchors that are told to all tasks (8 MB), those of mos
 SIX = "six bytes"  #: anchors travel as 48 bits; what only these have in common is told apart by the bytes
 LOW = np.uint64((1 << 48) - 1)
 ANCHOR = [("h", SIX), ("doc", np.int64)]
-RUN = [("doc", np.int64), ("first", np.int64), ("n", np.int32)]
+RUN = [("doc", np.int64), ("first", np.int64), ("n", np.int32), ("anchor", np.int16)]
+ALONE = -1  #: in place of an anchor: windows of hot anchors, which are equal or share nothing
 SPAN = [("doc", np.int64), ("start", np.int64), ("end", np.int64)]
 
 
@@ -151,7 +154,7 @@ def fetched(id: str, text: str, tasks: int, hot: Broadcast):
         noted_h, noted_doc = noted_h[order], noted_doc[order]
         at = slices(noted_doc)
         done: set[int] = set()
-        held: dict[tuple[int, bytes], list[int]] = {}  # the least document, then where its runs of this content begin
+        held: dict[tuple[int, bytes], list[int]] = {}  # the least document, the anchor's place, then where its runs of this content begin
         known: tuple[list[int], list[int], list[int]] = ([], [], [])
 
         def repeated(doc: int, firsts: list[int], n: int) -> None:
@@ -164,19 +167,19 @@ def fetched(id: str, text: str, tasks: int, hot: Broadcast):
                 continue
             done.add(own)
             data = (value or "").encode("utf-8", "surrogatepass")
-            h, first, last, _ = anchors(data)
+            h, first, last, where = anchors(data)
             h = h & LOW
             near = np.isin(h, noted_h[slice(*at[own])])
             many = near & np.isin(h, hot.value)
             near &= ~many
-            found = list(zip(h[near].tolist(), first[near].tolist(), (last[near] + WINDOW).tolist()))
-            found += [(zlib.crc32(data[k : k + WINDOW]) << 16, k, k + WINDOW) for i, j in zip(first[many].tolist(), last[many].tolist()) for k in range(i, j + 1)]
-            for x, a, b in found:
+            found = list(zip(h[near].tolist(), first[near].tolist(), (last[near] + WINDOW).tolist(), (where - first)[near].tolist()))
+            found += [(zlib.crc32(data[k : k + WINDOW]) << 16, k, k + WINDOW, ALONE) for i, j in zip(first[many].tolist(), last[many].tolist()) for k in range(i, j + 1)]
+            for x, a, b, at_ in found:
                 content = (x, data[a:b])
-                before = held.setdefault(content, [own])
+                before = held.setdefault(content, [own, at_])
                 if own < before[0]:
-                    repeated(before[0], before[1:], b - a)
-                    held[content] = [own, a]
+                    repeated(before[0], before[2:], b - a)
+                    held[content] = [own, at_, a]
                 elif own > before[0]:
                     repeated(own, [a], b - a)
                 else:
@@ -193,11 +196,11 @@ def fetched(id: str, text: str, tasks: int, hot: Broadcast):
         if held:
             contents = list(held)
             order = np.argsort((np.array([x for x, _ in contents], np.uint64) >> np.uint64(20)) % np.uint64(tasks), kind="stable")
-            task, rows, pieces = [], ([], [], []), []
+            task, rows, pieces = [], ([], [], [], []), []
             for k in order.tolist():
-                (x, content), (own, *firsts) = contents[k], held[contents[k]]
+                (x, content), (own, at_, *firsts) = contents[k], held[contents[k]]
                 for i, first in enumerate(firsts):  # a run of no bytes has those of the last one before it that has some
-                    for values, value in zip(rows, (own, first, 0 if i else len(content))):
+                    for values, value in zip(rows, (own, first, 0 if i else len(content), at_)):
                         values.append(value)
                 task += [(x >> 20) % tasks] * len(firsts)
                 pieces.append((task[-1], content))
@@ -239,6 +242,25 @@ def repeated_spans(contents: list[bytes], least: np.ndarray) -> tuple[np.ndarray
     return c[cut], begin[cut], begin[ends] + WINDOW
 
 
+def may_share(contents: list[bytes], anchor: np.ndarray) -> np.ndarray:
+    """Contents that agree with another one for a window's length around their anchors, each side's most taken together."""
+
+    def most(own: list[bytes]) -> np.ndarray:
+        rows = np.array(own, f"S{WINDOW}")
+        order = np.argsort(rows)
+        letters = rows[order].view(np.uint8).reshape(len(rows), WINDOW)
+        differ = letters[1:] != letters[:-1]
+        common = np.where(differ.any(1), differ.argmax(1), WINDOW)
+        out = np.empty(len(rows), np.int64)
+        out[order] = np.maximum(np.append(common, 0), np.concatenate([[0], common]))
+        return out
+
+    side = [k for k, a in enumerate(anchor.tolist()) if a != ALONE]
+    after = most([contents[k][anchor[k] : anchor[k] + WINDOW] for k in side])
+    before = most([contents[k][max(0, anchor[k] + GRAM - WINDOW) : anchor[k] + GRAM][::-1] for k in side])
+    return np.array(side, np.int64)[after + before - GRAM >= WINDOW] if side else np.empty(0, np.int64)
+
+
 def looked_at(parts: int):
     """Spans of repeated windows among the fetched runs, by their documents' part; spans already known pass through.
 
@@ -249,7 +271,7 @@ def looked_at(parts: int):
         if key[0].as_py() < 0:
             doc, a, b = unpacked(table, [(f"s_{k}", v) for k, v in SPAN])
             return pa.Table.from_batches([packed("part", doc % parts, [doc, a, b], SPAN)])
-        doc, first, n = unpacked(table, RUN)
+        doc, first, n, anchor = unpacked(table, RUN)
         data = b"".join(x for x in table["bytes"].to_pylist() if x)
         has = np.flatnonzero(n > 0)
         ends = np.cumsum(n[has], dtype=np.int64)
@@ -261,7 +283,11 @@ def looked_at(parts: int):
         contents = list(number)
         length = np.array([len(c) for c in contents], np.int64)
         again = doc > least[of]
-        c, begin, end = repeated_spans(contents, least)
+        at = np.zeros(len(contents), np.int64)
+        at[of] = anchor
+        some = may_share(contents, at)
+        c, begin, end = repeated_spans([contents[k] for k in some.tolist()], least[some]) if len(some) else (np.empty(0, np.int64),) * 3
+        c = some[c]
         times = np.bincount(c, minlength=len(contents))
         rest = np.flatnonzero(~again)
         copies = times[of[rest]]
