@@ -27,7 +27,7 @@ SAMPLE_TEXTS = 2000  #: different labelled texts of each class at most, used who
 DICTIONARY_SHARE = 0.65  #: of the sample that trains dictionaries; the rest calibrates
 ORDINARY_BYTES, TOXIC_BYTES = 112_640, 2_048
 WINDOW_WORDS = 12
-LEAST_RATIO = 10  #: times as many toxic documents as ordinary ones must hold a word or beginning for the toxic dictionary
+LEAST_RATIO = 20  #: times as many toxic documents as ordinary ones must hold a word or beginning for the toxic dictionary
 LEAST_SHARE = 0.02  #: of the toxic documents must hold it
 BEGINNINGS = range(4, 9)  #: letters
 GAIN = 3  #: bytes saved that count as a hit
