@@ -18,8 +18,8 @@ def listed(*found: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def field_values(best: DataFrame, key: str) -> DataFrame:
-    """key, field, raw, value, iso, candidates, confidence, notes: each field's reading (raw, conf) by the field's own rules.
+def field_values(best: DataFrame, key: str, *more: str) -> DataFrame:
+    """key, field, raw, value, iso, candidates, confidence, notes and more columns of best: each field's reading (raw, conf) by its rules.
 
     notes are warnings of the reading, as ``code:field`` and what else there is to say. A value that cannot be read is
     null; its confidence is 0.
@@ -27,18 +27,17 @@ def field_values(best: DataFrame, key: str) -> DataFrame:
     is_code, is_date = F.col("field") == "national_id", F.col("field").endswith("_date")
     read = best.withColumn("code", F.when(is_code, read_code(F.col("raw"), F.col("conf")))).withColumn("date", F.when(is_date, read_date(F.col("raw")))).withColumn("name", F.when(~is_code & ~is_date, name_tokens(F.col("raw"))))
     confidence = F.when(is_code, F.col("code.confidence")).when(is_date, F.round(F.col("conf") * F.col("date.confidence"), 3)).when(F.col("name").isNotNull(), F.round("conf", 3))
-    about = lambda what, *more: F.concat(F.lit(f"{what}:"), F.col("field"), *more)
+    about = lambda what, *rest: F.concat(F.lit(f"{what}:"), F.col("field"), *rest)
     unread = F.when(F.col("date.jalali").isNull(), F.when(F.size("date.candidates") > 0, about("ambiguous_date", F.lit(":"), F.array_join("date.candidates", ","))).otherwise(about("unread_date")))
     of_date = F.concat(listed(unread), F.transform("date.notes", lambda n: F.concat(n, F.lit(":"), F.col("field"))))
     notes = F.when(is_date, of_date).otherwise(listed(F.when(F.col("code.note").isNotNull(), F.concat(F.col("code.note"), F.lit("_code:"), F.col("field")))))
-    return read.select(key, "field", "raw", F.coalesce("code.value", "date.jalali", "name").alias("value"), F.col("date.iso").alias("iso"), F.col("date.candidates").alias("candidates"), F.coalesce(confidence, F.lit(0.0)).alias("confidence"), notes.alias("notes"))
+    return read.select(key, "field", "raw", F.coalesce("code.value", "date.jalali", "name").alias("value"), F.col("date.iso").alias("iso"), F.col("date.candidates").alias("candidates"), F.coalesce(confidence, F.lit(0.0)).alias("confidence"), notes.alias("notes"), *more)
 
 
 def first_values(readings: DataFrame, key: str) -> DataFrame:
     """Every required field of every capture with its best reading's value, and the warnings of the reading."""
     wanted = readings.select(key).distinct().select(key, F.explode(F.array(*map(F.lit, REQUIRED))).alias("field"))
-    best = best_reading(readings, [key, "field"])
-    value = field_values(best, key).join(best.select(key, "field", "conflict", "other"), [key, "field"])
+    value = field_values(best_reading(readings, [key, "field"]), key, "conflict", "other")
     about = lambda what, *more: F.concat(F.lit(f"{what}:"), F.col("field"), *more)
     warnings = F.when(F.col("raw").isNull(), listed(about("nothing_read"))).otherwise(F.concat(listed(F.when(F.col("conflict"), about("two_readings", F.lit(":"), F.col("raw"), F.lit("|"), F.col("other")))), "notes"))
     return wanted.join(value, [key, "field"], "left").withColumn("warnings", warnings).drop("notes", "conflict", "other")
