@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idweave.llm import bpe, hnsw, langid, licenses, line_dedup, ngram_join, packing, quality, repeats, toxicity
+from idweave.llm import bpe, decontamination, hnsw, langid, lexical, licenses, line_dedup, ngram_join, packing, quality, repeats, terms, toxicity, vector_codes
 from idweave.llm.common import small_batches, table
 
 
@@ -82,7 +84,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_packing, op4_ngram_jaccard_join, op5_license_scan, op6_suffix_dedup, op3_toxicity, op7_quality_rules, op8_line_dedup, op9_bpe_round_trip, op10_language_id)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest-scoring documents for every benchmark item, score at a time."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code in eight parts of sixteen entries, its error and its label's, by exponion search."""
+    done = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return done.codes.withColumn("codebooks_sha256", F.lit(done.digest()))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in a ten-word window of a benchmark item, and the items, by FM-indexes."""
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    listed = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_packing, op4_ngram_jaccard_join, op5_license_scan, op6_suffix_dedup, op3_toxicity, op7_quality_rules, op8_line_dedup, op9_bpe_round_trip, op10_language_id, op11_ranked_search, op12_vector_codes, op13_decontamination)}
 QUOTED = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in licenses.TEMPLATES.items())
 WORDS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 PAIRS = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
@@ -130,4 +151,54 @@ degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN component c ON c.a = vec_id LEFT JOIN degree d ON d.a = vec_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": OP1_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op5_license_scan": OP5_SQL}
+TERMS = f"regexp_extract_all(translate({{0}}, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{terms.PATTERN}')"
+
+OP11_SQL = f"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {TERMS.format('text')} AS w FROM documents),
+held AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n FROM doc WHERE len(w) > 0),
+whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM held),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM doc) GROUP BY r, t),
+weight AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY t),
+asked AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({TERMS.format('text')}) AS t FROM benchmark) GROUP BY item_id, t),
+scored AS (
+  SELECT item_id, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS BIGINT) AS score
+  FROM asked JOIN weight USING (t) JOIN tf USING (t) JOIN held USING (r), whole GROUP BY item_id, r)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored JOIN held USING (r) WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+def op12_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS) -> str:
+    """Every round is a table of codes, by all distances, and one of codebooks."""
+    floor = "CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)"
+    steps = [
+        f"kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: {floor}) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"part AS (SELECT vec_id, label, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x FROM kept, range({parts}) AS t(p))",
+        f"book0 AS (SELECT p, e, x AS c FROM part JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < {entries}) USING (vec_id))",
+    ]
+    for k in range(rounds + 1):
+        distance = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        steps.append(f"code{k} AS MATERIALIZED (SELECT vec_id, any_value(label) AS label, p, min((d, e)) AS best, any_value(x) AS x FROM (SELECT part.*, e, CAST({distance} AS BIGINT) AS d FROM part JOIN book{k} USING (p)) GROUP BY vec_id, p)")
+        if k < rounds:
+            down = "CAST((sum(y) - ((sum(y) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)"
+            steps.append(f"mean{k} AS (SELECT p, e, list(m ORDER BY i) AS c FROM (SELECT p, best[2] AS e, i, {down} AS m FROM (SELECT p, best, unnest(x) AS y, unnest(range(len(x))) AS i FROM code{k}) GROUP BY p, best[2], i) GROUP BY p, e)")
+            steps.append(f"book{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN mean{k} m ON m.p = b.p AND m.e = b.e)")
+    return f"""WITH {", ".join(steps)},
+done AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', CAST(best[2] AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM code{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256 FROM done"""
+
+
+WINDOW_OF = "array_to_string(w[i : i + least(len(w), {0}) - 1], ' ')"
+OP13_SQL = f"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce({TERMS.format('text')}, []) AS w FROM documents),
+item AS (SELECT item_id, {TERMS.format('text')} AS w FROM benchmark),
+phrase AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: {WINDOW_OF.format(10)})) AS t FROM item WHERE len(w) > 0),
+place AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS t FROM doc, (SELECT DISTINCT n FROM phrase) WHERE len(w) >= n),
+found AS (SELECT r, i, n, item_id FROM place JOIN phrase USING (n, t)),
+hit AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS place FROM (SELECT DISTINCT r, i, n FROM found)) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": OP1_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op5_license_scan": OP5_SQL, "op11_ranked_search": OP11_SQL, "op12_vector_codes": op12_sql(), "op13_decontamination": OP13_SQL}
