@@ -15,9 +15,9 @@ LEAST_DIGITS, MOST_DIGITS = 6, 12
 REJECT = "reject"
 
 
-def sized(blobs: DataFrame) -> DataFrame:
+def sized(blobs: DataFrame, least_height: int = LEAST_HEIGHT, least_area: int = LEAST_AREA) -> DataFrame:
     """blobs (h, area) that are no specks."""
-    return blobs.where((F.col("h") >= LEAST_HEIGHT) & (F.col("area") >= LEAST_AREA))
+    return blobs.where((F.col("h") >= least_height) & (F.col("area") >= least_area))
 
 
 def cut_at(columns: Column, width: Column) -> Column:
@@ -74,6 +74,6 @@ def assembled(scored: DataFrame, keys: list[str]) -> DataFrame:
     return total.join(read, keys, "left").select(*keys, F.when(sound, text).alias("digits"), F.when(sound, F.col("mean")).otherwise(0.0).alias("confidence"))
 
 
-def banded(blobs: DataFrame, keys: list[str]) -> DataFrame:
+def banded(blobs: DataFrame, keys: list[str], least_height: int = LEAST_HEIGHT, least_area: int = LEAST_AREA) -> DataFrame:
     """blobs (y, h, area) without specks, and within the bands of height and row of their crop."""
-    return median_band(sized(blobs).withColumn("cy", F.col("y") + F.col("h") / 2), keys).where("kept").drop("cy", "kept")
+    return median_band(sized(blobs, least_height, least_area).withColumn("cy", F.col("y") + F.col("h") / 2), keys).where("kept").drop("cy", "kept")
