@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from idweave.functions.binding import bind
 from idweave.functions.geometry import region_box
 from idweave.operators.sizes import small
 
@@ -58,3 +59,22 @@ def exploded(cards: DataFrame, layout: DataFrame) -> DataFrame:
     own = small(layout.where("kind <> 'photo'").select("field", "kind", "x1", "y1", "x2", "y2"))
     box = region_box(*[F.col(c) for c in ("x1", "y1", "x2", "y2", "width", "height")])
     return cards.crossJoin(own).withColumn("box", box).drop("x1", "y1", "x2", "y2")
+
+
+def layout_as_of(captures: DataFrame, versions: DataFrame, keys: list[str], at: str = "taken_at", since: str = "valid_from") -> DataFrame:
+    """captures with version: the columns of the layout that was valid when each was taken, as a struct; null before the first.
+
+    versions: keys, since, version_no and any other columns. Of versions valid from the same time the one of the largest
+    version_no counts, and a capture taken at that very time has it already. Versions are gathered by key, in order, and each
+    capture finds its own among them, so captures are neither sorted nor gathered, however many one key has; a null time or
+    key has no version.
+    """
+    facts = [c for c in versions.columns if c not in (*keys, since, "version_no")]
+    one = F.max_by(F.struct(*facts), "version_no").alias("facts") if facts else F.lit(None).cast("string").alias("facts")
+    latest = versions.where(F.col(since).isNotNull()).groupBy(*keys, since).agg(F.max("version_no").alias("version_no"), one)
+    entry = F.struct(F.col(since).alias("since"), "version_no", "facts")
+    listed = latest.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("__versions"))
+    both = captures.join(small(listed), keys, "left")
+    found = F.element_at(F.filter("__versions", lambda v: v["since"] <= F.col(at)), -1)
+    wanted = bind(F.when(F.exists("__versions", lambda v: v["since"] <= F.col(at)), found), lambda v: F.when(v.isNotNull(), F.struct(v["since"].alias(since), v["version_no"].alias("version_no"), *[v["facts"][c].alias(c) for c in facts])))
+    return both.withColumn("version", wanted).drop("__versions")

@@ -92,9 +92,13 @@ def answers(records: DataFrame, keys: list[str]) -> DataFrame:
     return records.select(*keys, F.to_json(F.struct(*[c for c in records.columns if c not in keys])).alias("answer"))
 
 
-def approved(extracted: DataFrame, corrections: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """extracted with an operator's corrections in place of its fields, where there are any; marked as approved then."""
-    own = corrections.select(*keys, *[F.col(f).alias(f"new_{f}") for f in fields], F.lit(True).alias("approved"))
+def approved(extracted: DataFrame, corrections: DataFrame, keys: list[str], fields: list[str], at: str | None = None) -> DataFrame:
+    """extracted with an operator's corrections in place of its fields, where there are any; marked as approved then.
+
+    A key with several corrections has the latest by ``at``, or without it the largest; so no row is doubled.
+    """
+    order = F.struct(*([at] if at else []), *fields)
+    own = corrections.groupBy(*keys).agg(F.max(order).alias("new")).select(*keys, *[F.col(f"new.{f}").alias(f"new_{f}") for f in fields], F.lit(True).alias("approved"))
     both = extracted.join(own, keys, "left")
     rest = [c for c in extracted.columns if c not in (*keys, *fields)]
     return both.select(*keys, *[F.coalesce(F.nullif(F.trim(f"new_{f}"), F.lit("")), F.col(f)).alias(f) for f in fields], *rest, F.coalesce("approved", F.lit(False)).alias("approved"))
