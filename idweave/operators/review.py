@@ -70,21 +70,24 @@ def record(fields: DataFrame, keys: list[str]) -> DataFrame:
     own = fields.select("*", *[F.lit(None).cast(t).alias(c) for c, t in kinds.items() if c not in fields.columns])
     facts = F.struct("value", "confidence", *kinds)
     wide = own.groupBy(*keys).agg(*[F.first(F.when(F.col("field") == f, facts), ignorenulls=True).alias(f) for f in REQUIRED])
-    part = lambda f, c: F.col(f)[c]
+    return wide.select(*keys, *record_columns(lambda f, c: F.col(f)[c]))
+
+
+def record_columns(part) -> list[Column]:
+    """data, confidence, validation, missing_fields, warnings, needs_review from part(field, what), as ``record`` has it."""
     code = part("national_id", "value")
     valid, missing = is_valid(code), missing_fields({f: part(f, "value") for f in REQUIRED})
     listed = lambda c, order: F.concat(*[F.coalesce(part(f, c), F.array().cast("array<string>")) for f in order])
     last = F.when((F.length(code) == 10) & ~valid, F.array(F.lit("check_digit"))).otherwise(F.array().cast("array<string>"))
     confidence = F.create_map(*[x for f in REQUIRED for x in (F.lit(f), F.round(F.coalesce(part(f, "confidence"), F.lit(0.0)), 3))])
-    return wide.select(
-        *keys,
+    return [
         F.struct(*[field_struct(f, part) for f in REQUIRED]).alias("data"),
         confidence.alias("confidence"),
         F.struct(valid.alias("national_id")).alias("validation"),
         missing.alias("missing_fields"),
         F.concat(listed("warnings", READ_ORDER), listed("more_warnings", REQUIRED), last).alias("warnings"),
         ((F.size(missing) > 0) | ~valid).alias("needs_review"),
-    )
+    ]
 
 
 def answers(records: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,72 +1,147 @@
-"""From engine readings of each field to reviewable records and whole answers, as one declarative plan."""
+"""From crops and engine readings of each field to reviewable records and whole answers, as one declarative plan.
+
+Readings meet once a capture, and so do its lines: two exchanges by the capture's key, after which every rule looks at
+arrays of one row. A capture has some readings of six fields and the lines of one card.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from idweave.functions.binding import bind
 from idweave.functions.codes import read_code
 from idweave.functions.jalali import read_date
-from idweave.functions.text import name_tokens
+from idweave.functions.text import name_tokens, normalize_text, only_digits
 from idweave.operators.layout import LABEL_PATTERNS, REQUIRED
-from idweave.operators.readings import best_reading
-from idweave.operators.recovery import recovered
-from idweave.operators.review import gate, is_missing, quality, record
+from idweave.operators.readings import CONFLICT, gated_attempts, matched, weighed_dates, weighed_digits
+from idweave.operators.recovery import DISTANCE_WEIGHT, HEIGHTS, LEAST_LIMIT, LEFT_BONUS, RECOVERED, shown_fields
+from idweave.operators.review import gate, is_missing, quality, record_columns
+
+def no_texts() -> Column:
+    return F.array().cast("array<string>")
 
 
 def listed(*found: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def field_values(best: DataFrame, key: str, *more: str) -> DataFrame:
-    """key, field, raw, value, iso, candidates, confidence, notes and more columns of best: each field's reading (raw, conf) by its rules.
+def about(what: str, field: Column, *rest: Column) -> Column:
+    return F.concat(F.lit(f"{what}:"), field, *rest)
+
+
+def read_value(field: Column, raw: Column, conf: Column) -> Column:
+    """Struct raw, value, iso, candidates, confidence, notes of a field's reading by its rules.
 
     notes are warnings of the reading, as ``code:field`` and what else there is to say. A value that cannot be read is
     null; its confidence is 0.
     """
-    is_code, is_date = F.col("field") == "national_id", F.col("field").endswith("_date")
-    read = best.withColumn("code", F.when(is_code, read_code(F.col("raw"), F.col("conf")))).withColumn("date", F.when(is_date, read_date(F.col("raw")))).withColumn("name", F.when(~is_code & ~is_date, name_tokens(F.col("raw"))))
-    confidence = F.when(is_code, F.col("code.confidence")).when(is_date, F.round(F.col("conf") * F.col("date.confidence"), 3)).when(F.col("name").isNotNull(), F.round("conf", 3))
-    about = lambda what, *rest: F.concat(F.lit(f"{what}:"), F.col("field"), *rest)
-    unread = F.when(F.col("date.jalali").isNull(), F.when(F.size("date.candidates") > 0, about("ambiguous_date", F.lit(":"), F.array_join("date.candidates", ","))).otherwise(about("unread_date")))
-    of_date = F.concat(listed(unread), F.transform("date.notes", lambda n: F.concat(n, F.lit(":"), F.col("field"))))
-    notes = F.when(is_date, of_date).otherwise(listed(F.when(F.col("code.note").isNotNull(), F.concat(F.col("code.note"), F.lit("_code:"), F.col("field")))))
-    return read.select(key, "field", "raw", F.coalesce("code.value", "date.jalali", "name").alias("value"), F.col("date.iso").alias("iso"), F.col("date.candidates").alias("candidates"), F.coalesce(confidence, F.lit(0.0)).alias("confidence"), notes.alias("notes"), *more)
-
-
-def first_values(readings: DataFrame, key: str) -> DataFrame:
-    """Every required field of every capture with its best reading's value, and the warnings of the reading."""
-    wanted = readings.select(key).distinct().select(key, F.explode(F.array(*map(F.lit, REQUIRED))).alias("field"))
-    value = field_values(best_reading(readings, [key, "field"]), key, "conflict", "other")
-    about = lambda what, *more: F.concat(F.lit(f"{what}:"), F.col("field"), *more)
-    warnings = F.when(F.col("raw").isNull(), listed(about("nothing_read"))).otherwise(F.concat(listed(F.when(F.col("conflict"), about("two_readings", F.lit(":"), F.col("raw"), F.lit("|"), F.col("other")))), "notes"))
-    return wanted.join(value, [key, "field"], "left").withColumn("warnings", warnings).drop("notes", "conflict", "other")
-
-
-def recovered_values(first: DataFrame, lines: DataFrame, key: str) -> DataFrame:
-    """key, field, raw, value, iso, candidates, confidence, more_warnings for fields that ``first`` lacks, from free lines."""
-    missing = first.where(is_missing(F.col("value"), F.col("confidence"))).select(key, "field")
-    found = recovered(lines, LABEL_PATTERNS, missing, [key])
-    there = lines.select(key).distinct().withColumn("has_lines", F.lit(True))
-    value = field_values(found.where("text is not null").select(key, "field", F.col("text").alias("raw"), F.col("confidence").alias("conf")), key)
-    about = lambda what: F.array(F.concat(F.lit(f"{what}:"), F.col("field")))
-    warnings = F.when(F.col("has_lines").isNull(), about("no_lines")).when(~F.col("label_found"), about("no_label")).when(F.col("text").isNull(), about("no_value")).otherwise(F.coalesce("notes", F.array().cast("array<string>")))
-    return found.drop("confidence").join(there, key, "left").join(value, [key, "field"], "left").select(key, "field", "raw", "value", "iso", "candidates", "confidence", warnings.alias("more_warnings"))
+
+    def made(value: Column, iso: Column, candidates: Column, confidence: Column, notes: Column) -> Column:
+        return F.struct(raw.alias("raw"), value.alias("value"), iso.cast("date").alias("iso"), candidates.alias("candidates"), F.coalesce(confidence, F.lit(0.0)).alias("confidence"), notes.alias("notes"))
+
+    none = F.lit(None)
+
+    def of_date(d: Column) -> Column:
+        unread = F.when(d["jalali"].isNull(), F.when(F.size(d["candidates"]) > 0, about("ambiguous_date", field, F.lit(":"), F.array_join(d["candidates"], ","))).otherwise(about("unread_date", field)))
+        return made(d["jalali"], d["iso"], d["candidates"], F.round(conf * d["confidence"], 3), F.concat(listed(unread), F.transform(d["notes"], lambda n: F.concat(n, F.lit(":"), field))))
+
+    of_code = lambda c: made(c["value"], none, none.cast("array<string>"), c["confidence"], listed(F.when(c["note"].isNotNull(), F.concat(c["note"], F.lit("_code:"), field))))
+    of_name = lambda n: made(n, none, none.cast("array<string>"), F.when(n.isNotNull(), F.round(conf, 3)), no_texts())
+    return F.when(field == "national_id", bind(read_code(raw, conf), of_code)).when(field.endswith("_date"), bind(read_date(raw), of_date)).otherwise(bind(name_tokens(raw), of_name))
+
+
+def entry(v: Column, field: Column, warnings: Column, more: Column) -> Column:
+    return F.struct(field.alias("field"), *[v[c].alias(c) for c in ("raw", "value", "iso", "candidates", "confidence")], warnings.alias("warnings"), more.alias("more_warnings"))
+
+
+def first_entry(field: Column, reads: Column) -> Column:
+    """A field's entry by its surest reading, the first of equals, with the reading's warnings.
+
+    A different reading of a confidence over a half is a conflict; a field whose crop could not be cut says so.
+    """
+    mine = F.filter(reads, lambda r: (r["field"] == field) & (F.coalesce(r["raw"], F.lit("")) != "") & (r["conf"] > 0))
+    uncut = F.exists(reads, lambda r: (r["field"] == field) & r["uncut"])
+
+    def of(own: Column) -> Column:
+        return bind(F.array_max(own), lambda top: bind(F.array_max(F.filter(own, lambda r: r["raw"] != top["raw"])), lambda other: bind(read_value(field, top["raw"], top["conf"]), lambda v: said(v, top, other))))
+
+    def said(v: Column, top: Column, other: Column) -> Column:
+        conflict = F.when(other["conf"] > CONFLICT, about("two_readings", field, F.lit(":"), top["raw"], F.lit("|"), other["raw"]))
+        nothing = F.when(uncut, about("no_crop", field)).otherwise(about("nothing_read", field))
+        return entry(v, field, F.when(top["raw"].isNull(), F.array(nothing)).otherwise(F.concat(listed(conflict), v["notes"])), no_texts())
+
+    return bind(F.transform(mine, lambda r: F.struct(r["conf"].alias("conf"), (-r["attempt_no"]).alias("first"), r["raw"].alias("raw"))), of)
+
+
+def beside(label: Column, lines: Column, field: Column) -> Column:
+    """Struct score, first, text, confidence of the best value in the label's band, by the rules of ``recovered``; else null."""
+    limit = F.greatest(HEIGHTS * label["h"], F.lit(LEAST_LIMIT))
+    digits = lambda v: F.length(only_digits(v["text"]))
+    fits = lambda v: F.when(field.endswith("_date"), digits(v) >= 4).otherwise(digits(v) <= 2) & (F.trim(v["text"]) != "")
+    dy = lambda v: F.abs(v["cy"] - label["cy"])
+    near = F.filter(lines, lambda v: (F.size(v["shown"]) == 0) & (v["line_no"] != -label["first"]) & (dy(v) <= limit) & fits(v))
+    score = lambda v: v["confidence"] - DISTANCE_WEIGHT * dy(v) / limit + F.when(v["cx"] < label["cx"], LEFT_BONUS).otherwise(0.0)
+    return F.array_max(F.transform(near, lambda v: F.struct(score(v).alias("score"), (-v["line_no"]).alias("first"), F.trim(v["text"]).alias("text"), (v["confidence"] * RECOVERED).alias("confidence"))))
+
+
+def recovered_entry(e: Column, lines: Column) -> Column:
+    """An entry without a sure value, sought among the lines; what is read there replaces it.
+
+    A date is replaced in any case, its confidence only if it is a date; a code or name only if something is left of it.
+    """
+    field = e["field"]
+    labels = F.transform(F.filter(lines, lambda v: F.array_contains(v["shown"], field)), lambda v: F.struct(v["confidence"].alias("confidence"), (-v["line_no"]).alias("first"), *[v[c].alias(c) for c in ("cx", "cy", "h")]))
+
+    def of(label: Column) -> Column:
+        return bind(beside(label, lines, field), lambda best: bind(read_value(field, best["text"], best["confidence"]), lambda v: taken(label, best, v)))
+
+    def taken(label: Column, best: Column, v: Column) -> Column:
+        wrote = best["text"].isNotNull() & (v["value"].isNotNull() | field.endswith("_date"))
+        pick = [F.when(wrote, v[c]).otherwise(e[c]).alias(c) for c in ("raw", "value", "iso", "candidates")]
+        confidence = F.when(wrote & v["value"].isNotNull(), v["confidence"]).otherwise(e["confidence"]).alias("confidence")
+        more = F.when(lines.isNull(), F.array(about("no_lines", field))).when(label["first"].isNull(), F.array(about("no_label", field))).when(best["text"].isNull(), F.array(about("no_value", field))).otherwise(v["notes"])
+        return F.struct(field.alias("field"), *pick, confidence, e["warnings"].alias("warnings"), more.alias("more_warnings"))
+
+    return F.when(is_missing(e["value"], e["confidence"]), bind(F.array_max(labels), of)).otherwise(e)
 
 
 def records(readings: DataFrame, lines: DataFrame, key: str = "capture_id") -> DataFrame:
-    """Records from readings (key, field, attempt_no, raw, conf); missing fields are sought in lines, then all assembled.
+    """Records from readings (key, field, attempt_no, raw, conf) and free lines (key, line_no, text, confidence, cx, cy, h).
 
-    What recovery reads replaces what was there: a date in any case, its confidence only if it is a date; a code or name
-    only if something is left of it.
+    Every capture with a reading has a record; fields without a sure value are sought in its lines. A column ``uncut`` of
+    readings, where there is one, marks fields whose crop could not be cut.
+    """
+    uncut = F.coalesce("uncut", F.lit(False)) if "uncut" in readings.columns else F.lit(False)
+    read = F.struct("field", "attempt_no", "raw", F.col("conf").cast("double").alias("conf"), uncut.alias("uncut"))
+    reads = readings.groupBy(key).agg(F.collect_list(read).alias("__reads"))
+    numbers = ("confidence", "cx", "cy", "h")
+    free = lines.groupBy(key).agg(F.collect_list(F.struct("line_no", "text", *[F.col(c).cast("double").alias(c) for c in numbers])).alias("__lines"))
+    shown = lambda v: F.struct(*[v[c].alias(c) for c in ("line_no", "text", *numbers)], shown_fields(normalize_text(v["text"]), LABEL_PATTERNS).alias("shown"))
+    both = reads.join(free, key, "left").withColumn("__lines", F.transform("__lines", shown))
+    first = both.withColumn("__first", F.transform(F.array(*map(F.lit, REQUIRED)), lambda f: first_entry(f, F.col("__reads"))))
+    done = first.withColumn("__entries", F.transform("__first", lambda e: recovered_entry(e, F.col("__lines"))))
+    return done.select(key, *record_columns(lambda f, c: F.get(F.col("__entries"), F.lit(REQUIRED.index(f)))[c]))
+
+
+def engine_readings(ocr: DataFrame, template: DataFrame, again: DataFrame, key: str = "capture_id") -> DataFrame:
+    """Readings for ``records`` from two engines' tables (key, field, kind, attempt, raw, conf, error) of the same crops.
+
+    Numbers are weighed between both, dates between both and a second reading with separators (again), names are the first
+    engine's. Attempts are kept only where the ones before are too weak. Where the first engine says that there was no crop,
+    the field is marked as uncut; other errors leave the field unread.
     """
-    first = first_values(readings, key)
-    again = recovered_values(first, lines, key).select(key, "field", *[F.col(c).alias(f"again_{c}") for c in ("raw", "value", "iso", "candidates", "confidence")], "more_warnings")
-    both = first.join(again, [key, "field"], "left")
-    wrote = F.col("again_raw").isNotNull() & (F.col("again_value").isNotNull() | F.col("field").endswith("_date"))
-    pick = lambda c: F.when(wrote, F.col(f"again_{c}")).otherwise(F.col(c)).alias(c)
-    confidence = F.when(wrote & F.col("again_value").isNotNull(), F.col("again_confidence")).otherwise(F.coalesce("confidence", F.lit(0.0)))
-    return record(both.select(key, "field", *map(pick, ("raw", "value", "iso", "candidates")), confidence.alias("confidence"), "warnings", "more_warnings"), [key])
+    keys = [key, "field", "kind", "attempt"]
+    both = matched(ocr, template, keys)
+    told = ocr.select(*keys, F.coalesce(F.col("error") == "no_crop", F.lit(False)).alias("uncut"))
+    more = again.where("kind = 'date'").select(*keys, F.col("raw").alias("r"), F.col("conf").alias("rc"))
+    own = both.join(told, keys, "left").join(more, keys, "left")
+    number = weighed_digits(F.col("o"), F.col("oc"), F.col("t"), F.col("tc"))
+    date = weighed_dates(F.col("o"), F.col("oc"), F.col("t"), F.col("tc"), F.col("r"), F.coalesce("rc", F.lit(0.0)))
+    name = F.struct(F.col("o").alias("value"), F.col("oc").alias("confidence"), F.lit("ocr").alias("rule"))
+    weighed = own.withColumn("w", F.when(F.col("kind") == "number", number).when(F.col("kind") == "date", date).otherwise(name))
+    asked = gated_attempts(weighed.select(*keys, F.col("w.value").alias("raw"), F.col("w.confidence").alias("conf"), F.coalesce("uncut", F.lit(False)).alias("uncut")), [key, "field", "kind"])
+    return asked.select(key, "field", "attempt_no", "raw", "conf", "uncut")
 
 
 def responses(captures: DataFrame, records: DataFrame, key: str = "capture_id", engine: str = "tables", gpu: bool = False, phase: str = "roi-based-extraction") -> DataFrame:

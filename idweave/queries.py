@@ -129,14 +129,15 @@ def name_token_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Dates.
-DATED = """dated AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN y || '/' || m || '/' || d WHEN 1 THEN y || '-' || lpad(m, 2, '0') || '-' || d
-  WHEN 2 THEN y || lpad(m, 2, '0') || lpad(d, 2, '0') WHEN 3 THEN d || '.' || m || '.' || y ELSE 'تا ' || y || ' , ' || m || ' , ' || d END AS raw
-  FROM (SELECT o_orderkey, CAST(1370 + o_orderkey % 60 AS {0}) AS y, CAST(1 + o_orderkey % 13 AS {0}) AS m, CAST(1 + o_orderkey % 32 AS {0}) AS d FROM orders))"""
+DATE_PARTS = "o_orderkey, CAST(1370 + o_orderkey % 60 AS {0}) AS y, CAST(1 + o_orderkey % 13 AS {0}) AS m, CAST(1 + o_orderkey % 32 AS {0}) AS d"
+DATE = """CASE o_orderkey % 5 WHEN 0 THEN y || '/' || m || '/' || d WHEN 1 THEN y || '-' || lpad(m, 2, '0') || '-' || d
+  WHEN 2 THEN y || lpad(m, 2, '0') || lpad(d, 2, '0') WHEN 3 THEN d || '.' || m || '.' || y ELSE 'تا ' || y || ' , ' || m || ' , ' || d END"""
+DATED = f"dated AS (SELECT o_orderkey, {DATE} AS raw FROM (SELECT {DATE_PARTS} FROM orders))"
 
 
 def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    return spark.sql(f"WITH {DATED.format('STRING')} SELECT * FROM dated")
+    own = table(spark, sf_dir, "orders").selectExpr(*DATE_PARTS.format("STRING").split(", "))
+    return own.select("o_orderkey", F.expr(DATE).alias("raw"))
 
 
 PARSED = f"""{DATED.format('VARCHAR')},
@@ -616,7 +617,8 @@ def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Whole answers: an order is a capture, with readings, free lines and quality from its columns.
 def card_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     k = F.col("o_orderkey")
-    own = coded(spark, sf_dir).join(dated(spark, sf_dir), "o_orderkey")
+    code = coded(spark, sf_dir).select("o_orderkey", "code", *[F.expr(p) for p in DATE_PARTS.format("STRING").split(", ")[1:]])
+    own = code.select("o_orderkey", "code", F.expr(DATE).alias("raw"))
     entry = lambda field, n, raw, conf: F.struct(F.lit(field).alias("field"), F.lit(n).alias("attempt_no"), raw.cast("string").alias("raw"), F.lit(conf).alias("conf"))
     father = [entry("father_name", 0, F.when(k % 5 == 0, "علی"), 0.2), entry("father_name", 0, F.when(k % 5 != 0, "علی"), 0.9)]
     read = [
