@@ -80,7 +80,10 @@ def scan(df: DataFrame, templates: DataFrame, id: str = "doc_id", text: str = "t
     sentences = F.split(whole, SENTENCE_END)
     parts = {"line": F.split(whole, "\n"), "sentence": F.when(F.size(sentences) > 1, sentences).otherwise(F.array().cast("array<string>")), "paragraph": F.transform(paragraphs, lambda p: F.when(F.contains(p, F.lit("\n")), p)), "text": F.array(F.when(F.size(paragraphs) > 1, whole))}
     kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), part.alias("parts")) for kind, part in parts.items()])
-    rows = df.select(F.col(id).alias("id"), F.monotonically_increasing_id().alias("row"), F.explode(kinds).alias("s"))
+    # a row is told by its id and its text, so that a task run again gives it the same name; repeated rows are counted
+    keyed = df.select(F.col(id).alias("id"), F.xxhash64(whole).alias("row"), kinds.alias("kinds"))
+    times = df.groupBy(F.col(id).alias("id"), F.xxhash64(whole).alias("row")).agg(F.count("*").alias("times")).where("times > 1")
+    rows = keyed.select("id", "row", F.explode("kinds").alias("s"))
     rows = rows.select("id", "row", "s.kind", F.posexplode("s.parts").alias("segment_no", "part")).where("part is not null")
     rows = rows.select("id", "row", "kind", "segment_no", bigrams(F.col("part")).alias("own")).withColumn("a", F.size("own"))
     rows = rows.where((F.col("a") >= ratio * low - 1e-9) & (F.col("a") * ratio <= high + 1e-9))
@@ -88,7 +91,10 @@ def scan(df: DataFrame, templates: DataFrame, id: str = "doc_id", text: str = "t
     few = F.broadcast(few) if templates.count() <= MOST_TEMPLATES else few
     bound = (F.least("a", "b") >= ratio * F.greatest("a", "b") - 1e-9) & (F.col("x") == F.col("g"))
     hits = rows.select("id", "row", "kind", "segment_no", "a", F.explode("own").alias("x")).join(few, bound)
-    dice = hits.groupBy("id", "row", "kind", "segment_no", "license").agg((2.0 * F.count("*") / (F.first("a") + F.first("b"))).alias("dice")).where(F.col("dice") >= least - 1e-9)
-    best = dice.groupBy("id", "row", "kind", "segment_no").agg(F.max("dice").alias("dice"), F.collect_list(F.struct("dice", "license")).alias("all"))
+    shared = hits.groupBy("id", "row", "kind", "segment_no", "license").agg((2.0 * F.count("*") / (F.first("a") + F.first("b"))).alias("dice")).where(F.col("dice") >= least - 1e-9).alias("s")
+    both = shared.join(times.alias("t"), F.col("s.id").eqNullSafe(F.col("t.id")) & (F.col("s.row") == F.col("t.row")), "left")
+    dice = both.select("s.*", F.coalesce("t.times", F.lit(1)).alias("times")).withColumn("dice", F.col("dice") / F.col("times")).where(F.col("dice") >= least - 1e-9)
+    best = dice.groupBy("id", "row", "kind", "segment_no").agg(F.max("dice").alias("dice"), F.first("times").alias("times"), F.collect_list(F.struct("dice", "license")).alias("all"))
     first = F.array_min(F.transform(F.filter("all", lambda m: m["dice"] >= F.col("dice") - 1e-12), lambda m: m["license"]))
+    best = best.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     return best.select(F.col("id").alias(id), "kind", F.col("segment_no").cast("long").alias("segment_no"), first.alias("license"), F.round("dice", 6).alias("dice"))
