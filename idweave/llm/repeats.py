@@ -16,7 +16,6 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
@@ -126,6 +125,13 @@ def shared(parts: int, hot: int):
     return run
 
 
+def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hot anchors with their rows, one by one."""
+    for batch in batches:
+        h, rows = unpacked(pa.Table.from_batches([batch]), ANCHOR)
+        yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(rows, pa.int64())], ["h", "rows"])
+
+
 def spans(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of intervals sorted by their start."""
     if not len(first):
@@ -135,6 +141,12 @@ def spans(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
 
 
+def among(h: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of h are in a list in order."""
+    at = np.searchsorted(ordered, h)
+    return ordered[np.minimum(at, len(ordered) - 1)] == h if len(ordered) else np.zeros(len(h), bool)
+
+
 def slices(doc: np.ndarray) -> dict[int, tuple[int, int]]:
     at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.empty(0, int)
     return dict(zip(doc[at].tolist(), zip(at.tolist(), np.append(at[1:], len(doc)).tolist())))
@@ -170,7 +182,7 @@ def fetched(id: str, text: str, tasks: int, hot: Broadcast):
             h, first, last, where = anchors(data)
             h = h & LOW
             near = np.isin(h, noted_h[slice(*at[own])])
-            many = near & np.isin(h, hot.value)
+            many = near & among(h, hot.value)
             near &= ~many
             found = list(zip(h[near].tolist(), first[near].tolist(), (last[near] + WINDOW).tolist(), (where - first)[near].tolist()))
             found += [(zlib.crc32(data[k : k + WINDOW]) << 16, k, k + WINDOW, ALONE) for i, j in zip(first[many].tolist(), last[many].tolist()) for k in range(i, j + 1)]
@@ -340,14 +352,16 @@ def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", hot:
     own = df.select(F.col(id).cast("long").alias(id), F.col(text).cast("string").alias(text), *[c for c in df.columns if c not in (id, text)])
     names = own.columns
     records = own.select(id, text).mapInArrow(recorded(buckets, parts), schema("bucket", ANCHOR))
-    notes = Staged(records.groupBy("bucket").applyInArrow(shared(parts, hot), schema("part", ANCHOR)), "notes").df
-    many = nlargest(MOST_HOT, ((rows, h) for r in notes.where("part = -1").select("h", "doc").toLocalIterator() for h, rows in zip(*(x.tolist() for x in unpacked(pa.table({k: [bytes(r[k])] for k, _ in ANCHOR}), ANCHOR)))))
-    told = spark.sparkContext.broadcast(np.array(sorted(h for _, h in many), np.uint64))
+    noted = Staged(records.groupBy("bucket").applyInArrow(shared(parts, hot), schema("part", ANCHOR)), "notes")
+    notes = noted.df
+    many = notes.where("part = -1").mapInArrow(listed, "h long, rows long").orderBy(F.desc("rows"), "h").limit(MOST_HOT).select("h")
+    told = spark.sparkContext.broadcast(np.sort(np.array([r["h"] for r in many.collect()], np.int64).astype(np.uint64)))
     notes = notes.where("part >= 0")
     part = f"part_{uuid.uuid4().hex}"
     dealt = own.withColumn(part, F.coalesce(F.pmod(F.col(id), F.lit(parts)), F.pmod(F.xxhash64(text), F.lit(parts))).cast("int"))
     fetched_ddl = ", ".join(f"{k} {'int' if t == pa.int32() else 'binary'}" for k, t in FETCHED)
     found = dealt.groupBy(part).cogroup(notes.groupBy("part")).applyInArrow(fetched(id, text, buckets, told), fetched_ddl)
-    gone = found.groupBy("task").applyInArrow(looked_at(parts), schema("part", SPAN))
+    gone = Staged(found.groupBy("task").applyInArrow(looked_at(parts), schema("part", SPAN)), "spans").df
+    noted.drop()
     out = T.StructType([*own.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType.fromJson({"type": "struct", "fields": [{"name": k, "type": "long", "nullable": True, "metadata": {}} for k in ("start", "end")]}))), T.StructField("kept", T.BinaryType())])
     return dealt.groupBy(part).cogroup(gone.groupBy("part")).applyInArrow(cut_out(id, text, names, to_arrow_schema(out)), out)
