@@ -1,43 +1,25 @@
-"""Corpus pipeline: toxicity, line de-duplication, near documents, repeated passages, packing."""
+"""Corpus pipeline: toxicity, line de-duplication, near documents, repeated passages, packing.
+
+A stage writes what it decides (lines, ids or spans that go) as a small table and drops all else that it staged, so its
+result can be read at any time, however stages are chained, and none touches another's tables.
+"""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idweave.llm import line_dedup, ngram_join, packing, repeats, toxicity
-from idweave.llm.common import Staged, noting, small_batches, table
+from idweave.llm.common import Staged, decided, small_batches, table
 
 ORACLE_SQL = None
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_left: dict[str, list[Staged]] = {}
-
-
-def tidy(stage: Stage) -> Stage:
-    """stage, which first drops the tables that the stage before it in this application staged for itself.
-
-    A stage gets what its predecessor kept from a written table, so nothing reads those any more.
-    """
-
-    @wraps(stage)
-    def run_tidy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        own = spark.sparkContext.applicationId
-        for staged in _left.pop(own, []):
-            staged.drop()
-        with noting() as used:
-            out = stage(spark, docs, sf_dir)
-        _left[own] = used
-        return out
-
-    return run_tidy
 
 
-@tidy
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score, learned from the labelled ones among docs, stays under a half.
 
@@ -45,27 +27,25 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     small_batches(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").join(docs.select("doc_id"), "doc_id", "left_semi")
-    labels = Staged(labels, "labels").df
-    chosen = toxicity.sample_ids(labels)
-    model = toxicity.train(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), counts=toxicity.class_counts(labels))
+    own = Staged(labels, "labels")
+    chosen = toxicity.sample_ids(own.df)  # 4,000 ids at most
+    model = toxicity.train(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), counts=toxicity.class_counts(own.df))
+    own.drop()
     score = f"score_{uuid.uuid4().hex}"
     return toxicity.score(docs, model, out=score).where(f"{score} < 0.5").select(*docs.columns)
 
 
-@tidy
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that equal or nearly equal an earlier one; null texts and rows with a null id stay as they are."""
     return line_dedup.drop_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
-@tidy
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of least doc_id; texts without words and rows with a null id stay."""
-    kept = Staged(ngram_join.near_documents(docs).where("kept").select("doc_id"), "kept").df
+    kept = decided(lambda: ngram_join.near_documents(docs).where("kept").select("doc_id"), "kept")
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
-@tidy
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without byte strings that a smaller document holds; what a cut leaves of a character goes too.
 
@@ -77,7 +57,6 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return done.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
-@tidy
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' ids in sequences, as pieces; a null text is empty and has its one closing id."""
     pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))

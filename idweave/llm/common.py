@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 ARROW_ROWS = 256
+_noted: ContextVar[tuple[list[Staged], ...]] = ContextVar("noted", default=())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,18 +42,16 @@ def shared_dir(spark: SparkSession) -> str:
 class Staged:
     """A table written to the shared folder, so that lost executors and retries never recompute what led to it.
 
-    ``noted`` are the lists that tables are entered in while ``noting`` is open.
+    Those of a thread are entered in the lists that ``noting`` has open there.
     """
 
-    noted: list[list[Staged]] = []
-
     def __init__(self, df: DataFrame, name: str, **options: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/staged/{name}-{uuid.uuid4().hex}"
         schema = df.schema
         df.write.options(**options).parquet(self.path)
         self.df = self.spark.read.schema(schema).parquet(self.path)
-        for own in self.noted:
+        for own in _noted.get():
             own.append(self)
 
     def drop(self) -> None:
@@ -63,11 +63,21 @@ class Staged:
 def noting() -> Iterator[list[Staged]]:
     """A list of the tables staged inside, for whoever can tell when they are no longer read."""
     own: list[Staged] = []
-    Staged.noted.append(own)
+    before = _noted.set((*_noted.get(), own))
     try:
         yield own
     finally:
-        Staged.noted.pop()
+        _noted.reset(before)
+
+
+def decided(make: Callable[[], DataFrame], name: str, **options: str) -> DataFrame:
+    """What make() returns, as a written table; all that was staged on the way to it is dropped."""
+    with noting() as used:
+        out = Staged(make(), name, **options)
+    for table_ in used:
+        if table_ is not out:
+            table_.drop()
+    return out.df
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from idweave.llm.common import Staged, components, noting
+from idweave.llm.common import Staged, components, decided, noting
 
 BANDS, PARTS, ROWS = 16, 8, 6  #: a pair of similarity s shares no band with a probability of (1 - s ** ROWS) ** BANDS: 0.8 % at 0.8, 0.04 % at 0.85
 BROADCAST_KEYS = 2_000_000  #: keys of lines that are fetched are broadcast up to this count (16 MB) and shuffled beyond it
@@ -195,9 +195,9 @@ def drop_lines(df: DataFrame, id: str = "doc_id", text: str = "text", least: flo
 
     Null texts stay null. Rows with a null id keep their text.
     """
-    gone = mark_lines(df.where(F.col(id).isNotNull()), id, text, least).where("not kept").groupBy(id).agg(F.collect_set("line_no").alias("gone"))
     at, lines = (f"{stem}_{uuid.uuid4().hex}" for stem in ("at", "lines"))
-    gone = Staged(gone.toDF(at, lines), "gone").df
+    listed = lambda: mark_lines(df.where(F.col(id).isNotNull()), id, text, least).where("not kept").groupBy(id).agg(F.collect_set("line_no").alias("gone")).toDF(at, lines)
+    gone = decided(listed, "gone")
     rest = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(lines, i.cast("long")))
     joined = df.join(gone, F.col(id) == F.col(at), "left")
     return joined.withColumn(text, F.when(F.col(lines).isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))).select(*df.columns)
