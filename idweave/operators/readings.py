@@ -66,10 +66,13 @@ def weighed_dates(ocr: Column, ocr_c: Column, template: Column, template_c: Colu
     )
 
 
-def matched(ocr: DataFrame, template: DataFrame, keys: list[str]) -> DataFrame:
-    """Two engines' readings (keys, raw, conf) of the same crops side by side: keys, o, oc, t, tc; either may be missing."""
-    side = lambda df, v, c: df.select(*keys, F.col("raw").alias(v), F.col("conf").alias(c))
-    both = side(ocr, "o", "oc").join(side(template, "t", "tc"), keys, "full_outer")
+def matched(ocr: DataFrame, template: DataFrame, keys: list[str], also: tuple[str, ...] = ()) -> DataFrame:
+    """Two engines' readings (keys, raw, conf) of the same crops side by side: keys, o, oc, t, tc; either may be missing.
+
+    ``also`` are further columns of the first engine's table, so that it is read once.
+    """
+    side = lambda df, v, c, *more: df.select(*keys, F.col("raw").alias(v), F.col("conf").alias(c), *more)
+    both = side(ocr, "o", "oc", *also).join(side(template, "t", "tc"), keys, "full_outer")
     return both.withColumn("oc", F.coalesce("oc", F.lit(0.0))).withColumn("tc", F.coalesce("tc", F.lit(0.0)))
 
 

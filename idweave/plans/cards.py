@@ -132,15 +132,14 @@ def engine_readings(ocr: DataFrame, template: DataFrame, again: DataFrame, key:
     the field is marked as uncut; other errors leave the field unread.
     """
     keys = [key, "field", "kind", "attempt"]
-    both = matched(ocr, template, keys)
-    told = ocr.select(*keys, F.coalesce(F.col("error") == "no_crop", F.lit(False)).alias("uncut"))
+    both = matched(ocr, template, keys, ("error",))
     more = again.where("kind = 'date'").select(*keys, F.col("raw").alias("r"), F.col("conf").alias("rc"))
-    own = both.join(told, keys, "left").join(more, keys, "left")
+    own = both.join(more, keys, "left")
     number = weighed_digits(F.col("o"), F.col("oc"), F.col("t"), F.col("tc"))
     date = weighed_dates(F.col("o"), F.col("oc"), F.col("t"), F.col("tc"), F.col("r"), F.coalesce("rc", F.lit(0.0)))
     name = F.struct(F.col("o").alias("value"), F.col("oc").alias("confidence"), F.lit("ocr").alias("rule"))
     weighed = own.withColumn("w", F.when(F.col("kind") == "number", number).when(F.col("kind") == "date", date).otherwise(name))
-    asked = gated_attempts(weighed.select(*keys, F.col("w.value").alias("raw"), F.col("w.confidence").alias("conf"), F.coalesce("uncut", F.lit(False)).alias("uncut")), [key, "field", "kind"])
+    asked = gated_attempts(weighed.select(*keys, F.col("w.value").alias("raw"), F.col("w.confidence").alias("conf"), F.coalesce(F.col("error") == "no_crop", F.lit(False)).alias("uncut")), [key, "field", "kind"])
     return asked.select(key, "field", "attempt_no", "raw", "conf", "uncut")
 
 

@@ -140,6 +140,11 @@ def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("o_orderkey", F.expr(DATE).alias("raw"))
 
 
+def coded_and_dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = coded(spark, sf_dir).select("o_orderkey", "code", *[F.expr(p) for p in DATE_PARTS.format("STRING").split(", ")[1:]])
+    return parts.select("o_orderkey", "code", F.expr(DATE).alias("raw"))
+
+
 PARSED = f"""{DATED.format('VARCHAR')},
 part AS (SELECT o_orderkey, raw, regexp_extract(raw, '(1[234][0-9][0-9])[^0-9]{{1,3}}([0-9]{{1,2}})[^0-9]{{1,3}}([0-9]{{1,2}})', ['y', 'm', 'd']) AS s, regexp_replace(raw, '[^0-9]', '', 'g') AS g, length(g) = 6 AND g[1] IN ('3', '4') AS short FROM dated),
 ymd AS (SELECT o_orderkey, raw, CASE WHEN s.y <> '' THEN TRY_CAST(s.y AS INT) WHEN length(g) = 8 THEN TRY_CAST(g[1:4] AS INT) WHEN short THEN TRY_CAST('1' || g[1:3] AS INT) END AS y, CASE WHEN s.y <> '' THEN TRY_CAST(s.m AS INT) WHEN length(g) = 8 THEN TRY_CAST(g[5:6] AS INT) WHEN short THEN TRY_CAST(g[4] AS INT) END AS m,
@@ -617,8 +622,7 @@ def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Whole answers: an order is a capture, with readings, free lines and quality from its columns.
 def card_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     k = F.col("o_orderkey")
-    code = coded(spark, sf_dir).select("o_orderkey", "code", *[F.expr(p) for p in DATE_PARTS.format("STRING").split(", ")[1:]])
-    own = code.select("o_orderkey", "code", F.expr(DATE).alias("raw"))
+    own = coded_and_dated(spark, sf_dir)
     entry = lambda field, n, raw, conf: F.struct(F.lit(field).alias("field"), F.lit(n).alias("attempt_no"), raw.cast("string").alias("raw"), F.lit(conf).alias("conf"))
     father = [entry("father_name", 0, F.when(k % 5 == 0, "علی"), 0.2), entry("father_name", 0, F.when(k % 5 != 0, "علی"), 0.9)]
     read = [

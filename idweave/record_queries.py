@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idweave.functions import confusions
-from idweave.operators import layout, review
-from idweave.queries import CODED, coded, query, table
+from idweave.operators import engines, layout, review
+from idweave.plans import cards
+from idweave.queries import CARD, CODED, coded, coded_and_dated, query, table
 from idweave.sources import approvals
 
 # Fixed values of the queries: digits that are taken for each other, both ways.
@@ -60,3 +61,70 @@ def approved_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "events").where("user_id is not null and ts is not null")
     fixes = said.select(F.col("user_id").alias("c_custkey"), "ts", F.when(F.col("event_id") % 6 == 0, " ").otherwise(F.col("event_type")).alias("last_name"))
     return review.approved(own, approvals.latest(fixes, ["c_custkey"], "ts"), ["c_custkey"], ["last_name"], "ts")
+
+
+# Engines: a crop of an order is a short text, "first engine's confidence;second engine's;what is written".
+class WrittenText:
+    """Reads what is written, of numbers and dates the digits; fails on what begins with a question mark."""
+
+    place = 0
+
+    def read(self, images: list[bytes], kind: str) -> list[tuple[str | None, float]]:
+        parts = [image.decode().split(";") for image in images]
+        if any(p[2].startswith("?") for p in parts):
+            raise ValueError("unreadable")
+        return [(self.seen(p[2], kind), float(p[self.place])) for p in parts]
+
+    def seen(self, text: str, kind: str) -> str | None:
+        return text if kind == "text" else "".join(c for c in text if c in "0123456789")
+
+
+class WrittenNumbers(WrittenText):
+    """The second engine, which reads numbers only."""
+
+    place = 1
+
+    def seen(self, text: str, kind: str) -> str | None:
+        return super().seen(text, kind) if kind == "number" else None
+
+
+class WrittenDates(WrittenText):
+    """The first engine again, with separators."""
+
+    def seen(self, text: str, kind: str) -> str | None:
+        return text
+
+
+def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three fields of every order, in up to three attempts; some crops cannot be cut, on some an engine fails."""
+    k = F.col("o_orderkey")
+    own = coded_and_dated(spark, sf_dir)
+    crop = lambda field, kind, attempt, sure, other, text: F.struct(F.lit(field).alias("field"), F.lit(kind).alias("kind"), F.lit(attempt).alias("attempt"), F.concat_ws(";", sure, F.lit(other), text).cast("binary").alias("image"))
+    cut = lambda c: F.when(k % 9 == 0, c.withField("image", F.lit(None).cast("binary"))).otherwise(c)
+    every = F.array(
+        cut(crop("national_id", "number", "soft", F.lit("0.8"), "0.7", F.col("code"))),
+        cut(crop("national_id", "number", "binary", F.lit("0.6"), "0.7", F.translate("code", "8", "3"))),
+        cut(crop("national_id", "number", "raw", F.lit("0.95"), "0.95", F.lit("1"))),
+        crop("birth_date", "date", "soft", F.lit("0.9"), "0.5", F.col("raw")),
+        crop("first_name", "text", "soft", F.when(k % 8 == 1, "0.9").otherwise("0.2"), "0.1", F.when(k % 8 == 0, "?").when(k % 8 == 1, "محمد").otherwise("رضا")),
+        crop("first_name", "text", "binary", F.when(k % 8 == 2, "0.1").otherwise("0.75"), "0.1", F.lit("علی")),
+        crop("first_name", "text", "raw", F.lit("0.99"), "0.1", F.lit("حسن")),
+    )
+    return own.select("o_orderkey", F.explode(every).alias("c")).select("o_orderkey", "c.*")
+
+
+@query(f"""{CARD.split("plain AS")[0]}
+e AS (SELECT f.*, code, translate(code, '8', '3') AS other, k % 9 = 0 AS uncut, regexp_replace(raw, '[^0-9]', '', 'g') AS g FROM facts f JOIN state s ON s.o_orderkey = f.k),
+d AS (SELECT *, coalesce(length(g) = 8 AND TRY_CAST(g[1:4] AS INT) BETWEEN 1250 AND 1420 AND TRY_CAST(g[5:6] AS INT) BETWEEN 1 AND 12 AND TRY_CAST(g[7:8] AS INT) BETWEEN 1 AND 31, false) AS bare FROM e)
+SELECT k AS o_orderkey, CASE WHEN NOT uncut THEN id END AS id, CASE WHEN uncut THEN 0 WHEN class = 'corrected' THEN 0.9 WHEN class = 'repaired' THEN 0.85 ELSE 1 END::DOUBLE AS id_confidence, CASE k % 8 WHEN 1 THEN 'محمد' WHEN 2 THEN 'حسن' ELSE 'علی' END AS name, CASE k % 8 WHEN 1 THEN 0.9 WHEN 2 THEN 0.99 ELSE 0.75 END::DOUBLE AS name_confidence,
+  CASE WHEN bare THEN g[1:4] || '/' || g[5:6] || '/' || g[7:8] ELSE jalali END AS birth,
+  array_to_string(list_filter([CASE WHEN uncut THEN 'no_crop:national_id' WHEN other <> code THEN 'two_readings:national_id:' || code || '|' || other END, CASE WHEN NOT uncut AND class NOT IN ('valid', 'invalid') THEN class || '_code:national_id' END, CASE WHEN uncut THEN 'no_lines:national_id' END], lambda x: x IS NOT NULL), ';') AS said FROM d""")
+def engine_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crops, read by three test engines, weighed, gated and made into records."""
+    own = crops(spark, sf_dir)
+    ocr, template, again = (engines.read_crops(own, engine) for engine in (WrittenText, WrittenNumbers, WrittenDates))
+    lines = spark.createDataFrame([], "o_orderkey long, line_no int, text string, confidence double, cx double, cy double, h double")
+    made = cards.records(cards.engine_readings(ocr, template, again, "o_orderkey"), lines, "o_orderkey")
+    said = F.filter("warnings", lambda w: F.contains(w, F.lit("national_id")) | F.contains(w, F.lit("first_name")))
+    value, sure = (lambda f: F.col(f"data.{f}")), (lambda f: F.col("confidence")[f])
+    return made.select("o_orderkey", value("national_id").alias("id"), sure("national_id").alias("id_confidence"), value("first_name").alias("name"), sure("first_name").alias("name_confidence"), value("birth_date.jalali").alias("birth"), F.array_join(said, ";").alias("said"))
