@@ -45,8 +45,10 @@ def pieces(before: dict[str, int], after: dict[str, int], chunk: int, at_most: i
     return [Piece(f, k, min(k + at_most, end), chunk) for f, end in sorted(after.items()) for k in range(before.get(f, 0), end, at_most)]
 
 
-def chunks(path: str, piece: Piece) -> Iterator[tuple]:
-    """Rows of a piece; what a file holds beyond it is not read."""
+def chunks(path: str, piece: Piece | None) -> Iterator[tuple]:
+    """Rows of a piece; what a file holds beyond it is not read. Spark reads no piece where a folder holds nothing."""
+    if piece is None:
+        return
     system, _ = opened(path)
     with system.open_input_file(piece.file) as data:
         data.seek(piece.first * piece.size)
