@@ -83,11 +83,25 @@ def swap_variants(text: Column) -> Column:
     return F.concat(F.array(text), F.transform(at, lambda k: F.overlay(text, F.translate(F.substring(text, k, F.lit(1)), "05", "50"), k)))
 
 
+def ranged(variants: Column, low: int, high: int) -> Column:
+    return F.filter(variants, lambda v: v.try_cast("int").between(low, high))
+
+
+def dates_of(ys: Column, ms: Column, ds: Column) -> Column:
+    return F.flatten(F.transform(ys, lambda a: F.flatten(F.transform(ms, lambda b: F.transform(ds, lambda c: F.concat_ws("/", a, b, c))))))
+
+
 def combinations(y: Column, m: Column, d: Column) -> Column:
     """Dates y/m/d of all variants that stay within the ranges, unpadded."""
-    within = lambda c, low, high: F.filter(swap_variants(c), lambda v: v.try_cast("int").between(low, high))
-    every = lambda s: F.flatten(F.transform(s["ys"], lambda a: F.flatten(F.transform(s["ms"], lambda b: F.transform(s["ds"], lambda c: F.concat_ws("/", a, b, c))))))
-    return bind(F.struct(within(y, *HARD_YEARS).alias("ys"), within(m, 1, 12).alias("ms"), within(d, 1, 31).alias("ds")), every)
+    parts = F.struct(ranged(swap_variants(y), *HARD_YEARS).alias("ys"), ranged(swap_variants(m), 1, 12).alias("ms"), ranged(swap_variants(d), 1, 31).alias("ds"))
+    return bind(parts, lambda s: dates_of(s["ys"], s["ms"], s["ds"]))
+
+
+def either_order(years: Column, a: Column, b: Column) -> Column:
+    """As combinations, for several years and with a and b as month and day in either order; each part's variants are made once."""
+    own = F.struct(F.flatten(F.transform(years, lambda y: ranged(swap_variants(y), *HARD_YEARS))).alias("ys"), swap_variants(a).alias("a"), swap_variants(b).alias("b"))
+    sides = lambda s: F.struct(s["ys"].alias("ys"), *[ranged(s[c], 1, high).alias(c + n) for c in "ab" for n, high in (("m", 12), ("d", 31))])
+    return bind(own, lambda s: bind(sides(s), lambda p: F.concat(dates_of(p["ys"], p["am"], p["bd"]), dates_of(p["ys"], p["bm"], p["ad"]))))
 
 
 def bare_candidates(raw: Column) -> Column:
@@ -124,8 +138,7 @@ def all_candidates(raw: Column) -> Column:
 
     def chosen(s: Column) -> Column:
         a, b = F.get(s["rest"], F.lit(0)), F.get(s["rest"], F.lit(1))
-        both = F.flatten(F.transform(s["years"], lambda y: F.concat(combinations(y, a, b), combinations(y, b, a))))
-        return F.when((F.size(s["years"]) > 0) & (F.size(s["rest"]) >= 2), both).otherwise(bare_candidates(raw))
+        return F.when((F.size(s["years"]) > 0) & (F.size(s["rest"]) >= 2), either_order(s["years"], a, b)).otherwise(bare_candidates(raw))
 
     return listed(bind(F.filter(parts_of(raw), lambda x: F.length(x) <= 4), of))
 

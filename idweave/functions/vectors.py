@@ -6,14 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def doubles(vector: Column) -> Column:
+    return vector.cast("array<double>")
+
+
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    """The sum of the products of two arrays of doubles."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def soft_iou(a: Column, b: Column) -> Column:
-    """a.b / (a.a + b.b - a.b); 0 where the denominator is 1e-6 or less."""
-    both = dot(a, b)
-    under = dot(a, a) + dot(b, b) - both
+def soft_iou(both: Column, a_norm: Column, b_norm: Column) -> Column:
+    """a.b / (a.a + b.b - a.b) from the three products; 0 where the denominator is 1e-6 or less."""
+    under = a_norm + b_norm - both
     return F.when(under > 1e-6, both / under).otherwise(F.lit(0.0))
 
 
@@ -22,8 +26,3 @@ def rolled(image: Column, side: int, down: int, right: int) -> Column:
     at = F.sequence(F.lit(0), F.lit(side * side - 1))
     source = lambda k: F.pmod(F.floor(k / side).cast("int") - down, F.lit(side)) * side + F.pmod(k % side - right, F.lit(side))
     return F.transform(at, lambda k: F.element_at(image, source(k) + 1))
-
-
-def best_shift(image: Column, template: Column, side: int) -> Column:
-    """The largest soft_iou of a template with an image rolled by one in any of the nine directions; 0 at least."""
-    return F.greatest(F.lit(0.0), *[soft_iou(rolled(image, side, down, right), template) for down in (-1, 0, 1) for right in (-1, 0, 1)])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from idweave.functions.binding import bind
-from idweave.functions.vectors import rolled, soft_iou
+from idweave.functions.vectors import rolled
 from idweave.operators.readings import best_template, kept_scores, median_band, upper_median
 
 LEAST_HEIGHT, LEAST_AREA = 8, 12
@@ -56,7 +56,7 @@ def classified(blobs: DataFrame, templates: DataFrame, keys: list[str], side: in
 
     Templates labelled ``reject:`` and then something stand for what is no digit; blobs that fit them best, or fit nothing, are ``reject``.
     """
-    best = best_template(blobs, shifted(templates, side), soft_iou, keys)
+    best = best_template(blobs, shifted(templates, side), keys)
     nothing = F.col("label").startswith(f"{REJECT}:") | (F.col("score") <= 0)
     return best.select(*keys, F.when(nothing, REJECT).otherwise(F.col("label")).alias("label"), F.greatest("score", F.lit(0.0)).alias("score"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from idweave.functions.binding import bind
 from idweave.functions.codes import is_valid
 from idweave.functions.text import only_digits
+from idweave.functions.vectors import dot, doubles, soft_iou
 from idweave.operators.sizes import small
 
 AGREED, TEMPLATE_LEAST, TEMPLATE_ALONE, CONFLICT = 0.2, 0.9, 0.85, 0.5
@@ -133,8 +134,12 @@ def median_band(blobs: DataFrame, keys: list[str]) -> DataFrame:
     return marked.withColumn("kept", (F.abs(F.col("cy") - F.col("row.cy")) <= 0.7 * F.col("row.h")) | ~F.col("row.any")).drop("all_", "row")
 
 
-def best_template(queries: DataFrame, templates: DataFrame, score, keys: list[str]) -> DataFrame:
-    """keys, label, score: the template (label, ord, vec; a small table) most like each query (vec), the first of equals."""
-    pairs = queries.crossJoin(small(templates.select("label", "ord", F.col("vec").alias("t_vec"))))
-    scored = pairs.select(*keys, "label", "ord", score(F.col("vec"), F.col("t_vec")).alias("score"))
+def best_template(queries: DataFrame, templates: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, label, score: the template (label, ord, vec; a small table) most like each query (vec), the first of equals.
+
+    Both sides bring the product with themselves along, so that each pair takes one product only.
+    """
+    side = lambda df, p, *more: df.select(*more, doubles(F.col("vec")).alias(f"{p}_vec")).withColumn(f"{p}_norm", dot(F.col(f"{p}_vec"), F.col(f"{p}_vec")))
+    pairs = side(queries, "q", *keys).crossJoin(small(side(templates, "t", "label", "ord")))
+    scored = pairs.select(*keys, "label", "ord", soft_iou(dot(F.col("q_vec"), F.col("t_vec")), F.col("q_norm"), F.col("t_norm")).alias("score"))
     return scored.groupBy(*keys).agg(F.max_by("label", F.struct(F.col("score"), -F.col("ord"))).alias("label"), F.max("score").alias("score"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from idweave.functions import codes, geometry, jalali, text, vectors
+from idweave.functions import codes, geometry, jalali, text
 from idweave.operators import digits, layout, readings, recovery, review
 from idweave.plans import cards
 from idweave.sources import captures
@@ -314,7 +314,7 @@ SELECT vec_id, t_label AS label, round(p / (q - p), 6) AS score FROM s QUALIFY r
 def soft_iou_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "embeddings")
     templates = ten_templates(own)
-    best = readings.best_template(own.select("vec_id", F.col("embedding").alias("vec")), templates, vectors.soft_iou, ["vec_id"])
+    best = readings.best_template(own.select("vec_id", F.col("embedding").alias("vec")), templates, ["vec_id"])
     return best.withColumn("score", F.round("score", 6))
 
 

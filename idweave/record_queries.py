@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idweave.functions import confusions
+from idweave.functions import confusions, text
 from idweave.operators import engines, layout, review
 from idweave.plans import cards
-from idweave.queries import CARD, CODED, coded, coded_and_dated, query, table
+from idweave.queries import CARD, CODED, FREE, coded, coded_and_dated, query, table
 from idweave.sources import approvals
 
 # Fixed values of the queries: digits that are taken for each other, both ways.
@@ -63,6 +63,11 @@ def approved_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.approved(own, approvals.latest(fixes, ["c_custkey"], "ts"), ["c_custkey"], ["last_name"], "ts")
 
 
+@query(f"SELECT c_custkey, regexp_replace({FREE}, '[^{text.NAME_CHARACTERS}]', '', 'g') AS letters FROM customer")
+def allowed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", text.allowed(F.expr(FREE), text.NAME_CHARACTERS).alias("letters"))
+
+
 # Engines: a crop of an order is a short text, "first engine's confidence;second engine's;what is written".
 class WrittenText:
     """Reads what is written, of numbers and dates the digits; fails on what begins with a question mark."""
@@ -75,8 +80,8 @@ class WrittenText:
             raise ValueError("unreadable")
         return [(self.seen(p[2], kind), float(p[self.place])) for p in parts]
 
-    def seen(self, text: str, kind: str) -> str | None:
-        return text if kind == "text" else "".join(c for c in text if c in "0123456789")
+    def seen(self, written: str, kind: str) -> str | None:
+        return written if kind == "text" else "".join(c for c in written if c in "0123456789")
 
 
 class WrittenNumbers(WrittenText):
@@ -84,22 +89,22 @@ class WrittenNumbers(WrittenText):
 
     place = 1
 
-    def seen(self, text: str, kind: str) -> str | None:
-        return super().seen(text, kind) if kind == "number" else None
+    def seen(self, written: str, kind: str) -> str | None:
+        return super().seen(written, kind) if kind == "number" else None
 
 
 class WrittenDates(WrittenText):
     """The first engine again, with separators."""
 
-    def seen(self, text: str, kind: str) -> str | None:
-        return text
+    def seen(self, written: str, kind: str) -> str | None:
+        return written
 
 
 def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three fields of every order, in up to three attempts; some crops cannot be cut, on some an engine fails."""
     k = F.col("o_orderkey")
     own = coded_and_dated(spark, sf_dir)
-    crop = lambda field, kind, attempt, sure, other, text: F.struct(F.lit(field).alias("field"), F.lit(kind).alias("kind"), F.lit(attempt).alias("attempt"), F.concat_ws(";", sure, F.lit(other), text).cast("binary").alias("image"))
+    crop = lambda field, kind, attempt, sure, other, written: F.struct(F.lit(field).alias("field"), F.lit(kind).alias("kind"), F.lit(attempt).alias("attempt"), F.concat_ws(";", sure, F.lit(other), written).cast("binary").alias("image"))
     cut = lambda c: F.when(k % 9 == 0, c.withField("image", F.lit(None).cast("binary"))).otherwise(c)
     every = F.array(
         cut(crop("national_id", "number", "soft", F.lit("0.8"), "0.7", F.col("code"))),

@@ -75,8 +75,8 @@ def test_text(spark):
 
 def test_vectors_and_geometry(spark):
     row = spark.range(1).select(
-        vectors.soft_iou(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(1.0))).alias("s"),
-        vectors.soft_iou(F.array(F.lit(0.0)), F.array(F.lit(0.0))).alias("z"),
+        vectors.soft_iou(vectors.dot(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(1.0))), F.lit(1.0), F.lit(2.0)).alias("s"),
+        vectors.soft_iou(F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("z"),
         vectors.rolled(F.array(*[F.lit(k) for k in range(4)]), 2, 1, 0).alias("r"),
         geometry.center_box(F.lit(1000), F.lit(1000)).alias("c"),
     ).first()
