@@ -1,6 +1,7 @@
 """Empty tables, clashing names, nulls and repeated rows; values compared, not only names."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -116,3 +117,52 @@ def test_hot_anchors(spark):
         want[k] = "".join(c for c, g in zip(t, gone) if not g)
     for hot in (4, repeats.HOT):
         assert {r["doc_id"]: bytes(r["kept"]).decode() for r in repeats.without_repeats(df, hot=hot).collect()} == want
+
+
+def test_stages_chain_and_read_again(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    lines = corpus_pipeline.without_repeated_lines(spark, docs, SF)
+    seen = sorted((r["doc_id"], r["text"]) for r in lines.collect())
+    both = corpus_pipeline.without_repeated_passages(spark, lines, SF)  # nothing is written in between
+    corpus_pipeline.without_toxic(spark, docs, SF).count()  # a stage of another pipeline
+    assert sorted((r["doc_id"], r["text"]) for r in lines.collect()) == seen
+    once = sorted((r["doc_id"], r["text"]) for r in both.collect())
+    assert once == sorted((r["doc_id"], r["text"]) for r in both.collect()) and len(once) == len(seen)
+
+
+def test_stages_leave_little_behind(spark):
+    from idweave.llm.common import noting
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        with noting() as used:
+            stage(spark, docs, SF).count()
+        there = [t.path for t in used if hadoop.fs.FileSystem.getLocal(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop.fs.Path(t.path.removeprefix("file:")))]
+        assert len(there) <= 1, (name, there)
+
+
+def test_a_million_hot_anchors():
+    rng = np.random.default_rng(0)
+    hot = np.sort(rng.integers(0, 1 << 48, 1_000_000).astype(np.uint64))
+    began = time.perf_counter()
+    for _ in range(200):
+        some = np.concatenate([rng.integers(0, 1 << 48, 300).astype(np.uint64), hot[rng.integers(0, len(hot), 20)]])
+        assert np.array_equal(repeats.among(some, hot)[-20:], np.full(20, True))
+    assert time.perf_counter() - began < 5
+    assert not repeats.among(some, hot[:0]).any()
+
+
+def test_license_rows_repeat_behind_a_shuffle(spark):
+    text = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
+    from idweave.llm import licenses
+
+    templates = spark.createDataFrame([("one", text)], "license string, text string")
+    rows = [(1, text), (1, text), (1, text + " twice"), (2, text), (None, text), (None, text), (3, None)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), templates).where("kind = 'line'").collect()
+    assert sorted((str(r["doc_id"]), r["dice"]) for r in got) == sorted([("1", 1.0)] * 2 + [("1", got_dice(text, text + " twice"))] + [("2", 1.0)] + [("None", 1.0)] * 2)
+
+
+def got_dice(a, b):
+    pairs = lambda t: set(zip((w := t.lower().replace(",", "").split()), w[1:]))
+    return round(2 * len(pairs(a) & pairs(b)) / (len(pairs(a)) + len(pairs(b))), 6)
