@@ -84,14 +84,13 @@ def gated_attempts(readings: DataFrame, keys: list[str]) -> DataFrame:
     are very weak. Blank readings count as none.
     """
     said = F.when(F.coalesce("raw", F.lit("")) != "", F.coalesce("conf", F.lit(0.0))).otherwise(0.0)
-    of = lambda name: F.max(F.when(F.col("attempt") == name, said)).alias(name)
-    known = readings.groupBy(*keys).agg(of("soft"), of("binary")).select(*keys, F.coalesce("soft", F.lit(0.0)).alias("soft"), F.coalesce("binary", F.lit(0.0)).alias("binary"))
-    own = readings.join(known, keys)
-    second = F.col("kind").isin("number", "date") | (F.col("soft") < WEAK_TEXT)
-    third = F.greatest("soft", F.when(second, F.col("binary")).otherwise(0.0)) < WEAK_ALL
+    surest = lambda name: F.coalesce(F.max(F.when(F.col("attempt") == name, said)).over(Window.partitionBy(*keys)), F.lit(0.0))
+    own = readings.withColumn("__soft", surest("soft")).withColumn("__binary", surest("binary"))
+    second = F.col("kind").isin("number", "date") | (F.col("__soft") < WEAK_TEXT)
+    third = F.greatest("__soft", F.when(second, F.col("__binary")).otherwise(0.0)) < WEAK_ALL
     asked = F.when(F.col("attempt") == "soft", True).when(F.col("attempt") == "binary", second).when(F.col("attempt") == "raw", third).otherwise(False)
     number = F.array_position(F.array(*map(F.lit, ATTEMPTS)), F.col("attempt")).cast("int") - 1
-    return own.where(asked).withColumn("attempt_no", number).drop("soft", "binary")
+    return own.where(asked).withColumn("attempt_no", number).drop("__soft", "__binary")
 
 
 def best_reading(readings: DataFrame, keys: list[str]) -> DataFrame:

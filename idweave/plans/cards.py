@@ -51,27 +51,24 @@ def read_value(field: Column, raw: Column, conf: Column) -> Column:
     return F.when(field == "national_id", bind(read_code(raw, conf), of_code)).when(field.endswith("_date"), bind(read_date(raw), of_date)).otherwise(bind(name_tokens(raw), of_name))
 
 
-def entry(v: Column, field: Column, warnings: Column, more: Column) -> Column:
-    return F.struct(field.alias("field"), *[v[c].alias(c) for c in ("raw", "value", "iso", "candidates", "confidence")], warnings.alias("warnings"), more.alias("more_warnings"))
+def source(raw: Column, conf: Column, other: Column, labelled: Column) -> Column:
+    return F.struct(raw.alias("raw"), conf.alias("conf"), other.alias("other"), labelled.alias("labelled"))
 
 
-def first_entry(field: Column, reads: Column) -> Column:
-    """A field's entry by its surest reading, the first of equals, with the reading's warnings.
-
-    A different reading of a confidence over a half is a conflict; a field whose crop could not be cut says so.
-    """
+def from_reads(field: Column, reads: Column) -> Column:
+    """A field's surest reading, the first of equals; other is a different one of a confidence over a half."""
     mine = F.filter(reads, lambda r: (r["field"] == field) & (F.coalesce(r["raw"], F.lit("")) != "") & (r["conf"] > 0))
-    uncut = F.exists(reads, lambda r: (r["field"] == field) & r["uncut"])
+    ranked = F.transform(mine, lambda r: F.struct(r["conf"].alias("conf"), (-r["attempt_no"]).alias("first"), r["raw"].alias("raw")))
+    rest = lambda own, top: F.array_max(F.filter(own, lambda r: r["raw"] != top["raw"]))
+    made = lambda top, other: source(top["raw"], top["conf"], F.when(other["conf"] > CONFLICT, other["raw"]), F.lit(False))
+    return bind(ranked, lambda own: bind(F.array_max(own), lambda top: bind(rest(own, top), lambda other: made(top, other))))
 
-    def of(own: Column) -> Column:
-        return bind(F.array_max(own), lambda top: bind(F.array_max(F.filter(own, lambda r: r["raw"] != top["raw"])), lambda other: bind(read_value(field, top["raw"], top["conf"]), lambda v: said(v, top, other))))
 
-    def said(v: Column, top: Column, other: Column) -> Column:
-        conflict = F.when(other["conf"] > CONFLICT, about("two_readings", field, F.lit(":"), top["raw"], F.lit("|"), other["raw"]))
-        nothing = F.when(uncut, about("no_crop", field)).otherwise(about("nothing_read", field))
-        return entry(v, field, F.when(top["raw"].isNull(), F.array(nothing)).otherwise(F.concat(listed(conflict), v["notes"])), no_texts())
-
-    return bind(F.transform(mine, lambda r: F.struct(r["conf"].alias("conf"), (-r["attempt_no"]).alias("first"), r["raw"].alias("raw"))), of)
+def from_lines(field: Column, lines: Column) -> Column:
+    """The best value beside the field's surest label, if there is one."""
+    labels = F.transform(F.filter(lines, lambda v: F.array_contains(v["shown"], field)), lambda v: F.struct(v["confidence"].alias("confidence"), (-v["line_no"]).alias("first"), *[v[c].alias(c) for c in ("cx", "cy", "h")]))
+    made = lambda label, best: source(best["text"], best["confidence"], F.lit(None).cast("string"), label["first"].isNotNull())
+    return bind(F.array_max(labels), lambda label: bind(beside(label, lines, field), lambda best: made(label, best)))
 
 
 def beside(label: Column, lines: Column, field: Column) -> Column:
@@ -85,25 +82,34 @@ def beside(label: Column, lines: Column, field: Column) -> Column:
     return F.array_max(F.transform(near, lambda v: F.struct(score(v).alias("score"), (-v["line_no"]).alias("first"), F.trim(v["text"]).alias("text"), (v["confidence"] * RECOVERED).alias("confidence"))))
 
 
-def recovered_entry(e: Column, lines: Column) -> Column:
-    """An entry without a sure value, sought among the lines; what is read there replaces it.
+def entry(field: Column, reads: Column, lines: Column) -> Column:
+    """Struct raw, value, iso, candidates, confidence, warnings, more_warnings of a field: by its readings, then, unless sure, by its lines.
 
-    A date is replaced in any case, its confidence only if it is a date; a code or name only if something is left of it.
+    What lines give replaces what was there: a date in any case, its confidence only if it is a date; a code or name only if
+    something is left of it. A field whose crop could not be cut says so.
     """
-    field = e["field"]
-    labels = F.transform(F.filter(lines, lambda v: F.array_contains(v["shown"], field)), lambda v: F.struct(v["confidence"].alias("confidence"), (-v["line_no"]).alias("first"), *[v[c].alias(c) for c in ("cx", "cy", "h")]))
+    uncut = F.exists(reads, lambda r: (r["field"] == field) & r["uncut"])
+    facts = ("raw", "value", "iso", "candidates", "confidence")
 
-    def of(label: Column) -> Column:
-        return bind(beside(label, lines, field), lambda best: bind(read_value(field, best["text"], best["confidence"]), lambda v: taken(label, best, v)))
+    def first(s: Column, v: Column) -> Column:
+        conflict = F.when(s["other"].isNotNull(), about("two_readings", field, F.lit(":"), s["raw"], F.lit("|"), s["other"]))
+        nothing = F.when(uncut, about("no_crop", field)).otherwise(about("nothing_read", field))
+        return F.struct(*[v[c].alias(c) for c in facts], F.when(s["raw"].isNull(), F.array(nothing)).otherwise(F.concat(listed(conflict), v["notes"])).alias("warnings"), no_texts().alias("more_warnings"))
 
-    def taken(label: Column, best: Column, v: Column) -> Column:
-        wrote = best["text"].isNotNull() & (v["value"].isNotNull() | field.endswith("_date"))
-        pick = [F.when(wrote, v[c]).otherwise(e[c]).alias(c) for c in ("raw", "value", "iso", "candidates")]
+    def again(e: Column, s: Column, v: Column) -> Column:
+        wrote = s["raw"].isNotNull() & (v["value"].isNotNull() | field.endswith("_date"))
+        pick = [F.when(wrote, v[c]).otherwise(e[c]).alias(c) for c in facts[:-1]]
         confidence = F.when(wrote & v["value"].isNotNull(), v["confidence"]).otherwise(e["confidence"]).alias("confidence")
-        more = F.when(lines.isNull(), F.array(about("no_lines", field))).when(label["first"].isNull(), F.array(about("no_label", field))).when(best["text"].isNull(), F.array(about("no_value", field))).otherwise(v["notes"])
-        return F.struct(field.alias("field"), *pick, confidence, e["warnings"].alias("warnings"), more.alias("more_warnings"))
+        more = F.when(lines.isNull(), F.array(about("no_lines", field))).when(~s["labelled"], F.array(about("no_label", field))).when(s["raw"].isNull(), F.array(about("no_value", field))).otherwise(v["notes"])
+        return F.struct(*pick, confidence, e["warnings"].alias("warnings"), more.alias("more_warnings"))
 
-    return F.when(is_missing(e["value"], e["confidence"]), bind(F.array_max(labels), of)).otherwise(e)
+    def step(e: Column, k: Column) -> Column:
+        taken = bind(F.when(k == 0, from_reads(field, reads)).otherwise(from_lines(field, lines)), lambda s: bind(read_value(field, s["raw"], s["conf"]), lambda v: F.when(k == 0, first(s, v)).otherwise(again(e, s, v))))
+        return F.when((k == 0) | is_missing(e["value"], e["confidence"]), taken).otherwise(e)
+
+    none = F.lit(None)
+    empty = F.struct(none.cast("string").alias("raw"), none.cast("string").alias("value"), none.cast("date").alias("iso"), none.cast("array<string>").alias("candidates"), F.lit(0.0).alias("confidence"), no_texts().alias("warnings"), no_texts().alias("more_warnings"))
+    return F.aggregate(F.array(F.lit(0), F.lit(1)), empty, step)
 
 
 def records(readings: DataFrame, lines: DataFrame, key: str = "capture_id") -> DataFrame:
@@ -119,8 +125,7 @@ def records(readings: DataFrame, lines: DataFrame, key: str = "capture_id") -> D
     free = lines.groupBy(key).agg(F.collect_list(F.struct("line_no", "text", *[F.col(c).cast("double").alias(c) for c in numbers])).alias("__lines"))
     shown = lambda v: F.struct(*[v[c].alias(c) for c in ("line_no", "text", *numbers)], shown_fields(normalize_text(v["text"]), LABEL_PATTERNS).alias("shown"))
     both = reads.join(free, key, "left").withColumn("__lines", F.transform("__lines", shown))
-    first = both.withColumn("__first", F.transform(F.array(*map(F.lit, REQUIRED)), lambda f: first_entry(f, F.col("__reads"))))
-    done = first.withColumn("__entries", F.transform("__first", lambda e: recovered_entry(e, F.col("__lines"))))
+    done = both.withColumn("__entries", F.transform(F.array(*map(F.lit, REQUIRED)), lambda f: entry(f, F.col("__reads"), F.col("__lines"))))
     return done.select(key, *record_columns(lambda f, c: F.get(F.col("__entries"), F.lit(REQUIRED.index(f)))[c]))
 
 
