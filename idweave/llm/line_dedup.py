@@ -23,6 +23,7 @@ BANDS, PARTS, ROWS = 16, 8, 6  #: a pair of similarity s shares no band with a p
 BROADCAST_KEYS = 2_000_000  #: keys of lines that are fetched are broadcast up to this count (16 MB) and shuffled beyond it
 SIGNED = 5  #: characters of a shingle
 WORDS = 8  #: of 64 bits in a line's sketch
+WIDE_WORDS, LONG = 32, 96  #: of 64 bits in the larger sketch of a line of more than so many different shingles, made where pivots failed to join a bucket
 PIVOTS = 512  #: lines of a bucket that are held against all of it in one round
 SHORT = 64  #: shingles of a line up to which all its links come from bands that each sign all its shingles
 SAMPLED, HOT, MOST_HOT = 256, 64, 10_000  #: one line in so many tells which buckets are hot; this many of them in one mark it; hot buckets split at most
@@ -74,11 +75,26 @@ def sketches(lines: DataFrame) -> DataFrame:
     return lines.select("k", F.size(F.array_distinct(shingle_hashes(F.col("line")))).alias("n")).join(own, "k")
 
 
-def may_be_alike(least: float) -> Column:
-    """No false verdict against a pair: each bit that only one line has stands for a shingle that only it has."""
-    only = lambda x, y: sum((F.bit_count(F.col(f"{x}w{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}w{i}")))) for i in range(1, WORDS)), F.bit_count(F.col(f"{x}w0").bitwiseAND(F.bitwise_not(F.col(f"{y}w0")))))
-    most = F.least(F.col("p_n") - only("p_", ""), F.col("n") - only("", "p_"))
-    return enough(F.least("p_n", "n"), F.col("p_n"), F.col("n"), least) & enough(most, F.col("p_n"), F.col("n"), least)
+def wide_sketches(lines: DataFrame) -> DataFrame:
+    """k and the words of a larger bit set, for lines of many shingles, which fill the small one."""
+    word = F.pmod(F.shiftright("h", 6), F.lit(WIDE_WORDS)).cast("int")
+    bits = shingle_rows(lines).groupBy("k", word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("bits"))
+    return bits.groupBy("k").agg(*[F.bit_or(F.when(F.col("word") == i, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"v{i}") for i in range(WIDE_WORDS)])
+
+
+def may_be_alike(least: float, wide: bool = False) -> Column:
+    """No false verdict against a pair: each bit that only one line has stands for a shingle that only it has.
+
+    With ``wide`` the larger bit sets decide where both lines have one.
+    """
+
+    def bound(word: str, words: int) -> Column:
+        only = lambda x, y: sum((F.bit_count(F.col(f"{x}{word}{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}{word}{i}")))) for i in range(1, words)), F.bit_count(F.col(f"{x}{word}0").bitwiseAND(F.bitwise_not(F.col(f"{y}{word}0")))))
+        most = F.least(F.col("p_n") - only("p_", ""), F.col("n") - only("", "p_"))
+        return enough(most, F.col("p_n"), F.col("n"), least)
+
+    near = enough(F.least("p_n", "n"), F.col("p_n"), F.col("n"), least) & bound("w", WORDS)
+    return near & F.coalesce(bound("v", WIDE_WORDS), F.lit(True)) if wide else near
 
 
 def signed(shingles: DataFrame, kind: int) -> DataFrame:
@@ -146,7 +162,7 @@ def _line_components(lines: DataFrame, least: float) -> DataFrame:
     first = member.groupBy("b").agg(F.array(F.min("k"), F.min_by("k", F.xxhash64("k", "b"))).alias("p")).select("b", F.explode("p").alias("k"))
     pairs = as_pivot(first).join(member, "b").where("p <> k").select(F.least("p", "k").alias("p"), F.greatest("p", "k").alias("k")).distinct()
     near = as_pivot(sketch).join(pairs, "p").join(sketch, "k").where(may_be_alike(least)).select("p", "k", "p_n", "n")
-    joined = None
+    joined = wide = None
     while True:
         checked = near.join(text.toDF("p", "p_line"), "p").join(text, "k").where(alike(F.col("p_line"), F.col("line"), F.col("p_n"), F.col("n"), least))
         links = checked.select(F.col("p").alias("src"), F.col("k").alias("dst"))
@@ -160,10 +176,13 @@ def _line_components(lines: DataFrame, least: float) -> DataFrame:
         chosen = outside.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("k"))).where(F.col("r") <= PIVOTS)
         chosen = Staged(chosen.join(outside.groupBy("b").agg(F.count("*").alias("size")), "b").select("b", "k", "c", "size"), "pivots").df
         rest = open_.join(chosen.where(F.col("size") > PIVOTS).select("b").distinct(), "b", "left_semi")
-        more = sketch.join(own_buckets, "k")
+        if wide is None:  # the lines of open buckets become only fewer
+            long = open_.select("k").distinct().join(sketch.where(F.col("n") > LONG).select("k"), "k")
+            wide = Staged(wide_sketches(text.join(long, "k")), "wide").df
+        more = sketch.join(own_buckets, "k").join(wide, "k", "left")
         now = open_.select("b", "k", "c").join(more, "k")
         # a pair that shares several buckets is made in the first of them only
-        apart = (F.col("c") != F.col("p_c")) & (F.col("b") == F.element_at(F.array_intersect("bs", "p_bs"), 1)) & may_be_alike(least)
+        apart = (F.col("c") != F.col("p_c")) & (F.col("b") == F.element_at(F.array_intersect("bs", "p_bs"), 1)) & may_be_alike(least, wide=True)
         near = as_pivot(chosen.drop("size").join(more, "k")).join(now, "b").where(apart)
         near = near.select(F.least("p", "k").alias("p"), F.greatest("p", "k").alias("k"), F.when(F.col("p") < F.col("k"), F.col("p_n")).otherwise(F.col("n")).alias("p_n"), F.when(F.col("p") < F.col("k"), F.col("n")).otherwise(F.col("p_n")).alias("n")).distinct()
         member = Staged(rest.join(chosen.select("b", "k"), ["b", "k"], "left_anti").select("b", "k"), "members").df
