@@ -352,8 +352,7 @@ def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", hot:
     own = df.select(F.col(id).cast("long").alias(id), F.col(text).cast("string").alias(text), *[c for c in df.columns if c not in (id, text)])
     names = own.columns
     records = own.select(id, text).mapInArrow(recorded(buckets, parts), schema("bucket", ANCHOR))
-    noted = Staged(records.groupBy("bucket").applyInArrow(shared(parts, hot), schema("part", ANCHOR)), "notes")
-    notes = noted.df
+    notes = Staged(records.groupBy("bucket").applyInArrow(shared(parts, hot), schema("part", ANCHOR)), "notes").df
     many = notes.where("part = -1").mapInArrow(listed, "h long, rows long").orderBy(F.desc("rows"), "h").limit(MOST_HOT).select("h")
     told = spark.sparkContext.broadcast(np.sort(np.array([r["h"] for r in many.collect()], np.int64).astype(np.uint64)))
     notes = notes.where("part >= 0")
@@ -361,7 +360,6 @@ def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", hot:
     dealt = own.withColumn(part, F.coalesce(F.pmod(F.col(id), F.lit(parts)), F.pmod(F.xxhash64(text), F.lit(parts))).cast("int"))
     fetched_ddl = ", ".join(f"{k} {'int' if t == pa.int32() else 'binary'}" for k, t in FETCHED)
     found = dealt.groupBy(part).cogroup(notes.groupBy("part")).applyInArrow(fetched(id, text, buckets, told), fetched_ddl)
-    gone = Staged(found.groupBy("task").applyInArrow(looked_at(parts), schema("part", SPAN)), "spans").df
-    noted.drop()
+    gone = found.groupBy("task").applyInArrow(looked_at(parts), schema("part", SPAN))  # in one plan with what follows, texts are dealt once
     out = T.StructType([*own.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType.fromJson({"type": "struct", "fields": [{"name": k, "type": "long", "nullable": True, "metadata": {}} for k in ("start", "end")]}))), T.StructField("kept", T.BinaryType())])
     return dealt.groupBy(part).cogroup(gone.groupBy("part")).applyInArrow(cut_out(id, text, names, to_arrow_schema(out)), out)
