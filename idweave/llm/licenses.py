@@ -6,11 +6,16 @@ bigrams are joined with those of the templates whose size can still reach the th
 
 from __future__ import annotations
 
+import math
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST = 0.8
 MOST_TEMPLATES = 2_000
+MOST_MARKERS = 256  #: words that texts are first looked through for; where templates need more, all texts are cut into segments
 SENTENCE_END = r"[.!?][\x20\x09-\x0D]+"
 # Public licence texts (fixed values).
 MIT = (
@@ -61,6 +66,27 @@ def bigrams(text: Column) -> Column:
     return F.array_distinct(one)
 
 
+def markers(texts: list[str], least: float) -> list[str]:
+    """Words of which every segment that matches one of the texts holds one at least; none if that cannot be had.
+
+    A match shares so many of a text's b bigrams: ``least`` times half of b and of the smaller size that the bound allows. So it
+    has a bigram with a marker once fewer than these have none. Long words come first, and words already chosen count.
+    """
+    chosen: list[str] = []
+    for text in texts:
+        own = re.findall("[a-z0-9]+", text.lower())
+        pairs = set(zip(own, own[1:]))
+        shared = math.ceil(least * (1 + least / (2 - least)) / 2 * len(pairs) - 1e-9)
+        bare = {p for p in pairs if not any(m in w for m in chosen for w in p)}
+        for word in sorted(set(own), key=lambda w: (-len(w), w)):
+            if len(bare) < shared:
+                break
+            if any(word in p for p in bare):
+                chosen.append(word)
+                bare = {p for p in bare if not any(word in w for w in p)}
+    return chosen
+
+
 def scan(df: DataFrame, templates: DataFrame, id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """A row for each segment that matches: id, kind, segment_no, license, dice.
 
@@ -81,6 +107,11 @@ def scan(df: DataFrame, templates: DataFrame, id: str = "doc_id", text: str = "t
     parts = {"line": F.split(whole, "\n"), "sentence": F.when(F.size(sentences) > 1, sentences).otherwise(F.array().cast("array<string>")), "paragraph": F.transform(paragraphs, lambda p: F.when(F.contains(p, F.lit("\n")), p)), "text": F.array(F.when(F.size(paragraphs) > 1, whole))}
     kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), part.alias("parts")) for kind, part in parts.items()])
     # a row is told by its id and its text, so that a task run again gives it the same name; repeated rows are counted
+    listed = [r["text"] for r in templates.limit(MOST_TEMPLATES + 1).select("text").collect()]
+    found = markers([t for t in listed if t], least) if len(listed) <= MOST_TEMPLATES else []
+    if 0 < len(found) <= MOST_MARKERS:  # texts without any marker match nothing, in whole or in part
+        small_letters = F.lower(F.col(text).cast("string"))
+        df = df.where(reduce(Column.__or__, [F.contains(small_letters, F.lit(m)) for m in found]))
     keyed = df.select(F.col(id).alias("id"), F.xxhash64(whole).alias("row"), kinds.alias("kinds"))
     times = df.groupBy(F.col(id).alias("id"), F.xxhash64(whole).alias("row")).agg(F.count("*").alias("times")).where("times > 1")
     rows = keyed.select("id", "row", F.explode("kinds").alias("s"))
