@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 LEAST = 0.8
 MOST_TEMPLATES = 2_000
+SHORT_MARKER = 5  #: letters up to which a marker is sought as a whole word
 MOST_MARKERS = 256  #: words that texts are first looked through for; where templates need more, all texts are cut into segments
 SENTENCE_END = r"[.!?][\x20\x09-\x0D]+"
 # Public licence texts (fixed values).
@@ -77,13 +78,13 @@ def markers(texts: list[str], least: float) -> list[str]:
         own = re.findall("[a-z0-9]+", text.lower())
         pairs = set(zip(own, own[1:]))
         shared = math.ceil(least * (1 + least / (2 - least)) / 2 * len(pairs) - 1e-9)
-        bare = {p for p in pairs if not any(m in w for m in chosen for w in p)}
+        bare = {p for p in pairs if not any(m in p for m in chosen)}
         for word in sorted(set(own), key=lambda w: (-len(w), w)):
             if len(bare) < shared:
                 break
             if any(word in p for p in bare):
                 chosen.append(word)
-                bare = {p for p in bare if not any(word in w for w in p)}
+                bare = {p for p in bare if word not in p}
     return chosen
 
 
@@ -109,10 +110,13 @@ def scan(df: DataFrame, templates: DataFrame, id: str = "doc_id", text: str = "t
     # a row is told by its id and its text, so that a task run again gives it the same name; repeated rows are counted
     listed = [r["text"] for r in templates.limit(MOST_TEMPLATES + 1).select("text").collect()]
     found = markers([t for t in listed if t], least) if len(listed) <= MOST_TEMPLATES else []
+    sought = df
     if 0 < len(found) <= MOST_MARKERS:  # texts without any marker match nothing, in whole or in part
         small_letters = F.lower(F.col(text).cast("string"))
-        df = df.where(reduce(Column.__or__, [F.contains(small_letters, F.lit(m)) for m in found]))
-    keyed = df.select(F.col(id).alias("id"), F.xxhash64(whole).alias("row"), kinds.alias("kinds"))
+        long, short = [m for m in found if len(m) > SHORT_MARKER], [m for m in found if len(m) <= SHORT_MARKER]
+        held = [F.contains(small_letters, F.lit(m)) for m in long] + [small_letters.rlike(f"(?<![a-z0-9])(?:{'|'.join(short)})(?![a-z0-9])") for _ in short[:1]]
+        sought = df.where(reduce(Column.__or__, held))
+    keyed = sought.select(F.col(id).alias("id"), F.xxhash64(whole).alias("row"), kinds.alias("kinds"))
     times = df.groupBy(F.col(id).alias("id"), F.xxhash64(whole).alias("row")).agg(F.count("*").alias("times")).where("times > 1")
     rows = keyed.select("id", "row", F.explode("kinds").alias("s"))
     rows = rows.select("id", "row", "s.kind", F.posexplode("s.parts").alias("segment_no", "part")).where("part is not null")
