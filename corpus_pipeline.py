@@ -1,7 +1,7 @@
 """Corpus pipeline: toxicity, line de-duplication, near documents, repeated passages, packing.
 
-A stage writes what it decides (lines, ids or spans that go) as a small table and drops all else that it staged, so its
-result can be read at any time, however stages are chained, and none touches another's tables.
+A stage writes what it decides (lines or ids that go; of passages the anchors that documents share) and drops what its result
+does not read. So a result can be read at any time, however stages are chained, and none touches another's tables.
 """
 
 from __future__ import annotations
