@@ -140,6 +140,12 @@ def buckets(lines: DataFrame, least: float) -> DataFrame:
     return rows.where("hot or low <> high").select("b", "k")
 
 
+def among(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose k is one of ``keys``, which are told to all tasks up to a count of BROADCAST_KEYS and shuffled beyond it."""
+    keys = Staged(keys.select("k").distinct(), "keys").df
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("merge"), "k", "left_semi")
+
+
 def line_components(lines: DataFrame, least: float) -> DataFrame:
     """Lines linked with another: node, component, by key."""
     with noting() as used:
@@ -152,9 +158,7 @@ def line_components(lines: DataFrame, least: float) -> DataFrame:
 
 def _line_components(lines: DataFrame, least: float) -> DataFrame:
     member = Staged(buckets(lines, least), "members").df
-    wanted = Staged(member.select("k").distinct(), "wanted").df
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted.hint("merge")
-    text = Staged(lines.select("k", "line").join(wanted, "k").groupBy("k").agg(F.first("line").alias("line")), "lines").df
+    text = Staged(among(lines.select("k", "line"), member).groupBy("k").agg(F.first("line").alias("line")), "lines").df
     sketch = Staged(sketches(text), "sketches").df
     as_pivot = lambda df: df.select(*[c if c == "b" else F.col(c).alias("p" if c == "k" else f"p_{c}") for c in df.columns])
     own_buckets = member.groupBy("k").agg(F.array_sort(F.collect_list("b")).alias("bs"))  # 2 * BANDS at most
@@ -164,7 +168,10 @@ def _line_components(lines: DataFrame, least: float) -> DataFrame:
     near = as_pivot(sketch).join(pairs, "p").join(sketch, "k").where(may_be_alike(least)).select("p", "k", "p_n", "n")
     joined = wide = None
     while True:
-        checked = near.join(text.toDF("p", "p_line"), "p").join(text, "k").where(alike(F.col("p_line"), F.col("line"), F.col("p_n"), F.col("n"), least))
+        near = Staged(near, "near").df
+        # only lines of pairs that are left are dealt by their key
+        p_text, k_text = among(text, near.select(F.col("p").alias("k"))).toDF("p", "p_line"), among(text, near)
+        checked = near.join(p_text, "p").join(k_text, "k").where(alike(F.col("p_line"), F.col("line"), F.col("p_n"), F.col("n"), least))
         links = checked.select(F.col("p").alias("src"), F.col("k").alias("dst"))
         joined = components(links if joined is None else links.unionByName(joined.toDF("src", "dst")))
         open_ = member.join(joined.withColumnRenamed("node", "k"), "k", "left").select("b", "k", F.coalesce("component", "k").alias("c"))
@@ -178,7 +185,7 @@ def _line_components(lines: DataFrame, least: float) -> DataFrame:
         rest = open_.join(chosen.where(F.col("size") > PIVOTS).select("b").distinct(), "b", "left_semi")
         if wide is None:  # the lines of open buckets become only fewer
             long = open_.select("k").distinct().join(sketch.where(F.col("n") > LONG).select("k"), "k")
-            wide = Staged(wide_sketches(text.join(long, "k")), "wide").df
+            wide = Staged(wide_sketches(among(text, long).repartition("k")), "wide").df
         more = sketch.join(own_buckets, "k").join(wide, "k", "left")
         now = open_.select("b", "k", "c").join(more, "k")
         # a pair that shares several buckets is made in the first of them only
