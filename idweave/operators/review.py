@@ -108,9 +108,12 @@ def approved(extracted: DataFrame, corrections: DataFrame, keys: list[str], fiel
 
 
 def best_candidate(candidates: list[DataFrame], keys: list[str]) -> DataFrame:
-    """The candidate (score, seq, quad) of the highest score from several detectors' tables; earlier tables win ties."""
+    """The candidate (score, seq, quad) of the highest score from several detectors' tables.
+
+    Earlier tables win ties, then the least seq, then the least corners, so that the choice does not depend on the order of rows.
+    """
     from functools import reduce
 
     every = reduce(DataFrame.unionByName, [c.withColumn("detector", F.lit(k)) for k, c in enumerate(candidates)])
-    top = F.max_by(F.struct("quad", "score", "detector"), F.struct(F.col("score"), -F.col("detector"), -F.col("seq"))).alias("best")
+    top = F.min_by(F.struct("quad", "score", "detector"), F.struct(-F.col("score"), F.col("detector"), F.col("seq"), F.col("quad"))).alias("best")
     return every.where("score > 0").groupBy(*keys).agg(top).select(*keys, "best.*")

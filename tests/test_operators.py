@@ -87,3 +87,21 @@ def test_best_reading_and_calibration(spark):
     assert tuple(layout.calibrated(boxes).first()) == ("f", 0.1, 0.2, 0.5, 0.8)
     q = spark.range(1).select(review.issues(review.quality(F.lit(100), F.lit(900), F.lit(10.0), F.lit(250.0))).alias("i")).first()["i"]
     assert q == ["blurry", "low_resolution", "overexposed"]
+
+
+def test_equal_candidates(spark):
+    """Equal score, detector and seq: the same candidate whatever the order of rows."""
+    quad = lambda x: [(x + 9.0, 9.0), (x, 0.0), (x + 9.0, 0.0), (x, 9.0)]
+    own = [(1, 0.5, 4, quad(184.0)), (1, 0.5, 4, quad(32.0)), (1, 0.5, 4, quad(92.0)), (1, 0.25, 1, quad(1.0))]
+    for some in (own, own[::-1]):
+        df = spark.createDataFrame(some, "k int, score double, seq int, quad array<struct<x: double, y: double>>").coalesce(1)
+        assert review.best_candidate([df, df], ["k"]).select("k", "score", "detector", F.col("quad")[1]["x"]).collect() == [(1, 0.5, 0, 32.0)]
+
+
+def test_equal_line_items(spark, tmp_path):
+    """Two line items of an order with the same number and score: the one that the table lists first, as the SQL's engine has it."""
+    item = "k long, l_linenumber int, l_quantity double, l_partkey long, l_suppkey long, l_discount double"
+    df = spark.createDataFrame([(k, 4, q, 72, 34, 0.0) for k, q in [(1, 8.0), (1, 46.0), (2, 46.0), (2, 8.0)]], item).withColumnRenamed("k", "l_orderkey")
+    df.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r["l_orderkey"]: r["left_x"] for r in core.QUERIES["candidate_union_top1"](spark, str(tmp_path)).collect()}
+    assert got == {1: 32.0, 2: 184.0}
