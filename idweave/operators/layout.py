@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idweave.functions.binding import bind
@@ -61,20 +61,36 @@ def exploded(cards: DataFrame, layout: DataFrame) -> DataFrame:
     return cards.crossJoin(own).withColumn("box", box).drop("x1", "y1", "x2", "y2")
 
 
+#: Versions that are looked through at once; a key's versions are dealt into parts of so many.
+PART = 64
+
+
+def last_at(times: Column, at: Column) -> Column:
+    """Place of the last of sorted times that is not after ``at``, from 1; 0 if all are. By halving: a step for each bit of their number."""
+    powers = F.slice(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), 32 - F.length(F.bin(F.size(times))), F.lit(31))
+    return F.aggregate(powers, F.lit(0), lambda n, step: F.when(F.get(times, n + step - 1) <= at, n + step).otherwise(n))
+
+
 def layout_as_of(captures: DataFrame, versions: DataFrame, keys: list[str], at: str = "taken_at", since: str = "valid_from") -> DataFrame:
     """captures with version: the columns of the layout that was valid when each was taken, as a struct; null before the first.
 
     versions: keys, since, version_no and any other columns. Of versions valid from the same time the one of the largest
-    version_no counts, and a capture taken at that very time has it already. Versions are gathered by key, in order, and each
-    capture finds its own among them, so captures are neither sorted nor gathered, however many one key has; a null time or
-    key has no version.
+    version_no counts, and a capture taken at that very time has it already. Versions are dealt by key, in order, into parts of
+    ``PART``; each capture finds its part among the times that parts begin with, then its version in the part, by halving both
+    times. So captures are neither sorted nor gathered, however many one key has, and none carries more than a part along; a null
+    time or key has no version.
     """
     facts = [c for c in versions.columns if c not in (*keys, since, "version_no")]
     one = F.max_by(F.struct(*facts), "version_no").alias("facts") if facts else F.lit(None).cast("string").alias("facts")
     latest = versions.where(F.col(since).isNotNull()).groupBy(*keys, since).agg(F.max("version_no").alias("version_no"), one)
     entry = F.struct(F.col(since).alias("since"), "version_no", "facts")
     listed = latest.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("__versions"))
-    both = captures.join(small(listed), keys, "left")
-    found = F.element_at(F.filter("__versions", lambda v: v["since"] <= F.col(at)), -1)
-    wanted = bind(F.when(F.exists("__versions", lambda v: v["since"] <= F.col(at)), found), lambda v: F.when(v.isNotNull(), F.struct(v["since"].alias(since), v["version_no"].alias("version_no"), *[v["facts"][c].alias(c) for c in facts])))
-    return both.withColumn("version", wanted).drop("__versions")
+    dealt = F.transform(F.sequence(F.lit(1), F.size("__versions"), F.lit(PART)), lambda k: F.slice("__versions", k, F.lit(PART)))
+    parts = listed.select(*keys, F.posexplode(dealt).alias("__part", "__versions"))
+    parts = parts.select(*keys, (F.col("__part") + 1).alias("__part"), F.transform("__versions", lambda v: v["since"]).alias("__since"), "__versions")
+    begun = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.get("__since", F.lit(0)))).alias("__begun"))
+    both = captures.join(small(begun), keys, "left").withColumn("__part", last_at(F.col("__begun"), F.col(at))).drop("__begun")
+    both = both.join(small(parts), [*keys, "__part"], "left")
+    found = F.get("__versions", last_at(F.col("__since"), F.col(at)) - 1)
+    wanted = bind(found, lambda v: F.when(v.isNotNull(), F.struct(v["since"].alias(since), v["version_no"].alias("version_no"), *[v["facts"][c].alias(c) for c in facts])))
+    return both.select(*captures.columns, F.when(F.col("__versions").isNotNull(), wanted).alias("version"))

@@ -177,6 +177,19 @@ def test_layout_as_of(spark):
     assert got == {1: None, 2: (1, 0.1), 3: (1, 0.1), 4: (3, 0.3), 5: None, 6: None, 7: None, 8: None}
 
 
+def test_layout_among_many_versions(spark):
+    """Versions of several parts: as many layouts as days, each found on its first and last day; no capture carries them all along."""
+    days = lambda k: dt.date(2020, 1, 1) + dt.timedelta(days=3 * k)
+    for n in (1, 2, layout.PART - 1, layout.PART, layout.PART + 1, 5 * layout.PART + 7):
+        versions = spark.createDataFrame([("a", days(k), k) for k in range(n)], "device string, valid_from date, version_no int")
+        shots = spark.createDataFrame([(3 * k + i, "a", days(k) + dt.timedelta(days=i)) for k in range(-1, n + 1) for i in range(3)], "k int, device string, taken_at date")
+        own = layout.layout_as_of(shots, versions, ["device"])
+        got = {r["k"]: r["version"] and r["version"]["version_no"] for r in own.collect()}
+        assert got == {k: None if k < 0 else min(k // 3, n - 1) for k in range(-3, 3 * n + 3)}
+    largest = own._jdf.queryExecution().optimizedPlan().toString()
+    assert "__begun" in largest and "__part" in largest  # two lookups, in place of all of a key's versions
+
+
 class Counting(record_queries.WrittenText):
     made = 0
 
