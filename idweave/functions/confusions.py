@@ -1,8 +1,8 @@
-"""Repair of identity codes under any table of digits taken for each other, without listing a single variant.
+"""Repair of identity codes under any table of digits taken for each other, without writing out a single variant.
 
-A code's variants are counted by a dynamic program over the places that may be meant otherwise: how many have a given number of
-changed digits and a given weighted sum modulo 11, and what these variants, as numbers, add up to. Where the valid ones are
-exactly one, that sum is the code itself.
+A variant is the sum of its changes: what they add to the weighted sum modulo 11, and to the code as a number. Sums of one change
+more are made from those before by changes at later places, as many levels as digits may change; those whose check digit fits are
+counted. Where they are exactly one, the code plus what it adds is the repair.
 """
 
 from __future__ import annotations
@@ -25,39 +25,22 @@ def meant(table: Mapping[str, str]) -> list[list[int]]:
     return [sorted({int(x) for x in table.get(str(d), "") if x != str(d)}) for d in range(10)]
 
 
-def rolled(levels: Column, by: Column) -> Column:
-    """Counts by residue after ``by`` is added to the sum."""
-    return F.concat(F.slice(levels, SUM_MODULO + 1 - by, by), F.slice(levels, F.lit(1), SUM_MODULO - by))
+def listed_changes(code: Column, own: list[list[int]]) -> Column:
+    """Structs k, by, more for every digit of the first nine that may have been meant otherwise: its place, by how much the weighted
+    sum changes modulo 11, and by how much the code does. Looked up in a fixed table by place and digit."""
 
+    def change(k: int, read: int, d: int) -> Column:
+        return F.struct(F.lit(k).alias("k"), F.lit((d - read) * (11 - k) % SUM_MODULO).alias("by"), F.lit((d - read) * 10 ** (LENGTH - k)).cast("long").alias("more"))
 
-def both(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
+    kind = "array<struct<k: int, by: int, more: bigint>>"
+    table = F.array(*[F.array(*[change(k, read, d) for d in own[read]]).cast(kind) for k in range(1, LENGTH) for read in range(10)])
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LENGTH - 1)), lambda k: F.get(table, (k - 1) * 10 + digit(code, k))))
 
 
-def counted(code: Column, options: Column, most_flips: int) -> Column:
-    """Struct n0, n1, ... and t0, t1, ...: of the variants with so many changes in the first nine digits, by residue of their sum.
-
-    n is how many there are, t by how much they exceed the code in all. Only places with something to change are gone through.
-    """
-
-    def change(read: Column, d: Column, k: Column) -> Column:
-        return F.struct(F.pmod((d - read) * (11 - k), F.lit(SUM_MODULO)).cast("int").alias("by"), ((d - read) * F.pow(F.lit(10.0), LENGTH - k).cast("long")).alias("more"))
-
-    place = lambda k: bind(digit(code, k), lambda read: F.transform(F.get(options, read), lambda d: change(read, d, k)))
-    places = F.filter(F.transform(F.sequence(F.lit(1), F.lit(LENGTH - 1)), place), lambda p: F.size(p) > 0)
-
-    def changed(old: Column, new: Column, o: Column) -> Column:
-        parts = [new["n0"].alias("n0"), new["t0"].alias("t0")]
-        for f in range(1, most_flips + 1):
-            n, t = old[f"n{f - 1}"], old[f"t{f - 1}"]
-            parts += [both(new[f"n{f}"], rolled(n, o["by"])).alias(f"n{f}"), both(new[f"t{f}"], rolled(F.zip_with(t, n, lambda x, c: x + c * o["more"]), o["by"])).alias(f"t{f}")]
-        return F.struct(*parts)
-
-    zero = F.array_repeat(F.lit(0).cast("long"), SUM_MODULO)
-    rest = F.pmod(sum((digit(code, k) * (11 - k) for k in range(2, LENGTH)), digit(code, 1) * 10), F.lit(SUM_MODULO))
-    first = [F.transform(F.sequence(F.lit(0), F.lit(SUM_MODULO - 1)), lambda r: (r == rest).cast("long")).alias("n0"), zero.alias("t0")]
-    first += [zero.alias(c) for f in range(1, most_flips + 1) for c in (f"n{f}", f"t{f}")]
-    return F.aggregate(places, F.struct(*first), lambda s, p: F.aggregate(p, s, lambda new, o: changed(s, new, o)))
+def with_one_more(sums: Column, changes: Column) -> Column:
+    """Sums of one more change, at a later place than all before."""
+    added = lambda s: F.transform(F.filter(changes, lambda c: c["k"] > s["k"]), lambda c: F.struct(c["k"].alias("k"), (s["by"] + c["by"]).alias("by"), (s["more"] + c["more"]).alias("more")))
+    return F.flatten(F.transform(sums, added))
 
 
 def valid_repairs(code: Column, table: Mapping[str, str], most_flips: int = MOST_FLIPS) -> Column:
@@ -70,26 +53,28 @@ def valid_repairs(code: Column, table: Mapping[str, str], most_flips: int = MOST
 
 def _valid_repairs(code: Column, own: list[list[int]], most_flips: int) -> Column:
     options = F.array(*[F.array(*map(F.lit, o)).cast("array<int>") for o in own])
-    checks = [r if r < 2 else SUM_MODULO - r for r in range(SUM_MODULO)]  # the check digit of each residue
-
-    def ended(s: Column) -> Column:
-        """Sums over the residues whose check digit is the last digit, kept or changed."""
-        number, last, alts = s["number"], s["last"], s["alts"]
-
-        def levels(kind: str, flips: range) -> Column:
-            out = s["counts"][f"{kind}{flips[0]}"]
-            for f in flips[1:]:
-                out = both(out, s["counts"][f"{kind}{f}"])
-            return out
-
-        kept, changed = range(1, most_flips + 1), range(most_flips)
-        cell = lambda k, n, t: F.struct(k.alias("c"), n.alias("n"), t.alias("t"))
-        listed = lambda flips: F.arrays_zip(F.array(*map(F.lit, checks)).alias("c"), levels("n", flips).alias("n"), levels("t", flips).alias("t"))
-        mine = F.filter(listed(kept), lambda x: x["c"] == last)
-        others = F.filter(listed(changed), lambda x: F.array_contains(alts, x["c"]))
-        add = lambda z, x: cell(z["c"], z["n"] + x["n"], z["t"] + x["t"] + x["n"] * (number + x["c"] - last))
-        zero = cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
-        return F.aggregate(F.concat(mine, others), zero, add, lambda z: F.struct(z["n"].alias("n"), z["t"].alias("total")))
+    checks = F.array(*[F.lit(r if r < 2 else SUM_MODULO - r) for r in range(SUM_MODULO)])  # the check digit of each residue
+    last = digit(code, LENGTH)
+
+    def levels(changes: Column, body) -> Column:
+        """body(list of the sums of 0, 1, ... changes)"""
+        nothing = F.array(F.struct(F.lit(0).alias("k"), F.lit(0).alias("by"), F.lit(0).cast("long").alias("more")))
+
+        def next_(found: list[Column]) -> Column:
+            if len(found) > most_flips:
+                return body(found)
+            return bind(changes if len(found) == 1 else with_one_more(found[-1], changes), lambda sums: next_([*found, sums]))
+
+        return next_([nothing])
+
+    def ended(found: list[Column], f: Column) -> Column:
+        """What the sums add up to whose check digit is the last digit, kept or changed."""
+        check = lambda s: F.get(checks, (f["rest"] + s["by"]) % SUM_MODULO)
+        kept = F.transform(F.filter(F.concat(*found[1:]), lambda s: check(s) == f["last"]), lambda s: s["more"])
+        others = F.transform(F.filter(F.concat(*found[:-1]), lambda s: F.array_contains(f["alts"], check(s))), lambda s: s["more"] + check(s) - f["last"])
+        more = F.when(F.size(f["alts"]) > 0, F.concat(kept, others)).otherwise(kept) if most_flips else F.array().cast("array<bigint>")
+        whole = lambda m: F.struct(F.size(m).cast("long").alias("n"), (F.size(m) * f["number"] + F.aggregate(m, F.lit(0).cast("long"), lambda t, x: t + x)).alias("total"))
+        return bind(more, whole)
 
     def same(d: int) -> Column:
         """1 if ten times d is among the repairs counted."""
@@ -103,9 +88,12 @@ def _valid_repairs(code: Column, own: list[list[int]], most_flips: int) -> Colum
     alike = F.array(*[same(d).cast("long") for d in range(10)])
     whole = lambda a, weigh: F.aggregate(F.transform(a, weigh), F.lit(0).cast("long"), lambda t, x: t + x)
     without = lambda s, a: F.struct((s["n"] - whole(a, lambda x, d: x)).alias("n"), (s["total"] - whole(a, lambda x, d: x * d * 1111111111)).alias("total"))
-    last = digit(code, LENGTH)
-    facts = F.struct(counted(code, options, most_flips).alias("counts"), code.cast("long").alias("number"), last.alias("last"), F.get(options, last).alias("alts"))
-    return bind(bind(facts, ended), lambda s: F.when(s["n"] > 0, bind(alike, lambda a: without(s, a))).otherwise(s))
+    rest = F.pmod(sum((digit(code, k) * (11 - k) for k in range(2, LENGTH)), digit(code, 1) * 10), F.lit(SUM_MODULO))
+    facts = F.struct(rest.alias("rest"), code.cast("long").alias("number"), last.alias("last"), F.get(options, last).alias("alts"))
+    sums = bind(facts, lambda f: bind(listed_changes(code, own), lambda changes: levels(changes, lambda found: ended(found, f))))
+    # ten digits alike are only reached by a code that has so many alike already
+    nearly = code.rlike(r"([0-9])(?:[0-9]*\1){%d}" % max(LENGTH - most_flips - 1, 0))
+    return bind(sums, lambda s: F.when((s["n"] > 0) & nearly, bind(alike, lambda a: without(s, a))).otherwise(s))
 
 
 def repair_pairs(code: Column, table: Mapping[str, str] = ZERO_FIVE, most_flips: int = MOST_FLIPS, most_places: int = MOST_POSITIONS) -> Column:
