@@ -22,7 +22,7 @@ def far(a: Column, b: Column) -> Column:
 
 def turned(points: Column, by: Column) -> Column:
     """points, beginning with the one at place ``by``."""
-    return F.concat(F.slice(points, by + 1, F.size(points) - by), F.slice(points, F.lit(1), by))
+    return bind(by, lambda k: F.concat(F.slice(points, k + 1, F.size(points) - k), F.slice(points, F.lit(1), k)))
 
 
 def around(points: Column, value) -> Column:
@@ -104,32 +104,25 @@ def four_corners(points: Column) -> Column:
 def natural_size(quad: Column) -> Column:
     """Struct width, height of ordered corners: the longer one of opposite sides, in whole pixels; null where one is under 20."""
     whole = lambda i, j: F.floor(far(quad[i], quad[j])).cast("int")
-    sides = F.struct(F.greatest(whole(2, 3), whole(1, 0)).alias("width"), F.greatest(whole(2, 1), whole(3, 0)).alias("height"))
-    return bind(sides, lambda s: F.when((s["width"] >= LEAST_SIDE) & (s["height"] >= LEAST_SIDE), s))
+    width, height = F.greatest(whole(2, 3), whole(1, 0)), F.greatest(whole(2, 1), whole(3, 0))
+    return F.get(F.array(F.struct(width.alias("width"), height.alias("height"))), F.when((width >= LEAST_SIDE) & (height >= LEAST_SIDE), 0))
 
 
 def projective(quad: Column, width: Column, height: Column) -> Column:
     """The map of ordered corners onto the corners of a box, as an array of nine numbers, row by row; null if the corners are on a line.
 
-    The map of the unit square onto the corners is known in closed form; its adjugate leads back, and is scaled to the box.
+    The map of the unit square onto the corners is known in closed form; its adjugate leads back, and is scaled to the box. All is
+    plain arithmetic without conditions, of which Spark computes equal parts once.
     """
     x, y = [quad[k]["x"] for k in range(4)], [quad[k]["y"] for k in range(4)]
-
-    def square(s: Column) -> Column:
-        g, h = s["g"], s["h"]
-        made = (x[1] - x[0] + g * x[1], x[3] - x[0] + h * x[3], x[0], y[1] - y[0] + g * y[1], y[3] - y[0] + h * y[3], y[0])
-        return F.struct(*[v.alias(n) for n, v in zip("abcdef", made)], g.alias("g"), h.alias("h"))
-
-    def back(m: Column) -> Column:
-        a, b, c, d, e, f, g, h = (m[n] for n in "abcdefgh")
-        u, v = (e - f * h, c * h - b, b * f - c * e), (f * g - d, a - c * g, c * d - a * f)
-        return F.array(*[p * (width - 1) for p in u], *[p * (height - 1) for p in v], d * h - e * g, b * g - a * h, a * e - b * d)
-
     dx1, dx2, dy1, dy2 = x[1] - x[2], x[3] - x[2], y[1] - y[2], y[3] - y[2]
     sx, sy = x[0] - x[1] + x[2] - x[3], y[0] - y[1] + y[2] - y[3]
     den = dx1 * dy2 - dx2 * dy1
-    vanishing = F.struct(((sx * dy2 - dx2 * sy) / den).alias("g"), ((dx1 * sy - sx * dy1) / den).alias("h"))
-    return F.when(den != 0, bind(vanishing, lambda s: bind(square(s), back)))
+    g, h = ((part / F.nullif(den, F.lit(0.0))) for part in (sx * dy2 - dx2 * sy, dx1 * sy - sx * dy1))
+    a, b, c, d, e, f = x[1] - x[0] + g * x[1], x[3] - x[0] + h * x[3], x[0], y[1] - y[0] + g * y[1], y[3] - y[0] + h * y[3], y[0]
+    u, v = (e - f * h, c * h - b, b * f - c * e), (f * g - d, a - c * g, c * d - a * f)
+    matrix = F.array(*[p * (width - 1) for p in u], *[p * (height - 1) for p in v], d * h - e * g, b * g - a * h, a * e - b * d)
+    return F.get(F.array(matrix), F.when(den != 0, 0))
 
 
 def mapped(matrix: Column, x: Column, y: Column) -> Column:

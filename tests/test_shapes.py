@@ -84,6 +84,27 @@ def test_projective_map(spark):
     assert tuple(made[0]["n"]) == (190, 120)
 
 
+def test_projective_map_in_plain_arithmetic(spark):
+    """No function over arrays, which Spark would interpret row by row; corners on a line, or a small box, still give null."""
+    quads = [[(1.0, 2.0), (31.0, 4.0), (33.0, 30.0), (2.0, 28.0)], [(0.0, 0.0), (1.0, 1.0), (2.0, 2.0), (3.0, 3.0)]]
+    df = spark.createDataFrame([([{"x": x, "y": y} for x, y in q],) for q in quads], f"q {polygons.POINTS}")
+    made = df.select(polygons.projective(F.col("q"), F.lit(30), F.lit(25)).alias("m"), polygons.natural_size(F.col("q")).alias("n"), F.col("q")[2].alias("c"))
+    assert "lambda" not in made._jdf.queryExecution().analyzed().toString()
+    got = made.select("m", "n", polygons.mapped(F.col("m"), F.col("c.x"), F.col("c.y")).alias("t")).collect()
+    assert got[0]["n"].asDict() == {"width": 31, "height": 26} and (round(got[0]["t"]["x"], 9), round(got[0]["t"]["y"], 9)) == (29.0, 24.0)
+    assert got[1]["m"] is None and got[1]["n"] is None and got[1]["t"] is None
+
+
+def test_inked_counts_equal_binarised_pixels(spark):
+    rng = random.Random(4)
+    rows = [(c, rng.choice([None, *range(0, 250, 50)]), rng.choice([True, False, None]) if c % 3 else c % 2 == 0) for c in range(12) for _ in range(40)] + [(20, None, True), (21, 7, None)]
+    df = spark.createDataFrame(rows, "k int, grey int, ink boolean")
+    want = thresholds.binarised(df, ["k"]).groupBy("k").agg(F.count("*").alias("pixels"), F.count(F.when(F.col("ink"), 1)).alias("inked"))
+    made = thresholds.inked(df, ["k"])
+    assert sorted(made.collect()) == sorted(want.collect())
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_thresholds(spark):
     rng = np.random.default_rng(4)
     crops = {1: np.concatenate([rng.integers(10, 60, 300), rng.integers(150, 240, 500)]), 2: np.full(40, 77), 3: rng.integers(0, 256, 2000), 4: np.array([0, 255])}
@@ -169,6 +190,17 @@ def test_repairs_equal_listing(spark, pairs):
         assert all(r["old"] == (r["new"]["value"] if r["new"]["class"] == "repaired" else None) for r in both.where("not valid").collect())
 
 
+def test_repairs_without_tables_of_residues(spark):
+    """Sums of changes only: no table of all residues is gone through for a code, and codes of nearly equal digits come out right."""
+    codes = ["8888888888", "8888888881", "0000500000", "5555055550", "6668886660", "3838383838"]
+    df = spark.createDataFrame([(c,) for c in codes], "code string").select("code", confusions.valid_repairs(F.col("code"), record_queries.PAIRS, 3).alias("r"))
+    for r in df.collect():
+        every = {"".join(v) for v in itertools.product(*[[c, *record_queries.PAIRS.get(c, "")] for c in r["code"]])}
+        good = [v for v in every if 1 <= sum(a != b for a, b in zip(v, r["code"])) <= 3 and is_code(v)]
+        assert tuple(r["r"]) == (len(good), sum(map(int, good)))
+    assert "zip_with" not in df._jdf.queryExecution().analyzed().toString()
+
+
 def test_layout_as_of(spark):
     day = lambda d: dt.date(2024, 1, d)
     versions = spark.createDataFrame([("a", day(5), 1, 0.1), ("a", day(9), 2, 0.2), ("a", day(9), 3, 0.3), ("b", None, 7, 0.7), (None, day(1), 8, 0.8)], "device string, valid_from date, version_no int, x1 double")
