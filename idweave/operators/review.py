@@ -73,6 +73,15 @@ def record(fields: DataFrame, keys: list[str]) -> DataFrame:
     return wide.select(*keys, *record_columns(lambda f, c: F.col(f)[c]))
 
 
+def record_of(captures: DataFrame, keys: list[str]) -> DataFrame:
+    """As ``record``, of captures whose fields are in one row already, without texts and warnings of the reading.
+
+    captures: keys, for each required field a struct value, confidence or null. Nothing is dealt or gathered.
+    """
+    none = {"iso": "date", "raw": "string", "candidates": "array<string>", "warnings": "array<string>", "more_warnings": "array<string>"}
+    return captures.select(*keys, *record_columns(lambda f, c: F.lit(None).cast(none[c]) if c in none else F.col(f)[c]))
+
+
 def record_columns(part) -> list[Column]:
     """data, confidence, validation, missing_fields, warnings, needs_review from part(field, what), as ``record`` has it."""
     code = part("national_id", "value")

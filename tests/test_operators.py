@@ -105,3 +105,16 @@ def test_equal_line_items(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
     got = {r["l_orderkey"]: r["left_x"] for r in core.QUERIES["candidate_union_top1"](spark, str(tmp_path)).collect()}
     assert got == {1: 32.0, 2: 184.0}
+
+
+def test_records_of_whole_rows(spark):
+    """Captures whose fields are in one row are neither dealt nor gathered, and give what ``record`` gives of their fields."""
+    from idweave.operators.layout import REQUIRED
+
+    some = [(k, *[None if (k + i) % 4 == 0 else "1234567891" if f == "national_id" else f"v{k}" for i, f in enumerate(REQUIRED)]) for k in range(8)]
+    flat = spark.createDataFrame(some, "k int, " + ", ".join(f"{f} string" for f in REQUIRED))
+    own = review.record_of(flat.select("k", *[F.struct(F.col(f).alias("value"), F.lit(0.5).alias("confidence")).alias(f) for f in REQUIRED]), ["k"])
+    fields = flat.select("k", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), F.lit(0.5).alias("confidence")) for f in REQUIRED])).alias("e")).select("k", "e.*")
+    assert sorted(map(str, own.collect())) == sorted(map(str, review.record(fields, ["k"]).collect()))
+    for name in ("missing_fields", "review_flag", "response_json"):
+        assert "Exchange" not in core.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
