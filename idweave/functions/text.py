@@ -33,8 +33,8 @@ def squeezed(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Digits as ASCII, Arabic letters as Persian, marks and joiners as spaces, white space squeezed."""
-    letters = F.translate(normalize_digits(text), LETTERS_FROM, LETTERS_TO)
-    return squeezed(F.translate(letters, TO_SPACE, " " * len(TO_SPACE)))
+    own = PERSIAN_DIGITS + ARABIC_DIGITS + LETTERS_FROM + TO_SPACE
+    return squeezed(F.translate(F.coalesce(text, F.lit("")), own, LATIN_DIGITS * 2 + LETTERS_TO + " " * len(TO_SPACE)))
 
 
 def only_digits(text: Column) -> Column:

@@ -12,10 +12,14 @@ LEAST_LIMIT, HEIGHTS = 45.0, 2.5
 
 
 def shown_fields(norm: Column, patterns: list[tuple[str, str]]) -> Column:
-    """Fields whose label a normalised text shows; each field's patterns are one literal expression, compiled once."""
-    fields = dict.fromkeys(f for f, _ in patterns)
+    """Fields whose label a normalised text shows; each field's patterns are one literal expression, compiled once.
+
+    Most lines are no label, which one expression of all patterns tells.
+    """
+    fields, none = dict.fromkeys(f for f, _ in patterns), F.array().cast("array<string>")
     one = {f: "|".join(f"(?:{p})" for g, p in patterns if g == f) for f in fields}
-    return F.array_compact(F.array(*[F.when(norm.rlike(p), F.lit(f)) for f, p in one.items()])) if one else F.array().cast("array<string>")
+    shown = lambda: F.array_compact(F.array(*[F.when(norm.rlike(p), F.lit(f)) for f, p in one.items()]))
+    return F.when(norm.rlike("|".join(one.values())), shown()).otherwise(none) if one else none
 
 
 def label_lines(lines: DataFrame, patterns: list[tuple[str, str]], keys: list[str]) -> DataFrame:
@@ -24,6 +28,8 @@ def label_lines(lines: DataFrame, patterns: list[tuple[str, str]], keys: list[st
     lines: keys, line_no, text, confidence, cx, cy, h. patterns: pairs of a field and an expression.
     """
     own = lines.withColumn("norm", normalize_text(F.col("text")))
+    if patterns:
+        own = own.where(F.col("norm").rlike("|".join(f"(?:{p})" for _, p in patterns)))  # few lines are labels
     hits = own.withColumn("field", F.explode(shown_fields(F.col("norm"), patterns)))
     top = F.max_by(F.struct("line_no", "cx", "cy", "h"), F.struct(F.col("confidence"), -F.col("line_no"))).alias("at")
     return hits.groupBy(*keys, "field").agg(top).select(*keys, "field", "at.*")

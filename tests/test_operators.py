@@ -118,3 +118,14 @@ def test_records_of_whole_rows(spark):
     assert sorted(map(str, own.collect())) == sorted(map(str, review.record(fields, ["k"]).collect()))
     for name in ("missing_fields", "review_flag", "response_json"):
         assert "Exchange" not in core.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_labels_are_sought_once(spark):
+    """A line's text is normalised by one translation, and a line that is no label is told by one expression."""
+    from idweave.functions.text import normalize_text
+    from idweave.operators.recovery import shown_fields
+
+    texts = ["نام", "تاریخ تولد", "نام خانوادگی", "123", "", "اعتبار شماره ملی"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", normalize_text(F.col("t")).alias("n"), shown_fields(F.col("t"), layout.LABEL_PATTERNS).alias("s"))
+    assert [r["s"] for r in df.collect()] == [["first_name"], ["birth_date"], ["last_name"], [], [], ["national_id", "expiry_date"]]
+    assert df.select("n")._jdf.queryExecution().analyzed().toString().count("translate(") == 1
