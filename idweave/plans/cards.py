@@ -123,7 +123,7 @@ def records(readings: DataFrame, lines: DataFrame, key: str = "capture_id") -> D
     reads = readings.groupBy(key).agg(F.collect_list(read).alias("__reads"))
     numbers = ("confidence", "cx", "cy", "h")
     free = lines.groupBy(key).agg(F.collect_list(F.struct("line_no", "text", *[F.col(c).cast("double").alias(c) for c in numbers])).alias("__lines"))
-    shown = lambda v: F.struct(*[v[c].alias(c) for c in ("line_no", "text", *numbers)], shown_fields(normalize_text(v["text"]), LABEL_PATTERNS).alias("shown"))
+    shown = lambda v: F.struct(*[v[c].alias(c) for c in ("line_no", "text", *numbers)], bind(normalize_text(v["text"]), lambda n: shown_fields(n, LABEL_PATTERNS)).alias("shown"))
     both = reads.join(free, key, "left").withColumn("__lines", F.transform("__lines", shown))
     done = both.withColumn("__entries", F.transform(F.array(*map(F.lit, REQUIRED)), lambda f: entry(f, F.col("__reads"), F.col("__lines"))))
     return done.select(key, *record_columns(lambda f, c: F.get(F.col("__entries"), F.lit(REQUIRED.index(f)))[c]))
