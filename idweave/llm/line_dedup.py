@@ -13,17 +13,20 @@ from __future__ import annotations
 
 import random
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from idweave.functions.binding import bind
 from idweave.llm.common import Staged, components, decided, noting
 
 BANDS, PARTS, ROWS = 16, 8, 6  #: a pair of similarity s shares no band with a probability of (1 - s ** ROWS) ** BANDS: 0.8 % at 0.8, 0.04 % at 0.85
 BROADCAST_KEYS = 2_000_000  #: keys of lines that are fetched are broadcast up to this count (16 MB) and shuffled beyond it
 SIGNED = 5  #: characters of a shingle
+KEY_BITS = 40  #: of a band's key: rows of bands are most of what is dealt; bands that share a key by chance are candidates that verification rejects
 WORDS = 8  #: of 64 bits in a line's sketch
-WIDE_WORDS, LONG = 32, 96  #: of 64 bits in the larger sketch of a line of more than so many different shingles, made where pivots failed to join a bucket
+WIDE_WORDS, LONG = 32, 96  #: of 64 bits in the larger sketch of a line of more than so many different shingles, read where pivots failed to join a bucket
 PIVOTS = 512  #: lines of a bucket that are held against all of it in one round
 SHORT = 64  #: shingles of a line up to which all its links come from bands that each sign all its shingles
 SAMPLED, HOT, MOST_HOT = 256, 64, 10_000  #: one line in so many tells which buckets are hot; this many of them in one mark it; hot buckets split at most
@@ -39,13 +42,14 @@ def key_of(line: Column) -> Column:
 def lines_of(df: DataFrame, id: str, text: str) -> DataFrame:
     """A row for each line with anything but white space: id, line_no, line, k."""
     rows = df.select(F.col(id).alias("id"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("line_no", "line"))
-    return rows.where(F.col("line").rlike(r"\S")).withColumn("k", key_of(F.col("line")))
+    # nearly every line begins with something else than white space, which needs no pattern
+    return rows.where((F.ascii("line") > 32) | F.col("line").rlike(r"\S")).withColumn("k", key_of(F.col("line")))
 
 
 def shingle_hashes(line: Column) -> Column:
-    """Hashes of all runs of five characters; a shorter line is one shingle."""
-    every = F.transform(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SIGNED}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
-    return F.when(F.char_length(line) <= SIGNED, F.array(F.xxhash64(line))).otherwise(every)
+    """Hashes of all runs of five characters, as ``shingle_rows`` makes them; a shorter line is one shingle."""
+    last = lambda wide: F.greatest((F.octet_length(wide) / 4).cast("int") - SIGNED, F.lit(0))
+    return bind(F.encode(line, "UTF-32"), lambda wide: F.transform(F.sequence(F.lit(0), last(wide)), lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * SIGNED)))))
 
 
 def shingle_rows(lines: DataFrame) -> DataFrame:
@@ -69,17 +73,16 @@ def alike(a: Column, b: Column, n_a: Column, n_b: Column, least: float) -> Colum
 
 
 def sketches(lines: DataFrame) -> DataFrame:
-    """k, n and the words of a bit set: n different shingles of the line, each of which sets one bit."""
-    word = shingle_rows(lines).groupBy("k", F.pmod(F.shiftright("h", 6), F.lit(WORDS)).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("bits"))
-    own = word.groupBy("k").agg(*[F.bit_or(F.when(F.col("word") == i, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)])
-    return lines.select("k", F.size(F.array_distinct(shingle_hashes(F.col("line")))).alias("n")).join(own, "k")
+    """lines (k, line; dealt by k) with n, the number of different shingles, each of which sets one bit, and the words of two bit sets.
 
-
-def wide_sketches(lines: DataFrame) -> DataFrame:
-    """k and the words of a larger bit set, for lines of many shingles, which fill the small one."""
+    The small set's word i is what words i, i + WORDS, ... of the larger one, v, hold together; only lines of many shingles keep v.
+    """
     word = F.pmod(F.shiftright("h", 6), F.lit(WIDE_WORDS)).cast("int")
     bits = shingle_rows(lines).groupBy("k", word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("bits"))
-    return bits.groupBy("k").agg(*[F.bit_or(F.when(F.col("word") == i, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"v{i}") for i in range(WIDE_WORDS)])
+    own = bits.groupBy("k").agg(*[F.bit_or(F.when(F.col("word") == i, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"v{i}") for i in range(WIDE_WORDS)])
+    small = [reduce(Column.bitwiseOR, [F.col(f"v{k}") for k in range(i, WIDE_WORDS, WORDS)]).alias(f"w{i}") for i in range(WORDS)]
+    wide = [F.when(F.col("n") > LONG, F.col(f"v{i}")).alias(f"v{i}") for i in range(WIDE_WORDS)]
+    return lines.withColumn("n", F.size(F.array_distinct(shingle_hashes(F.col("line"))))).join(own.hint("merge"), "k").select("k", "line", "n", *small, *wide)
 
 
 def may_be_alike(least: float, wide: bool = False) -> Column:
@@ -105,7 +108,8 @@ def signed(shingles: DataFrame, kind: int) -> DataFrame:
     """
     turned = lambda i: F.col("h") if not i else F.shiftleft("h", 5 * i).bitwiseOR(F.shiftrightunsigned("h", 64 - 5 * i))
     least = shingles.groupBy("k", "part").agg(*[F.min(turned(i).bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)])
-    bands = [F.xxhash64(F.lit(kind), F.lit(i), "part", *[f"m{i + r}" for r in range(ROWS)]) for i in range(0, len(MASKS), ROWS)]
+    key = lambda i: F.xxhash64(F.lit(kind), F.lit(i), "part", *[f"m{i + r}" for r in range(ROWS)])
+    bands = [F.shiftrightunsigned(key(i), 64 - KEY_BITS) for i in range(0, len(MASKS), ROWS)]
     return least.select("k", F.explode(F.array(*bands)).alias("b"))
 
 
@@ -116,12 +120,12 @@ def banded(lines: DataFrame, least: float) -> DataFrame:
     all of them for every part, each part with a hash of its own, and lines of SHORT shingles or more deal theirs among the parts.
     """
     widest = int(SHORT / least + 1e-6)
+    lines = lines.select("k", "line").dropDuplicates(["k"])  # dealt once for both kinds
     # the beginning of a long line tells in nearly all cases that its shingles are too many
     few = lambda line: F.size(F.array_distinct(shingle_hashes(line))) <= widest
     short = lines.where(F.when(F.char_length("line") < widest + SIGNED, True).otherwise(few(F.substring("line", 1, widest + 24)) & few(F.col("line"))))
-    different = lambda df: df.select("k", "line").dropDuplicates(["k"])
-    every = shingle_rows(different(short)).select("k", "h", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")).select("k", "part", F.xxhash64("h", "part").alias("h"))
-    dealt = shingle_rows(different(lines.where(F.char_length("line") >= SHORT + SIGNED - 1))).select("k", F.pmod(F.shiftright("h", 3), F.lit(PARTS)).cast("int").alias("part"), F.xxhash64("h").alias("h"))
+    every = shingle_rows(short).select("k", "h", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")).select("k", "part", F.xxhash64("h", "part").alias("h"))
+    dealt = shingle_rows(lines.where(F.char_length("line") >= SHORT + SIGNED - 1)).select("k", F.pmod(F.shiftright("h", 3), F.lit(PARTS)).cast("int").alias("part"), F.xxhash64("h").alias("h"))
     return signed(every, 0).unionByName(signed(dealt, 1))
 
 
@@ -131,13 +135,13 @@ def buckets(lines: DataFrame, least: float) -> DataFrame:
     A sample of the lines tells which buckets are hot. Their rows are all kept, so no task ever gathers them; the others
     meet in windows of two numbers a row, which spill.
     """
-    sample = banded(lines.where(F.pmod(F.col("k"), F.lit(SAMPLED)) == 0), least)
-    hot = Staged(sample.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "b").limit(MOST_HOT).select("b"), "hot").df
+    sampled = Staged(lines.where(F.pmod(F.col("k"), F.lit(SAMPLED)) == 0).select("k", "line"), "sampled").df
+    hot = Staged(banded(sampled, least).groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "b").limit(MOST_HOT).select("b"), "hot").df
     rows = banded(lines, least).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "b", "left")
-    part = F.when(F.col("hot"), F.pmod(F.xxhash64("k"), F.lit(4096)).cast("int")).otherwise(F.lit(0))
+    part = F.when(F.col("hot"), 1 + F.xxhash64("k").bitwiseAND(4095)).otherwise(0).cast("int")
     own = Window.partitionBy("b", "part")
-    rows = rows.withColumn("part", part).withColumn("low", F.min("k").over(own)).withColumn("high", F.max("k").over(own))
-    return rows.where("hot or low <> high").select("b", "k")
+    rows = rows.select(part.alias("part"), "k", "b").withColumn("low", F.min("k").over(own)).withColumn("high", F.max("k").over(own))
+    return rows.where("part > 0 or low <> high").select("b", "k")
 
 
 def among(rows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -158,15 +162,15 @@ def line_components(lines: DataFrame, least: float) -> DataFrame:
 
 def _line_components(lines: DataFrame, least: float) -> DataFrame:
     member = Staged(buckets(lines, least), "members").df
-    text = Staged(among(lines.select("k", "line"), member).groupBy("k").agg(F.first("line").alias("line")), "lines").df
-    sketch = Staged(sketches(text), "sketches").df
+    own = Staged(sketches(among(lines.select("k", "line"), member).groupBy("k").agg(F.first("line").alias("line"))), "sketches").df
+    text, sketch, wide = own.select("k", "line"), own.select("k", "n", *[f"w{i}" for i in range(WORDS)]), own.drop("line")
     as_pivot = lambda df: df.select(*[c if c == "b" else F.col(c).alias("p" if c == "k" else f"p_{c}") for c in df.columns])
     own_buckets = member.groupBy("k").agg(F.array_sort(F.collect_list("b")).alias("bs"))  # 2 * BANDS at most
     # two lines of each bucket first: the same one wherever it is, and one dealt by the bucket
     first = member.groupBy("b").agg(F.array(F.min("k"), F.min_by("k", F.xxhash64("k", "b"))).alias("p")).select("b", F.explode("p").alias("k"))
     pairs = as_pivot(first).join(member, "b").where("p <> k").select(F.least("p", "k").alias("p"), F.greatest("p", "k").alias("k")).distinct()
     near = as_pivot(sketch).join(pairs, "p").join(sketch, "k").where(may_be_alike(least)).select("p", "k", "p_n", "n")
-    joined = wide = None
+    joined = None
     while True:
         near = Staged(near, "near").df
         # only lines of pairs that are left are dealt by their key
@@ -183,10 +187,7 @@ def _line_components(lines: DataFrame, least: float) -> DataFrame:
         chosen = outside.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("k"))).where(F.col("r") <= PIVOTS)
         chosen = Staged(chosen.join(outside.groupBy("b").agg(F.count("*").alias("size")), "b").select("b", "k", "c", "size"), "pivots").df
         rest = open_.join(chosen.where(F.col("size") > PIVOTS).select("b").distinct(), "b", "left_semi")
-        if wide is None:  # the lines of open buckets become only fewer
-            long = open_.select("k").distinct().join(sketch.where(F.col("n") > LONG).select("k"), "k")
-            wide = Staged(wide_sketches(among(text, long).repartition("k")), "wide").df
-        more = sketch.join(own_buckets, "k").join(wide, "k", "left")
+        more = wide.join(own_buckets, "k")
         now = open_.select("b", "k", "c").join(more, "k")
         # a pair that shares several buckets is made in the first of them only
         apart = (F.col("c") != F.col("p_c")) & (F.col("b") == F.element_at(F.array_intersect("bs", "p_bs"), 1)) & may_be_alike(least, wide=True)

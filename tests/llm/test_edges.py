@@ -1,11 +1,13 @@
 """Empty tables, clashing names, nulls and repeated rows; values compared, not only names."""
 
 import math
+import random
 import time
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from idweave.llm import hnsw, line_dedup, quality, queries, repeats, toxicity
@@ -166,3 +168,17 @@ def test_license_rows_repeat_behind_a_shuffle(spark):
 def got_dice(a, b):
     pairs = lambda t: set(zip((w := t.lower().replace(",", "").split()), w[1:]))
     return round(2 * len(pairs(a) & pairs(b)) / (len(pairs(a)) + len(pairs(b))), 6)
+
+
+def test_sketches_tell_small_and_large_sets_apart(spark):
+    rng = random.Random(3)
+    texts = ["ab", "abcde", "ä" * 40, *["".join(rng.choice("abcdefgh é") for _ in range(n)) for n in (30, 99, 101, 700)]]
+    got = {r["k"]: r for r in line_dedup.sketches(spark.createDataFrame(list(enumerate(texts)), "k long, line string").repartition(2, "k")).collect()}
+    hashes = {r["k"]: set(r["h"]) for r in line_dedup.shingle_rows(spark.createDataFrame(list(enumerate(texts)), "k long, line string")).groupBy("k").agg(F.collect_set("h").alias("h")).collect()}
+    for k, x in enumerate(texts):
+        own = {x[i : i + 5] for i in range(max(1, len(x) - 4))}
+        assert got[k]["n"] == len(own) == len(hashes[k])
+        for stem, words in (("w", line_dedup.WORDS), ("v", line_dedup.WIDE_WORDS)):
+            want = [sum({1 << (h & 63) for h in hashes[k] if (h >> 6) % words == i}) for i in range(words)]
+            have = [got[k][f"{stem}{i}"] for i in range(words)]
+            assert have == ([None] * words if stem == "v" and len(own) <= line_dedup.LONG else [v - (v >> 63 << 64) for v in want])
