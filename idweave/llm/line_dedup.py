@@ -30,6 +30,7 @@ WIDE_WORDS, LONG = 32, 96  #: of 64 bits in the larger sketch of a line of more
 PIVOTS = 512  #: lines of a bucket that are held against all of it in one round
 SHORT = 64  #: shingles of a line up to which all its links come from bands that each sign all its shingles
 SAMPLED, HOT, MOST_HOT = 256, 64, 10_000  #: one line in so many tells which buckets are hot; this many of them in one mark it; hot buckets split at most
+CELLS = 1 << 19  #: of 64 bits that tell all tasks which texts may lose lines: 12 MB at most
 _dealt = random.Random(8)
 MASKS = [_dealt.getrandbits(64) - (1 << 63) for _ in range(BANDS // PARTS * ROWS)]
 
@@ -222,9 +223,16 @@ def drop_lines(df: DataFrame, id: str = "doc_id", text: str = "text", least: flo
 
     Null texts stay null. Rows with a null id keep their text.
     """
-    at, lines = (f"{stem}_{uuid.uuid4().hex}" for stem in ("at", "lines"))
+    at, lines, cell, bits = (f"{stem}_{uuid.uuid4().hex}" for stem in ("at", "lines", "cell", "bits"))
     listed = lambda: mark_lines(df.where(F.col(id).isNotNull()), id, text, least).where("not kept").groupBy(id).agg(F.collect_set("line_no").alias("gone")).toDF(at, lines)
     gone = decided(listed, "gone")
+    # texts that lose nothing, by the hash of their id, are not dealt; the cells' false hits only deal more
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * CELLS))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), place(c).bitwiseAND(63).cast("int"))
+    cells = gone.groupBy(F.shiftright(place(F.col(at)), 6).alias(cell)).agg(F.bit_or(bit(F.col(at))).alias(bits))
+    told = df.withColumn(cell, F.shiftright(place(F.col(id)), 6)).join(F.broadcast(cells), cell, "left")
+    hit = F.col(bits).isNotNull() & (F.col(bits).bitwiseAND(bit(F.col(id))) != 0)
     rest = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(lines, i.cast("long")))
-    joined = df.join(gone, F.col(id) == F.col(at), "left")
-    return joined.withColumn(text, F.when(F.col(lines).isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))).select(*df.columns)
+    joined = told.where(hit).join(gone, F.col(id) == F.col(at), "left")
+    cut = joined.withColumn(text, F.when(F.col(lines).isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))).select(*df.columns)
+    return told.where(~hit).select(*df.columns).union(cut)

@@ -182,3 +182,12 @@ def test_sketches_tell_small_and_large_sets_apart(spark):
             want = [sum({1 << (h & 63) for h in hashes[k] if (h >> 6) % words == i}) for i in range(words)]
             have = [got[k][f"{stem}{i}"] for i in range(words)]
             assert have == ([None] * words if stem == "v" and len(own) <= line_dedup.LONG else [v - (v >> 63 << 64) for v in want])
+
+
+def test_only_texts_that_lose_lines_are_dealt(spark, tmp_path):
+    texts = [f"line {k} of its own, {k * 7919} and {k * 104729}" for k in range(50)]
+    rows = [(k, x, "p") for k, x in enumerate(texts)] + [(60, texts[3] + "\n" + "other words stand here alone", "q"), (None, texts[4], "r"), (61, None, "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, part string").write.parquet(str(tmp_path / "docs"))
+    out = line_dedup.drop_lines(spark.read.parquet(str(tmp_path / "docs")))
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in out.where("text is not null").collect()) == sorted([*enumerate(texts), (60, "other words stand here alone"), (-1, texts[4])])
+    assert out.where("text is null").count() == 1 and " Union" in f" {out._jdf.queryExecution().optimizedPlan().toString()}"
