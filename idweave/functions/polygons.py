@@ -59,27 +59,32 @@ def hull(points: Column) -> Column:
     return bind(F.array_sort(F.array_distinct(points)), both)
 
 
-def simplified(points: Column, tolerance: Column) -> Column:
+def simplified(points: Column, tolerance: Column, most: int | None = None) -> Column:
     """A closed contour's points that Douglas and Peucker's rule keeps.
 
     Its arcs begin between the point farthest from the first and the one farthest from that; every arc with a point farther than
-    the tolerance from the line between its ends is cut there, all arcs at once, until none is left.
+    the tolerance from the line between its ends is cut there, all arcs at once, until none is left. With ``most`` it ends as
+    soon as more points than that are kept, which only become more.
     """
 
     def farthest(p: Column) -> Column:
         return -F.array_max(F.transform(p, lambda q, i: F.struct(far(F.get(p, F.lit(0)), q).alias("d"), (-i).alias("i"))))["i"]
 
     def split(p: Column, i: Column, j: Column) -> Column:
-        a, b = F.get(p, i), F.get(p, j % F.size(p))
-        off = F.transform(F.sequence(i + 1, j - 1), lambda k: F.struct(F.abs(cross(a, b, F.get(p, k))).alias("d"), (-k).alias("k")))
-        cut = bind(F.array_max(off), lambda m: F.when(F.pow(m["d"], 2) > F.pow(tolerance, 2) * F.pow(far(a, b), 2), F.array(i, -m["k"])).otherwise(F.array(i)))
+        def cut_at(e: Column) -> Column:
+            off = F.transform(F.slice(p, i + 2, j - i - 1), lambda q, k: F.struct(F.abs(e["dx"] * (q["y"] - e["y"]) - e["dy"] * (q["x"] - e["x"])).alias("d"), (-k).alias("k")))
+            return bind(F.array_max(off), lambda m: F.when(F.pow(m["d"], 2) > F.pow(tolerance, 2) * F.pow(e["far"], 2), F.array(i, i + 1 - m["k"])).otherwise(F.array(i)))
+
+        ends = bind(F.struct(F.get(p, i).alias("a"), F.get(p, j % F.size(p)).alias("b")), lambda s: F.struct(s["a"]["x"].alias("x"), s["a"]["y"].alias("y"), (s["b"]["x"] - s["a"]["x"]).alias("dx"), (s["b"]["y"] - s["a"]["y"]).alias("dy"), far(s["a"], s["b"]).alias("far")))
+        cut = bind(ends, cut_at)
         return F.when(j - i > 1, cut).otherwise(F.array(i))
 
     def arcs(p: Column) -> Column:
         def once(s: Column, _: Column) -> Column:
             kept = s["kept"]
             more = F.concat(F.flatten(F.transform(F.sequence(F.lit(1), F.size(kept) - 1), lambda k: split(p, F.get(kept, k - 1), F.get(kept, k)))), F.array(F.size(p)))
-            return F.when(s["done"], s).otherwise(bind(more, lambda m: F.struct(m.alias("kept"), (F.size(m) == F.size(kept)).alias("done"))))
+            enough = lambda m: F.lit(False) if most is None else F.size(m) > most + 1
+            return F.when(s["done"], s).otherwise(bind(more, lambda m: F.struct(m.alias("kept"), ((F.size(m) == F.size(kept)) | enough(m)).alias("done"))))
 
         start = F.struct(F.array(F.lit(0), farthest(p), F.size(p)).alias("kept"), F.lit(False).alias("done"))
         kept = F.aggregate(F.sequence(F.lit(1), F.size(p)), start, once, lambda s: s["kept"])
@@ -93,11 +98,16 @@ def is_convex(points: Column) -> Column:
     return bind(around(points, cross), lambda c: ~(F.exists(c, lambda v: v > 0) & F.exists(c, lambda v: v < 0)))
 
 
-def four_corners(points: Column) -> Column:
-    """A contour reduced to a convex polygon of four points, itself or else its hull, more loosely; null if neither has four."""
+def four_corners(points: Column, corners: Column | None = None) -> Column:
+    """A contour reduced to a convex polygon of four points, itself or else its hull, more loosely; null if neither has four.
+
+    ``corners`` is the contour's hull, for callers that have it already.
+    """
     four = lambda p: F.when((F.size(p) == 4) & is_convex(p), p)
-    loose = lambda p, length: bind(simplified(hull(p), length * LOOSE), four)
-    own = lambda p, length: bind(simplified(p, length * TIGHT), lambda s: F.when(F.size(s) == 4, four(s)).otherwise(loose(p, length)))
+    # what has fewer points than four ends with fewer
+    reduced = lambda p, tolerance: bind(p, lambda q: F.when(F.size(q) > 3, simplified(q, tolerance, 4)).otherwise(q))
+    loose = lambda p, length: bind(reduced(hull(p) if corners is None else corners.cast(POINTS), length * LOOSE), four)
+    own = lambda p, length: bind(reduced(p, length * TIGHT), lambda s: F.when(F.size(s) == 4, four(s)).otherwise(loose(p, length)))
     return bind(F.struct(points.cast(POINTS).alias("p"), closed_length(points.cast(POINTS)).alias("n")), lambda s: F.when(s["n"] > 0, own(s["p"], s["n"])))
 
 

@@ -72,6 +72,16 @@ def test_hull_and_corners(spark):
     assert found[1] == [(0, 0), (0, 60), (100, 0), (100, 60)] and len(found[0]) == 4
 
 
+def test_corners_from_a_hull_that_is_there(spark):
+    rng = random.Random(4)
+    sets = [[(float(rng.randrange(40)), float(rng.randrange(30))) for _ in range(n)] for n in (1, 2, 3, 4, 4, 5, 6, 8, 8, 12, 20) for _ in range(6)]
+    df = spark.createDataFrame([(k, [{"x": x, "y": y} for x, y in s]) for k, s in enumerate(sets)], f"k int, p {polygons.POINTS}")
+    whole = df.withColumn("s", polygons.simplified(F.col("p"), F.lit(3.0))).withColumn("few", polygons.simplified(F.col("p"), F.lit(3.0), 4))
+    for r in whole.select("*", polygons.four_corners(F.col("p")).alias("own"), polygons.four_corners(F.col("p"), polygons.hull(F.col("p"))).alias("given")).collect():
+        assert r["own"] == r["given"]
+        assert r["few"] == r["s"] if len(r["few"]) <= 4 else len(r["s"]) >= len(r["few"])
+
+
 def test_projective_map(spark):
     quad = [(10.0, 12.0), (200.0, 30.0), (190.0, 150.0), (5.0, 120.0)]
     df = spark.createDataFrame([([{"x": x, "y": y} for x, y in quad],), ([{"x": float(k), "y": float(k)} for k in range(4)],), ([{"x": x / 20, "y": y / 20} for x, y in quad],)], f"q {polygons.POINTS}")
