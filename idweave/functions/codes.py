@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from idweave.functions.binding import bind
+from idweave.functions.binding import bind, named, only_where
 from idweave.functions.text import only_digits
 
 CODE = r"\A[0-9]{10}\z"
@@ -67,7 +67,7 @@ def multi_fits(s: Column) -> Column:
 
 def single_of(code: Column, s: Column, valid: Column) -> Column:
     choose = lambda f: F.struct(F.when(F.size(f) == 1, with_flips(code, f)).alias("code"), (F.size(f) > 1).alias("ambiguous"))
-    return F.when(valid, F.struct(code.alias("code"), F.lit(False).alias("ambiguous"))).otherwise(bind(single_fits(code, s), choose))
+    return F.when(valid, F.struct(code.alias("code"), F.lit(False).alias("ambiguous"))).otherwise(only_where(~valid, lambda: bind(single_fits(code, s), choose)))
 
 
 def multi_of(code: Column, s: Column) -> Column:
@@ -96,9 +96,10 @@ def repaired_code(code: Column) -> Column:
         return bind(multi_of(code, s), lambda many: F.when(many.isNotNull(), made("repaired", many)).when(one["ambiguous"], made("ambiguous", code)).otherwise(made("invalid", code)))
 
     def single(s: Column) -> Column:
-        return bind(single_of(code, s, F.lit(False)), lambda one: F.when(one["code"].isNotNull(), made("corrected", one["code"])).otherwise(multi(s, one)))
+        return bind(single_of(code, s, F.lit(False)), lambda one: F.when(one["code"].isNotNull(), made("corrected", one["code"])).otherwise(only_where(one["code"].isNull(), lambda: multi(s, one))))
 
-    return F.when(is_valid(code), made("valid", code)).when(code.rlike(CODE), bind(places(code), single)).otherwise(made("invalid", code))
+    valid, whole = named(is_valid(code)), code.rlike(CODE)
+    return F.when(valid, made("valid", code)).when(whole, only_where(~valid & whole, lambda: bind(places(code), single))).otherwise(made("invalid", code))
 
 
 def code_class(code: Column) -> Column:
@@ -123,6 +124,7 @@ def read_code(raw: Column, confidence: Column) -> Column:
     def read(d: Column) -> Column:
         part = F.nullif(d, F.lit(""))
         partial = made(part, F.when(part.isNotNull(), PARTIAL_FACTOR).otherwise(0.0), F.lit(False), F.when(part.isNotNull(), "partial"))
-        return F.when(d.rlike("[0-9]{10}"), bind(F.regexp_extract(d, "[0-9]{10}", 0), lambda c: bind(repaired_code(c), of))).otherwise(partial)
+        whole = d.rlike("[0-9]{10}")
+        return F.when(whole, only_where(whole, lambda: bind(F.regexp_extract(d, "[0-9]{10}", 0), lambda c: bind(repaired_code(c), of)))).otherwise(partial)
 
     return bind(only_digits(raw), read)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from idweave.functions.binding import bind
+from idweave.functions.binding import bind, inlined, named, only_where
 from idweave.functions.text import normalize_digits, only_digits
 
 # Fixed values.
@@ -42,10 +42,10 @@ def date_parts(raw: Column) -> Column:
 
     def of(text: Column) -> Column:
         bare = lambda d: F.when(F.length(d) == 8, made([cut(d, 1, 4), cut(d, 5, 2), cut(d, 7, 2)], BARE_CONFIDENCE)).when((F.length(d) == 6) & cut(d, 1, 1).isin("3", "4"), made([F.concat(F.lit("1"), cut(d, 1, 3)), cut(d, 4, 1), cut(d, 5, 1)], BARE_CONFIDENCE))
-        found = lambda m: F.when(F.size(m) == 4, made([F.get(m, F.lit(k)) for k in (1, 2, 3)], SEPARATED_CONFIDENCE)).otherwise(bind(only_digits(text), bare))
+        found = lambda m: F.when(F.size(m) == 4, made([F.get(m, F.lit(k)) for k in (1, 2, 3)], SEPARATED_CONFIDENCE)).otherwise(only_where(F.size(m) != 4, lambda: bind(only_digits(text), bare)))
         # the whole match and its groups, from one search
-        one = F.regexp_substr(text, F.lit(SEPARATED))
-        return bind(F.when(one.isNotNull(), F.concat(F.array(one), F.regexp_extract_all(one, F.lit("([0-9]+)"), F.lit(1)))).otherwise(F.array().cast("array<string>")), found)
+        groups = lambda one: F.when(one.isNotNull(), F.concat(F.array(one), F.regexp_extract_all(one, F.lit("([0-9]+)"), F.lit(1)))).otherwise(F.array().cast("array<string>"))
+        return bind(bind(F.regexp_substr(text, F.lit(SEPARATED)), groups), found)
 
     return bind(normalize_digits(raw), of)
 
@@ -125,7 +125,8 @@ def repair_candidates(raw: Column) -> Column:
         at = lambda k: F.get(p, F.lit(k))
         three = F.size(p) == 3
         ordered = F.when(three & (F.length(at(0)) == 4), p).when(three & (F.length(at(2)) == 4), F.reverse(p))
-        return bind(ordered, lambda o: F.when(o.isNotNull(), combinations(F.get(o, F.lit(0)), F.get(o, F.lit(1)), F.get(o, F.lit(2)))).otherwise(bare_candidates(raw)))
+        three_ = lambda o: combinations(F.get(o, F.lit(0)), F.get(o, F.lit(1)), F.get(o, F.lit(2)))
+        return bind(ordered, lambda o: F.when(o.isNotNull(), three_(o)).otherwise(bare_candidates(raw)))
 
     return listed(bind(parts_of(raw), of))
 
@@ -162,9 +163,10 @@ def read_date(raw: Column, strict_years: bool = True) -> Column:
     """
 
     def of(own: Column) -> Column:
-        fine = F.coalesce(own["jalali"].isNotNull() & (hard_year(own["jalali"]) | F.lit(not strict_years)), F.lit(False))
         kept = F.struct(own["jalali"].alias("jalali"), own["iso"].alias("iso"), own["confidence"].alias("confidence"), own["notes"].alias("notes"), F.array().cast("array<string>").alias("candidates"))
-        return F.when(fine, kept).otherwise(bind(repair_candidates(raw), lambda found: settled(found, own["notes"])))
+        mended = inlined(lambda: bind(repair_candidates(raw), lambda found: settled(found, own["notes"])))  # few dates come here
+        fine = named(F.coalesce(own["jalali"].isNotNull() & (hard_year(own["jalali"]) | F.lit(not strict_years)), F.lit(False)))
+        return F.when(fine, kept).otherwise(mended())
 
     return bind(parse(raw), of)
 

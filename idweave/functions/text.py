@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from idweave.functions.binding import bind
+
 # Fixed values.
 PERSIAN_DIGITS = "۰۱۲۳۴۵۶۷۸۹"
 ARABIC_DIGITS = "٠١٢٣٤٥٦٧٨٩"
@@ -53,8 +55,8 @@ def clean_name(text: Column) -> Column:
 def name_tokens(text: Column, stem: str = LABEL_STEM) -> Column:
     """clean_name without tokens that hold a label's stem; of several tokens, those of one or two letters go too."""
     tokens = F.filter(F.split(F.coalesce(clean_name(text), F.lit("")), " "), lambda t: (t != "") & ~t.rlike(stem))
-    long_ = F.filter(tokens, lambda t: F.char_length(t) > 2)
-    return empty_to_null(F.array_join(F.when(F.size(tokens) > 1, long_).otherwise(tokens), " "))
+    long_ = lambda own: F.filter(own, lambda t: F.char_length(t) > 2)
+    return bind(tokens, lambda own: empty_to_null(F.array_join(F.when(F.size(own) > 1, long_(own)).otherwise(own), " ")))
 
 
 def clean_free_text(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from idweave.functions.binding import bind
+from idweave.functions.binding import bind, named
 from idweave.functions.codes import is_valid
 from idweave.functions.text import only_digits
 from idweave.functions.vectors import dot, doubles, soft_iou
@@ -54,12 +54,13 @@ def weighed_digits(ocr: Column, ocr_c: Column, template: Column, template_c: Col
 def weighed_dates(ocr: Column, ocr_c: Column, template: Column, template_c: Column, again: Column, again_c: Column) -> Column:
     """As weighed_digits, for dates; ``again`` is a second reading that may hold separators."""
     o, t, r = (F.nullif(c, F.lit("")) for c in (ocr, template, again))
-    o8 = F.nullif(only_digits(o), F.lit(""))
+    o8 = named(F.nullif(only_digits(o), F.lit("")))
+    o_date, t_date = named(is_date8(o8)), named(is_date8(t))
     agreed = F.least(F.lit(1.0), F.greatest(ocr_c, template_c) + AGREED)
     return (
         F.when(o8.isNotNull() & (t == o8), chosen(t, agreed, "agreed"))
-        .when(is_date8(t) & ~is_date8(o8), chosen(t, template_c, "template_date"))
-        .when(is_date8(o8) & ~is_date8(t), chosen(o8, ocr_c, "ocr_date"))
+        .when(t_date & ~o_date, chosen(t, template_c, "template_date"))
+        .when(o_date & ~t_date, chosen(o8, ocr_c, "ocr_date"))
         .when(r.isNotNull(), chosen(r, again_c, "again"))
         .when(o.isNotNull(), chosen(o, ocr_c, "ocr"))
         .when(t.isNotNull(), chosen(t, template_c, "template"))

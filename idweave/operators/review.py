@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from idweave.functions.binding import bind
+from idweave.functions.binding import bind, named
 from idweave.functions.codes import is_valid
 from idweave.operators.layout import REGIONS, REQUIRED
 
@@ -85,7 +85,7 @@ def record_of(captures: DataFrame, keys: list[str]) -> DataFrame:
 def record_columns(part) -> list[Column]:
     """data, confidence, validation, missing_fields, warnings, needs_review from part(field, what), as ``record`` has it."""
     code = part("national_id", "value")
-    valid, missing = is_valid(code), missing_fields({f: part(f, "value") for f in REQUIRED})
+    valid, missing = named(is_valid(code)), named(missing_fields({f: part(f, "value") for f in REQUIRED}))
     listed = lambda c, order: F.concat(*[F.coalesce(part(f, c), F.array().cast("array<string>")) for f in order])
     last = F.when((F.length(code) == 10) & ~valid, F.array(F.lit("check_digit"))).otherwise(F.array().cast("array<string>"))
     confidence = F.create_map(*[x for f in REQUIRED for x in (F.lit(f), F.round(F.coalesce(part(f, "confidence"), F.lit(0.0)), 3))])

@@ -9,14 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from idweave.functions.binding import bind
+from idweave.functions.binding import bind, inlined, named, only_where, with_bound
 from idweave.functions.codes import read_code
 from idweave.functions.jalali import read_date
 from idweave.functions.text import name_tokens, normalize_text, only_digits
 from idweave.operators.layout import LABEL_PATTERNS, REQUIRED
+from idweave.operators import engines
 from idweave.operators.readings import CONFLICT, gated_attempts, matched, weighed_dates, weighed_digits
 from idweave.operators.recovery import DISTANCE_WEIGHT, HEIGHTS, LEAST_LIMIT, LEFT_BONUS, RECOVERED, shown_fields
 from idweave.operators.review import gate, is_missing, quality, record_columns
+from idweave.operators.sizes import compiled, spread
 
 def no_texts() -> Column:
     return F.array().cast("array<string>")
@@ -26,11 +28,11 @@ def listed(*found: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def about(what: str, field: Column, *rest: Column) -> Column:
-    return F.concat(F.lit(f"{what}:"), field, *rest)
+def about(what: str, field: str, *rest: Column) -> Column:
+    return F.concat(F.lit(f"{what}:{field}"), *rest)
 
 
-def read_value(field: Column, raw: Column, conf: Column) -> Column:
+def read_value(field: str, raw: Column, conf: Column) -> Column:
     """Struct raw, value, iso, candidates, confidence, notes of a field's reading by its rules.
 
     notes are warnings of the reading, as ``code:field`` and what else there is to say. A value that cannot be read is
@@ -44,18 +46,20 @@ def read_value(field: Column, raw: Column, conf: Column) -> Column:
 
     def of_date(d: Column) -> Column:
         unread = F.when(d["jalali"].isNull(), F.when(F.size(d["candidates"]) > 0, about("ambiguous_date", field, F.lit(":"), F.array_join(d["candidates"], ","))).otherwise(about("unread_date", field)))
-        return made(d["jalali"], d["iso"], d["candidates"], F.round(conf * d["confidence"], 3), F.concat(listed(unread), F.transform(d["notes"], lambda n: F.concat(n, F.lit(":"), field))))
+        return made(d["jalali"], d["iso"], d["candidates"], F.round(conf * d["confidence"], 3), F.concat(listed(unread), F.transform(d["notes"], lambda n: F.concat(n, F.lit(f":{field}")))))
 
-    of_code = lambda c: made(c["value"], none, none.cast("array<string>"), c["confidence"], listed(F.when(c["note"].isNotNull(), F.concat(c["note"], F.lit("_code:"), field))))
+    of_code = lambda c: made(c["value"], none, none.cast("array<string>"), c["confidence"], listed(F.when(c["note"].isNotNull(), F.concat(c["note"], F.lit(f"_code:{field}")))))
     of_name = lambda n: made(n, none, none.cast("array<string>"), F.when(n.isNotNull(), F.round(conf, 3)), no_texts())
-    return F.when(field == "national_id", bind(read_code(raw, conf), of_code)).when(field.endswith("_date"), bind(read_date(raw), of_date)).otherwise(bind(name_tokens(raw), of_name))
+    if field == "national_id":
+        return bind(read_code(raw, conf), of_code)
+    return bind(read_date(raw), of_date) if field.endswith("_date") else bind(name_tokens(raw), of_name)
 
 
 def source(raw: Column, conf: Column, other: Column, labelled: Column) -> Column:
     return F.struct(raw.alias("raw"), conf.alias("conf"), other.alias("other"), labelled.alias("labelled"))
 
 
-def from_reads(field: Column, reads: Column) -> Column:
+def from_reads(field: str, reads: Column) -> Column:
     """A field's surest reading, the first of equals; other is a different one of a confidence over a half."""
     mine = F.filter(reads, lambda r: (r["field"] == field) & (F.coalesce(r["raw"], F.lit("")) != "") & (r["conf"] > 0))
     ranked = F.transform(mine, lambda r: F.struct(r["conf"].alias("conf"), (-r["attempt_no"]).alias("first"), r["raw"].alias("raw")))
@@ -64,25 +68,25 @@ def from_reads(field: Column, reads: Column) -> Column:
     return bind(ranked, lambda own: bind(F.array_max(own), lambda top: bind(rest(own, top), lambda other: made(top, other))))
 
 
-def from_lines(field: Column, lines: Column) -> Column:
+def from_lines(field: str, lines: Column) -> Column:
     """The best value beside the field's surest label, if there is one."""
-    labels = F.transform(F.filter(lines, lambda v: F.array_contains(v["shown"], field)), lambda v: F.struct(v["confidence"].alias("confidence"), (-v["line_no"]).alias("first"), *[v[c].alias(c) for c in ("cx", "cy", "h")]))
+    labels = F.transform(F.filter(lines, lambda v: F.array_contains(v["shown"], F.lit(field))), lambda v: F.struct(v["confidence"].alias("confidence"), (-v["line_no"]).alias("first"), *[v[c].alias(c) for c in ("cx", "cy", "h")]))
     made = lambda label, best: source(best["text"], best["confidence"], F.lit(None).cast("string"), label["first"].isNotNull())
     return bind(F.array_max(labels), lambda label: bind(beside(label, lines, field), lambda best: made(label, best)))
 
 
-def beside(label: Column, lines: Column, field: Column) -> Column:
+def beside(label: Column, lines: Column, field: str) -> Column:
     """Struct score, first, text, confidence of the best value in the label's band, by the rules of ``recovered``; else null."""
     limit = F.greatest(HEIGHTS * label["h"], F.lit(LEAST_LIMIT))
     digits = lambda v: F.length(only_digits(v["text"]))
-    fits = lambda v: F.when(field.endswith("_date"), digits(v) >= 4).otherwise(digits(v) <= 2) & (F.trim(v["text"]) != "")
+    fits = lambda v: (digits(v) >= 4 if field.endswith("_date") else digits(v) <= 2) & (F.trim(v["text"]) != "")
     dy = lambda v: F.abs(v["cy"] - label["cy"])
     near = F.filter(lines, lambda v: (F.size(v["shown"]) == 0) & (v["line_no"] != -label["first"]) & (dy(v) <= limit) & fits(v))
     score = lambda v: v["confidence"] - DISTANCE_WEIGHT * dy(v) / limit + F.when(v["cx"] < label["cx"], LEFT_BONUS).otherwise(0.0)
     return F.array_max(F.transform(near, lambda v: F.struct(score(v).alias("score"), (-v["line_no"]).alias("first"), F.trim(v["text"]).alias("text"), (v["confidence"] * RECOVERED).alias("confidence"))))
 
 
-def entry(field: Column, reads: Column, lines: Column) -> Column:
+def entry(field: str, reads: Column, lines: Column) -> Column:
     """Struct raw, value, iso, candidates, confidence, warnings, more_warnings of a field: by its readings, then, unless sure, by its lines.
 
     What lines give replaces what was there: a date in any case, its confidence only if it is a date; a code or name only if
@@ -97,19 +101,22 @@ def entry(field: Column, reads: Column, lines: Column) -> Column:
         return F.struct(*[v[c].alias(c) for c in facts], F.when(s["raw"].isNull(), F.array(nothing)).otherwise(F.concat(listed(conflict), v["notes"])).alias("warnings"), no_texts().alias("more_warnings"))
 
     def again(e: Column, s: Column, v: Column) -> Column:
-        wrote = s["raw"].isNotNull() & (v["value"].isNotNull() | field.endswith("_date"))
+        wrote = s["raw"].isNotNull() & (v["value"].isNotNull() | F.lit(field.endswith("_date")))
         pick = [F.when(wrote, v[c]).otherwise(e[c]).alias(c) for c in facts[:-1]]
         confidence = F.when(wrote & v["value"].isNotNull(), v["confidence"]).otherwise(e["confidence"]).alias("confidence")
-        more = F.when(lines.isNull(), F.array(about("no_lines", field))).when(~s["labelled"], F.array(about("no_label", field))).when(s["raw"].isNull(), F.array(about("no_value", field))).otherwise(v["notes"])
+        more = F.when(~s["labelled"], F.array(about("no_label", field))).when(s["raw"].isNull(), F.array(about("no_value", field))).otherwise(v["notes"])
         return F.struct(*pick, confidence, e["warnings"].alias("warnings"), more.alias("more_warnings"))
 
-    def step(e: Column, k: Column) -> Column:
-        taken = bind(F.when(k == 0, from_reads(field, reads)).otherwise(from_lines(field, lines)), lambda s: bind(read_value(field, s["raw"], s["conf"]), lambda v: F.when(k == 0, first(s, v)).otherwise(again(e, s, v))))
-        return F.when((k == 0) | is_missing(e["value"], e["confidence"]), taken).otherwise(e)
+    def read(found: Column, taken) -> Column:
+        return bind(found, lambda s: bind(read_value(field, s["raw"], s["conf"]), lambda v: taken(s, v)))
 
-    none = F.lit(None)
-    empty = F.struct(none.cast("string").alias("raw"), none.cast("string").alias("value"), none.cast("date").alias("iso"), none.cast("array<string>").alias("candidates"), F.lit(0.0).alias("confidence"), no_texts().alias("warnings"), no_texts().alias("more_warnings"))
-    return F.aggregate(F.array(F.lit(0), F.lit(1)), empty, step)
+    def sought(e: Column) -> Column:
+        lost = named(is_missing(e["value"], e["confidence"]))
+        without = e.withField("more_warnings", F.array(F.lit(f"no_lines:{field}")))
+        found = inlined(lambda: read(from_lines(field, lines), lambda s, v: again(e, s, v)))  # few fields come here
+        return F.when(lost & lines.isNull(), without).when(lost, found()).otherwise(e)
+
+    return bind(read(from_reads(field, reads), first), sought)
 
 
 def records(readings: DataFrame, lines: DataFrame, key: str = "capture_id") -> DataFrame:
@@ -118,6 +125,7 @@ def records(readings: DataFrame, lines: DataFrame, key: str = "capture_id") -> D
     Every capture with a reading has a record; fields without a sure value are sought in its lines. A column ``uncut`` of
     readings, where there is one, marks fields whose crop could not be cut.
     """
+    compiled(readings.sparkSession)
     uncut = F.coalesce("uncut", F.lit(False)) if "uncut" in readings.columns else F.lit(False)
     read = F.struct("field", "attempt_no", "raw", F.col("conf").cast("double").alias("conf"), uncut.alias("uncut"))
     reads = readings.groupBy(key).agg(F.collect_list(read).alias("__reads"))
@@ -125,8 +133,8 @@ def records(readings: DataFrame, lines: DataFrame, key: str = "capture_id") -> D
     free = lines.groupBy(key).agg(F.collect_list(F.struct("line_no", "text", *[F.col(c).cast("double").alias(c) for c in numbers])).alias("__lines"))
     shown = lambda v: F.struct(*[v[c].alias(c) for c in ("line_no", "text", *numbers)], bind(normalize_text(v["text"]), lambda n: shown_fields(n, LABEL_PATTERNS)).alias("shown"))
     both = reads.join(free, key, "left").withColumn("__lines", F.transform("__lines", shown))
-    done = both.withColumn("__entries", F.transform(F.array(*map(F.lit, REQUIRED)), lambda f: entry(f, F.col("__reads"), F.col("__lines"))))
-    return done.select(key, *record_columns(lambda f, c: F.get(F.col("__entries"), F.lit(REQUIRED.index(f)))[c]))
+    done = with_bound(both, **{f"__{f}": lambda f=f: entry(f, F.col("__reads"), F.col("__lines")) for f in REQUIRED})
+    return done.select(key, *record_columns(lambda f, c: F.col(f"__{f}")[c]))
 
 
 def engine_readings(ocr: DataFrame, template: DataFrame, again: DataFrame, key: str = "capture_id") -> DataFrame:
@@ -139,12 +147,33 @@ def engine_readings(ocr: DataFrame, template: DataFrame, again: DataFrame, key:
     keys = [key, "field", "kind", "attempt"]
     both = matched(ocr, template, keys, ("error",))
     more = again.where("kind = 'date'").select(*keys, F.col("raw").alias("r"), F.col("conf").alias("rc"))
-    own = both.join(more, keys, "left")
-    number = weighed_digits(F.col("o"), F.col("oc"), F.col("t"), F.col("tc"))
-    date = weighed_dates(F.col("o"), F.col("oc"), F.col("t"), F.col("tc"), F.col("r"), F.coalesce("rc", F.lit(0.0)))
-    name = F.struct(F.col("o").alias("value"), F.col("oc").alias("confidence"), F.lit("ocr").alias("rule"))
-    weighed = own.withColumn("w", F.when(F.col("kind") == "number", number).when(F.col("kind") == "date", date).otherwise(name))
-    asked = gated_attempts(weighed.select(*keys, F.col("w.value").alias("raw"), F.col("w.confidence").alias("conf"), F.coalesce(F.col("error") == "no_crop", F.lit(False)).alias("uncut")), [key, "field", "kind"])
+    return weighed_readings(both.join(more, keys, "left"), key)
+
+
+def crop_readings(crops: DataFrame, ocr, template, again, key: str = "capture_id") -> DataFrame:
+    """As ``engine_readings``, of crops (key, field, kind, attempt, image) that three engines read in one pass, side by side.
+
+    Nothing is joined, and crops are dealt once, as their readings, by their capture's key.
+    """
+    read = engines.read_by(crops, {"o_": (ocr, None), "t_": (template, None), "r_": (again, {"date"})})
+    own = {"o": "o_raw", "oc": "o_conf", "error": "o_error", "t": "t_raw", "tc": "t_conf", "r": "r_raw", "rc": "r_conf"}
+    return weighed_readings(read.select(key, "field", "kind", "attempt", *[F.col(c).alias(n) for n, c in own.items()]), key, dealt=False)
+
+
+def weighed_readings(read: DataFrame, key: str, dealt: bool = True) -> DataFrame:
+    """Readings from engines' results side by side (key, field, kind, attempt, o, oc, error, t, tc, r, rc)."""
+
+    compiled(read.sparkSession)
+
+    def weighed() -> Column:
+        o, oc, t, tc = (F.col(c) for c in ("o", "oc", "t", "tc"))
+        number, date = F.col("kind") == "number", F.col("kind") == "date"
+        digits = only_where(number, lambda: weighed_digits(o, oc, t, tc))
+        dates = only_where(date, lambda: weighed_dates(o, oc, t, tc, F.col("r"), F.coalesce("rc", F.lit(0.0))))
+        return F.when(number, digits).when(date, dates).otherwise(F.struct(o.alias("value"), oc.alias("confidence"), F.lit("ocr").alias("rule")))
+
+    made = with_bound(read, w=weighed).select(key, "field", "kind", "attempt", F.col("w.value").alias("raw"), F.col("w.confidence").alias("conf"), F.coalesce(F.col("error") == "no_crop", F.lit(False)).alias("uncut"))
+    asked = gated_attempts(made if dealt else spread(made, key), [key, "field", "kind"])
     return asked.select(key, "field", "attempt_no", "raw", "conf", "uncut")
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idweave.functions import confusions, text
-from idweave.operators import engines, layout, review
+from idweave.operators import layout, review
+from idweave.operators.sizes import spread
 from idweave.plans import cards
 from idweave.queries import CARD, CODED, FREE, coded, coded_and_dated, query, table
 from idweave.sources import approvals
@@ -103,7 +104,7 @@ class WrittenDates(WrittenText):
 def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three fields of every order, in up to three attempts; some crops cannot be cut, on some an engine fails."""
     k = F.col("o_orderkey")
-    own = coded_and_dated(spark, sf_dir)
+    own = spread(coded_and_dated(spark, sf_dir), "o_orderkey")  # a few parts of files hold many orders
     crop = lambda field, kind, attempt, sure, other, written: F.struct(F.lit(field).alias("field"), F.lit(kind).alias("kind"), F.lit(attempt).alias("attempt"), F.concat_ws(";", sure, F.lit(other), written).cast("binary").alias("image"))
     cut = lambda c: F.when(k % 9 == 0, c.withField("image", F.lit(None).cast("binary"))).otherwise(c)
     every = F.array(
@@ -127,9 +128,8 @@ SELECT k AS o_orderkey, CASE WHEN NOT uncut THEN id END AS id, CASE WHEN uncut T
 def engine_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crops, read by three test engines, weighed, gated and made into records."""
     own = crops(spark, sf_dir)
-    ocr, template, again = (engines.read_crops(own, engine) for engine in (WrittenText, WrittenNumbers, WrittenDates))
     lines = spark.createDataFrame([], "o_orderkey long, line_no int, text string, confidence double, cx double, cy double, h double")
-    made = cards.records(cards.engine_readings(ocr, template, again, "o_orderkey"), lines, "o_orderkey")
+    made = cards.records(cards.crop_readings(own, WrittenText, WrittenNumbers, WrittenDates, "o_orderkey"), lines, "o_orderkey")
     said = F.filter("warnings", lambda w: F.contains(w, F.lit("national_id")) | F.contains(w, F.lit("first_name")))
     value, sure = (lambda f: F.col(f"data.{f}")), (lambda f: F.col("confidence")[f])
     return made.select("o_orderkey", value("national_id").alias("id"), sure("national_id").alias("id_confidence"), value("first_name").alias("name"), sure("first_name").alias("name_confidence"), value("birth_date.jalali").alias("birth"), F.array_join(said, ";").alias("said"))

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from idweave import record_queries
-from idweave.functions import confusions, polygons
+from idweave.functions import codes, confusions, jalali, polygons, text
+from idweave.functions.binding import with_bound
 from idweave.operators import blobs, engines, holes, layout, review, thresholds
 from idweave.plans import cards
 from idweave.sources import approvals
@@ -253,6 +254,34 @@ def test_engine_contract(spark):
         engines.read_all(lambda: type("Short", (), {"read": lambda self, i, k: []})(), [b"x"], ["text"])[2][0].index("no such error")
 
 
+def test_engines_in_one_pass(spark):
+    """Readings of engines side by side equal those of three joined tables, without a join; an engine is asked for its kinds only."""
+    rows = [(1, "national_id", "number", "soft", b"0.8;0.7;0404796669"), (1, "national_id", "number", "binary", None), (1, "birth_date", "date", "soft", b"0.9;0.5;1380/05/12"), (1, "first_name", "text", "soft", b"0.2;0.1;?"),
+            (1, "first_name", "text", "binary", "0.75;0.1;علی".encode()), (2, "national_id", "number", "soft", b""), (2, "birth_date", "date", "soft", b"0.9;0.5;13999999"), (2, "first_name", "text", "soft", "0.9;0.1;حسن".encode())]
+    crops = spark.createDataFrame(rows, "capture_id long, field string, kind string, attempt string, image binary")
+    makes = (record_queries.WrittenText, record_queries.WrittenNumbers, record_queries.WrittenDates)
+    one = cards.crop_readings(crops, *makes)
+    three = cards.engine_readings(*(engines.read_crops(crops, make) for make in makes))
+    order = ["capture_id", "field", "attempt_no"]
+    assert one.orderBy(order).collect() == three.select(one.columns).orderBy(order).collect() and one.count() == 8
+    assert "Join" not in one._jdf.queryExecution().optimizedPlan().toString()
+    read = engines.read_by(crops, {"a_": (record_queries.WrittenDates, {"date"}), "b_": (record_queries.WrittenText, None)}).orderBy(order[:2] + ["attempt"]).collect()
+    assert [(r["a_raw"], r["a_conf"], r["a_error"]) for r in read if r["kind"] != "date"] == [(None, 0.0, None)] * 6 and [r["a_raw"] for r in read if r["kind"] == "date"] == ["1380/05/12", "13999999"]
+
+
+def test_values_bound_as_columns(spark):
+    """Codes, dates and names read the same whether bound values are lambda variables or columns, which leave no lambda around the rules."""
+    texts = ["1234567891", "0404796669", "0750020101", "4942055526", "5162046610", "12", "", None, "۱۳۸۰/۵/۷", "1425/03/12", "12/03/1380", "13800512", "1380/15/20", "99991231", "علی رضا ب", "نام محمد"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    makes = {"code": lambda: codes.read_code(F.col("t"), F.lit(0.8)), "date": lambda: jalali.read_date(F.col("t")), "name": lambda: text.name_tokens(F.col("t"))}
+    bound = with_bound(df, **makes)
+    assert bound.columns == ["k", "t", "code", "date", "name"]
+    assert bound.orderBy("k").collect() == df.select("k", "t", *[make().alias(name) for name, make in makes.items()]).orderBy("k").collect()
+    read = spark.createDataFrame([(1, "first_name", 0, "علی", 0.9)], "capture_id int, field string, attempt_no int, raw string, conf double")
+    lines = spark.createDataFrame([], "capture_id int, line_no int, text string, confidence double, cx double, cy double, h double")
+    assert len(cards.records(read, lines)._jdf.queryExecution().optimizedPlan().toString().split("Project [")) > 5
+
+
 def test_uncut_crops_and_repeated_readings(spark):
     read = spark.createDataFrame([(1, "national_id", 0, None, 0.0, True), (1, "first_name", 0, "علی", 0.9, False), (2, "first_name", 0, "علی", 0.9, None), (2, "first_name", 0, "علی", 0.9, None)], "capture_id int, field string, attempt_no int, raw string, conf double, uncut boolean")
     lines = spark.createDataFrame([(1, 0, "شماره ملی", 0.9, 300.0, 100.0, 20.0), (1, 1, "12", 0.9, 100.0, 105.0, 20.0), (9, 0, "x", 0.9, 1.0, 1.0, 1.0)], "capture_id int, line_no int, text string, confidence double, cx double, cy double, h double")
